@@ -30,12 +30,12 @@ STRONG = (
     ("hex", "secret", r"[0-9a-f]{32}", HEX),
 )
 WEAK = (
-    ("token40", "secret", r"[A-Za-z0-9+/]{40}", TOKEN),
-    ("account", "identifier", r"(?i)(?:id|name)[\"']?\x20*[:=]", ACCOUNT),
+    ("token40", "candidate", r"[A-Za-z0-9+/]{40}", TOKEN),
+    ("account", "account", r"(?i)(?:id|name)[\"']?\x20*[:=]", ACCOUNT),
     ("endpoint", "endpoint", r"https?://", ENDPOINT),
 )
 #: What completes a weak candidate of a role.
-COMPLETES = {"secret": ("identifier",), "identifier": ("secret",), "endpoint": ("secret", "identifier")}
+COMPLETES = {"candidate": ("identifier", "account"), "account": ("secret", "candidate"), "endpoint": ("secret", "identifier")}
 SPAN = "array<struct<s:int,k:int,e:int>>"
 
 
