@@ -56,28 +56,41 @@ def tool_call(raw: Column) -> Column:
 
 
 def checked_call(call: Column, question: Column) -> Column:
-    """struct(name, arguments): the call as it may run, repaired where it contradicts the question; null if it may not."""
-    text = compact(question)
-    args = F.map_filter(call["arguments"], lambda k, v: v.isNotNull() & (v != ""))
-    department = lambda key: F.regexp_extract(strip(F.coalesce(args[key], F.lit(""))), f"^({'|'.join(CATEGORIES)})부$", 1)
-    moved = F.coalesce(F.nullif(department("author"), F.lit("")), F.nullif(department("media"), F.lit("")))
-    known = F.coalesce(call["name"].isin(*TOOLS), F.lit(False))
-    args = F.when(moved.isNotNull(), F.create_map(F.lit("period"), F.coalesce(args["period"], F.lit("all")), F.lit("category"), moved)).otherwise(args)
-    name = F.when(moved.isNotNull(), "count_articles").otherwise(call["name"])
-    name = F.when((name == "count_articles_by_category") & ~has_any(text, BY_CATEGORY_WORDS), "count_articles").otherwise(name)
-    name = F.when((name == "list_recent_articles") & has_any(text, COUNT_WORDS), "count_articles").otherwise(name)
-    allowed = F.create_map(*[x for t, (a, _) in TOOLS.items() for x in (F.lit(t), F.lit(list(a)) if a else F.array().cast("array<string>"))])
-    required = F.create_map(*[x for t, (_, r) in TOOLS.items() for x in (F.lit(t), F.lit(list(r)) if r else F.array().cast("array<string>"))])
-    keys = F.map_keys(args)
-    shaped = (F.size(F.array_except(keys, allowed[name])) == 0) & (F.size(F.array_except(required[name], keys)) == 0)
-    timed = F.array_contains(allowed[name], "period")
-    args = F.when(timed & args["period"].isNull(), F.map_concat(args, F.create_map(F.lit("period"), F.lit("all")))).otherwise(args)
-    in_time = ~timed | args["period"].isin(*PERIOD_LABELS)
-    in_class = args["category"].isNull() | args["category"].isin(*CATEGORIES)
-    spoken = lambda key: args[key].isNull() | ((strip(args[key]) != "") & (F.length(strip(args[key])) <= 50) & F.contains(text, compact(args[key])))
-    args = F.transform_values(args, lambda k, v: F.when(k.isin("author", "media"), strip(v)).otherwise(v))
-    ok = known & shaped & in_time & in_class & spoken("author") & spoken("media")
-    return F.when(F.coalesce(ok, F.lit(False)), F.struct(name.alias("name"), args.alias("arguments")))
+    """struct(name, arguments): the call as it may run, repaired where it contradicts the question; null if it may not.
+
+    Every step is bound once (``let``): steps that repeated the ones before them would grow the plan exponentially.
+    """
+    state = lambda text, name, args: F.struct(text.alias("text"), name.alias("name"), args.alias("args"))
+    per_tool = lambda name, i: first_match([(name == t, list(x[i])) for t, x in TOOLS.items() if x[i]], None)
+    empty = F.array().cast("array<string>")
+
+    def moved(s: Column) -> Column:
+        department = lambda key: F.nullif(F.regexp_extract(strip(F.coalesce(s["args"][key], F.lit(""))), f"^({'|'.join(CATEGORIES)})부$", 1), F.lit(""))
+        to = lambda d: F.when(d.isNotNull(), state(s["text"], F.lit("count_articles"), F.create_map(F.lit("period"), F.coalesce(s["args"]["period"], F.lit("all")), F.lit("category"), d))).otherwise(s)
+        return let(F.coalesce(department("author"), department("media")), to)
+
+    def renamed(s: Column) -> Column:
+        by_category = (s["name"] == "count_articles_by_category") & ~has_any(s["text"], BY_CATEGORY_WORDS)
+        listed = (s["name"] == "list_recent_articles") & has_any(s["text"], COUNT_WORDS)
+        return state(s["text"], F.when(by_category | listed, "count_articles").otherwise(s["name"]), s["args"])
+
+    def shaped(s: Column) -> Column:
+        allowed, required = F.coalesce(per_tool(s["name"], 0), empty), F.coalesce(per_tool(s["name"], 1), empty)
+        ok = (F.size(F.array_except(F.map_keys(s["args"]), allowed)) == 0) & (F.size(F.array_except(required, F.map_keys(s["args"]))) == 0)
+        timed = F.array_contains(allowed, "period") & s["args"]["period"].isNull()
+        args = F.when(timed, F.map_concat(s["args"], F.create_map(F.lit("period"), F.lit("all")))).otherwise(s["args"])
+        tidy = F.transform_values(args, lambda k, v: F.when(k.isin("author", "media"), strip(v)).otherwise(v))
+        return F.when(ok, state(s["text"], s["name"], tidy))
+
+    def settled(s: Column) -> Column:
+        among = lambda key, values: s["args"][key].isNull() | s["args"][key].isin(*values)
+        spoken = lambda key: s["args"][key].isNull() | ((s["args"][key] != "") & (F.length(s["args"][key]) <= 50) & F.contains(s["text"], compact(s["args"][key])))
+        ok = s.isNotNull() & among("period", PERIOD_LABELS) & among("category", CATEGORIES) & spoken("author") & spoken("media")
+        return F.when(ok, F.struct(s["name"].alias("name"), s["args"].alias("arguments")))
+
+    given = F.map_filter(call["arguments"], lambda k, v: v.isNotNull() & (v != ""))
+    known = F.when(call["name"].isin(*TOOLS), state(compact(question), call["name"], given))
+    return let(let(let(let(known, moved), renamed), shaped), settled)
 
 
 def fallback_call(question: Column) -> Column:

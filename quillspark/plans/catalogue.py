@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import chunking, parsers, periods, text
-from quillspark.operators import archive, constraints, mutations, vectors
+from quillspark.operators import archive, company, constraints, mutations, vectors
 
 from . import training, validation
 from .views import NOW, SQL, Archive
@@ -383,3 +383,61 @@ def event_windows(a: Archive) -> DataFrame:
 def titles_limit(a: Archive) -> DataFrame:
     order = Window.partitionBy("source").orderBy("doc_id")
     return a.raw("documents").select("doc_id", "source", F.row_number().over(order).cast("long").alias("nth")).where("nth <= 20")
+
+
+# ---------------------------------------------------------------- company questions
+
+#: Questions and model outputs by user: the tools in turn, then an unreadable output, which the keyword rules replace.
+_ASKED = (
+    ("올해 정치 기사 몇 건이야", '<tool_call>{"name": "count_articles", "arguments": {"period": "this_year", "category": "정치"}}</tool_call>'),
+    ("최근 기사 목록", '{"name": "list_recent_articles", "arguments": {"category": "경제"}}'),
+    ("분야별 기사", '{"name": "count_articles_by_category", "arguments": "{\\"period\\": \\"all\\"}"}'),
+    ("기자 7 기사", '{"name": "count_articles_by_author", "arguments": {"author": "기자 7"}}'),
+    ("매체 3 기사", '{"name": "count_articles_by_media", "arguments": {"media": "매체 3", "period": "this_month"}}'),
+    ("템플릿", '{"name": "list_templates", "arguments": {}}'),
+    ("지침", '{"name": "list_guidelines", "arguments": {}}'),
+    ("구성원 수", '{"name": "count_members", "arguments": {}}'),
+    ("지난달 사회부 기사 개수", "모르겠습니다"),
+)
+
+_COMPANY = """
+, own AS (SELECT id, title, published_at, CASE left(category, 1) WHEN '1' THEN '정치' WHEN '2' THEN '경제' WHEN '3' THEN '사회' WHEN '5' THEN '문화' END AS category,
+    '기자 ' || (author_id % 50) AS author, '매체 ' || (author_id % 40) AS media FROM articles),
+one AS (SELECT article_id, CASE WHEN count(*) = 1 THEN min(organization_id) END AS org FROM hold GROUP BY article_id),
+ask AS (SELECT u.id AS user_id, u.id % 9 AS k, o.org FROM users u LEFT JOIN one o ON u.id = o.article_id),
+s AS (SELECT h.organization_id AS org, own.* FROM own JOIN hold h ON own.id = h.article_id),
+r AS (SELECT org, id, title, published_at, row_number() OVER (PARTITION BY org ORDER BY published_at DESC, id DESC) AS nth FROM s WHERE category = '경제'),
+a0 AS (SELECT org, 0 AS k, count(*) AS n FROM s WHERE category = '정치' AND published_at >= TIMESTAMP '1998-01-01' AND published_at < TIMESTAMP '1999-01-01' GROUP BY org),
+a1 AS (SELECT org, '전체 기간, 경제 기준 최근 회사 기사 ' || count(*) || '건입니다.' || chr(10) || string_agg(nth || '. ' || title || ' (' || strftime(published_at, '%Y-%m-%d') || ')', chr(10) ORDER BY nth) AS t FROM r WHERE nth <= 5 GROUP BY org),
+a2 AS (SELECT org, '전체 기간 기준 회사 기사 분야별 개수입니다. (총 ' || CAST(sum(n) AS BIGINT) || '건)' || chr(10) || string_agg('- ' || c || ': ' || n || '건', chr(10) ORDER BY n DESC, c) AS t FROM (SELECT org, coalesce(category, '미분류') AS c, count(*) AS n FROM s GROUP BY org, category) GROUP BY org),
+a3 AS (SELECT org, count(*) AS n FROM s WHERE contains(author, '기자 7') GROUP BY org),
+a4 AS (SELECT org, count(*) AS n FROM s WHERE contains(media, '매체 3') AND published_at >= TIMESTAMP '1998-06-01' AND published_at < TIMESTAMP '1998-07-01' GROUP BY org),
+a5 AS (SELECT org, '회사 기사 템플릿 ' || count(*) || '개입니다.' || chr(10) || string_agg(nth || '. ' || p_name, chr(10) ORDER BY nth) AS t FROM (SELECT p_partkey % 25 AS org, p_name, row_number() OVER (PARTITION BY p_partkey % 25 ORDER BY p_partkey) AS nth FROM part) WHERE nth <= 20 GROUP BY org),
+a6 AS (SELECT org, '회사 작성 지침 ' || count(*) || '개입니다.' || chr(10) || string_agg(nth || '. ' || c_name, chr(10) ORDER BY nth) AS t FROM (SELECT c_nationkey AS org, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth FROM customer) WHERE nth <= 20 GROUP BY org),
+a7 AS (SELECT organization_id AS org, count(*) AS n FROM users GROUP BY organization_id),
+a8 AS (SELECT org, count(*) AS n FROM s WHERE category = '사회' AND published_at >= TIMESTAMP '1998-05-01' AND published_at < TIMESTAMP '1998-06-01' GROUP BY org)
+SELECT user_id, ask.org AS organization_id, CASE WHEN ask.org IS NULL THEN '' ELSE CASE ask.k
+    WHEN 0 THEN '올해, 정치 기준 회사 기사는 ' || coalesce(a0.n, 0) || '건입니다.'
+    WHEN 1 THEN coalesce(a1.t, '전체 기간, 경제 기준 회사 기사가 없습니다.')
+    WHEN 2 THEN coalesce(a2.t, '전체 기간 기준 회사 기사가 없습니다.')
+    WHEN 3 THEN '전체 기간 기준 기자 7 기자의 회사 기사는 ' || coalesce(a3.n, 0) || '건입니다.'
+    WHEN 4 THEN '이번 달 기준 매체 3 회사 기사는 ' || coalesce(a4.n, 0) || '건입니다.'
+    WHEN 5 THEN coalesce(a5.t, '회사에 등록된 기사 템플릿이 없습니다.')
+    WHEN 6 THEN coalesce(a6.t, '회사에 등록된 작성 지침이 없습니다.')
+    WHEN 7 THEN '회사 구성원은 ' || coalesce(a7.n, 0) || '명입니다.'
+    WHEN 8 THEN '지난달, 사회 기준 회사 기사는 ' || coalesce(a8.n, 0) || '건입니다.' END END AS answer
+FROM ask LEFT JOIN a0 ON ask.org = a0.org LEFT JOIN a1 ON ask.org = a1.org LEFT JOIN a2 ON ask.org = a2.org LEFT JOIN a3 ON ask.org = a3.org LEFT JOIN a4 ON ask.org = a4.org
+LEFT JOIN a5 ON ask.org = a5.org LEFT JOIN a6 ON ask.org = a6.org LEFT JOIN a7 ON ask.org = a7.org LEFT JOIN a8 ON ask.org = a8.org
+"""
+
+
+@query(_COMPANY)
+def company_answers(a: Archive) -> DataFrame:
+    pick = lambda i: F.element_at(F.lit([x[i] for x in _ASKED]), (F.col("id") % 9 + 1).cast("int"))
+    questions = a.users.select(F.col("id").alias("user_id"), F.col("id").alias("article_id"), pick(0).alias("question"), pick(1).alias("raw"))
+    names = F.create_map(*[F.lit(x) for pair in (("1", "정치"), ("2", "경제"), ("3", "사회"), ("5", "문화")) for x in pair])
+    writer = lambda word, n: F.concat(F.lit(f"{word} "), (F.col("author_id") % n).cast("string"))
+    own = a.articles.withColumns({"category": names[F.left("category", F.lit(1))], "author": writer("기자", 50), "media": writer("매체", 40)})
+    templates = a.raw("part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).alias("organization_id"), F.col("p_name").alias("title"))
+    guidelines = a.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("organization_id"), F.col("c_name").alias("title"))
+    return company.answered(questions, own, a.links, a.users, templates, guidelines, PRESENT).select("user_id", "organization_id", "answer")

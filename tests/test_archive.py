@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, layout, models, parsers, periods, text
-from quillspark.operators import archive, constraints, mutations, vectors
+from quillspark.operators import archive, company, constraints, mutations, vectors
 from quillspark.plans import catalogue, training, validation
 from quillspark.sources import files
 from quillspark.streaming import events
@@ -245,3 +245,32 @@ def test_stream(spark, tmp_path):
     assert spark.table("counted").agg(F.sum("n")).head()[0] == spark.read.parquet(str(src)).count()
     static = spark.read.parquet(str(src)).withColumn("ts", F.col("ts").cast("timestamp"))
     assert events.sessions(static).agg(F.sum("n")).head()[0] == static.count()
+
+
+def test_answer_source_and_final_answer(spark):
+    src = lambda a, c: tuple(one(spark, company.answer_source, a, c))
+    assert src("서울", "기사는 서울에서 시작한다") == ("current_article", "서울")
+    assert src("부산", "기사는 서울에서 시작한다") == ("organization", None)
+    assert src(None, "기사") == ("organization", None)
+    assert one(spark, company.organization_answer, "답을 찾을 수 없습니다.", "기사") == company.NOT_FOUND
+    assert one(spark, company.organization_answer, "기사", "기사") == "기사"
+    assert one(spark, company.final_answer, "  ", "답") == company.NOT_FOUND
+    assert one(spark, company.final_answer, None, "답") == company.NOT_FOUND
+    assert one(spark, company.final_answer, "본문", "답") == "답"
+    scope = lambda s: one(spark, company.final_context, s, "a", "o", "w", "c")
+    assert [scope(s) for s in ("current_article", "organization", "web", "company_data", "other", None)] == ["a", "o", "w", "c", None, None]
+
+
+def test_evaluation_text(spark):
+    items = "array(named_struct('title','제목','verdict','충족','reason','좋다'), named_struct('title','리드','verdict','판정 실패','reason',''))"
+    text_ = spark.sql(f"SELECT {items} AS i").select(company.evaluation_text(F.col("i"))).head()[0]
+    assert text_ == "충족 1개, 미흡 0개, 해당 없음 0개, 판정 실패 1개\n\n[충족] 제목\n- 이유: 좋다\n\n[판정 실패] 리드"
+
+
+def test_company_answers_without_organization_or_model(spark):
+    q = spark.createDataFrame([(1, "오늘 기사 몇 건", None), (2, None, None), (None, "목록", "x")], "article_id long, question string, raw string")
+    articles = spark.createDataFrame([(1, "t", None, None, None, None)], "id long, title string, published_at timestamp_ntz, category string, author string, media string")
+    links, users = spark.createDataFrame([(5, 1)], "user_id long, article_id long"), spark.createDataFrame([(5, 3)], "id long, organization_id long")
+    named = spark.createDataFrame([], "id long, organization_id long, title string")
+    got = {r.article_id: r.answer for r in company.answered(q, articles, links, users, named, named, datetime(1998, 6, 17)).collect()}
+    assert got == {1: "오늘, 전체 분야 기준 회사 기사는 0건입니다.", 2: "", None: ""}
