@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions import chunking, parsers, periods, text
+from quillspark.functions import chunking, layout, parsers, periods, text
 from quillspark.operators import archive, company, constraints, mutations, vectors
 
 from . import training, validation
@@ -441,3 +441,103 @@ def company_answers(a: Archive) -> DataFrame:
     templates = a.raw("part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).alias("organization_id"), F.col("p_name").alias("title"))
     guidelines = a.raw("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("organization_id"), F.col("c_name").alias("title"))
     return company.answered(questions, own, a.links, a.users, templates, guidelines, PRESENT).select("user_id", "organization_id", "answer")
+
+
+# ---------------------------------------------------------------- output parsers over every message
+
+
+@query("SELECT conv_id, turn, text[:200] AS title, 'b' || turn AS subtitle FROM (SELECT conv_id, turn, 't' || conv_id AS text FROM conversations WHERE role <> 'system')")
+def parse_titles(a: Archive) -> DataFrame:
+    raw = F.concat(F.lit("머리말\n1. 제목: t"), F.col("conv_id").cast("string"), F.lit(" / 부제목: b"), F.col("turn").cast("string"), F.lit("\n제목만: x"))
+    pair = F.explode(parsers.titles(raw)).alias("p")
+    return _said(a).select("conv_id", "turn", pair).select("conv_id", "turn", "p.title", "p.subtitle")
+
+
+@query("SELECT conv_id, turn, unnest(['첫째 ' || conv_id, '둘째 ' || turn]) AS item FROM conversations WHERE role <> 'system'")
+def parse_numbered(a: Archive) -> DataFrame:
+    raw = F.concat(F.lit("목록\n1. 첫째 "), F.col("conv_id").cast("string"), F.lit("\n  2) 둘째 "), F.col("turn").cast("string"), F.lit("\n- 셋째"))
+    return _said(a).select("conv_id", "turn", F.explode(parsers.numbered(raw)).alias("item"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '중복 의심' WHEN 1 THEN '중복 아님' END AS verdict, CASE WHEN turn % 3 < 2 THEN 'r' || conv_id END AS reason FROM conversations WHERE role <> 'system'")
+def parse_duplicate_verdict(a: Archive) -> DataFrame:
+    head = F.element_at(F.lit(["판정: 중복  의심", "판정 : 중복아님", "모르겠다"]), (F.col("turn") % 3 + 1).cast("int"))
+    v = parsers.duplicate_verdict(F.concat(head, F.lit("\n이유: r"), F.col("conv_id").cast("string")))
+    said = F.when(v["verdict"] == "중복아님", "중복 아님").otherwise(v["verdict"])
+    return _said(a).select("conv_id", "turn", said.alias("verdict"), v["reason"].alias("reason"))
+
+
+@query("SELECT conv_id, turn, ['정치', '경제', '사회', '문화', 'IT', '과학', '세계', '엔터테인먼트', '스포츠'][1 + turn % 9] AS category FROM conversations WHERE role <> 'system'")
+def parse_category(a: Archive) -> DataFrame:
+    name = F.element_at(F.lit(list(periods.CATEGORIES)), (F.col("turn") % 9 + 1).cast("int"))
+    raw = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("분야: "), name, F.lit("."))).otherwise(F.concat(F.lit("이 기사는 "), name, F.lit("입니다")))
+    return _said(a).select("conv_id", "turn", parsers.category(raw).alias("category"))
+
+
+@query("SELECT conv_id, turn, '홍길동' || conv_id || ', 김철수' AS author FROM conversations WHERE role <> 'system'")
+def parse_author(a: Archive) -> DataFrame:
+    raw = F.concat(F.lit("홍길동"), F.col("conv_id").cast("string"), F.lit(" 기자 a@b.kr · 김철수 특파원, 김철수 기자"))
+    return _said(a).select("conv_id", "turn", parsers.author(raw).alias("author"))
+
+
+@query("SELECT event_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS at FROM events")
+def parse_published_at(a: Archive) -> DataFrame:
+    """Every event's time written as a Korean date and read back."""
+    half = F.when(F.hour("ts") >= 12, "오후").otherwise("오전")
+    raw = F.concat(F.lit("입력 "), F.date_format("ts", "yyyy"), F.lit("년 "), F.date_format("ts", "M"), F.lit("월 "), F.date_format("ts", "d"), F.lit("일 "), half, F.lit(" "), F.date_format("ts", "h"), F.lit(":"), F.date_format("ts", "mm"))
+    return a.raw("events").select("event_id", parsers.published_at(raw).alias("at"))
+
+
+@query("SELECT conv_id, turn, unnest(['규칙' || conv_id, '혼잣말']) AS title, unnest(['설명 ' || turn, '']) AS description FROM conversations WHERE role <> 'system'")
+def guideline_items(a: Archive) -> DataFrame:
+    raw = F.concat(F.lit("1) 규칙"), F.col("conv_id").cast("string"), F.lit(": 설명 "), F.col("turn").cast("string"), F.lit("\n\n- 혼잣말"))
+    item = F.explode(parsers.guideline_items(F.lit("지침"), raw)).alias("i")
+    return _said(a).select("conv_id", "turn", item).select("conv_id", "turn", "i.title", "i.description")
+
+
+@query("SELECT conv_id, turn, trim(a || b, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM (SELECT conv_id, turn, '앞 ' AS a, conv_id || ' 뒤' AS b FROM conversations WHERE role <> 'system')")
+def without_thoughts(a: Archive) -> DataFrame:
+    raw = F.concat(F.lit("앞 <think>생각\n</think>"), F.col("conv_id").cast("string"), F.lit(" 뒤 "))
+    return _said(a).select("conv_id", "turn", parsers.without_thoughts(raw).alias("text"))
+
+
+# ---------------------------------------------------------------- files, titles, tables, contexts
+
+
+@query("SELECT doc_id, coalesce(nullif(source, 'src0'), 'file.' || doc_id) AS title FROM documents")
+def title_rule(a: Archive) -> DataFrame:
+    name = F.concat(F.lit("file."), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return a.raw("documents").select("doc_id", text.title(F.nullif("source", F.lit("src0")), name).alias("title"))
+
+
+@query("SELECT p_partkey, p_partkey % 3 = 0 AS is_table FROM part")
+def table_detect(a: Archive) -> DataFrame:
+    rule = F.element_at(F.lit(["|---|:--:|", "|---|  |", "---"]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    block = F.concat(F.lit("| "), F.col("p_name"), F.lit(" | b |\n"), rule, F.lit("\n| 1 | 2 |"))
+    return a.raw("part").select("p_partkey", chunking.is_table(block).alias("is_table"))
+
+
+@query("SELECT l_orderkey AS order_key, '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || CAST(l_linenumber AS VARCHAR) || ' |', chr(10) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS md FROM lineitem GROUP BY l_orderkey")
+def markdown_tables(a: Archive) -> DataFrame:
+    row = F.array(F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", row.alias("r")))), lambda x: x["r"])
+    held = a.raw("lineitem").groupBy(F.col("l_orderkey").alias("order_key")).agg(rows.alias("rows"))
+    return held.select("order_key", layout.markdown_table(F.concat(F.array(F.lit(["part", "qty"])), F.col("rows"))).alias("md"))
+
+
+@query("SELECT count(*) AS n, avg(k) AS mean, max(k) AS longest, 100.0 * sum(CASE WHEN k > 1400 THEN 1 ELSE 0 END) / count(*) AS share_over FROM (SELECT CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS BIGINT) AS k FROM documents)")
+def token_lengths(a: Archive) -> DataFrame:
+    return validation.length_report(a.raw("documents"), "text", 1400)
+
+
+@query("SELECT organization_id, count(DISTINCT article_id) AS n FROM hold h JOIN articles a ON h.article_id = a.id WHERE contains(a.title, '-1_') OR contains(a.title, '-1') GROUP BY organization_id")
+def count_by_title_part(a: Archive) -> DataFrame:
+    own = a.articles.where(text.contains_literal(F.col("title"), "-1_") | text.contains_literal(F.col("title"), "-1"))
+    return archive.count_articles(archive.scoped(own, a.links, a.users, "all", PRESENT))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS context FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations WHERE text IS NOT NULL) WHERE upto <= 3000 GROUP BY conv_id")
+def bounded_contexts(a: Archive) -> DataFrame:
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    held = a.raw("conversations").where("text IS NOT NULL").groupBy("conv_id").agg(parsers.bounded_context(pieces).alias("held"))
+    return held.where(F.size("held") > 0).select("conv_id", F.array_join("held", "\n\n").alias("context"))

@@ -92,3 +92,10 @@ def report(errors: DataFrame, examples: int = 5) -> DataFrame:
     got = errors.withColumn("_nth", nth).groupBy("rule").agg(F.count("*").alias("n"), F.transform(held, lambda x: x["message"]).alias("examples"))
     all_ = errors.sparkSession.createDataFrame(list(enumerate(RULES)), "place int, rule string")
     return all_.join(got, "rule", "left").select("place", "rule", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "examples")
+
+
+def length_report(df: DataFrame, text: str, limit: int) -> DataFrame:
+    """Rows, mean and longest length in words (the tokenizer's stand-in) and the share in percent over ``limit``; null is empty."""
+    n = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).cast("long")
+    words = df.select(n.alias("k"))
+    return words.agg(F.count("*").alias("n"), F.avg("k").alias("mean"), F.max("k").alias("longest"), (F.lit(100.0) * F.count_if(F.col("k") > limit) / F.count("*")).alias("share_over"))
