@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,9 +27,14 @@ def articles_of_organization(articles: DataFrame, links: DataFrame, users: DataF
     return own.join(held, "id", "left_semi")
 
 
+def article_date(articles: DataFrame) -> Column:
+    """The date that periods go by: published, else created where the table has that column."""
+    return F.coalesce("published_at", "created_at") if "created_at" in articles.columns else F.col("published_at")
+
+
 def scoped(articles: DataFrame, links: DataFrame, users: DataFrame, period: str, now: datetime, category: str | None = None) -> DataFrame:
     """Articles of every organisation (one row per organisation and article) within a period and category."""
-    own = articles.where(within(F.col("published_at"), period, now))
+    own = articles.where(within(article_date(articles), period, now))
     own = own if category is None else own.where(F.col("category") == category)
     return own.join(holders(links, users), own["id"] == F.col("article_id")).drop("article_id")
 
@@ -45,7 +50,7 @@ def count_by_category(scope: DataFrame) -> DataFrame:
 
 def recent(scope: DataFrame, n: int = 5) -> DataFrame:
     order = Window.partitionBy("organization_id").orderBy(F.desc("published_at"), F.desc("id"))
-    return scope.select("organization_id", "id", "title", "published_at").withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n)
+    return scope.select("organization_id", "id", "title", article_date(scope).alias("published_at")).withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n)
 
 
 def only_organization(links: DataFrame, users: DataFrame) -> DataFrame:

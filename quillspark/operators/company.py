@@ -16,7 +16,7 @@ from quillspark.functions import parsers
 from quillspark.functions.periods import PERIOD_LABELS, UNCATEGORIZED, bounds, first_match
 from quillspark.functions.text import strip
 
-from .archive import holders, only_organization
+from .archive import article_date, holders, only_organization
 
 KEYS = ["organization_id", "name", "period", "category", "author", "media"]
 RECENT, TITLES = 5, 20  # the features' own limits
@@ -39,11 +39,6 @@ def routed(questions: DataFrame) -> DataFrame:
     )
 
 
-def article_date(articles: DataFrame) -> Column:
-    """The date that periods go by: published, else created where the table has that column."""
-    return F.coalesce("published_at", "created_at") if "created_at" in articles.columns else F.col("published_at")
-
-
 def _in_period(at: Column, period: Column, now: datetime) -> Column:
     spans = {p: bounds(p, now) for p in PERIOD_LABELS}
     edge = lambda i: first_match([(period == p, s[i].isoformat(sep=" ")) for p, s in spans.items() if s], None).cast("timestamp_ntz")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import chunking, layout, parsers, periods, text
-from quillspark.operators import archive, company, constraints, mutations, vectors
+from quillspark.operators import archive, company, constraints, lookups, mutations, vectors
 
 from . import training, validation
 from .views import NOW, SQL, Archive
@@ -541,3 +541,40 @@ def bounded_contexts(a: Archive) -> DataFrame:
     pieces = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     held = a.raw("conversations").where("text IS NOT NULL").groupBy("conv_id").agg(parsers.bounded_context(pieces).alias("held"))
     return held.where(F.size("held") > 0).select("conv_id", F.array_join("held", "\n\n").alias("context"))
+
+
+# ---------------------------------------------------------------- lookups, rules of changes, pages, reports
+
+
+@query("SELECT id, role, content FROM messages WHERE conversation_id = 3")
+def messages_of_conversation(a: Archive) -> DataFrame:
+    return lookups.by_key(a.messages, conversation_id=3).select("id", "role", "content")
+
+
+@query("SELECT id, name FROM organizations WHERE id IN (SELECT organization_id FROM users WHERE id = 7)")
+def organization_of_user(a: Archive) -> DataFrame:
+    return lookups.organization_of(a.users, a.organizations, 7).select("id", "name")
+
+
+@query("SELECT id AS user_id, CASE WHEN id % 7 = 1 THEN 400 WHEN organization_id <> 9 THEN 404 WHEN id = 20 AND id % 7 <> 0 THEN 400 ELSE 200 END AS status FROM (SELECT id, organization_id FROM users)")
+def member_update_rules(a: Archive) -> DataFrame:
+    """What an administrator (user 20 of organisation 9) may change: every user to a role by id."""
+    role = F.when(F.col("id") % 7 == 0, F.lit("admin")).when(F.col("id") % 7 == 1, "owner").otherwise("member")
+    rule = lookups.member_update(F.col("organization_id") == 9, F.col("id"), F.lit(20), F.lit("admin"), role)
+    return a.users.select(F.col("id").alias("user_id"), rule["status"].alias("status"))
+
+
+@query("SELECT doc_id, lang || ' ' || source AS body, 1 AS excluded FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def joined_pages(a: Archive) -> DataFrame:
+    """Two pages a document: a full paragraph goes on overleaf; then a carried line after a closed sentence is excluded."""
+    block = lambda t, full, carry: F.struct(t.alias("text"), F.lit(full).alias("full"), F.lit(carry).alias("carry"))
+    pages = F.array(F.array(block(F.lit("끝."), False, True), block(F.col("lang"), True, False)), F.array(block(F.col("source"), False, False)))
+    joined = layout.joined_pages(pages)
+    docs = a.raw("documents").where("lang IS NOT NULL AND source IS NOT NULL")
+    return docs.select("doc_id", F.array_join(F.transform(joined["body"], lambda b: b["text"]), "\n").alias("body"), F.size(joined["excluded"]).alias("excluded"))
+
+
+@query("SELECT split, question_type, id FROM (SELECT split, question_type, doc_id AS id, row_number() OVER (PARTITION BY split, question_type ORDER BY sha256('42-review-' || split || '-' || question_type || '-' || doc_id), doc_id) AS nth FROM (SELECT coalesce(lang, 'none') AS split, coalesce(source, 'none') AS question_type, doc_id FROM documents)) WHERE nth <= 3")
+def review_sample(a: Archive) -> DataFrame:
+    rows = a.raw("documents").select(F.coalesce("lang", F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("question_type"), F.col("doc_id").alias("id"))
+    return validation.review_sample(rows, 3, "42")

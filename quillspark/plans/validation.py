@@ -99,3 +99,17 @@ def length_report(df: DataFrame, text: str, limit: int) -> DataFrame:
     n = F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))).cast("long")
     words = df.select(n.alias("k"))
     return words.agg(F.count("*").alias("n"), F.avg("k").alias("mean"), F.max("k").alias("longest"), (F.lit(100.0) * F.count_if(F.col("k") > limit) / F.count("*")).alias("share_over"))
+
+
+def counts(df: DataFrame, expected: dict[tuple[str, str], int]) -> DataFrame:
+    """An error for every (split, type) whose number of rows is not the expected one, absent and unexpected types included."""
+    want = df.sparkSession.createDataFrame([(s, t, n) for (s, t), n in expected.items()], "split string, question_type string, want long")
+    got = df.groupBy("split", "question_type").agg(F.count("*").alias("n"))
+    both = want.join(got, ["split", "question_type"], "full_outer").na.fill(0, ["want", "n"]).where("want <> n")
+    return both.select(*_error("counts", F.lit(None), F.concat(F.col("question_type"), F.lit(": "), F.col("n").cast("string"), F.lit(" of "), F.col("want").cast("string")), F.col("split")))
+
+
+def review_sample(df: DataFrame, n: int, seed: str, id_col: str = "id") -> DataFrame:
+    """``n`` rows of each split and type for reading, by a seeded digest: the report's feature, not a cap."""
+    key = F.sha2(F.concat_ws("-", F.lit(seed), F.lit("review"), "split", "question_type", F.col(id_col).cast("string")), 256)
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy("split", "question_type").orderBy(key, id_col))).where(F.col("_nth") <= n).drop("_nth")

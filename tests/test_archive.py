@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, layout, models, parsers, periods, text
-from quillspark.operators import archive, company, constraints, mutations, vectors
+from quillspark.operators import archive, company, constraints, lookups, mutations, vectors
 from quillspark.plans import catalogue, training, validation
 from quillspark.sources import files
 from quillspark.streaming import events
@@ -274,3 +274,54 @@ def test_company_answers_without_organization_or_model(spark):
     named = spark.createDataFrame([], "id long, organization_id long, title string")
     got = {r.article_id: r.answer for r in company.answered(q, articles, links, users, named, named, datetime(1998, 6, 17)).collect()}
     assert got == {1: "오늘, 전체 분야 기준 회사 기사는 0건입니다.", 2: "", None: ""}
+
+
+def test_joined_pages(spark):
+    def joined(*pages):
+        df = spark.createDataFrame([(list(pages),)], "pages array<array<struct<text:string,full:boolean,carry:boolean>>>")
+        x = df.select(layout.joined_pages(F.col("pages")).alias("x")).head().x
+        return [tuple(b) for b in x.body], list(x.excluded)
+
+    assert joined([("열린", True, False)], [("이어", True, False), ("둘", False, False)], [("셋.", False, False)]) == ([("열린 이어", True), ("둘", False), ("셋.", False)], [])
+    assert joined([("가 =", True, False)], [("나", True, False)], [("다.", False, False)], [("라", False, False)]) == ([("가 =나 다.", False), ("라", False)], [])
+    assert joined([("열린", True, False)], [("했다.", False, True), ("둘", False, False)]) == ([("열린 했다.", False), ("둘", False)], [])
+    assert joined([("끝.", True, False)], [("쪽", False, True), ("둘", False, False)]) == ([("끝.", True), ("둘", False)], ["쪽"])
+    assert joined([("쪽", False, True)], None, []) == ([], ["쪽"])
+    assert joined() == ([], [])
+
+
+def test_reading_order_ties_and_groups(spark):
+    rows = [(1, 1, 1, 0.0, 10.0, 0.0, 10.0), (1, 2, None, 0.0, 10.0, 0.0, 20.0), (1, 3, 2, 0.0, 10.0, 30.0, 40.0)]
+    boxes = spark.createDataFrame(rows, "page int, box int, ord int, x0 double, x1 double, y0 double, y1 double")
+    assert [r.box for r in layout.reading_order(boxes, ["page"]).orderBy("nth").collect()] == [1, 2, 3]
+
+
+def test_change_rules(spark):
+    run = lambda c: tuple(spark.range(1).select(c.alias("x")).head().x)
+    yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("string")
+    assert run(lookups.article_update(no, F.lit("t"), none))[0] == 404
+    assert run(lookups.article_update(yes, none, none)) == (400, "nothing to change")
+    assert run(lookups.article_update(yes, F.lit(" \t"), none)) == (400, "blank title")
+    assert run(lookups.article_update(yes, F.lit("t"), F.lit("secret"))) == (400, "unknown visibility")
+    assert run(lookups.article_update(yes, F.lit("t"), F.lit("public"))) == (200, "")
+    assert run(lookups.member_update(yes, F.lit(1), F.lit(1), F.lit("admin"), F.lit("member"))) == (400, "own role")
+    assert run(lookups.member_update(yes, F.lit(1), F.lit(1), F.lit("admin"), none)) == (200, "")
+    assert run(lookups.member_update(no, F.lit(2), F.lit(1), F.lit("admin"), F.lit("owner"))) == (400, "unknown role")
+    assert run(lookups.member_delete(yes, F.lit(1), F.lit(1)))[0] == 400
+    assert run(lookups.member_delete(no, F.lit(2), F.lit(1)))[0] == 404
+
+
+def test_lookups_and_counts(spark):
+    t = spark.createDataFrame([(2, "a"), (1, "a"), (3, None)], "id int, k string")
+    assert [r.id for r in lookups.one_by_key(t, k="a").collect()] == [1] and lookups.by_key(t, k=None).count() == 0
+    df = spark.createDataFrame([("train", "x")] * 3 + [("train", "z")], "split string, question_type string")
+    got = {r.message for r in validation.counts(df, {("train", "x"): 3, ("train", "y"): 2}).collect()}
+    assert got == {"y: 0 of 2", "z: 1 of 0"}
+
+
+def test_created_at_stands_in(spark):
+    articles = spark.sql("SELECT 1L AS id, 't' AS title, CAST(NULL AS timestamp_ntz) AS published_at, TIMESTAMP_NTZ '1998-06-17 00:30:00' AS created_at, 'c' AS category")
+    links, users = spark.createDataFrame([(5, 1)], "user_id long, article_id long"), spark.createDataFrame([(5, 3)], "id long, organization_id long")
+    scope = archive.scoped(articles, links, users, "today", datetime(1998, 6, 17, 1))
+    assert [r.n for r in archive.count_articles(scope).collect()] == [1]
+    assert archive.recent(scope).head().published_at == datetime(1998, 6, 17, 0, 30)
