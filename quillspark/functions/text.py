@@ -108,3 +108,22 @@ def mark(context: Column, start: Column, length: Column, around: int = 150, head
     end = start + length
     cut = F.concat(F.when(lo > 0, "...").otherwise(""), F.substr(context, lo + 1, start - lo), F.lit("[["), F.substr(context, start + 1, length), F.lit("]]"), F.substr(context, end + 1, F.lit(around)), F.when(end + around < F.length(context), "...").otherwise(""))
     return F.when(start.isNull(), F.left(context, F.lit(head))).otherwise(cut)
+
+
+def file_size(size: Column) -> Column:
+    """Bytes as KB with one decimal."""
+    return F.concat(F.format_string("%.1f", size / F.lit(1024.0)), F.lit(" KB"))
+
+
+def shown_date(at: Column) -> Column:
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit("정보 없음"))
+
+
+def initial(name: Column) -> Column:
+    return F.upper(F.left(strip(name), F.lit(1)))
+
+
+def org_code(length: int = 10) -> Column:
+    """A random code of A-Z and 0-9, another for every row and run."""
+    letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    return F.concat(*[F.substr(letters, F.floor(F.rand() * 36).cast("int") + 1, F.lit(1)) for _ in range(length)])

@@ -578,3 +578,8 @@ def joined_pages(a: Archive) -> DataFrame:
 def review_sample(a: Archive) -> DataFrame:
     rows = a.raw("documents").select(F.coalesce("lang", F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("question_type"), F.col("doc_id").alias("id"))
     return validation.review_sample(rows, 3, "42")
+
+
+@query(f", {_RECORDS}, tr AS (SELECT id FROM rec ORDER BY sha256('42-train-' || id), id LIMIT 60), go AS (SELECT id FROM rec WHERE id NOT IN (SELECT id FROM tr) ORDER BY sha256('42-golden-' || id), id LIMIT 30) SELECT id, 'train' AS split FROM tr UNION ALL SELECT id, 'golden' AS split FROM go")
+def summary_sets(a: Archive) -> DataFrame:
+    return training.summary_sets(_records(a), 60, 30, "42").select("id", "split")

@@ -118,6 +118,14 @@ def less_records(df: DataFrame, held: DataFrame) -> DataFrame:
     return df.withColumn("_w", whole(df)).join(held.select(whole(held).alias("_w")), "_w", "left_anti").drop("_w")
 
 
+def summary_sets(df: DataFrame, n: int, golden: int, seed: str, id_col: str = "id") -> DataFrame:
+    """The training sample and a golden sample of what is left, marked by ``split``. Whole records decide what is left, so a
+    repeat of a training record never turns golden."""
+    train = sample(df, n, f"{seed}-train", id_col)
+    rest = sample(less_records(df, train), golden, f"{seed}-golden", id_col)
+    return train.withColumn("split", F.lit("train")).unionByName(rest.withColumn("split", F.lit("golden")))
+
+
 def examples(df: DataFrame, system: str) -> DataFrame:
     turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
     ask = F.concat(F.lit("본문: "), F.col("context"), F.lit("\n질문: "), F.col("question"))

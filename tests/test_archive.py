@@ -325,3 +325,21 @@ def test_created_at_stands_in(spark):
     scope = archive.scoped(articles, links, users, "today", datetime(1998, 6, 17, 1))
     assert [r.n for r in archive.count_articles(scope).collect()] == [1]
     assert archive.recent(scope).head().published_at == datetime(1998, 6, 17, 0, 30)
+
+
+def test_display(spark):
+    assert one(spark, text.file_size, 1536) == "1.5 KB"
+    assert one(spark, text.initial, " kim") == "K"
+    df = spark.sql("SELECT TIMESTAMP_NTZ '2026-01-02 03:04:05' AS t UNION ALL SELECT NULL").select(text.shown_date(F.col("t")).alias("d"))
+    assert sorted(r.d for r in df.collect()) == ["2026-01-02", "정보 없음"]
+    codes = [r.c for r in spark.range(20).select(text.org_code().alias("c")).collect()]
+    assert all(len(c) == 10 and c.isalnum() and c == c.upper() for c in codes) and len(set(codes)) == 20
+
+
+def test_summary_sets(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id int, t string")
+    rows = training.summary_sets(df, 12, 5, "s").collect()
+    ids = lambda k: {r.id for r in rows if r.split == k}
+    assert (len(ids("train")), len(ids("golden"))) == (12, 5) and not ids("train") & ids("golden")
+    with pytest.raises(ValueError):
+        training.summary_sets(df, 18, 5, "s").collect()
