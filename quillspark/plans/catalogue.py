@@ -583,3 +583,23 @@ def review_sample(a: Archive) -> DataFrame:
 @query(f", {_RECORDS}, tr AS (SELECT id FROM rec ORDER BY sha256('42-train-' || id), id LIMIT 60), go AS (SELECT id FROM rec WHERE id NOT IN (SELECT id FROM tr) ORDER BY sha256('42-golden-' || id), id LIMIT 30) SELECT id, 'train' AS split FROM tr UNION ALL SELECT id, 'golden' AS split FROM go")
 def summary_sets(a: Archive) -> DataFrame:
     return training.summary_sets(_records(a), 60, 30, "42").select("id", "split")
+
+
+_NEAR = "near AS (SELECT q.id AS query_id, c.id, row_number() OVER (PARTITION BY q.id ORDER BY " + _DISTANCE.format(a="c.embedding", b="q.embedding") + ", c.id) AS nth FROM article_chunks q JOIN article_chunks c ON q.article_id = c.article_id WHERE q.id % 100 = 0)"
+
+
+def _near(a: Archive, k: int) -> DataFrame:
+    queries = a.chunks.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"), "article_id")
+    return vectors.neighbours(queries, a.chunks, ["article_id"], k)
+
+
+@query(f", {_NEAR} SELECT query_id, string_agg('chunk ' || id, chr(10) || chr(10) ORDER BY nth) AS context FROM near WHERE nth <= 5 GROUP BY query_id")
+def retrieved_contexts(a: Archive) -> DataFrame:
+    """The five nearest chunks of each query, joined in order of rank."""
+    return vectors.context(_near(a, 5).withColumn("content", F.concat(F.lit("chunk "), F.col("id").cast("string")))).select("query_id", "context")
+
+
+@query(f", {_NEAR} SELECT id, query_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_id, nth) AS seen FROM near WHERE nth <= 20) WHERE seen = 1")
+def merged_neighbours(a: Archive) -> DataFrame:
+    """Neighbours of all query chunks once each, as first seen."""
+    return vectors.merged(_near(a, 20)).select("id", "query_id", "nth")
