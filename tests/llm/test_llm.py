@@ -105,6 +105,12 @@ def test_classes_odd(spark):
     rows = [(r[0], r[1]) for r in ODD]
     assert near_rows(spark, frame(spark, ODD)) == brute_classes(rows)
     assert near_rows(spark, frame(spark, []).limit(0)) == []
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert near_rows(spark, frame(spark, ODD)) == brute_classes(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
 
 
 # ---------------------------------------------------------------- 4
