@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions import chunking, layout, parsers, periods, text
-from quillspark.operators import archive, company, constraints, lookups, mutations, vectors
+from quillspark.functions import chunking, layout, parsers, periods, prompts, text
+from quillspark.operators import archive, company, constraints, lookups, mutations, requests, vectors
 
 from . import training, validation
 from .views import NOW, SQL, Archive
@@ -603,3 +603,30 @@ def retrieved_contexts(a: Archive) -> DataFrame:
 def merged_neighbours(a: Archive) -> DataFrame:
     """Neighbours of all query chunks once each, as first seen."""
     return vectors.merged(_near(a, 20)).select("id", "query_id", "nth")
+
+
+# ---------------------------------------------------------------- requests, records, prompts
+
+
+@query(r"""SELECT doc_id, p AS problem FROM (SELECT doc_id, unnest([
+    CASE WHEN text IS NULL THEN 'title: missing' WHEN t = '' THEN 'title: empty' WHEN len(t) > 100 THEN 'title: longer than 100' END,
+    CASE WHEN text IS NULL THEN 'content: missing' WHEN text = '' THEN 'content: empty' END]) AS p
+    FROM (SELECT doc_id, text, left(text, CAST(doc_id % 130 AS INTEGER)) AS t FROM documents)) WHERE p IS NOT NULL""")
+def request_problems(a: Archive) -> DataFrame:
+    docs = a.raw("documents").select("doc_id", "text", F.left("text", (F.col("doc_id") % 130).cast("int")).alias("t"))
+    return docs.select("doc_id", F.explode(requests.problems("template", title=F.col("t"), content=F.col("text"))).alias("problem"))
+
+
+@query("""SELECT problem, count(*) AS n FROM (SELECT unnest([
+    CASE WHEN json_extract(props, '$.k') IS NULL THEN 'k missing' WHEN json_type(props, '$.k') NOT IN ('UBIGINT', 'BIGINT') THEN 'k of another kind' END,
+    CASE WHEN json_extract(props, '$.note') IS NULL THEN 'note missing' END]) AS problem FROM events) WHERE problem IS NOT NULL GROUP BY problem""")
+def record_problems(a: Archive) -> DataFrame:
+    wrong = validation.json_problems(F.col("props"), {"k": ("integer",), "note": ("string", "null")})
+    return a.raw("events").select(F.explode(wrong).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, concat('Question: ', coalesce(text, ''), chr(10), 'Turn: ', CAST(turn AS VARCHAR)) AS prompt, 2 AS n_messages FROM conversations WHERE role = 'user'""")
+def question_prompts(a: Archive) -> DataFrame:
+    asked = prompts.rendered("Question: {question}\nTurn: {turn}", question=F.col("text"), turn=F.col("turn").cast("string"))
+    held = prompts.chat("Answer from the text alone.", asked)
+    return a.raw("conversations").where("role = 'user'").select("conv_id", "turn", F.element_at(held, -1)["content"].alias("prompt"), F.size(held).alias("n_messages"))

@@ -113,3 +113,48 @@ def review_sample(df: DataFrame, n: int, seed: str, id_col: str = "id") -> DataF
     """``n`` rows of each split and type for reading, by a seeded digest: the report's feature, not a cap."""
     key = F.sha2(F.concat_ws("-", F.lit(seed), F.lit("review"), "split", "question_type", F.col(id_col).cast("string")), 256)
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy("split", "question_type").orderBy(key, id_col))).where(F.col("_nth") <= n).drop("_nth")
+
+
+#: The fields of a record, what JSON kinds each may have, and the keys of its metadata.
+FIELDS = {
+    "id": ("string",), "question_type": ("string",), "question": ("string",), "context": ("string",), "answer": ("string",),
+    "answer_start": ("integer", "null"), "evidence": ("string", "null"), "is_impossible": ("boolean",), "metadata": ("object",),
+}
+METADATA = ("doc_id", "doc_title", "source", "published", "category", "source_split")
+
+
+def json_kind(value: Column) -> Column:
+    """string, integer, number, boolean, null, object or array of a variant; null if there is none."""
+    of = F.schema_of_variant(value)
+    return F.when(of == "VOID", "null").when(of == "BIGINT", "integer").when(of.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "number").when(of.startswith("OBJECT"), "object").when(of.startswith("ARRAY"), "array").otherwise(F.lower(of))
+
+
+def json_problems(record: Column, fields: dict[str, tuple[str, ...]], parts: dict[str, tuple[str, ...]] | None = None) -> Column:
+    """What is wrong with a JSON text: not an object, or fields that are missing, of another kind, or blank; then keys
+    that are missing in a field that is an object (``parts``). Null counts as not an object."""
+    v = F.try_parse_json(record)
+    found = []
+    for name, kinds in fields.items():
+        value = F.try_variant_get(v, f"$.{name}", "variant")
+        text = F.when(json_kind(value) == "string", F.try_variant_get(v, f"$.{name}", "string"))
+        found.append(F.when(value.isNull(), f"{name} missing").when(~json_kind(value).isin(*kinds), f"{name} of another kind").when(text.rlike(r"^(?U)\s*$"), f"{name} blank"))
+    for name, keys in (parts or {}).items():
+        inner = json_kind(F.try_variant_get(v, f"$.{name}", "variant")) == "object"
+        found += [F.when(inner & F.try_variant_get(v, f"$.{name}.{k}", "variant").isNull(), f"{name}.{k} missing") for k in keys]
+    return F.when(F.coalesce(json_kind(v) == "object", F.lit(False)), F.array_compact(F.array(*found))).otherwise(F.array(F.lit("not an object")))
+
+
+def field_rules(df: DataFrame, kinds: tuple[str, ...], record: str = "record") -> DataFrame:
+    """Errors of raw JSON records (split, pos, record), one a record; only records without any go on to the other rules."""
+    wrong = json_problems(F.col(record), FIELDS, {"metadata": METADATA})
+    kind = F.try_variant_get(F.try_parse_json(F.col(record)), "$.question_type", "string")
+    wrong = F.when(F.get(wrong, F.lit(0)).eqNullSafe(F.lit("not an object")) | F.coalesce(kind.isin(*kinds), F.lit(False)), wrong).otherwise(F.concat(wrong, F.array(F.concat(F.lit("unknown question_type: "), F.coalesce(kind, F.lit("null"))))))
+    name = F.coalesce(F.try_variant_get(F.try_parse_json(F.col(record)), "$.id", "string"), F.concat(F.lit("#"), F.col("pos").cast("string")))
+    return df.select("split", name.alias("id"), wrong.alias("w")).where(F.size("w") > 0).select(*_error("fields", F.col("id"), F.array_join("w", ", "), F.col("split")))
+
+
+def source_rules(df: DataFrame, expected: dict[str, str], source: str = "source_split") -> DataFrame:
+    """Records whose source is not the one of their split; a split without expectation is wrong throughout."""
+    want = F.coalesce(*[F.when(F.col("split") == s, F.lit(x)) for s, x in expected.items()]) if expected else F.lit(None).cast("string")
+    message = F.concat(F.lit("source "), F.coalesce(F.col(source), F.lit("null")), F.lit(" instead of "), F.coalesce(want, F.lit("none")))
+    return df.where(~F.coalesce(F.col(source) == want, F.lit(False))).select(*_error("source", F.col("id"), message, F.col("split")))

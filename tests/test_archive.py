@@ -7,10 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions import chunking, layout, models, parsers, periods, text
-from quillspark.operators import archive, company, constraints, lookups, mutations, vectors
+from quillspark.functions import chunking, layout, models, parsers, periods, prompts, registry, text
+from quillspark.operators import archive, company, constraints, lookups, mutations, requests, vectors
 from quillspark.plans import catalogue, training, validation
-from quillspark.sources import files
+from quillspark.sources import database, files
 from quillspark.streaming import events
 
 SF = os.environ.get("TEST_SF", "/root/testdata/sf0.001")
@@ -343,3 +343,65 @@ def test_summary_sets(spark):
     assert (len(ids("train")), len(ids("golden"))) == (12, 5) and not ids("train") & ids("golden")
     with pytest.raises(ValueError):
         training.summary_sets(df, 18, 5, "s").collect()
+
+
+def test_request_rules(spark):
+    got = lambda kind, *v: one(spark, lambda *c: requests.problems(kind, **dict(zip(requests.REQUESTS[kind], c, strict=True))), *v)
+    assert got("register", "a.b@example.com", "pw", " n ", "ORG", "") == []
+    assert got("register", "a@b", "x" * 129, "  ", "", "y" * 51) == ["email: no address", "password: longer than 128", "nickname: blank", "organization_code: empty", "admin_code: longer than 50"]
+    assert got("message", " \n") == ["content: blank"]
+    assert got("article_update", "", "") == ["title: empty"]
+    df = spark.range(1)
+    assert df.select(requests.problems("login").alias("x")).head()[0] == ["email: missing", "password: missing"]
+    assert df.select(requests.problems("member_update").alias("x")).head()[0] == []
+    with pytest.raises(ValueError):
+        requests.problems("login", nickname=F.lit("x"))
+
+
+def test_prompts(spark):
+    assert one(spark, lambda a, b: prompts.rendered("{x}: {y}{x}", x=a, y=b), "{y}", "b") == "{y}: b{y}"
+    with pytest.raises(ValueError):
+        prompts.rendered("{x}")
+    df = spark.sql("SELECT transform(sequence(1, 12), i -> named_struct('role', 'user', 'content', string(i))) AS h, 'q' AS q UNION ALL SELECT NULL, NULL")
+    held, empty = (r[0] for r in df.select(prompts.chat("s", F.coalesce("q", F.lit("")), [("a", "b")], F.col("h"))).collect())
+    assert [(m.role, m.content) for m in held[:4]] == [("system", "s"), ("user", "a"), ("assistant", "b"), ("user", "3")]
+    assert len(held) == 14 and held[-1].content == "q"
+    assert [m.content for m in empty] == ["s", "a", "b", ""]
+
+
+def test_record_rules(spark):
+    good = '{"id": "a", "question_type": "x", "question": "q", "context": "c", "answer": "a", "answer_start": 1, "evidence": null, "is_impossible": false, "metadata": {"doc_id": 1, "doc_title": 1, "source": 1, "published": 1, "category": 1, "source_split": 1}}'
+    bad = good.replace('"answer_start": 1', '"answer_start": true').replace('"question": "q"', '"question": " "').replace('"context": "c", ', "").replace('"category": 1, ', "").replace('"x"', '"y"')
+    df = spark.createDataFrame([("t", 0, good), ("t", 1, bad), ("t", 2, "[1]"), ("t", 3, "{"), ("t", 4, None)], "split string, pos int, record string")
+    got = {r.id: r.message for r in validation.field_rules(df, ("x",)).collect()}
+    assert got == {"a": "question blank, context missing, answer_start of another kind, metadata.category missing, unknown question_type: y", "#2": "not an object", "#3": "not an object", "#4": "not an object"}
+    rows = spark.createDataFrame([("train", "1", "TL"), ("train", "2", "VL"), ("gold", "3", None)], "split string, id string, source_split string")
+    assert {(r.id, r.message) for r in validation.source_rules(rows, {"train": "TL", "gold": "VL"}).collect()} == {("2", "source VL instead of TL"), ("3", "source null instead of VL")}
+
+
+def test_sql_functions(spark):
+    assert set(registry.register(spark)) >= {"cosine_distance", "content_hash"}
+    r = spark.sql("SELECT cosine_distance(array(float(1), float(0)), array(float(0), float(2))) AS d, compact(' a b') AS c, content_hash('') AS h").head()
+    assert abs(r.d - 1) < 1e-9 and r.c == "ab" and r.h.startswith("e3b0c442")
+
+
+def test_relational(spark):
+    url = "jdbc:derby:memory:quillspark;create=true"
+    rows = [(i, f"t{i}" if i % 3 else None) for i in range(-5, 40)]
+    database.write_relational(spark.createDataFrame(rows, "id long, title string"), url, "articles", "overwrite")
+    df = database.relational(spark, url, "articles", '"id"', rows_per_task=10)
+    assert df.rdd.getNumPartitions() == 5 and sorted(map(tuple, df.collect())) == rows
+    assert database.relational(spark, url, "articles").where("id > 30").count() == 9
+
+
+def test_layout_regions(spark):
+    line = "doc int, page int, box int, label string, x0 double, y0 double, x1 double, y1 double"
+    held = spark.createDataFrame([(1, 1, 0, "text", 0.0, 0.0, 100.0, 10.0), (1, 1, 0, "text", 0.0, 12.0, 98.0, 22.0), (1, 1, 1, "text", 0.0, 14.0, 99.0, 24.0)], line)
+    loose = spark.createDataFrame([(1, 1, 0, 1.0, 24.0, 50.0, 34.0), (1, 1, 1, 40.0, 24.0, 50.0, 34.0), (1, 1, 2, 0.0, 24.0, 50.0, 44.0)], "doc int, page int, line int, x0 double, y0 double, x1 double, y1 double")
+    assert [tuple(r) for r in layout.continued_lines(loose, held, ["doc", "page"]).collect()] == [(1, 1, 0, 0)]
+    assert layout.continued_lines(loose, held, ["doc", "page"], skip=("text",)).count() == 0
+    box = "doc int, page int, box int, label string, n_lines int, ord int, x0 double, y0 double, x1 double, y1 double"
+    boxes = spark.createDataFrame([(1, 1, 0, "text", 0, 3, 1.0, 1.0, 9.0, 4.0), (1, 1, 1, "text", 0, 2, 1.0, 5.0, 9.0, 9.0), (1, 1, 2, "table", 0, None, 20.0, 0.0, 30.0, 9.0), (1, 1, 3, "text", 1, 1, 1.0, 1.0, 2.0, 2.0), (1, 2, 0, "text", 0, 1, 0.0, 0.0, 5.0, 5.0)], box)
+    images = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, 0.0, 0.0, 40.0, 40.0), (1, 2, 0, 0.0, 0.0, 10.0, 10.0), (1, 3, 0, 0.0, 0.0, 1.0, 1.0)], "doc int, page int, image int, x0 double, y0 double, x1 double, y1 double")
+    got = sorted(tuple(r) for r in layout.boxes_in_images(boxes, images, ["doc", "page"]).collect())
+    assert got == [(1, 1, 0, [0, 1], 2, 1.0, 1.0, 9.0, 9.0), (1, 1, 1, [2], None, 20.0, 0.0, 30.0, 9.0)]
