@@ -98,7 +98,9 @@ def test_classes_of_a_large_group_and_chains(spark):
     line = " ".join(word() for _ in range(20))
     rows += [(2000 + i, line + " " + " ".join(word() for _ in range(rnd.randrange(1, 12)))) for i in range(150)]  # a common line
     rnd.shuffle(rows)
-    assert near_rows(spark, spark.createDataFrame(rows, "doc_id long, text string"), shingles_per_range=2000) == brute_classes(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_rows(spark, df, shingles_per_range=2000) == brute_classes(rows)
+    assert near_rows(spark, df, shingles_per_range=2000, nodes_per_slice=70) == brute_classes(rows)
 
 
 def test_classes_odd(spark):
