@@ -21,7 +21,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id. Documents without id all stay."""
-    first = saved(jaccard_join.near_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
+    first = saved(jaccard_join.near_classes(docs, count_links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     kept = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

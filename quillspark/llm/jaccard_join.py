@@ -15,6 +15,8 @@ merged, and only documents met in the short lists can reach T. Here:
 * *probe of long lists*: a candidate pair is settled by a binary search of one node's sorted list of shingles in the other's.
 
 Every pair of different classes that shares a short list is verified, so no link between classes is missed.
+* *links*: every link lies inside a class. A class is cut into chunks of a bounded size, and the sets of each two chunks
+  are compared all with all, so the numbers of links are exact and no class is a single task's.
 """
 
 from __future__ import annotations
@@ -294,13 +296,104 @@ def classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return label.drop("root").join(inside, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, shingles_per_range: int = 3_000_000, nodes_per_slice: int = 10_000_000, rounds: int = 3) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links), n_links.
+def linked(a: tuple, b: tuple, num: int, den: int) -> np.ndarray:
+    """Which sets of ``a`` (sizes, tokens in one array, counts of tokens) link with which of ``b``."""
+    (na, ta, ca), (nb, tb, cb) = a, b
+    order = np.argsort(nb, kind="stable")
+    ok = np.zeros((len(na), len(nb)), bool)
+    words, code = np.unique(tb, return_inverse=True)
+    ends = np.cumsum(cb)
+    code = np.concatenate([code[ends[j] - cb[j] : ends[j]] for j in order])
+    size, at = nb[order], np.r_[0, np.cumsum(cb[order])]
+    place = np.minimum(np.searchsorted(words, ta), len(words) - 1)
+    place[words[place] != ta] = len(words)
+    mark = np.zeros(len(words) + 1, np.uint8)
+    to = np.cumsum(ca)
+    for i, n in enumerate(na.tolist()):
+        lo, hi = np.searchsorted(size * den, n * num, "left"), np.searchsorted(size * num, n * den, "right")
+        if lo < hi:
+            own = place[to[i] - ca[i] : to[i]]
+            mark[own] = 1
+            mark[-1] = 0
+            got = np.add.reduceat(mark[code[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)
+            ok[i, order[lo:hi]] = (den + num) * got >= num * (n + size[lo:hi])
+            mark[own] = 0
+    return ok
+
+
+def _linked_in_classes(num: int, den: int):
+    """Of whole classes: each node's number of links, and of rows behind them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        root, node, n, rows = (table.column(c).to_numpy() for c in ("root", "node", "n", "rows"))
+        held = [np.frombuffer(x, np.int64) for x in table.column("tokens").to_pylist()]
+        order = np.argsort(root, kind="stable")
+        links, others = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
+        for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            side = n[own], np.concatenate([held[i] for i in own]), np.array([len(held[i]) for i in own])
+            ok = linked(side, side, num, den)
+            np.fill_diagonal(ok, False)
+            links[own], others[own] = ok.sum(1), ok @ rows[own]
+        return pa.table([pa.array(node), pa.array(links), pa.array(others)], ["node", "links", "others"])
+
+    return run
+
+
+def _chunk(table: pa.Table) -> pa.Table:
+    """One row of a chunk's sets."""
+    held = table.column("tokens").to_pylist()
+    of = lambda c: [table.column(c).to_numpy().tobytes()]
+    return pa.table([table.column("root")[:1], table.column("chunk")[:1], table.column("chunks")[:1], *(pa.array(x, pa.binary()) for x in (of("node"), of("n"), of("rows"), [np.array([len(x) // 8 for x in held], np.int64).tobytes()], [b"".join(held)]))], ["root", "chunk", "chunks", "nodes", "sizes", "rows", "counts", "tokens"])
+
+
+def _linked_between(num: int, den: int):
+    """Of one chunk, or two of one class: what ``_linked_in_classes`` gives."""
+
+    def run(table: pa.Table) -> pa.Table:
+        if table.num_rows == 1 and table.column("lo")[0].as_py() != table.column("hi")[0].as_py():  # the other chunk is empty
+            table = table.slice(0, 0)
+        if not table.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3, ["node", "links", "others"])
+        side = lambda i: [np.frombuffer(table.column(c)[i].as_py(), np.int64) for c in ("nodes", "rows", "sizes", "tokens", "counts")]
+        (node, rows, *a), (mate, mate_rows, *b) = side(0), side(table.num_rows - 1)
+        ok = linked(tuple(a), tuple(b), num, den)
+        if table.num_rows == 1:
+            np.fill_diagonal(ok, False)
+            out = node, ok.sum(1), ok @ rows
+        else:
+            out = np.r_[node, mate], np.r_[ok.sum(1), ok.sum(0)], np.r_[ok @ mate_rows, rows @ ok]
+        return pa.table([pa.array(x.astype(np.int64)) for x in out], ["node", "links", "others"])
+
+    return run
+
+
+def link_counts(live: DataFrame, label: DataFrame, sets: DataFrame, num: int, den: int, sets_per_chunk: int = 1000, tokens_per_chunk: int = 500_000) -> DataFrame:
+    """(node, links, others): of each node that links, the nodes it links with and their rows. Exact for every class."""
+    spark = live.sparkSession
+    held = live.select("node", (F.octet_length("tokens") / 8).cast("long").alias("held"))
+    chunks = F.greatest(F.ceil(F.col("m") / sets_per_chunk), F.ceil(F.col("held") / tokens_per_chunk)).cast("int")
+    sizes = saved(label.join(held, "node").groupBy("root").agg(F.count("*").alias("m"), F.sum("held").alias("held")).where("m > 1").withColumn("chunks", chunks), "class-sizes")
+    most, total = sizes.agg(F.max("chunks"), F.coalesce(F.sum(F.when(F.col("chunks") == 1, F.col("held"))), F.lit(0))).first()
+    meta = label.join(sizes.select("root", "chunks"), "root").join(sets.select("node", "rows"), "node")
+    own = live.select("node", "n", "tokens")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 3_000_000))
+    small = own.join(meta.where("chunks = 1"), "node").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    out = small.groupBy("task").applyInArrow(_linked_in_classes(num, den), "node long, links long, others long")
+    if (most or 0) > 1:
+        large = own.join(meta.where("chunks > 1"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+        packed = large.groupBy("root", "chunk").applyInArrow(_chunk, "root long, chunk int, chunks int, nodes binary, sizes binary, rows binary, counts binary, tokens binary")
+        met = packed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"lo": F.least("chunk", "mate"), "hi": F.greatest("chunk", "mate")})
+        out = out.unionByName(met.groupBy("root", "lo", "hi").applyInArrow(_linked_between(num, den), "node long, links long, others long"))
+    return out.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, shingles_per_range: int = 3_000_000, nodes_per_slice: int = 10_000_000, rounds: int = 3, count_links: bool = True, sets_per_chunk: int = 1000) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links), n_links, n_linked_rows.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z; a set holds the distinct ``k``-word shingles of the whole text, or
-    the whole sequence as one if it has fewer words. Two rows link when den * |intersection| >= num * |union|. n_links
-    counts the links that were verified between different sets on the way to the classes (at least one wherever such a
-    link exists), not all pairs of a class.
+    the whole sequence as one if it has fewer words. Two rows link when den * |intersection| >= num * |union|. n_links is
+    the number of different sets that link with the row's, n_linked_rows that of other rows (those of the same set too);
+    both are exact. ``count_links=False`` leaves the two out, for callers that read classes only.
     Defined cases: null, empty and blank texts have the empty set and link with nothing; null ids are ranked last and
     never name a class that has another id; repeated rows have equal sets and link; an empty table gives no rows; other
     columns of the input are not read.
@@ -369,10 +462,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         label = saved(label.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root")), f"classes-{seed}")
         if last:
             break
-    links = (edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))) if edges is not None else nodes.limit(0).select("node", F.lit(0).cast("long").alias("n_links"))
     named = label.join(sets, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    table = sets.join(label, "node", "left").join(named, "root", "left").join(links, "node", "left")
-    table = table.select("node", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = members.where("n > 0").join(table, "node").select("id", "n", "component_id", "n_links")
-    blank = members.where("n = 0").select("id", "n", F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionByName(blank).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    table = sets.join(label, "node", "left").join(named, "root", "left")
+    counts = []
+    if count_links:
+        counts = ["n_links", "n_linked_rows"]
+        table = table.join(link_counts(live, label, sets, num, den, sets_per_chunk), "node", "left")
+        table = table.withColumn("n_links", F.coalesce("links", F.lit(0))).withColumn("n_linked_rows", F.coalesce("others", F.lit(0)) + F.col("rows") - 1)
+    table = table.select("node", F.coalesce("component_id", "least").alias("component_id"), *counts)
+    out = members.where("n > 0").join(table, "node").select("id", "n", "component_id", *counts)
+    blank = members.where("n = 0").select("id", "n", F.col("id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in counts))
+    return out.unionByName(blank).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *counts)

@@ -1,0 +1,51 @@
+"""Whole results where an operator once gave a part of them."""
+
+import random
+
+from quillspark.llm import jaccard_join
+
+from test_llm import ODD, docs_of, frame, shingles
+
+
+# ---------------------------------------------------------------- 5
+
+
+def brute_links(rows, num=80, den=100):
+    sets = [frozenset(shingles(t)) for _, t in rows]
+    out = []
+    for (d, _), s in zip(rows, sets, strict=True):
+        mates = [x for x in sets if s and den * len(s & x) >= num * len(s | x)]
+        out.append((d, len(set(mates) - {s}), max(0, len(mates) - 1)))
+    return sorted(out, key=str)
+
+
+def link_rows(df, **kw):
+    return sorted(((r.doc_id, r.n_links, r.n_linked_rows) for r in jaccard_join.near_classes(df, **kw).collect()), key=str)
+
+
+def test_links_are_counted_inside_classes(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    rows, base = [], [word() for _ in range(120)]
+    for i in range(90):  # one group of near copies, many of them linked with many
+        w = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            w[rnd.randrange(len(w))] = word()
+        rows.append((i, " ".join(w)))
+    chain = [word() for _ in range(100)]
+    for i in range(40):
+        chain = [*chain[4:], *[word() for _ in range(4)]]
+        rows.append((1000 + i, " ".join(chain)))
+    rows += [(3000 + i, t) for i, (_, t) in enumerate(rows[:20])] + [(r[0], r[1]) for r in ODD]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows)
+    assert max(n for _, n, _ in want) > 40
+    assert link_rows(df) == want
+    assert link_rows(df, sets_per_chunk=17) == want
+    assert link_rows(df, sets_per_chunk=2) == want  # some chunks are empty
+
+
+def test_links_whole_table(spark):
+    docs = docs_of(spark, "/root/testdata/sf0.001")
+    assert link_rows(docs) == brute_links([(r.doc_id, r.text) for r in docs.collect()])
+    assert link_rows(frame(spark, []).limit(0)) == []
