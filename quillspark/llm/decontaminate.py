@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become templates: numbers, units after numbers and names (capitalised words inside a sentence, runs of them as
-one) turn into typed slots, all else into lower-case words without punctuation. Windows of template tokens of the
+one) turn into typed slots, all else into lower-case words without punctuation. A second template takes every capitalised
+word as a word, so that copies in upper case or title case, where case tells no names, are found too. Windows of template tokens of the
 benchmark are hash-joined with those of every document. Matches on one diagonal (document place minus item place) are
 then checked slot by slot: a copy has the item's values, a re-parameterised copy maps each value of the item to one value
 of its own and no two to the same; matches whose slots contradict each other are dropped.
@@ -38,6 +39,32 @@ POINT = np.zeros(256, bool)
 POINT[[ord("."), ord(",")]] = True
 
 
+
+
+def _fold() -> np.ndarray:
+    """Lower case of the characters of two bytes, where it has two bytes as well."""
+    out = np.arange(1 << 16, dtype=np.uint16)
+    for cp in range(0x80, 0x800):
+        b, low = chr(cp).encode(), chr(cp).lower().encode()
+        if len(low) == 2:
+            out[b[0] << 8 | b[1]] = low[0] << 8 | low[1]
+    return out
+
+
+FOLD = _fold()
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """The bytes with characters of two bytes in lower case (A-Z and a-z have one hash value anyway)."""
+    at = np.flatnonzero((data >= 0xC3) & (data <= 0xDF))
+    if not len(at):
+        return data
+    data = data.copy()
+    low = FOLD[data[at].astype(np.int32) << 8 | data[at + 1]]
+    data[at], data[at + 1] = low >> 8, low & 0xFF
+    return data
+
+
 @dataclass
 class Template:
     token: np.ndarray  # hash of each token: the word, or its slot's type
@@ -54,17 +81,18 @@ _s, _e, _ = tokens(_u, np.array([0, len(_u)]), ~ALNUM[_u])
 UNIT_HASH = np.sort(run_hashes(_u, _s, _e, ~ALNUM[_u]))
 
 
-def canonical(data: np.ndarray, off: np.ndarray) -> Template:
-    """The template tokens of a block's rows."""
+def canonical(data: np.ndarray, off: np.ndarray) -> tuple[Template, Template]:
+    """The template tokens of a block's rows: with names as slots, and with capitalised words as words."""
     gap = ~ALNUM[data]
     if len(data) > 2:  # 3.5 and 1,000 are one token
         inner = POINT[data[1:-1]] & DIGIT[data[:-2]] & DIGIT[data[2:]]
         gap[1:-1] &= ~inner
     s, e, n = tokens(data, off, gap)
     row = np.repeat(np.arange(len(off) - 1), n)
-    value = run_hashes(data, s, e, gap)
+    value = run_hashes(lower(data), s, e, gap)
     if not len(s):
-        return Template(value, np.zeros(0, np.int8), value, s, e, row)
+        none = Template(value, np.zeros(0, np.int8), value, s, e, row)
+        return none, none
     opens = np.r_[True, row[1:] != row[:-1]]
     stops = np.r_[0, np.cumsum(STOP[data] & gap)]
     opens[1:] |= stops[s[1:]] > stops[e[:-1]]
@@ -77,6 +105,8 @@ def canonical(data: np.ndarray, off: np.ndarray) -> Template:
     kind[number] = NUMBER
     after = np.r_[False, number[:-1] & ~opens[1:]]
     kind[after & np.isin(value, UNIT_HASH)] = UNIT
+    plain = np.where(kind == NAME, WORD, kind).astype(np.int8)
+    folded = Template(np.where(plain > 0, SLOT[plain], value), plain, value, s, e, row)
     again = np.r_[False, (kind[1:] == NAME) & (kind[:-1] == NAME) & (row[1:] == row[:-1])]
     keep = np.flatnonzero(~again)
     with np.errstate(over="ignore"):
@@ -84,7 +114,7 @@ def canonical(data: np.ndarray, off: np.ndarray) -> Template:
         joined = np.add.reduceat(value * order, keep)
     to = np.r_[keep[1:], len(s)] - 1
     kind = kind[keep]
-    return Template(np.where(kind > 0, SLOT[kind], joined), kind, joined, s[keep], e[to], row[keep])
+    return Template(np.where(kind > 0, SLOT[kind], joined), kind, joined, s[keep], e[to], row[keep]), folded
 
 
 def windows(t: Template, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -115,12 +145,13 @@ class Bank:
     kind: list
 
 
-def bank(items: list[tuple[object, str | None]], k: int) -> Bank:
+def bank(items: list[tuple[object, str | None]], k: int, which: int = 0) -> Bank:
+    """Of the templates with names as slots (``which`` 0), or of those with words only (1)."""
     texts = pa.array([t or "" for _, t in items], pa.string())
     out = ([], [], [])
     total, values, kinds = [], [], []
     for _, _, data, off in string_blocks(texts):
-        t = canonical(data, off)
+        t = canonical(data, off)[which]
         first = np.searchsorted(t.row, np.arange(len(off)))
         h, at = windows(t, k, k // 2 + 1)
         base = len(total)
@@ -151,47 +182,56 @@ OUT = "row_id {id}, item_id {item}, n_windows int, n_matched int, coverage doubl
 COLUMNS = ["row_id", "item_id", "n_windows", "n_matched", "coverage", "kind", "n_slots", "n_slots_fit", "start", "end"]
 
 
-def _match(banks: Bank, coverage: float, run_words: int, consistency: float, id_type: pa.DataType, item_type: pa.DataType):
+def _found(banks: Bank, t: Template, data: np.ndarray, off: np.ndarray, coverage: float, run_words: int, consistency: float) -> Iterator[tuple]:
+    """(row of the block, item, and the columns from n_windows on) of a block's matches."""
     k = banks.k
+    h, at = windows(t, k, k // 2 + 1)
+    lo = np.searchsorted(banks.hash, h, "left")
+    hit = np.flatnonzero(banks.hash[np.minimum(lo, len(banks.hash) - 1)] == h) if len(banks.hash) else np.zeros(0, np.int64)
+    if not len(hit):
+        return
+    first = np.searchsorted(t.row, np.arange(len(off)))
+    met: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
+    for i in hit.tolist():
+        a, row = int(at[i]), int(t.row[at[i]])
+        for j in range(int(lo[i]), int(np.searchsorted(banks.hash, h[i], "right"))):
+            met[row, int(banks.item[j])][a - int(first[row]) - int(banks.nth[j])].add(int(banks.nth[j]))
+    for (row, item), lines in sorted(met.items()):
+        matched, slots, equal, fit, n_slots, ends = set(), 0, 0, 0, 0, []
+        for line, nths in lines.items():
+            places = sorted({n + i for n in nths for i in range(k)})
+            doc = [int(first[row]) + line + p for p in places]
+            pairs = [(int(banks.value[item][p]), int(t.value[d])) for p, d in zip(places, doc, strict=True) if banks.kind[item][p] != WORD]
+            ok, same, slots = agreement(pairs)
+            if slots and ok < consistency * slots:
+                continue
+            matched |= nths
+            fit, equal, n_slots = fit + ok, equal + same, n_slots + slots
+            ends += [doc[0], doc[-1]]
+        share = len(matched) / max(1, int(banks.total[item]))
+        longest, held = 0, 0
+        for n in range(int(max(matched, default=-1)) + 1):
+            held = held + 1 if n in matched else 0
+            longest = max(longest, held)
+        if matched and (share >= coverage or longest + k - 1 >= run_words):
+            text = data[off[row] : off[row + 1]]
+            point = lambda b, text=text, o=off[row]: int(np.count_nonzero((text[: b - o] & 0xC0) != 0x80))
+            yield row, item, int(banks.total[item]), len(matched), share, "copy" if equal == n_slots else "reparameterised", n_slots, fit, point(t.start[min(ends)]), point(t.end[max(ends)])
+
+
+def _match(banks: tuple[Bank, Bank], coverage: float, run_words: int, consistency: float, id_type: pa.DataType, item_type: pa.DataType):
     kinds = [id_type, item_type, pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for base, _, data, off in string_blocks(batch.column(1)):
-                t = canonical(data, off)
-                h, at = windows(t, k, k // 2 + 1)
-                lo = np.searchsorted(banks.hash, h, "left")
-                hit = np.flatnonzero(banks.hash[np.minimum(lo, len(banks.hash) - 1)] == h) if len(banks.hash) else np.zeros(0, np.int64)
-                if not len(hit):
-                    continue
-                first = np.searchsorted(t.row, np.arange(len(off)))
-                met: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-                for i in hit.tolist():
-                    a, row = int(at[i]), int(t.row[at[i]])
-                    for j in range(int(lo[i]), int(np.searchsorted(banks.hash, h[i], "right"))):
-                        met[row, int(banks.item[j])][a - int(first[row]) - int(banks.nth[j])].add(int(banks.nth[j]))
-                for (row, item), lines in sorted(met.items()):
-                    matched, slots, equal, fit, n_slots, ends = set(), 0, 0, 0, 0, []
-                    for line, nths in lines.items():
-                        places = sorted({n + i for n in nths for i in range(k)})
-                        doc = [int(first[row]) + line + p for p in places]
-                        pairs = [(int(banks.value[item][p]), int(t.value[d])) for p, d in zip(places, doc, strict=True) if banks.kind[item][p] != WORD]
-                        ok, same, slots = agreement(pairs)
-                        if slots and ok < consistency * slots:
-                            continue
-                        matched |= nths
-                        fit, equal, n_slots = fit + ok, equal + same, n_slots + slots
-                        ends += [doc[0], doc[-1]]
-                    share = len(matched) / max(1, int(banks.total[item]))
-                    longest, held = 0, 0
-                    for n in range(int(max(matched, default=-1)) + 1):
-                        held = held + 1 if n in matched else 0
-                        longest = max(longest, held)
-                    if matched and (share >= coverage or longest + k - 1 >= run_words):
-                        text = data[off[row] : off[row + 1]]
-                        point = lambda b, text=text, o=off[row]: int(np.count_nonzero((text[: b - o] & 0xC0) != 0x80))
-                        found.append((batch.column(0)[base + row].as_py(), banks.ids[item], int(banks.total[item]), len(matched), share, "copy" if equal == n_slots else "reparameterised", n_slots, fit, point(t.start[min(ends)]), point(t.end[max(ends)])))
+                best: dict[tuple[int, int], tuple] = {}
+                for b, t in zip(banks, canonical(data, off), strict=True):
+                    for row, item, *rest in _found(b, t, data, off, coverage, run_words, consistency):
+                        if (row, item) not in best or best[row, item][2] < rest[2]:  # the higher coverage
+                            best[row, item] = tuple(rest)
+                found += [(batch.column(0)[base + row].as_py(), banks[0].ids[item], *rest) for (row, item), rest in sorted(best.items())]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], COLUMNS)
 
     return run
@@ -202,7 +242,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind (copy or reparameterised), n_slots, n_slots_fit, start and end of the match (code points).
 
     A document holds an item if it matches ``coverage`` of its windows, or ``run_words`` consecutive template tokens, on
-    diagonals where at least ``consistency`` of the slots fit a one-to-one map. Items of under ``k`` tokens, or without a
+    diagonals where at least ``consistency`` of the slots fit a one-to-one map. Of the template with names and the one
+    without, the one that covers more is reported. Items of under ``k`` tokens, or without a
     window of mostly words, cannot be looked for and never match.
     ``block``: benchmark items that are matched at a time; all blocks meet all documents.
     Defined cases: null and empty texts on either side match nothing; null ids and repeated rows are reported like
@@ -218,7 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     held: list[tuple] = []
 
     def meet() -> DataFrame:
-        part = texts.mapInArrow(_match(bank(held, k), coverage, run_words, consistency, to_arrow_type(id_kind), to_arrow_type(item_kind)), schema)
+        part = texts.mapInArrow(_match((bank(held, k), bank(held, k, 1)), coverage, run_words, consistency, to_arrow_type(id_kind), to_arrow_type(item_kind)), schema)
         return part if out is None else out.unionByName(part)
 
     for r in items.toLocalIterator():

@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import jaccard_join
+from quillspark.llm import decontaminate, jaccard_join, queries
 
 from test_llm import ODD, docs_of, frame, shingles
 
@@ -49,3 +49,24 @@ def test_links_whole_table(spark):
     docs = docs_of(spark, "/root/testdata/sf0.001")
     assert link_rows(docs) == brute_links([(r.doc_id, r.text) for r in docs.collect()])
     assert link_rows(frame(spark, []).limit(0)) == []
+
+
+# ---------------------------------------------------------------- 2
+
+
+def test_benchmark_in_upper_and_title_case(spark):
+    item = "A farmer sells 12 eggs to John Smith for 3 dollars and then 12 more eggs to Maria for 5 dollars what is the total"
+    accents = "où est l'élève qui répète à sa mère que l'été dernier était déjà très long pour les écoliers du village"
+    bench = spark.createDataFrame([(7, item), (8, accents)], "item_id long, text string")
+    rows = [*ODD, (34, item.upper()), (35, f"Before it. {item.title()} After"), (36, f"x. {accents.upper()}"), (37, "EVERY DAY OF THE WEEK A FARMER SELLS EGGS WITHOUT END TO ALL WHO COME TO TOWN")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(got) == {(34, 7), (35, 7), (36, 8)} and {r.kind for r in got.values()} == {"copy"}
+    assert got[34, 7].start == 0 and got[34, 7].end == len(item)
+
+
+def test_benchmark_in_any_case_whole_table(spark):
+    sf = "/root/testdata/sf0.1"
+    bench = [(b.item_id, b.text.upper()) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    want = {(d.doc_id, i) for d in docs_of(spark, sf).select("doc_id", "text").collect() for i, t in bench if t in (d.text or "")}
+    got = {(r.doc_id, r.item_id) for r in queries.op2_template_decontamination(spark, sf).collect()}
+    assert want >= {(1699, 130), (6420, 37), (8376, 101)} and want <= got
