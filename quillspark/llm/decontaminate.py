@@ -6,6 +6,7 @@ word as a word, so that copies in upper case or title case, where case tells no
 benchmark are hash-joined with those of every document. Matches on one diagonal (document place minus item place) are
 then checked slot by slot: a copy has the item's values, a re-parameterised copy maps each value of the item to one value
 of its own and no two to the same; matches whose slots contradict each other are dropped.
+Items without a window of mostly words in either template are looked for whole: their words, numbers and units in order.
 
 The join is against a stated query set, the benchmark: its windows are held as sorted hashes, ``block`` of them at a time
 (a fixed number of bytes whatever the benchmark's size), and each block meets all documents.
@@ -166,6 +167,34 @@ def bank(items: list[tuple[object, str | None]], k: int, which: int = 0) -> Bank
     return Bank(k, h[order], item[order], nth[order], [i for i, _ in items], np.array(total, np.int64), values, kinds)
 
 
+@dataclass
+class Whole:
+    """The items without windows, by the hash of their first tokens' values (``width`` of them at most)."""
+
+    width: int
+    heads: dict  # number of tokens in the head -> sorted hashes, and the item of each
+    values: dict  # item -> values of its tokens
+
+
+def _heads(value: np.ndarray, n: int) -> np.ndarray:
+    h = np.zeros(max(0, len(value) - n + 1), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            h = h * np.uint64(ODD[0]) + value[i : len(h) + i] * np.uint64(ODD[1])
+    return mix(h)
+
+
+def whole(banks: tuple[Bank, Bank]) -> Whole:
+    typed, plain = banks
+    left = [i for i in np.flatnonzero((typed.total == 0) & (plain.total == 0)).tolist() if len(plain.value[i])]
+    by: dict[int, list] = defaultdict(list)
+    for i in left:
+        n = min(plain.k, len(plain.value[i]))
+        by[n].append((int(_heads(plain.value[i][:n], n)[0]), i))
+    heads = {n: (np.array([h for h, _ in sorted(x)], np.uint64), [i for _, i in sorted(x)]) for n, x in by.items()}
+    return Whole(plain.k, heads, {i: plain.value[i] for i in left})
+
+
 def agreement(pairs: list[tuple[int, int]]) -> tuple[int, int, int]:
     """Of slot pairs (item's value, document's value): how many fit the most frequent one-to-one map, how many are equal, how many there are."""
     fit, used, of = 0, set(), defaultdict(Counter)
@@ -219,7 +248,27 @@ def _found(banks: Bank, t: Template, data: np.ndarray, off: np.ndarray, coverage
             yield row, item, int(banks.total[item]), len(matched), share, "copy" if equal == n_slots else "reparameterised", n_slots, fit, point(t.start[min(ends)]), point(t.end[max(ends)])
 
 
+def _found_whole(items: Whole, t: Template, data: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
+    """Like ``_found``, for items that are looked for whole; the first place of each in a row."""
+    met = set()
+    for n, (heads, of) in items.heads.items():
+        h = _heads(t.value, n)
+        lo = np.searchsorted(heads, h, "left")
+        for a in np.flatnonzero(heads[np.minimum(lo, len(heads) - 1)] == h).tolist():
+            row = int(t.row[a])
+            for item in of[int(lo[a]) : int(np.searchsorted(heads, h[a], "right"))]:
+                want = items.values[item]
+                to = a + len(want)
+                if (row, item) in met or to > len(t.row) or t.row[to - 1] != row or not np.array_equal(t.value[a:to], want):
+                    continue
+                met.add((row, item))
+                text, slots = data[off[row] : off[row + 1]], int(np.count_nonzero(t.kind[a:to] != WORD))
+                point = lambda b, text=text, o=off[row]: int(np.count_nonzero((text[: b - o] & 0xC0) != 0x80))
+                yield row, item, 1, 1, 1.0, "copy", slots, slots, point(t.start[a]), point(t.end[to - 1])
+
+
 def _match(banks: tuple[Bank, Bank], coverage: float, run_words: int, consistency: float, id_type: pa.DataType, item_type: pa.DataType):
+    rest_of = whole(banks)
     kinds = [id_type, item_type, pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +276,10 @@ def _match(banks: tuple[Bank, Bank], coverage: float, run_words: int, consistenc
             found = []
             for base, _, data, off in string_blocks(batch.column(1)):
                 best: dict[tuple[int, int], tuple] = {}
-                for b, t in zip(banks, canonical(data, off), strict=True):
+                both = canonical(data, off)
+                for row, item, *rest in _found_whole(rest_of, both[1], data, off):
+                    best[row, item] = tuple(rest)
+                for b, t in zip(banks, both, strict=True):
                     for row, item, *rest in _found(b, t, data, off, coverage, run_words, consistency):
                         if (row, item) not in best or best[row, item][2] < rest[2]:  # the higher coverage
                             best[row, item] = tuple(rest)
@@ -244,7 +296,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document holds an item if it matches ``coverage`` of its windows, or ``run_words`` consecutive template tokens, on
     diagonals where at least ``consistency`` of the slots fit a one-to-one map. Of the template with names and the one
     without, the one that covers more is reported. Items of under ``k`` tokens, or without a
-    window of mostly words, cannot be looked for and never match.
+    window of mostly words in either, match where all their words, numbers and units stand in order (one window then).
     ``block``: benchmark items that are matched at a time; all blocks meet all documents.
     Defined cases: null and empty texts on either side match nothing; null ids and repeated rows are reported like
     others; an empty table on either side gives no rows; other columns of the inputs are not read.

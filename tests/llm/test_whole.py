@@ -70,3 +70,14 @@ def test_benchmark_in_any_case_whole_table(spark):
     want = {(d.doc_id, i) for d in docs_of(spark, sf).select("doc_id", "text").collect() for i, t in bench if t in (d.text or "")}
     got = {(r.doc_id, r.item_id) for r in queries.op2_template_decontamination(spark, sf).collect()}
     assert want >= {(1699, 130), (6420, 37), (8376, 101)} and want <= got
+
+
+def test_benchmark_items_without_windows(spark):
+    items = [(1, "12 + 7 = 19"), (2, " ".join(str(i * i) for i in range(30))), (3, "Who wrote Faust?"), (4, "..."), (5, "Anna Berlin Carl Dresden Emil Frankfurt Greta Hamburg Ida Jena")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [*ODD, *((40 + i, f"é before. {t} After it.") for i, t in items), (50, "12 + 8 = 20"), (51, "who WROTE faust"), (52, "who wrote"), (53, "faust?"), (54, " ".join(str(i * i) for i in range(29)) + " 7")]
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(frame(spark, rows), bench).collect()}
+    assert set(got) == {(41, 1), (42, 2), (43, 3), (45, 5), (51, 3)}
+    assert (got[41, 1].start, got[41, 1].end) == (10, 21) and got[42, 2].coverage == 1.0
+    few = decontaminate.contaminated(frame(spark, rows), bench, block=1).collect()
+    assert {(r.doc_id, r.item_id) for r in few} == set(got)
