@@ -124,8 +124,9 @@ def is_held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, buckets: int = 1 << 15, price: float = 8.0) -> Model:
-    """Learn from about ``max_rows`` labelled rows, chosen by a hash of their ids (all, if there are fewer).
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 20_000, buckets: int = 1 << 15, price: float = 8.0, least: int = 1_000) -> Model:
+    """Learn from about ``max_rows`` labelled rows, chosen by a hash of their ids (all, if there are fewer), but of each
+    language from about ``least`` rows or more (all, if it has fewer).
 
     Rows without id, text or language are not learned from. Counts of trigrams and scripts are summed on the executors;
     the driver gets at most (buckets + scripts) x languages numbers.
@@ -136,8 +137,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = sum(r["count"] for r in labels)
     if not langs:
         return Model([], np.zeros((buckets, 0), np.float32), np.zeros((len(NAMES), 0), bool), price)
-    share = min(1.0, max_rows / n)
-    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    share = {r[0]: min(1.0, max(max_rows / n, least / r["count"])) for r in labels}
+    below = F.create_map(*(F.lit(x) for lang in langs for x in (lang, int(np.ceil(share[lang] * (1 << 20))))))
+    picked = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 20)) < F.element_at(below, F.col(lang_col)))
     counts = picked.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(_counts(langs, buckets), "bucket int, lang int, n long")
     table = counts.groupBy("bucket", "lang").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((buckets + len(NAMES), len(langs)))
@@ -160,7 +162,14 @@ def word_scores(data: np.ndarray, off: np.ndarray, m: Model):
     for j in range(len(m.langs)):
         x[:, j] = np.add.reduceat(m.scores[:, j].copy()[g], first)
     x[~fits] = -np.inf
-    x, alien = x[some], np.bincount(row[~some], minlength=len(off) - 1)
+    strange = np.flatnonzero(~some)
+    if len(strange):  # symbols are no words of another script
+        lettered: dict[bytes, bool] = {}
+        of = [bytes(data[a:b]) for a, b in zip(s[strange].tolist(), e[strange].tolist(), strict=True)]
+        for w in set(of):
+            lettered[w] = bool(LETTER.search(w.decode("utf-8", "replace")))
+        strange = strange[[lettered[w] for w in of]]
+    x, alien = x[some], np.bincount(row[strange], minlength=len(off) - 1)
     x -= x.max(1, keepdims=True)
     x -= np.log(np.exp(x).sum(1, keepdims=True))
     np.maximum(x, m.floor, out=x)
@@ -228,7 +237,7 @@ def _label(m: Model, spans: bool):
                 votes = np.zeros((to - at, len(m.langs)))
                 np.add.at(votes, (row, path), 1)
                 top, total = votes.argmax(1), n + alien
-                known = (n > alien) & (n > 0)
+                known = n > 0
                 ascii_letters = np.r_[0, np.cumsum(~GAP[data] & (data < 128))]
                 odd = np.flatnonzero(known & (np.diff(ascii_letters[off]) == 0))
                 for i in odd:  # no ASCII letter: only then is it asked whether other characters are letters
@@ -252,7 +261,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     """The ``keep`` columns, lang_pred, score and, if asked, spans (start, end in code points; lang).
 
     Defined cases: a null or empty text, and one without letters, is ``und`` with score 0 and no spans; so is a text
-    most of whose words are in scripts that no learned language uses; an empty table gives no rows; with nothing to
+    none of whose words is in a script that a learned language uses; an empty table gives no rows; with nothing to
     learn from all texts are ``und``; columns not in ``keep`` are not read.
     """
     kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]

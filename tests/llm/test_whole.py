@@ -2,7 +2,7 @@
 
 import random
 
-from quillspark.llm import decontaminate, jaccard_join, queries
+from quillspark.llm import decontaminate, jaccard_join, langid, queries
 
 from test_llm import ODD, docs_of, frame, shingles
 
@@ -81,3 +81,22 @@ def test_benchmark_items_without_windows(spark):
     assert (got[41, 1].start, got[41, 1].end) == (10, 21) and got[42, 2].coverage == 1.0
     few = decontaminate.contaminated(frame(spark, rows), bench, block=1).collect()
     assert {(r.doc_id, r.item_id) for r in few} == set(got)
+
+
+# ---------------------------------------------------------------- 7
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the of and to that with this", "en") for i in range(2000)] + [(5000 + i, "και το να είναι που για", "el") for i in range(3)]
+    model = langid.fit(frame(spark, rows), max_rows=20)
+    assert model.langs == ["el", "en"] and model.scripts.any(0).all()
+    assert langid.identify(frame(spark, [(1, "και για να")]), model, ["doc_id"]).first().lang_pred == "el"
+    many = langid.fit(frame(spark, rows), max_rows=20, least=1)
+    assert many.scripts[langid.NAMES.index("latin")].any()
+
+
+def test_words_of_unlearned_scripts_and_symbols(spark):
+    model = langid.fit(frame(spark, [(i, "the of and to that with this", "en") for i in range(50)]))
+    texts = ["the 日本語 テキスト です", "this → € — …", "日本語 テキスト", "→ € 12", None]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame(spark, list(enumerate(texts))), model, ["doc_id"]).collect()}
+    assert got == {0: ("en", 0.25), 1: ("en", 1.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("und", 0.0)}
