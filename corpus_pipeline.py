@@ -20,11 +20,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, the one with the smallest id. Documents without id all stay."""
-    first = saved(jaccard_join.near_classes(docs, count_links=False).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "kept-ids")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(once)).where("_nth = 1").drop("_nth")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each class of near copies: the one with the smallest id, null ids last. Documents without words all stay."""
+    # ids may repeat or be null, so rows are named by id and content; what has one name is a copy in full
+    content = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), content.alias("content")))
+    near = jaccard_join.near_classes(keyed, id_col="_key", count_links=False).where(F.col("_key") == F.col("component_id"))
+    name = {"_none": F.col("_key.none"), "_id": F.coalesce(F.col("_key.id").cast("string"), F.lit("")), "_content": F.col("_key.content")}
+    first = saved(near.select(*(c.alias(x) for x, c in name.items()), (F.col("n_shingles") == 0).alias("_blank")).distinct(), "kept-rows")
+    once = Window.partitionBy(*name).orderBy("_blank")
+    kept = keyed.withColumns(name).join(first, list(name)).withColumn("_nth", F.row_number().over(once)).where("_nth = 1 OR _blank")
+    return kept.select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -100,3 +100,20 @@ def test_words_of_unlearned_scripts_and_symbols(spark):
     texts = ["the 日本語 テキスト です", "this → € — …", "日本語 テキスト", "→ € 12", None]
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame(spark, list(enumerate(texts))), model, ["doc_id"]).collect()}
     assert got == {0: ("en", 0.25), 1: ("en", 1.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("und", 0.0)}
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(9)
+    text = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(60))
+    a, b, c, d = text(), text(), text(), text()
+    rows = [(1, a), (1, b), (1, b + " end"), (2, a + " end"), (None, c), (None, c), (None, c + " end"), (None, b), (3, d), (3, d), (4, ""), (4, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    of = lambda *ts: [i for i, t in got if t in ts]
+    assert of(a, a + " end") == [1] and of(b, b + " end") == [1] and of(c, c + " end") == [None] and of(d) == [3]
+    assert len(of("", None)) == 3 and len(got) == 7
