@@ -405,3 +405,39 @@ def test_layout_regions(spark):
     images = spark.createDataFrame([(1, 1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1, 0.0, 0.0, 40.0, 40.0), (1, 2, 0, 0.0, 0.0, 10.0, 10.0), (1, 3, 0, 0.0, 0.0, 1.0, 1.0)], "doc int, page int, image int, x0 double, y0 double, x1 double, y1 double")
     got = sorted(tuple(r) for r in layout.boxes_in_images(boxes, images, ["doc", "page"]).collect())
     assert got == [(1, 1, 0, [0, 1], 2, 1.0, 1.0, 9.0, 9.0), (1, 1, 1, [2], None, 20.0, 0.0, 30.0, 9.0)]
+
+
+def expected_order(boxes, gap=15.0):
+    """Places by definition: insert each strip behind the last box above it."""
+    over = lambda a, b: min(a["x1"], b["x1"]) > max(a["x0"], b["x0"])
+    strips = []
+    for b in sorted((b for b in boxes if b["ord"] is None), key=lambda b: (b["y0"], b["box"])):
+        for s in strips[::-1]:
+            if over(s, b) and b["y0"] < s["y1"] + gap:
+                s |= {"x0": min(s["x0"], b["x0"]), "x1": max(s["x1"], b["x1"]), "y1": max(s["y1"], b["y1"]), "in": [*s["in"], b]}
+                break
+        else:
+            strips.append({**b, "in": [b]})
+    order = sorted((b for b in boxes if b["ord"] is not None), key=lambda b: b["ord"])
+    for s in strips:
+        at = max((i + 1 for i, b in enumerate(order) if over(s, b) and b["y0"] <= s["y0"]), default=0)
+        order = order[:at] + s["in"] + order[at:]
+    return [b["box"] for b in order]
+
+
+def test_reading_order_of_random_pages(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows, pages = [], {}
+    for page in range(150):
+        n = rnd.randrange(1, 9)
+        ords = rnd.sample(range(20), n)
+        for box in range(n):
+            x, y = float(rnd.randrange(0, 60, 5)), float(rnd.randrange(0, 100, 5))
+            b = {"page": page, "box": box, "ord": ords[box] if rnd.random() < 0.5 else None, "x0": x, "y0": y, "x1": x + rnd.randrange(5, 50), "y1": y + rnd.randrange(5, 25)}
+            rows.append(tuple(b.values()))
+            pages.setdefault(page, []).append(b)
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "page int, box int, ord int, x0 double, y0 double, x1 double, y1 double")
+    got = {r.page: r.boxes for r in layout.reading_order(df, ["page"]).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "box"))), lambda x: x["box"]).alias("boxes")).collect()}
+    assert got == {p: expected_order(b) for p, b in pages.items()}
