@@ -1,22 +1,21 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip), exact at any threshold.
 
 A document that links with ``x`` must share at least ``T = ceil(t * |x|)`` of x's shingles, so it stands in T of x's
-inverted lists. DivideSkip splits those lists: the ``L = T - 1`` longest are only probed, the rest - the shortest - are
-merged, and only documents met in the short lists can reach T. Here:
-
-* *lists*: every task hashes its texts and sends shingles, packed by range of hash, to the range's owner, which finds the
-  shingles that two or more different sets hold; only those come back to their sets. A set with fewer than T shared
-  shingles cannot link with anything and ends there. Equal sets are one node from the start.
-  Beyond ``nodes_per_slice`` sets a range is cut into cells, slices of its nodes, whose counts are added up shingle by
-  shingle: a shingle that a third of all sets hold is then no single task's list.
-* *merge of short lists*: nodes meet in the lists of their rarest shingles. Lists are not unfolded into pairs: each list
-  first links its nodes with one leader, verified links make classes, and only nodes of other classes than their list's
-  largest are then compared across the list. Lists inside one class are done.
-* *probe of long lists*: a candidate pair is settled by a binary search of one node's sorted list of shingles in the other's.
-
-Every pair of different classes that shares a short list is verified, so no link between classes is missed.
-* *links*: every link lies inside a class. A class is cut into chunks of a bounded size, and the sets of each two chunks
-  are compared all with all, so the numbers of links are exact and no class is a single task's.
+inverted lists. DivideSkip sets the ``L`` longest lists aside, merges the short ones, keeps the documents that stand in
+at least ``T - L`` of those, and probes the long lists for them by binary search. Here this is done twice:
+
+* *over the corpus*, to find which sets can link at all. A sketch of fixed size counts all shingles, and one order - rare
+  before common - holds everywhere. Each set sends only its short lists, the first ``|x| - T + l`` shingles of that order
+  with ``l = T - L = min(T, 8 + T / 8)``, to the owners of their ranges, which return those that two sets hold. A set with fewer
+  than ``l`` of them ends there. Two linked sets share ``l`` of them, so if those are dealt into fewer than ``l`` buckets, two
+  fall into one bucket: sets meet on such pairs of shingles, each list of sets is tied to its smallest one, and the connected
+  *groups* hold every link. Lists are never unfolded into pairs of sets.
+* *inside each group*, where every set is sent once: the group's inverted lists are merged and probed per set, occurrences
+  are counted up to T, and links, classes and numbers of links come out of one search. A group beyond a chunk's size is cut
+  into chunks by a hash, and each two chunks are searched, so no group is a single task's.
+
+Equal sets are one node from the start. Shingles that more than ``nodes_per_slice`` texts hold count as shared without being
+gathered: they are dealt out by (shingle, node), so no owner ever gets a list longer than that.
 """
 
 from __future__ import annotations
@@ -27,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import BLOCK_BYTES, mix, saved, shingle_sets, string_blocks, word_hashes
+from .common import BLOCK_BYTES, ODD, mix, saved, shingle_sets, string_blocks, word_hashes
 
-BITS = 512  # of a set's parity sketch: two sketches differ in no more bits than the sets do in tokens
-LOW = 40  # bits of a shingle that travel; the range's number adds the rest
+SKETCH_BITS, PIECE = 20, 1 << 16  # counters of the sketch; so many a row
+LOW = 39  # bits of a shingle that travel; the range's number adds the rest
+HOT = 128  # marks a level of the sketch whose shingles are too common to be gathered
 
 
 def _node(s: np.ndarray) -> int:
@@ -46,348 +45,387 @@ def _sets(batch: pa.RecordBatch, k: int, size: int = BLOCK_BYTES) -> Iterator[tu
         yield at, shingle_sets(*word_hashes(data, off), k)
 
 
-def _several(batch: pa.RecordBatch, k: int, most: int = 1_000_000) -> Iterator[list[np.ndarray]]:
-    """The sets of about ``most`` shingles at a time."""
-    held: list[np.ndarray] = []
-    for _, sets in _sets(batch, k):
-        held += sets
-        if sum(map(len, held)) >= most:
-            yield held
-            held = []
+def _once(batches: Iterator[pa.RecordBatch], k: int, most: int = 1_000_000) -> Iterator[dict[int, np.ndarray]]:
+    """A task's different sets by name, about ``most`` shingles at a time."""
+    sent: set[int] = set()
+    held: dict[int, np.ndarray] = {}
+    size = 0
+    for batch in batches:
+        for _, sets in _sets(batch, k):
+            for s in sets:
+                if len(s) and (name := _node(s)) not in sent:
+                    sent.add(name)
+                    held[name] = s
+                    size += len(s)
+            if size >= most:
+                yield held
+                held, size = {}, 0
     if held:
         yield held
 
 
-def _nodes_of(k: int):
+def _named(k: int):
+    """Rows (id, n, node) of all texts, then the task's sketch in pieces (piece, counts): shingles of its different sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sent, sketch, ids = ["id", "n", "node", "piece", "counts"], set(), np.zeros(1 << SKETCH_BITS, np.int64), None
         for batch in batches:
-            n, node = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            n, node, ids = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), batch.schema.field(0).type
             for at, sets in _sets(batch, k):
+                new = []
                 for i, s in enumerate(sets, at):
                     n[i], node[i] = len(s), _node(s)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node)], ["id", "n", "node"])
+                    if len(s) and node[i] not in sent:
+                        sent.add(node[i])
+                        new.append(s)
+                if new:
+                    sketch += np.bincount((np.concatenate(new) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(node), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())], names)
+        pieces = [(i, x) for i, x in enumerate(sketch.reshape(-1, PIECE)) if x.any()]
+        if pieces:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(pieces), ids), *[pa.nulls(len(pieces), pa.int64())] * 2, pa.array([i for i, _ in pieces], pa.int32()), pa.array([np.minimum(x, 2**32 - 1).astype(np.uint32).tobytes() for _, x in pieces], pa.binary())], names)
 
     return run
 
 
-def _packed(k: int, ranges: int, slices: int):
-    """Rows (cell, nodes, sizes, counts, low, high): the shingles of a block that fall into a cell, set after set. A cell
-    is a range of hashes and, in it, a slice of the nodes.
+def _levels(limit: int):
+    """Of one piece of the sketch: how many binary digits each counter has, marked where it exceeds ``limit``."""
 
-    Each task sends a set once, however many of its rows have it.
-    """
+    def run(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.float64) for x in table.column("counts").to_pylist())
+        level = np.frexp(total)[1].astype(np.uint8) | np.where(total > limit, HOT, 0).astype(np.uint8)
+        return pa.table({"piece": table.column("piece")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    return run
+
+
+def required(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """T: how many of its n shingles a set shares with any set it links with."""
+    return -(-num * n // den)
+
+
+def merged(t: np.ndarray) -> np.ndarray:
+    """l = T - L: in how many short lists a candidate stands. It grows by at most 1 where T grows by 1, so the first l
+    shared shingles of two linked sets are in the short lists of both, with the l of either."""
+    return np.minimum(t, 8 + t // 8)
+
+
+def _cut(key: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin and, last, end."""
+    return np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
+
+
+def _short_lists(k: int, ranges: int, levels: np.ndarray, num: int, den: int):
+    """Rows (cell, low, high, nodes, heads, sizes): entries of short lists by range of shingle, and sets with their sizes by home."""
     wide = np.uint64((1 << 64) // ranges + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[int] = set()
-        for batch in batches:
-            for sets in _several(batch, k):
-                named = {n: s for s in sets if (n := _node(s)) not in sent}
-                sent |= named.keys()
-                sets = list(named.values())
-                lengths = np.array([len(s) for s in sets], np.int64)
-                if not lengths.sum():
-                    continue
-                names = np.array(list(named), np.int64)
-                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), lengths)
-                cell = (every // wide).astype(np.int32) * np.int32(slices) + (mix(names.view(np.uint64)) % np.uint64(slices)).astype(np.int32)[owner]
-                order = np.lexsort((owner, cell))
-                every, owner, cell = every[order] & np.uint64((1 << LOW) - 1), owner[order], cell[order]
-                low, high = (every & np.uint64(0xFFFFFFFF)).astype(np.uint32), (every >> np.uint64(32)).astype(np.uint8)
-                new = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(cell) != 0)])
-                size, first = np.diff(np.r_[new, len(owner)]).astype(np.int32), np.flatnonzero(np.r_[True, np.diff(cell) != 0])
-                heads = names[owner[new]]
-                full = lengths.astype(np.int32)[owner[new]]
-                rows = {"cell": [], "nodes": [], "sizes": [], "counts": [], "low": [], "high": []}
-                for a, b in zip(first, np.r_[first[1:], len(cell)], strict=True):
-                    i, j = np.searchsorted(new, (a, b))
-                    for name, x in (("nodes", heads[i:j]), ("sizes", full[i:j]), ("counts", size[i:j]), ("low", low[a:b]), ("high", high[a:b])):
-                        rows[name].append(x.tobytes())
-                    rows["cell"].append(int(cell[a]))
-                yield pa.RecordBatch.from_arrays([pa.array(rows["cell"], pa.int32()), *(pa.array(rows[c], pa.binary()) for c in ("nodes", "sizes", "counts", "low", "high"))], ["cell", "nodes", "sizes", "counts", "low", "high"])
+        for held in _once(batches, k):
+            names, sets = np.array(list(held), np.int64), list(held.values())
+            n = np.array([len(s) for s in sets], np.int64)
+            need = required(n, num, den)
+            token, owner = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+            level = levels[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            order = np.argsort(owner << 8 | level, kind="stable")  # within a level by hash, as sets are sorted
+            place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            order = order[place < np.repeat(n - need + merged(need), n)]
+            token, owner, hot = token[order], names[owner[order]], level[order] >= HOT
+            with np.errstate(over="ignore"):
+                cell = np.where(hot, mix(token ^ mix(owner.view(np.uint64))) % np.uint64(ranges), token // wide).astype(np.int32)
+            order = np.argsort(cell, kind="stable")
+            token, owner, hot, cell = token[order], owner[order], hot[order], cell[order]
+            low, high = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((token >> np.uint64(32)) & np.uint64(0x7F)).astype(np.uint8) | np.where(hot, HOT, 0).astype(np.uint8)
+            home = (mix(names.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+            order = np.argsort(home, kind="stable")
+            home, heads, sizes = home[order], names[order], n[order]
+            a, b = np.searchsorted(cell, np.arange(ranges + 1)), np.searchsorted(home, np.arange(ranges + 1))
+            full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
+            of = lambda x, at: pa.array([x[at[c] : at[c + 1]].tobytes() for c in full], pa.binary())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), of(low, a), of(high, a), of(owner, a), of(heads, b), of(sizes, b)], ["cell", "low", "high", "nodes", "heads", "sizes"])
 
     return run
 
 
 def _glued(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
-
-
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one cell: its nodes and their sizes; its shingles in order and the place of each one's node."""
-    nodes, sizes, counts = _glued(table, "nodes", np.int64), _glued(table, "sizes", np.int32), _glued(table, "counts", np.int32)
-    token = _glued(table, "low", np.uint32).astype(np.uint64) | (_glued(table, "high", np.uint8).astype(np.uint64) << np.uint64(32))
-    _, first = np.unique(nodes, return_index=True)  # other tasks bring the same sets again
-    keep = np.zeros(len(nodes), bool)
-    keep[first] = True
-    owner = np.repeat(np.arange(len(nodes), dtype=np.int32), counts)
-    held = keep[owner]
-    token, owner = token[held], owner[held]
-    order = np.argsort(token)
-    return nodes, sizes, token[order], owner[order]
-
-
-def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each value of a sorted array starts, and how often it stands there."""
-    new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-    return new, np.diff(np.r_[new, len(token)])
-
-
-def _homed(nodes: np.ndarray, sizes: np.ndarray, token: np.ndarray, owner: np.ndarray, df: np.ndarray, homes: int) -> pa.Table:
-    """Shingles with their counts on the way back to their nodes, packed by home of the node."""
-    to = (mix(nodes.view(np.uint64)) % np.uint64(homes)).astype(np.int32)[owner]
-    order = np.lexsort((owner, to))
-    token, owner, df, to = token[order], owner[order], df[order].astype(np.uint32), to[order]
-    cut = np.flatnonzero(np.r_[True, (np.diff(owner) != 0) | (np.diff(to) != 0)]) if len(to) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[cut, len(owner)]).astype(np.int32)
-    rows: dict[str, list] = {c: [] for c in ("to", "nodes", "sizes", "counts", "tokens", "dfs")}
-    begin = np.flatnonzero(np.r_[True, np.diff(to) != 0]) if len(to) else np.zeros(0, np.int64)
-    for a, b in zip(begin, np.r_[begin[1:], len(to)], strict=False):
-        i, j = np.searchsorted(cut, (a, b))
-        rows["to"].append(int(to[a]))
-        for name, x in (("nodes", nodes[owner[cut[i:j]]]), ("sizes", sizes[owner[cut[i:j]]]), ("counts", count[i:j]), ("tokens", token[a:b]), ("dfs", df[a:b])):
-            rows[name].append(x.tobytes())
-    return pa.table([pa.array(rows["to"], pa.int32()), *(pa.array(x, pa.binary()) for c, x in rows.items() if c != "to")], list(rows))
-
-
-def _shared(homes: int):
-    """Of one range: the shingles that two or more nodes hold and how many do, packed by home of node."""
-
-    def run(table: pa.Table) -> pa.Table:
-        nodes, sizes, token, owner = _entries(table)
-        _, df = _runs(token)
-        df = np.repeat(df, df)
-        many = df > 1
-        part = np.uint64(table.column("cell")[0].as_py()) << np.uint64(LOW)
-        return _homed(nodes, sizes, token[many] | part, owner[many], df[many], homes)
-
-    return run
+    return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x), kind)
 
 
-def _counted(slices: int):
-    """Of one cell: each shingle and how many of the slice's nodes hold it, dealt over the range's ``slices`` desks."""
+def _shared(ranges: int):
+    """Of one cell: (to, tokens, nodes, heads, sizes): the entries whose shingle another set holds too, by home of the set."""
 
     def run(table: pa.Table) -> pa.Table:
         cell = table.column("cell")[0].as_py()
-        _, _, token, _ = _entries(table)
-        new, df = _runs(token)
-        token, df = token[new], df.astype(np.uint32)
-        desk = (mix(token) % np.uint64(slices)).astype(np.int32)
-        held = [(d, token[desk == d], df[desk == d]) for d in np.unique(desk)]
-        return pa.table({"desk": pa.array([cell // slices * slices + int(d) for d, _, _ in held], pa.int32()), "cell": pa.array([cell] * len(held), pa.int32()), "tokens": pa.array([t.tobytes() for _, t, _ in held], pa.binary()), "dfs": pa.array([x.tobytes() for _, _, x in held], pa.binary())})
+        node, high = _glued(table, "nodes", np.int64), _glued(table, "high", np.uint8)
+        token, hot = _glued(table, "low", np.uint32).astype(np.uint64) | (high & np.uint8(HOT - 1)).astype(np.uint64) << np.uint64(32), high >= HOT
+        token |= np.where(hot, np.uint64(ranges), np.uint64(cell)) << np.uint64(LOW)
+        order = np.lexsort((node, token))
+        token, node, hot = token[order], node[order], hot[order]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
+        token, node, hot = token[fresh], node[fresh], hot[fresh]  # several tasks may send one set
+        size = np.diff(_cut(token))
+        several = hot | (np.repeat(size, size) > 1)
+        token, node = token[several], node[several]
+        to = (mix(node.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        token, node, to = token[order], node[order], to[order]
+        at = _cut(to)
+        homes = [*to[at[:-1]].tolist(), cell]
+        of = lambda x: pa.array([*(x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)), b""], pa.binary())
+        last = lambda c: pa.array([b""] * (len(homes) - 1) + [b"".join(x for x in table.column(c).to_pylist() if x)], pa.binary())
+        return pa.table({"to": pa.array(homes, pa.int32()), "tokens": of(token), "nodes": of(node), "heads": last("heads"), "sizes": last("sizes")})
 
     return run
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    """Of one desk: the slices' counts added up; shingles of two or more nodes go back to the cells that hold them."""
-    token, df = _glued(table, "tokens", np.uint64), _glued(table, "dfs", np.uint32)
-    _, place = np.unique(token, return_inverse=True)
-    total = np.bincount(place, df).astype(np.uint32)[place]
-    ends = np.cumsum([len(x) // 8 for x in table.column("tokens").to_pylist()])
-    rows = []
-    for cell, a, b in zip(table.column("cell").to_pylist(), np.r_[0, ends[:-1]], ends, strict=True):
-        many = total[a:b] > 1
-        if many.any():
-            rows.append((cell, token[a:b][many].tobytes(), total[a:b][many].tobytes()))
-    return pa.table({"cell": pa.array([r[0] for r in rows], pa.int32()), "tokens": pa.array([r[1] for r in rows], pa.binary()), "dfs": pa.array([r[2] for r in rows], pa.binary())})
-
-
-def _returned(homes: int, slices: int):
-    """Of one cell: what ``_shared`` gives of a range, with the counts from the desks."""
-
-    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
-        nodes, sizes, token, owner = _entries(table)
-        known, df = _glued(counts, "tokens", np.uint64), _glued(counts, "dfs", np.uint32)
-        order = np.argsort(known)
-        known, df = known[order], df[order]
-        at = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
-        many = known[at] == token if len(known) else np.zeros(len(token), bool)
-        part = np.uint64(table.column("cell")[0].as_py() // slices if len(table) else 0) << np.uint64(LOW)
-        return _homed(nodes, sizes, token[many] | part, owner[many], df[at[many]], homes)
+def steps(x: np.ndarray) -> np.ndarray:
+    """The largest of 0, 1, 2, 3, 4, 6, 8, 12, 16, ... that is not above x."""
+    p = 1 << (np.frexp(np.maximum(x, 1))[1] - 1).astype(np.int64)
+    return np.where(x < 1, 0, np.where((p > 1) & (2 * x >= 3 * p), p + p // 2, p))
 
-    return run
 
+def _meetings(num: int, den: int):
+    """Of one home: (meet, node): where the sets with enough shared shingles meet others.
 
-def _live(num: int, den: int):
-    """The nodes that share enough shingles to link at all; their tokens from rare to common (then by value)."""
+    Two sets that link share at least the smaller l of the two. Dealt into ``steps(l - 1)`` buckets, two of these shingles share a
+    bucket, and both sets name that pair of shingles (where l is 1, that shingle). A set knows which l its partners may have.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, sizes, counts = _glued(table, "nodes", np.int64), _glued(table, "sizes", np.int32), _glued(table, "counts", np.int32)
-        token, df = _glued(table, "tokens", np.uint64), _glued(table, "dfs", np.uint32)
-        names, first, place = np.unique(nodes, return_index=True, return_inverse=True)
-        size = sizes[first].astype(np.int64)
-        ok = np.bincount(place, counts, minlength=len(names)) * den >= size * num
-        owner = np.repeat(place, counts)
-        held = ok[owner]
-        token, df, owner = token[held], df[held], owner[held]
-        token = token[np.lexsort((token, df, owner))]
-        ends = np.cumsum(np.bincount(owner, minlength=len(names)))[ok]
-        bit = (mix(token) % np.uint64(BITS)).astype(np.int64)
-        out, sketch = [], []
-        for a, b in zip(np.r_[0, ends[:-1]] if len(ends) else ends, ends, strict=True):
-            out.append(token[a:b].tobytes())
-            sketch.append(np.packbits((np.bincount(bit[a:b], minlength=BITS) & 1).astype(np.uint8)).view(np.int64).tolist())
-        return pa.table([pa.array(names[ok]), pa.array(size[ok]), pa.array(out, pa.binary()), pa.array(sketch, pa.list_(pa.int64()))], ["node", "n", "tokens", "sketch"])
+        heads, sizes = _glued(table, "heads", np.int64), _glued(table, "sizes", np.int64)
+        names, first = np.unique(heads, return_index=True)
+        need = required(sizes[first], num, den)
+        token, node = _glued(table, "tokens", np.uint64), _glued(table, "nodes", np.int64)
+        order = np.lexsort((token, node))
+        token, node = token[order], node[order]
+        fresh = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
+        token, owner = token[fresh], np.searchsorted(names, node[fresh])
+        own, least = merged(need), merged(required(need, num, den))  # no partner has fewer than ``need`` shingles
+        live = np.bincount(owner, minlength=len(names)) >= own
+        token, owner = token[live[owner]], owner[live[owner]]
+        top, low = steps(own - 1)[owner], steps(least - 1)[owner]
+        meet, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for step in np.unique(np.r_[top, low, steps(np.arange(1, 1 + int(top.max(initial=0))))]).tolist():
+            some = (low <= step) & (step <= top)
+            t, o = token[some], owner[some]
+            if not step:
+                meet.append(mix(t))
+                at.append(o)
+                continue
+            bucket = (mix(t ^ np.uint64(step)) % np.uint64(step)).astype(np.int64)
+            order = np.lexsort((t, bucket, o))
+            t, o, bucket = t[order], o[order], bucket[order]
+            ahead = 1
+            while len(t) > ahead:
+                same = np.flatnonzero((o[ahead:] == o[:-ahead]) & (bucket[ahead:] == bucket[:-ahead]))
+                if not len(same):
+                    break
+                with np.errstate(over="ignore"):
+                    meet.append(mix(t[same] * np.uint64(ODD[0]) + t[same + ahead] * np.uint64(ODD[1]) + np.uint64(step)))
+                at.append(o[same])
+                ahead += 1
+        return pa.table({"meet": pa.array(np.concatenate(meet).astype(np.int64)), "node": pa.array(names[np.concatenate(at)])})
 
     return run
 
 
-def _short_lists(num: int, den: int):
-    """(token, node, n, nth, of): the entries of a node in the short lists: all but its T - 1 longest."""
+def classes(edges: DataFrame) -> DataFrame | None:
+    """(node, root) of the nodes of ``edges`` (a, b): the smallest node of each connected class, by label passing with jumps."""
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
+    if not both.head(1):
+        return None
+    inside = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        jumped = inside.alias("x").join(inside.select(F.col("node").alias("via"), F.col("root").alias("far")), F.col("x.root") == F.col("via")).select("x.node", F.col("far").alias("root"))
+        passed = both.join(jumped.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("other"))
+        after = saved(jumped.join(passed, jumped["node"] == passed["a"]).select("node", F.least("root", "other").alias("root")), "labels")
+        moved = after.join(inside.withColumnRenamed("root", "was"), "node").where("root <> was").head(1)
+        inside = after
+        if not moved:
+            return inside
+
+
+def _places(node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = node.view(np.uint64)
+    return (x & np.uint64(bits - 1)).astype(np.int64), (mix(x) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _marks(bits: int):
+    """A task's part of a filter of ``bits`` bits, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
         for batch in batches:
-            node, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists, size, at, left = [], [], [], []
-            for held, x in zip(batch.column(2).to_pylist(), n.tolist(), strict=True):
-                t = np.frombuffer(held, np.int64)
-                p = max(0, len(t) - -(-num * x // den) + 1)
-                lists.append(t[:p])
-                size.append(p)
-                at.append(np.arange(p, dtype=np.int32))
-                left.append(len(t) - np.arange(p, dtype=np.int32))
-            if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.repeat(node, size)), pa.array(np.repeat(n, size)), pa.array(np.concatenate(left).astype(np.int32))], ["token", "node", "n", "left"])
+            for place in _places(batch.column(0).to_numpy(), bits):
+                seen[place] = True
+        pieces = [(i, x) for i, x in enumerate(np.packbits(seen).reshape(-1, min(PIECE, bits // 8))) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x.tobytes() for _, x in pieces], pa.binary())], ["piece", "marks"])
 
     return run
 
 
-def overlap(a: np.ndarray, b: np.ndarray, need: int, head: int = 64) -> int:
-    """Tokens of the smaller set that a binary search finds in the other; stops early once ``need`` is out of reach."""
-    a, b = (a, np.sort(b)) if len(a) <= len(b) else (b, np.sort(a))
-    if not len(a):
-        return 0
-    probe = lambda x: int((b[np.minimum(np.searchsorted(b, x), len(b) - 1)] == x).sum())
-    got = probe(a[:head])
-    return got + probe(a[head:]) if len(a) > head and got + len(a) - head >= need else got
+def _either(table: pa.Table) -> pa.Table:
+    out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()])
+    return pa.table({"piece": table.column("piece")[:1], "marks": pa.array([out.tobytes()], pa.binary())})
 
 
-def _verified(num: int, den: int):
-    """Keeps the pairs whose sets reach the threshold: den * |intersection| >= num * |union|."""
+def _filter(nodes: DataFrame, most: int = 1 << 28) -> tuple[np.ndarray, int]:
+    """A filter of at most ``most`` bits (32 MB) that lets all ``nodes`` pass and, as long as 16 bits a node fit, few others."""
+    bits = min(most, max(1 << 10, 1 << (16 * nodes.count() - 1).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in nodes.select("node").mapInArrow(_marks(bits), "piece int, marks binary").groupBy("piece").applyInArrow(_either, "piece int, marks binary").toLocalIterator():
+        out[r["piece"] * len(r["marks"]) : (r["piece"] + 1) * len(r["marks"])] = np.frombuffer(r["marks"], np.uint8)
+    return out, bits
+
+
+def _chosen(k: int, marks: np.ndarray, bits: int):
+    """(node, n, tokens): the sets that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-            ok = np.zeros(len(a), bool)
-            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-                total = int(na[i] + nb[i])
-                got = overlap(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), -(-num * total // (den + num)))
-                ok[i] = (den + num) * got >= num * total
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+        for held in _once(batches, k):
+            names, sets = np.array(list(held), np.int64), list(held.values())
+            ok = np.logical_and(*((marks[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _places(names, bits)))
+            sets = [sets[i] for i in np.flatnonzero(ok)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
 
     return run
 
 
-def classes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root) for ``nodes`` (node): the smallest node of each connected class, by label passing with jumps."""
-    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "links")
-    label = nodes.select("node", F.col("node").alias("root"))
-    if not both.head(1):
-        return label
-    inside = saved(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        jumped = inside.alias("x").join(inside.select(F.col("node").alias("via"), F.col("root").alias("far")), F.col("x.root") == F.col("via")).select("x.node", F.col("far").alias("root"))
-        passed = both.join(jumped.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("other"))
-        after = saved(jumped.join(passed, jumped["node"] == passed["a"]).select("node", F.least("root", "other").alias("root")), "labels")
-        moved = after.join(inside.withColumnRenamed("root", "was"), "node").where("root <> was").head(1)
-        inside = after
-        if not moved:
-            return label.drop("root").join(inside, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-
+def divide_skip(a: tuple, b: tuple, num: int, den: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs (place in ``a``, place in ``b``) of two sides (sizes, all tokens, numbers of tokens), each by size.
 
-def linked(a: tuple, b: tuple, num: int, den: int) -> np.ndarray:
-    """Which sets of ``a`` (sizes, tokens in one array, counts of tokens) link with which of ``b``."""
+    Per set of ``a``: its inverted lists over ``b``; the L longest are set aside (L = T / (log2 of the longest + 1)), the others are
+    merged; sets of a fitting size with T - L occurrences or more are looked up in the long lists by binary search, and those
+    whose occurrences reach the overlap link. ``own``: both sides are one, and a pair is given once.
+    """
     (na, ta, ca), (nb, tb, cb) = a, b
-    order = np.argsort(nb, kind="stable")
-    ok = np.zeros((len(na), len(nb)), bool)
     words, code = np.unique(tb, return_inverse=True)
-    ends = np.cumsum(cb)
-    code = np.concatenate([code[ends[j] - cb[j] : ends[j]] for j in order])
-    size, at = nb[order], np.r_[0, np.cumsum(cb[order])]
-    place = np.minimum(np.searchsorted(words, ta), len(words) - 1)
-    place[words[place] != ta] = len(words)
-    mark = np.zeros(len(words) + 1, np.uint8)
-    to = np.cumsum(ca)
+    owner = np.repeat(np.arange(len(nb)), cb)
+    order = np.argsort(code, kind="stable")
+    entry = code[order] * len(nb) + owner[order]  # all lists one after the other, each by place
+    begin = np.searchsorted(code[order], np.arange(len(words) + 1))
+    at = np.minimum(np.searchsorted(words, ta), len(words) - 1)
+    at[words[at] != ta] = -1
+    ends = np.cumsum(ca)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, n in enumerate(na.tolist()):
-        lo, hi = np.searchsorted(size * den, n * num, "left"), np.searchsorted(size * num, n * den, "right")
-        if lo < hi:
-            own = place[to[i] - ca[i] : to[i]]
-            mark[own] = 1
-            mark[-1] = 0
-            got = np.add.reduceat(mark[code[at[lo] : at[hi]]], at[lo:hi] - at[lo], dtype=np.int64)
-            ok[i, order[lo:hi]] = (den + num) * got >= num * (n + size[lo:hi])
-            mark[own] = 0
-    return ok
+        lo, hi = np.searchsorted(nb * den, n * num, "left"), np.searchsorted(nb * num, n * den, "right")
+        lists, t = at[ends[i] - ca[i] : ends[i]], -(-num * n // den)
+        lists = lists[lists >= 0]
+        lo = max(lo, i + 1) if own else lo
+        if lo >= hi or len(lists) < t:
+            continue
+        size = begin[lists + 1] - begin[lists]
+        skip = int(t / (np.log2(size.max()) + 1)) if len(lists) > 1 else 0
+        rank = np.argsort(size, kind="stable")
+        short, long = rank[: len(rank) - skip], lists[rank[len(rank) - skip :]]
+        size = size[short]
+        spots = np.repeat(begin[lists[short]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        met = np.bincount(owner[order[spots]], minlength=len(nb))
+        found = lo + np.flatnonzero(met[lo:hi] >= t - skip)
+        if not len(found):
+            continue
+        sought = long[:, None] * len(nb) + found
+        hit = entry[np.minimum(np.searchsorted(entry, sought), len(entry) - 1)] == sought
+        ok = (den + num) * (met[found] + hit.sum(0)) >= num * (n + nb[found])
+        left.append(np.full(int(ok.sum()), i))
+        right.append(found[ok])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _united(m: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number of each of ``m`` places that is the same for connected ones."""
+    label = np.arange(m)
+    while True:
+        low, after = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(after, a, low)
+        np.minimum.at(after, b, low)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+LINKS = "node long, links long, others long, top long"
+
+
+def _told(node: np.ndarray, rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Of each node: its links, the rows behind them, the smallest node connected with it."""
+    m = len(node)
+    links = np.bincount(a, minlength=m) + np.bincount(b, minlength=m)
+    others = np.bincount(a, rows[b], m) + np.bincount(b, rows[a], m)
+    label, top = _united(m, a, b), np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(top, label, node)
+    return [node, links, others.astype(np.int64), top[label]]
 
 
-def _linked_in_classes(num: int, den: int):
-    """Of whole classes: each node's number of links, and of rows behind them."""
+def _linked(num: int, den: int):
+    """Of whole groups: each node's links, the rows behind them and the smallest node of its class."""
 
     def run(table: pa.Table) -> pa.Table:
         root, node, n, rows = (table.column(c).to_numpy() for c in ("root", "node", "n", "rows"))
-        held = [np.frombuffer(x, np.int64) for x in table.column("tokens").to_pylist()]
-        order = np.argsort(root, kind="stable")
-        links, others = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-        for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-            side = n[own], np.concatenate([held[i] for i in own]), np.array([len(held[i]) for i in own])
-            ok = linked(side, side, num, den)
-            np.fill_diagonal(ok, False)
-            links[own], others[own] = ok.sum(1), ok @ rows[own]
-        return pa.table([pa.array(node), pa.array(links), pa.array(others)], ["node", "links", "others"])
+        held = table.column("tokens").to_pylist()
+        order = np.lexsort((n, root))
+        out: list[list[np.ndarray]] = [[] for _ in range(4)]
+        for group in np.split(order, _cut(root[order])[1:-1]):
+            side = n[group], np.frombuffer(b"".join(held[i] for i in group), np.int64), np.array([len(held[i]) // 8 for i in group])
+            for x, y in zip(out, _told(node[group], rows[group], *divide_skip(side, side, num, den, True)), strict=True):
+                x.append(y)
+        return pa.table([pa.array(np.concatenate(x)) for x in out], ["node", "links", "others", "top"])
 
     return run
 
 
 def _chunk(table: pa.Table) -> pa.Table:
-    """One row of a chunk's sets."""
+    """One row of a chunk's sets, by size."""
+    table = table.sort_by("n")
     held = table.column("tokens").to_pylist()
     of = lambda c: [table.column(c).to_numpy().tobytes()]
     return pa.table([table.column("root")[:1], table.column("chunk")[:1], table.column("chunks")[:1], *(pa.array(x, pa.binary()) for x in (of("node"), of("n"), of("rows"), [np.array([len(x) // 8 for x in held], np.int64).tobytes()], [b"".join(held)]))], ["root", "chunk", "chunks", "nodes", "sizes", "rows", "counts", "tokens"])
 
 
 def _linked_between(num: int, den: int):
-    """Of one chunk, or two of one class: what ``_linked_in_classes`` gives."""
+    """Of one chunk, or two of one group: what ``_linked`` gives, as far as these sets tell."""
 
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows == 1 and table.column("lo")[0].as_py() != table.column("hi")[0].as_py():  # the other chunk is empty
-            table = table.slice(0, 0)
-        if not table.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, ["node", "links", "others"])
+            return pa.table([pa.array([], pa.int64())] * 4, ["node", "links", "others", "top"])
         side = lambda i: [np.frombuffer(table.column(c)[i].as_py(), np.int64) for c in ("nodes", "rows", "sizes", "tokens", "counts")]
-        (node, rows, *a), (mate, mate_rows, *b) = side(0), side(table.num_rows - 1)
-        ok = linked(tuple(a), tuple(b), num, den)
-        if table.num_rows == 1:
-            np.fill_diagonal(ok, False)
-            out = node, ok.sum(1), ok @ rows
-        else:
-            out = np.r_[node, mate], np.r_[ok.sum(1), ok.sum(0)], np.r_[ok @ mate_rows, rows @ ok]
-        return pa.table([pa.array(x.astype(np.int64)) for x in out], ["node", "links", "others"])
+        (node, rows, *one), (mate, mate_rows, *two) = side(0), side(table.num_rows - 1)
+        a, b = divide_skip(tuple(one), tuple(two), num, den, table.num_rows == 1)
+        if table.num_rows > 1:
+            node, rows, b = np.r_[node, mate], np.r_[rows, mate_rows], b + len(node)
+        return pa.table([pa.array(x) for x in _told(node, rows, a, b)], ["node", "links", "others", "top"])
 
     return run
 
 
-def link_counts(live: DataFrame, label: DataFrame, sets: DataFrame, num: int, den: int, sets_per_chunk: int = 1000, tokens_per_chunk: int = 500_000) -> DataFrame:
-    """(node, links, others): of each node that links, the nodes it links with and their rows. Exact for every class."""
-    spark = live.sparkSession
-    held = live.select("node", (F.octet_length("tokens") / 8).cast("long").alias("held"))
+def search_groups(texts: DataFrame, sets: DataFrame, label: DataFrame, k: int, num: int, den: int, sets_per_chunk: int, tokens_per_chunk: int = 500_000, tokens_per_task: int = 3_000_000) -> DataFrame:
+    """(node, links, others, root): of each node of ``label`` (node, root of its group) its links, their rows and its class."""
+    spark = texts.sparkSession
+    members = saved(label.join(sets, "node").select("node", "root", "rows", "n"), "groups")
     chunks = F.greatest(F.ceil(F.col("m") / sets_per_chunk), F.ceil(F.col("held") / tokens_per_chunk)).cast("int")
-    sizes = saved(label.join(held, "node").groupBy("root").agg(F.count("*").alias("m"), F.sum("held").alias("held")).where("m > 1").withColumn("chunks", chunks), "class-sizes")
+    sizes = saved(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("held")).select("root", "held", chunks.alias("chunks")), "group-sizes")
     most, total = sizes.agg(F.max("chunks"), F.coalesce(F.sum(F.when(F.col("chunks") == 1, F.col("held"))), F.lit(0))).first()
-    meta = label.join(sizes.select("root", "chunks"), "root").join(sets.select("node", "rows"), "node")
-    own = live.select("node", "n", "tokens")
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 3_000_000))
-    small = own.join(meta.where("chunks = 1"), "node").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
-    out = small.groupBy("task").applyInArrow(_linked_in_classes(num, den), "node long, links long, others long")
-    if (most or 0) > 1:
-        large = own.join(meta.where("chunks > 1"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
+    chosen = texts.select("text").mapInArrow(_chosen(k, *_filter(label)), "node long, n long, tokens binary")
+    chosen = chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    own = saved(chosen.join(members.drop("n").join(sizes.drop("held"), "root"), "node"), "group-sets")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // tokens_per_task))
+    small = own.where("chunks = 1").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
+    out = small.groupBy("task").applyInArrow(_linked(num, den), LINKS)
+    if most > 1:
+        large = own.where("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
         packed = large.groupBy("root", "chunk").applyInArrow(_chunk, "root long, chunk int, chunks int, nodes binary, sizes binary, rows binary, counts binary, tokens binary")
         met = packed.withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"lo": F.least("chunk", "mate"), "hi": F.greatest("chunk", "mate")})
-        out = out.unionByName(met.groupBy("root", "lo", "hi").applyInArrow(_linked_between(num, den), "node long, links long, others long"))
-    return out.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+        parts = saved(met.groupBy("root", "lo", "hi").applyInArrow(_linked_between(num, den), LINKS), "chunk-links")
+        joined = classes(parts.where("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b")))
+        parts = parts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"), F.min("top").alias("top"))
+        if joined is not None:
+            parts = parts.join(joined, "node", "left").select("node", "links", "others", F.coalesce("root", "top").alias("top"))
+        out = out.unionByName(parts)
+    return out.withColumnRenamed("top", "root")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, shingles_per_range: int = 3_000_000, nodes_per_slice: int = 10_000_000, rounds: int = 3, count_links: bool = True, sets_per_chunk: int = 1000) -> DataFrame:
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, shingles_per_range: int = 3_000_000, nodes_per_slice: int = 1_000_000, count_links: bool = True, sets_per_chunk: int = 1000) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id reachable by links), n_links, n_linked_rows.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z as a-z; a set holds the distinct ``k``-word shingles of the whole text, or
@@ -400,76 +438,29 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    members = saved(texts.mapInArrow(_nodes_of(k), f"id {docs.schema[id_col].dataType.simpleString()}, n long, node long"), "members")
+    rows = saved(texts.mapInArrow(_named(k), f"id {docs.schema[id_col].dataType.simpleString()}, n long, node long, piece int, counts binary"), "members")
+    members = rows.where("piece IS NULL").select("id", "n", "node")
     sets = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.count("*").alias("rows"))
-    total, count = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    slices = max(1, -(-count // nodes_per_slice))  # a shingle may stand in a third of all sets: no cell has more than a slice's
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (shingles_per_range * slices)))
-
-    packed = texts.select("text").mapInArrow(_packed(k, ranges, slices), "cell int, nodes binary, sizes binary, counts binary, low binary, high binary")
-    homed = "to int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary"
-    if slices == 1:
-        shared = packed.groupBy("cell").applyInArrow(_shared(ranges), homed)
+    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for r in rows.where("piece IS NOT NULL").select("piece", "counts").groupBy("piece").applyInArrow(_levels(nodes_per_slice), "piece int, level binary").toLocalIterator():
+        levels[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["level"], np.uint8)
+    need = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
+    entries = members.agg(F.coalesce(F.sum(F.col("n") - need + F.least(need, 8 + need / 8)), F.lit(0)).cast("long")).first()[0]
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // shingles_per_range))
+
+    short = texts.select("text").mapInArrow(_short_lists(k, ranges, levels, num, den), "cell int, low binary, high binary, nodes binary, heads binary, sizes binary")
+    shared = short.groupBy("cell").applyInArrow(_shared(ranges), "to int, tokens binary, nodes binary, heads binary, sizes binary")
+    meetings = saved(shared.groupBy("to").applyInArrow(_meetings(num, den), "meet long, node long"), "meetings")
+    heads = meetings.groupBy("meet").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("meet", "head")
+    label = classes(meetings.join(heads, "meet").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+
+    counts = ["n_links", "n_linked_rows"] if count_links else []
+    if label is None:
+        table = sets.select("node", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"), (F.col("rows") - 1).alias("n_linked_rows"))
     else:
-        packed = saved(packed, "packed")
-        counted = packed.groupBy("cell").applyInArrow(_counted(slices), "desk int, cell int, tokens binary, dfs binary")
-        summed = counted.groupBy("desk").applyInArrow(_summed, "cell int, tokens binary, dfs binary")
-        shared = packed.groupBy("cell").cogroup(summed.groupBy("cell")).applyInArrow(_returned(ranges * slices, slices), homed)
-    live = saved(shared.groupBy("to").applyInArrow(_live(num, den), "node long, n long, tokens binary, sketch array<long>"), "live-sets")
-    entries = live.mapInArrow(_short_lists(num, den), "token long, node long, n long, left int")
-    entries = saved(entries, "short-lists")
-    several = entries.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    lists = saved(entries.join(several, "token", "left_semi"), "met-lists")
-
-    nodes = live.select("node")
-    edges, label = None, nodes.select("node", F.col("node").alias("root"))
-    held = lists.count()
-    fits = (F.col("n") * den >= F.col("mate_n") * num) & (F.col("mate_n") * den >= F.col("n") * num)
-    # neither node has enough entries left, from this list on, to reach the overlap: true of any pair's first list in order
-    fits &= F.least("left", "mate_left") >= F.ceil(F.lit(num) * (F.col("n") + F.col("mate_n")) / F.lit(num + den))
-    for seed in range(rounds + 1 if held else 0):
-        # lists of one class are done; the leader of any other is its node with the most links, then the first in a seeded order
-        rooted = lists.join(label, "node")
-        if edges is not None:
-            degree = edges.select(F.col("a").alias("node")).union(edges.select("b")).groupBy("node").agg(F.count("*").alias("degree"))
-            rooted = rooted.join(degree, "node", "left")
-        else:
-            rooted = rooted.withColumn("degree", F.lit(0).cast("long"))
-        heads = rooted.groupBy("token").agg(F.min(F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("node", F.lit(seed)), F.col("node").alias("mate"), F.col("root").alias("mate_root"), F.col("n").alias("mate_n"), F.col("left").alias("mate_left"))).alias("h"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 <> r1").select("token", "h.*", "size")
-        minor = saved(rooted.join(heads, "token").where("root <> mate_root"), f"minor-{seed}")
-        todo = minor.agg(F.sum("size")).first()[0] or 0
-        if not todo:
-            break
-        last = todo <= held // 4 or seed == rounds
-        if last:  # each entry outside its leader's class meets all of its list
-            own = live.select("node", "sketch", (F.octet_length("tokens") / 8).cast("long").alias("held"))
-            mates = rooted.join(own, "node").select("token", F.col("node").alias("mate"), F.col("root").alias("mate_root"), F.col("n").alias("mate_n"), F.col("left").alias("mate_left"), F.col("sketch").alias("mate_sketch"), F.col("held").alias("mate_held"))
-            apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("mate_sketch", F.lit(i)))) for i in range(1, BITS // 64)), F.bit_count(F.get("sketch", F.lit(0)).bitwiseXOR(F.get("mate_sketch", F.lit(0)))))
-            near = F.col("held") + F.col("mate_held") - apart >= 2 * F.ceil(F.lit(num) * (F.col("n") + F.col("mate_n")) / F.lit(num + den))
-            pairs = minor.select("token", "node", "root", "n", "left").join(own, "node").join(mates, "token").where(fits & (F.col("root") != F.col("mate_root")) & near)
-        else:  # each node tries the leaders that it meets in most lists: one at first, then several, as few nodes are left
-            best = Window.partitionBy("node").orderBy(F.desc("met"), "mate")
-            pairs = minor.where(fits).groupBy("node", "mate").agg(F.count("*").alias("met")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= (8 if seed else 1))
-        pairs = pairs.select(F.least("node", "mate").alias("a"), F.greatest("node", "mate").alias("b")).distinct()
-        one = live.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        two = live.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        found = saved(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verified(num, den), "a long, b long"), f"pairs-{seed}")
-        edges = found if edges is None else edges.union(found)
-        # only links between classes change them, and one a pair of classes is enough
-        of = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-        joined = found.join(of("a"), "a").join(of("b"), "b").where("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
-        merged = classes(joined, label.select(F.col("root").alias("node")).distinct())
-        label = saved(label.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root").select("node", F.col("top").alias("root")), f"classes-{seed}")
-        if last:
-            break
-    named = label.join(sets, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    table = sets.join(label, "node", "left").join(named, "root", "left")
-    counts = []
-    if count_links:
-        counts = ["n_links", "n_linked_rows"]
-        table = table.join(link_counts(live, label, sets, num, den, sets_per_chunk), "node", "left")
-        table = table.withColumn("n_links", F.coalesce("links", F.lit(0))).withColumn("n_linked_rows", F.coalesce("others", F.lit(0)) + F.col("rows") - 1)
-    table = table.select("node", F.coalesce("component_id", "least").alias("component_id"), *counts)
+        found = saved(search_groups(texts, sets, label, k, num, den, sets_per_chunk), "links-of-sets")
+        named = found.join(sets, "node").groupBy("root").agg(F.min("least").alias("named"))
+        table = sets.join(found.join(named, "root"), "node", "left").select("node", F.coalesce("named", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_linked_rows"))
     out = members.where("n > 0").join(table, "node").select("id", "n", "component_id", *counts)
     blank = members.where("n = 0").select("id", "n", F.col("id").alias("component_id"), *(F.lit(0).cast("long").alias(c) for c in counts))
     return out.unionByName(blank).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", *counts)
