@@ -45,13 +45,14 @@ def saved(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(*cols: str) -> Column:
-    """A 64-bit key that is never null."""
-    return F.xxhash64(*cols)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def small_batches(docs: DataFrame, rows: int = 2_000) -> DataFrame:
+    """Whole texts go to Python at most ``rows`` at a time, from here on in this session: Arrow batches are counted in rows, and
+    10,000 texts can be more than a worker's memory. A smaller setting is left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
 
 
 # ---------------------------------------------------------------- kernels

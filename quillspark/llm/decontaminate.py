@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE, ODD, mix, run_hashes, string_blocks, tokens
+from .common import BYTE, ODD, mix, run_hashes, small_batches, string_blocks, tokens
 
 #: Units that count as one after a number.
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton tons oz ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents pound pounds percent mph kmh w kw mw v a hz khz mhz ghz kb mb gb tb c f k degrees".split()
@@ -304,7 +304,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
-    texts = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
     schema = OUT.format(id=id_kind.simpleString(), item=item_kind.simpleString())
     items = benchmark.select(item_col, text_col)
     out = None

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, ODD, mix, saved, shingle_sets, string_blocks, word_hashes
+from .common import BLOCK_BYTES, ODD, mix, saved, shingle_sets, small_batches, string_blocks, word_hashes
 
 SKETCH_BITS, PIECE = 20, 1 << 16  # counters of the sketch; so many a row
 LOW = 39  # bits of a shingle that travel; the range's number adds the rest
@@ -45,7 +45,7 @@ def _sets(batch: pa.RecordBatch, k: int, size: int = BLOCK_BYTES) -> Iterator[tu
         yield at, shingle_sets(*word_hashes(data, off), k)
 
 
-def _once(batches: Iterator[pa.RecordBatch], k: int, most: int = 1_000_000) -> Iterator[dict[int, np.ndarray]]:
+def _once(batches: Iterator[pa.RecordBatch], k: int, most: int = 500_000) -> Iterator[dict[int, np.ndarray]]:
     """A task's different sets by name, about ``most`` shingles at a time."""
     sent: set[int] = set()
     held: dict[int, np.ndarray] = {}
@@ -437,7 +437,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns of the input are not read.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = saved(texts.mapInArrow(_named(k), f"id {docs.schema[id_col].dataType.simpleString()}, n long, node long, piece int, counts binary"), "members")
     members = rows.where("piece IS NULL").select("id", "n", "node")
     sets = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.count("*").alias("rows"))

@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import ODD, spread, string_blocks, tokens
+from .common import ODD, small_batches, spread, string_blocks, tokens
 
 UNKNOWN = "und"
 
@@ -150,30 +151,35 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def word_scores(data: np.ndarray, off: np.ndarray, m: Model):
-    """Log probability of each language for each word that some language's scripts allow; their starts, ends, rows."""
+    """Log probability of each language for each word that some language's scripts allow; their starts, ends, rows; of each
+    row, how many words are of other scripts and, for rows of such words only, the language whose trigrams fit best."""
+    rows = len(off) - 1
     gap, s, e, n, script = _words(data, off)
-    row = np.repeat(np.arange(len(off) - 1), n)
+    row = np.repeat(np.arange(rows), n)
     fits = m.scripts[script]
     some = fits.any(1)
-    if not len(s) or not some.any():
-        return np.zeros((0, len(m.langs)), np.float32), s[:0], e[:0], row[:0], np.bincount(row, minlength=len(off) - 1)
+    if not len(s):
+        return np.zeros((0, len(m.langs)), np.float32), s, e, row, np.zeros(rows, np.int64), np.zeros(rows, np.int64)
     g, first = _grams(data, s, e, gap, len(m.scores))
     x = np.empty((len(s), len(m.langs)), np.float32)
     for j in range(len(m.langs)):
         x[:, j] = np.add.reduceat(m.scores[:, j].copy()[g], first)
-    x[~fits] = -np.inf
     strange = np.flatnonzero(~some)
+    nearest = np.zeros((rows, len(m.langs)))
+    np.add.at(nearest, row[strange], x[strange])
+    x[~fits] = -np.inf
     if len(strange):  # symbols are no words of another script
         lettered: dict[bytes, bool] = {}
         of = [bytes(data[a:b]) for a, b in zip(s[strange].tolist(), e[strange].tolist(), strict=True)]
         for w in set(of):
             lettered[w] = bool(LETTER.search(w.decode("utf-8", "replace")))
         strange = strange[[lettered[w] for w in of]]
-    x, alien = x[some], np.bincount(row[strange], minlength=len(off) - 1)
-    x -= x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
-    np.maximum(x, m.floor, out=x)
-    return x, s[some], e[some], row[some], alien
+    x, alien = x[some], np.bincount(row[strange], minlength=rows)
+    if len(x):
+        x -= x.max(1, keepdims=True)
+        x -= np.log(np.exp(x).sum(1, keepdims=True))
+        np.maximum(x, m.floor, out=x)
+    return x, s[some], e[some], row[some], alien, nearest.argmax(1)
 
 
 def viterbi(x: np.ndarray, counts: np.ndarray, price: float) -> np.ndarray:
@@ -181,7 +187,7 @@ def viterbi(x: np.ndarray, counts: np.ndarray, price: float) -> np.ndarray:
     ends = np.cumsum(counts)
     starts = ends - counts
     full = np.flatnonzero(counts)
-    best = np.zeros(len(x), np.int8)
+    best = np.zeros(len(x), np.int16)
     if not len(x):
         return best
     home = np.add.reduceat(x, starts[full], axis=0).argmax(1)
@@ -210,7 +216,7 @@ def viterbi(x: np.ndarray, counts: np.ndarray, price: float) -> np.ndarray:
         top = now.argmax(1)
         jump = now[np.arange(w), top] - price
         stay = now >= jump[:, None]
-        back.append(np.where(stay, np.arange(k, dtype=np.int8), top[:, None].astype(np.int8)))
+        back.append(np.where(stay, np.arange(k, dtype=np.int16), top[:, None].astype(np.int16)))
         score[:w] = np.where(stay, now, jump[:, None]) + x[at[:w] + t]
     cur = score.argmax(1)
     for t in range(steps - 1, -1, -1):
@@ -221,23 +227,23 @@ def viterbi(x: np.ndarray, counts: np.ndarray, price: float) -> np.ndarray:
     return best
 
 
-def _label(m: Model, spans: bool):
+def _label(m: Model, spans: bool, kept: int, text: int):
     names = np.array([*m.langs, UNKNOWN], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
             pred, score, found = np.full(rows, len(m.langs)), np.zeros(rows), [[] for _ in range(rows)]
-            for at, to, data, off in string_blocks(batch.column(batch.num_columns - 1)):
+            for at, to, data, off in string_blocks(batch.column(text)):
                 if not m.langs:
                     continue
-                x, s, e, row, alien = word_scores(data, off, m)
+                x, s, e, row, alien, nearest = word_scores(data, off, m)
                 n = np.bincount(row, minlength=to - at)
                 path = viterbi(x, n, m.price)
                 votes = np.zeros((to - at, len(m.langs)))
                 np.add.at(votes, (row, path), 1)
-                top, total = votes.argmax(1), n + alien
-                known = n > 0
+                top, total = np.where(n > 0, votes.argmax(1), nearest), n + alien
+                known = total > 0
                 ascii_letters = np.r_[0, np.cumsum(~GAP[data] & (data < 128))]
                 odd = np.flatnonzero(known & (np.diff(ascii_letters[off]) == 0))
                 for i in odd:  # no ASCII letter: only then is it asked whether other characters are letters
@@ -249,10 +255,10 @@ def _label(m: Model, spans: bool):
                     new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(path) != 0)])
                     for a, b in zip(new, np.r_[new[1:], len(row)] - 1, strict=True):
                         found[at + row[a]].append({"start": int(point[s[a]] - point[off[row[a]]]), "end": int(point[e[b]] - point[off[row[a]]]), "lang": names[path[a]]})
-            out = [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(names[pred].tolist(), pa.string()), pa.array(score)]
+            out = [*(batch.column(i) for i in range(kept)), pa.array(names[pred].tolist(), pa.string()), pa.array(score)]
             if spans:
                 out.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
-            yield pa.RecordBatch.from_arrays(out, [*(f"c{i}" for i in range(batch.num_columns - 1)), "lang_pred", "score", *["spans"] * spans])
+            yield pa.RecordBatch.from_arrays(out, [*(f"c{i}" for i in range(kept)), "lang_pred", "score", *["spans"] * spans])
 
     return run
 
@@ -260,11 +266,15 @@ def _label(m: Model, spans: bool):
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", spans: bool = False) -> DataFrame:
     """The ``keep`` columns, lang_pred, score and, if asked, spans (start, end in code points; lang).
 
-    Defined cases: a null or empty text, and one without letters, is ``und`` with score 0 and no spans; so is a text
-    none of whose words is in a script that a learned language uses; an empty table gives no rows; with nothing to
-    learn from all texts are ``und``; columns not in ``keep`` are not read.
+    Defined cases: a null or empty text, and one without letters, is ``und`` with score 0 and no spans; a text with letters,
+    but no word in a script that a learned language uses, gets the language whose trigrams fit best, with score 0 and no
+    spans; an empty table gives no rows; with nothing to learn from all texts are ``und``; repeated rows are labelled one by
+    one; columns not in ``keep`` are not read, and ``keep`` names neither lang_pred, score nor spans.
     """
-    kinds = [f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)]
-    extra = ["spans array<struct<start:int,end:int,lang:string>>"] if spans else []
-    out = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t")).mapInArrow(_label(model, spans), ", ".join([*kinds, "lang_pred string", "score double", *extra]))
+    schema = StructType([StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]).add("lang_pred", "string").add("score", "double")
+    if spans:
+        schema = schema.add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer").add("lang", "string")))
+    text = keep.index(text_col) if text_col in keep else len(keep)  # a text that is kept travels once
+    sent = [F.col(c).alias(f"c{i}") for i, c in enumerate([*keep, *[text_col] * (text == len(keep))])]
+    out = small_batches(docs).select(*sent).mapInArrow(_label(model, spans, len(keep), text), schema)
     return out.withColumnsRenamed({f"c{i}": c for i, c in enumerate(keep)})

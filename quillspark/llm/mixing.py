@@ -21,6 +21,7 @@ from .common import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 DIGITS = 4
+ADDED = ("mix_size", "mix_source_size", "mix_target", "mix_repeats")
 
 
 def words_in(text: Column) -> Column:
@@ -107,7 +108,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     source names (code points, null last) to weights. A row of several sources has the sum of their sizes and targets.
     Defined cases: a null or empty text has size 0; null is a source like others; an empty or null source list takes no
     part (0 repeats); rows that repeat the same id and text are decided alike; an empty table gives no rows. Existing
-    columns named mix_* are replaced.
+    columns of the four names are replaced; all others, whatever their names, are kept.
     """
     spark = docs.sparkSession
     held = F.array_sort(F.array_distinct(sources)) if sources is not None else F.array(F.col("source"))
@@ -147,12 +148,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     head = inside.groupBy("p").agg(F.max(F.when(F.col("mid") <= F.col("rest"), F.col("key"))).alias("last"), F.lpad(F.lower(F.hex(F.min("bucket"))), DIGITS, "0").alias("edge")).select("p", F.coalesce("last", "edge").alias("last"))
     last = {r["p"]: r["last"] for r in head.collect()}
     # no edge: the rest takes every document of the pattern ("g" is above all keys)
-    plan_df = spark.createDataFrame([(*x[:4], last.get(x[0], "g")) for x in plan], "mix_p string, mix_source_size long, mix_target double, mix_passes int, mix_last string")
-    held_back = [c for c in docs.columns if c.startswith("mix_")]
-    out = docs.drop(*held_back).withColumns({"mix_size": words_in(F.col(text_col)), "mix_key": key, "mix_p": pattern})
-    out = out.join(near(plan_df), "mix_p", "left")
-    repeats = F.when(F.col("mix_source_size").isNull() | (F.col("mix_source_size") == 0), 0).otherwise(F.least(F.lit(max_repeats), F.col("mix_passes") + (F.col("mix_key") <= F.col("mix_last")).cast("int")))
-    return out.withColumn("mix_repeats", repeats.cast("int")).drop("mix_p", "mix_key", "mix_passes", "mix_last")
+    plan_df = spark.createDataFrame([(*x[:4], last.get(x[0], "g")) for x in plan], "p string, source_size long, target double, passes int, last string")
+    kept = [c for c in docs.columns if c not in ADDED]
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("doc"), words_in(F.col(text_col)).alias("size"), key.alias("key"), pattern.alias("p")).join(near(plan_df), "p", "left")
+    repeats = F.when(F.col("source_size").isNull() | (F.col("source_size") == 0), 0).otherwise(F.least(F.lit(max_repeats), F.col("passes") + (F.col("key") <= F.col("last")).cast("int")))
+    return out.select("doc.*", *(c.alias(x) for x, c in zip(ADDED, (F.col("size"), F.col("source_size"), F.col("target"), repeats.cast("int")), strict=True)))
 
 
 ORACLE = r"""

@@ -49,15 +49,19 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.is_held_out("doc_id"))
     model = langid.fit(docs.where(~F.col("held_out")))
-    return langid.identify(docs, model, ["doc_id", "held_out"])
+    found = langid.identify(docs, model, ["doc_id", "held_out"], spans=True)
+    told = F.transform("spans", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"), x["lang"]))
+    return found.withColumn("spans", F.array_join(told, ","))
 
 
 def op8_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents"))
+def op9_line_dedup(spark: SparkSession, sf_dir: str, run_words: int = 30) -> DataFrame:
+    """Sentences, whatever their length, in runs of ``run_words`` or more words that other places hold too; the occurrence
+    that stays of each is told beside those that go (``removed``)."""
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=1, kind="sentence", run_words=run_words, occurrences=True)
 
 
 def op10_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies (public).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 400_000
@@ -188,7 +190,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, edits: str | None = None, id_
     """
     kind = docs.schema[id_col].dataType.simpleString()
     cols = [F.col(id_col).alias("c0"), F.col(text_col).alias("text"), (F.col(edits) if edits else F.lit(None)).cast(EDITS).alias("edits")]
-    out = docs.select(*cols).mapInArrow(_count(vocabulary, 1), ", ".join([f"c0 {kind}", *(f"{x} long" for x in NAMES)]))
+    out = small_batches(docs).select(*cols).mapInArrow(_count(vocabulary, 1), ", ".join([f"c0 {kind}", *(f"{x} long" for x in NAMES)]))
     return out.withColumnRenamed("c0", id_col)
 
 

@@ -1,10 +1,14 @@
 """Whole results where an operator once gave a part of them."""
 
 import random
+import re
+from collections import defaultdict
 
-from quillspark.llm import decontaminate, jaccard_join, langid, queries
+from pyspark.sql import functions as F
 
-from test_llm import ODD, docs_of, frame, shingles
+from quillspark.llm import decontaminate, jaccard_join, langid, line_dedup, queries
+
+from test_llm import ODD, WORD, docs_of, frame, lower, shingles
 
 
 # ---------------------------------------------------------------- 5
@@ -83,6 +87,81 @@ def test_benchmark_items_without_windows(spark):
     assert {(r.doc_id, r.item_id) for r in few} == set(got)
 
 
+# ---------------------------------------------------------------- 9
+
+
+def brute_runs(rows, least):
+    """(id, unit, start, end, words, keep id, keep unit, occurrences, words of the run, removed) of repeated sentences."""
+    units = []
+    for i, (d, t) in enumerate(rows):
+        at = unit = 0
+        own = []
+        for line in (t or "").split("\n"):
+            b = 0
+            for m in [*re.finditer(r"(?<=[.!?])[\x20\x09-\x0D]+", line), None]:
+                e = m.start() if m else len(line)
+                if e > b:
+                    if w := WORD.findall(lower(line[b:e])):
+                        own.append((unit, at + b, at + e, tuple(w)))
+                    unit += 1
+                b = m.end() if m else e
+            at += len(line) + 1
+        units.append((d, i, own))
+    places, held = defaultdict(list), defaultdict(set)
+    for d, i, own in units:
+        for u, _, _, w in own:
+            places[w].append((d is None, d, u))
+            held[w].add(i)
+    out = []
+    for d, _, own in units:
+        runs = [[]]
+        for x in own:
+            if len(held[x[3]]) > 1:
+                runs[-1].append(x)
+            elif runs[-1]:
+                runs.append([])
+        for run in runs:
+            total = sum(len(w) for *_, w in run)
+            for u, s, e, w in run if total >= least else ():
+                _, kd, ku = min(places[w], key=lambda p: (p[0], p[1] or 0, p[2]))
+                out.append((d, u, s, e, len(w), kd, ku, len(places[w]), total, (d, u) != (kd, ku)))
+    return sorted(out, key=str)
+
+
+def test_sentence_runs(spark):
+    passage = "One two three four five. Six seven\teight! Nine ten eleven twelve?  Thirteen fourteen é fifteen"
+    wrapped = "  one two three four five.\r\nSIX seven eight!\n \nNine ten eleven twelve? Thirteen fourteen é fifteen"
+    rows = [*ODD, (20, f"Alone here. {passage}. End."), (21, f"{wrapped}.\nEnd."), (None, f"{passage}"), (26, "Twice here in one. Twice here in one."), (22, " "), (23, "x. "), (24, " y"), (25, "x.\n  y"), (21, "End.")]
+    for least in (1, 8, 14, 16):
+        got = line_dedup.repeated_units(frame(spark, rows), min_words=1, kind="sentence", run_words=least, occurrences=True, rows_per_salt=1 if least == 8 else 1000)
+        assert sorted(map(tuple, got.collect()), key=str) == brute_runs([(r[0], r[1]) for r in rows], least), least
+
+
+def test_passages_whole_table(spark):
+    docs = [(r.doc_id, r.text) for r in docs_of(spark, "/root/testdata/sf0.01").collect()]
+    got = queries.op9_line_dedup(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(tuple, got), key=str) == brute_runs(docs, 30)
+    held = defaultdict(set)
+    for d, t in docs:
+        w = WORD.findall(lower(t))
+        for i in range(len(w) - 50):
+            held[tuple(w[i : i + 51])].add(d)
+    truth = {d for s in held.values() if len(s) > 1 for d in s}
+    found = {r.doc_id for r in got}
+    assert len(truth & found) >= 0.95 * len(truth) and len(found - truth) <= 0.04 * (len(docs) - len(truth))
+
+
+def test_cut_tells_texts_of_one_id_apart(spark):
+    line = "this line has six words é"
+    rows = [(None, "nothing of this kind here at all"), (None, f"{line}\nrest"), (7, f"{line}\nother"), (7, "again no line that repeats x"), (7, f"{line}\nother"), (8, line), (9, None)]
+    docs = frame(spark, rows).withColumn("spans", F.lit("clash")).withColumn("text_key", F.lit(1)).withColumn("own", F.lit(2))
+    removed = line_dedup.repeated_units(docs, text_keys=True)
+    out = line_dedup.without_units(docs, removed)
+    assert out.columns == docs.columns and out.first().spans == "clash"
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(None, "nothing of this kind here at all"), (None, "\nrest"), (7, f"{line}\nother"), (7, "again no line that repeats x"), (7, f"{line}\nother"), (8, ""), (9, None)], key=str)
+
+
 # ---------------------------------------------------------------- 7
 
 
@@ -99,7 +178,66 @@ def test_words_of_unlearned_scripts_and_symbols(spark):
     model = langid.fit(frame(spark, [(i, "the of and to that with this", "en") for i in range(50)]))
     texts = ["the 日本語 テキスト です", "this → € — …", "日本語 テキスト", "→ € 12", None]
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(frame(spark, list(enumerate(texts))), model, ["doc_id"]).collect()}
-    assert got == {0: ("en", 0.25), 1: ("en", 1.0), 2: ("und", 0.0), 3: ("und", 0.0), 4: ("und", 0.0)}
+    assert got == {0: ("en", 0.25), 1: ("en", 1.0), 2: ("en", 0.0), 3: ("und", 0.0), 4: ("und", 0.0)}
+
+
+def brute_language(t, m):
+    """(language, score) by definition: word by word, all paths at once in a plain dynamic programme."""
+    import numpy as np
+
+    known, strange, nearest = [], 0, np.zeros(len(m.langs))
+    data = (t or "").encode()
+    for w in re.findall(rb"[A-Za-z\x80-\xff]+", data):
+        word, cp = w.decode("utf-8", "replace"), 0
+        script = langid.SCRIPT[w[0] << 8 | (w[1] if w[0] >= 128 and len(w) > 1 else 0)]
+        low = [0, *(b + 32 if 65 <= b <= 90 else b for b in w), 0]
+        x = np.zeros(len(m.langs), np.float64)
+        for a, b, c in zip(low, low[1:], low[2:], strict=False):
+            h = (a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF
+            h = ((h ^ h >> 15) * 0x2C1B3C6D) & 0xFFFFFFFF
+            x += m.scores[(h >> 12) % len(m.scores)]
+        if not m.scripts[script].any():
+            nearest += x
+            strange += any(c.isalpha() for c in word)
+            continue
+        x[~m.scripts[script]] = -np.inf
+        x -= x.max()
+        known.append(np.maximum(x - np.log(np.exp(x).sum()), m.floor))
+    if not any(c.isalpha() for c in t or ""):
+        return "und", 0.0
+    if not known:
+        return m.langs[int(nearest.argmax())], 0.0
+    best, back = known[0].copy(), []
+    for x in known[1:]:
+        jump = best.max() - m.price
+        back.append([j if best[j] >= jump else int(best.argmax()) for j in range(len(x))])
+        best = np.maximum(best, jump) + x
+    path = [int(best.argmax())]
+    for step in reversed(back):
+        path.append(step[path[-1]])
+    votes = np.bincount(path, minlength=len(m.langs))
+    return m.langs[int(votes.argmax())], votes.max() / (len(known) + strange)
+
+
+def test_languages_whole_table(spark):
+    docs = docs_of(spark).withColumn("held_out", langid.is_held_out("doc_id"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    text = {r.doc_id: r.text for r in docs.collect()}
+    near = 0
+    for r in queries.op7_language(spark, "/root/testdata/sf0.01").collect():
+        lang, score = brute_language(text[r.doc_id], model)
+        assert r.lang_pred == lang and abs(r.score - score) < 0.02, r.doc_id
+        near += abs(r.score - score) > 1e-9  # equal paths may be told apart by rounding
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert all(int(a) < int(b) <= len(text[r.doc_id]) for a, b, _ in spans) and (lang == "und" or lang in {x for *_, x in spans})
+    assert near < 5
+
+
+def test_all_texts_with_letters_have_a_language(spark):
+    model = langid.fit(docs_of(spark))
+    texts = ["Привет мир это русский текст", "日本語のテキスト", "Ελληνικά", "a — € €", "the cat — … € — … €", "x", "ß", "数", "12 a"]
+    got = langid.identify(frame(spark, list(enumerate(texts))), model, ["doc_id"]).collect()
+    assert all(r.lang_pred in model.langs for r in got) and {r.doc_id for r in got if r.score == 0} == {0, 1, 2, 7}
 
 
 # ---------------------------------------------------------------- pipeline
@@ -117,3 +255,29 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     of = lambda *ts: [i for i, t in got if t in ts]
     assert of(a, a + " end") == [1] and of(b, b + " end") == [1] and of(c, c + " end") == [None] and of(d) == [3]
     assert len(of("", None)) == 3 and len(got) == 7
+
+
+def test_decontaminated_with_repeated_and_null_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    item = "which of the rivers that flow through the old town carries more water in the spring than in the autumn"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"so {item}"), (None, "a clean one without id"), (None, None), (7, f"{item} ok"), (7, "a clean one of that id"), (8, "clean"), (8, "clean")]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.decontaminated(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted((r for r in rows if item not in (r[1] or "")), key=str)
+
+
+def test_stages_with_clashing_columns(spark):
+    import corpus_pipeline
+
+    docs = docs_of(spark, "/root/testdata/sf0.001").limit(60)
+    names = ["score", "lang_pred", "spans", "_nth", "hit", "hits", "key", "doc", "id", "content", "none", "blank", "nth", "again", "mix_size", "mix_other", "mix_p", "p", "size", "held", "bucket", "node", "n", "root", "row", "shard", "slot", "range", "sub"]
+    more = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, more, "/root/testdata/sf0.001"), stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == more.columns, name
+        rows = out.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect()) and rows, name
+        assert all(r[c] == f"own {c}" for r in rows for c in names), name
+    assert corpus_pipeline.sharded(spark, more, "").count() == 60
