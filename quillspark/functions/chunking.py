@@ -88,3 +88,9 @@ def overlapped(chunks: Column, size: int, overlap: int, splitter: Callable[[Colu
         return F.when(skip, c).otherwise(F.when(held == "", c).otherwise(F.concat(held, F.lit("\n\n"), c)))
 
     return F.transform(chunks, with_tail)
+
+
+def same_chunks(stored: Column, new: Column) -> Column:
+    """Whether stored chunks can stay: there are some, and they are the new ones in order. Null counts as none."""
+    held, fresh = F.coalesce(stored, F.array().cast("array<string>")), F.coalesce(new, F.array().cast("array<string>"))
+    return (F.size(held) > 0) & (held == fresh)

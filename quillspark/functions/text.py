@@ -127,3 +127,28 @@ def org_code(length: int = 10) -> Column:
     """A random code of A-Z and 0-9, another for every row and run."""
     letters = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
     return F.concat(*[F.substr(letters, F.floor(F.rand() * 36).cast("int") + 1, F.lit(1)) for _ in range(length)])
+
+
+def characters(x: Column) -> Column:
+    """The characters of a text with their places, as an array of (c, i)."""
+    return F.transform(F.filter(F.split(x, "(?s)(?<=.)"), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+
+
+def normal_map(x: Column, symbols: str = SYMBOLS) -> Column:
+    """Of each character of ``normalize(x)``, its place in ``x``: a run of white space stands where it begins."""
+    held = F.filter(F.transform(characters(x), lambda e: F.struct(F.translate(e["c"], symbols, "").alias("c"), e["i"].alias("i"))), lambda e: e["c"] != "")
+    blank = lambda e: e["c"].rlike(r"(?U)^\s$")
+    begins = lambda a: F.filter(a, lambda e, j: ~blank(e) | (j == 0) | ~F.coalesce(blank(F.get(a, j - 1)), F.lit(False)))
+    cut = lambda a: F.slice(a, F.when(blank(F.get(a, F.lit(0))), 2).otherwise(1), F.greatest(F.size(a) - F.when(blank(F.get(a, F.lit(0))), 1).otherwise(0) - F.when((F.size(a) > 1) & blank(F.get(a, F.size(a) - 1)), 1).otherwise(0), F.lit(0)))
+    some = lambda a: F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(F.transform(cut(a), lambda e: e["i"]))
+    return let(let(held, begins), some)
+
+
+def normal_start(places: Column, start: Column) -> Column:
+    """Where the normalised text has the first character that stood at ``start`` or later; null if there is none."""
+    return F.nullif(F.size(F.filter(places, lambda p: p < start)), F.size(places))
+
+
+def admin_code() -> Column:
+    """A random code of 12 hexadecimal digits, another for every row and run."""
+    return F.left(F.replace(F.uuid(), F.lit("-"), F.lit("")), F.lit(12))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.parsers import VERDICTS
 from quillspark.functions.periods import PERIOD_LABELS, UNCATEGORIZED, within
 
 
@@ -53,10 +54,18 @@ def recent(scope: DataFrame, n: int = 5) -> DataFrame:
     return scope.select("organization_id", "id", "title", article_date(scope).alias("published_at")).withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= n)
 
 
+def search_organization(articles: DataFrame, links: DataFrame, users: DataFrame) -> DataFrame:
+    """(article_id, organization_id, error): the one organisation that a search around the article covers; ``none`` or
+    ``several`` as error where there is no such one."""
+    held = links.join(users.select(F.col("id").alias("user_id"), "organization_id"), "user_id").groupBy("article_id").agg(F.min("organization_id").alias("lo"), F.max("organization_id").alias("hi"))
+    found = articles.select(F.col("id").alias("article_id")).join(held, "article_id", "left")
+    return found.select("article_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("organization_id"), F.when(F.col("lo").isNull(), "none").when(F.col("lo") != F.col("hi"), "several").alias("error"))
+
+
 def only_organization(links: DataFrame, users: DataFrame) -> DataFrame:
     """The organisation of each article, null if several hold it."""
-    n = holders(links, users).groupBy("article_id").agg(F.count("*").alias("n"), F.min("organization_id").alias("o"))
-    return n.select("article_id", F.when(F.col("n") == 1, F.col("o")).alias("organization_id"))
+    held = links.join(users.select(F.col("id").alias("user_id"), "organization_id"), "user_id").groupBy("article_id").agg(F.min("organization_id").alias("lo"), F.max("organization_id").alias("hi"))
+    return held.select("article_id", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("organization_id"))
 
 
 def access(users: DataFrame, links: DataFrame, articles: DataFrame, article_id: int) -> DataFrame:
@@ -115,3 +124,17 @@ def sentence_categories(counts: DataFrame, period: str) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "category")))
     held = F.transform(order, lambda x: F.concat(F.lit("- "), x["category"], F.lit(": "), (-x["n"]).cast("string"), F.lit("건")))
     return counts.groupBy("organization_id").agg(F.concat(F.lit(f"{PERIOD_LABELS[period]} 기준 회사 기사 분야별 개수입니다. (총 "), F.sum("n").cast("string"), F.lit("건)\n"), F.array_join(held, "\n")).alias("answer"))
+
+
+def count_members(users: DataFrame) -> DataFrame:
+    return users.groupBy("organization_id").agg(F.count("*").alias("n"))
+
+
+def user_responses(users: DataFrame, organizations: DataFrame) -> DataFrame:
+    """Users as they are shown: with their organisation's name, without what is secret."""
+    return users.join(organizations.select(F.col("id").alias("organization_id"), F.col("name").alias("organization")), "organization_id").select("organization", "nickname", "role")
+
+
+def verdict_tally(verdicts: DataFrame, verdict: Column) -> DataFrame:
+    """One row: how many of each verdict (met, short, none, failed)."""
+    return verdicts.agg(*[F.count_if(verdict == x).alias(n) for n, x in zip(("met", "short", "none", "failed"), VERDICTS, strict=True)])

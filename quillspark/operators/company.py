@@ -51,10 +51,8 @@ def _numbered(head: str, found: Column, tail: str, empty: str) -> Column:
 
 
 def _first_titles(table: DataFrame, name: str) -> DataFrame:
-    order = Window.partitionBy("organization_id").orderBy("id")
-    first = table.select("organization_id", "id", "title").withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= TITLES)
-    held = F.transform(F.array_sort(F.collect_list(F.struct("_nth", "title"))), lambda x: x["title"])
-    return first.groupBy("organization_id").agg(held.alias(name))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("nth", "title"))), lambda x: x["title"])
+    return titles_of(table).groupBy("organization_id").agg(held.alias(name))
 
 
 def run(requests: DataFrame, articles: DataFrame, links: DataFrame, users: DataFrame, templates: DataFrame, guidelines: DataFrame, now: datetime) -> DataFrame:
@@ -137,3 +135,37 @@ def evaluation_text(items: Column) -> Column:
     head = F.concat_ws(", ", *[count(v) for v in graded], F.when(n(failed) > 0, count(failed)))
     item = lambda i: F.concat(F.lit("\n["), i["verdict"], F.lit("] "), i["title"], F.when(F.coalesce(i["reason"], F.lit("")) != "", F.concat(F.lit("\n- 이유: "), i["reason"])).otherwise(""))
     return F.concat_ws("\n", head, F.transform(items, item))
+
+
+def spoken_text(table: DataFrame, names: tuple[str, ...] = ("body", "text")) -> Column:
+    """The text of a row, whichever of ``names`` its table has: of several the first that is not null."""
+    held = [n for n in names if dict(table.dtypes).get(n) == "string"]
+    if not held:
+        raise TypeError(f"a text column is needed: one of {', '.join(names)}")
+    return F.coalesce(*held)
+
+
+def agent(questions: DataFrame, articles: DataFrame, organizations: DataFrame, web: DataFrame, company: DataFrame, answers: DataFrame) -> DataFrame:
+    """All questions (question_id, article_id, question, answer: what the model says to the article's own context, raw: its call)
+    from context to answer: (question_id, scope, context, answer).
+
+    ``articles`` and ``organizations`` (question_id, context) hold what retrieval found, ``web`` (question_id, context) and
+    ``company`` (question_id, answer) what the tools said, ``answers`` (question_id, scope, answer) what the model makes of the
+    final context. The scope's context takes the place of the article's; without any there is no answer.
+    """
+    held = questions.join(articles.select("question_id", F.col("context").alias("own")), "question_id", "left")
+    held = held.withColumn("own", F.coalesce("own", F.lit("")))
+    call = parsers.checked_call(parsers.tool_call(F.col("raw")), F.col("question"))
+    scope = parsers.retrieval_scope(F.col("question"), call, F.col("answer"), F.col("own"))
+    held = held.select("question_id", "own", scope.alias("scope"))
+    for name, table, column in (("organization", organizations, "context"), ("web", web, "context"), ("company", company, "answer")):
+        held = held.join(table.select("question_id", F.col(column).alias(name)), "question_id", "left")
+    context = F.coalesce(final_context(F.col("scope"), F.col("own"), F.col("organization"), F.col("web"), F.col("company")), F.lit(""))
+    held = held.select("question_id", "scope", context.alias("context")).join(answers.select("question_id", "scope", "answer"), ["question_id", "scope"], "left")
+    return held.select("question_id", "scope", "context", final_answer(F.col("context"), F.col("answer")).alias("answer"))
+
+
+def titles_of(table: DataFrame) -> DataFrame:
+    """(organization_id, id, title, nth): the first titles of each organisation, as many as an answer lists."""
+    order = Window.partitionBy("organization_id").orderBy("id")
+    return table.select("organization_id", "id", "title").withColumn("nth", F.row_number().over(order).cast("long")).where(F.col("nth") <= TITLES)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
+
 
 def appended(table: DataFrame, new: DataFrame, id_col: str = "id", order: str | None = None) -> DataFrame:
-    """New rows get dense ids after the largest one. Inserts are small against the table they go into."""
-    top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_top"))
-    nth = F.row_number().over(Window.orderBy(*([order] if order else [c for c in new.columns if c != id_col])))
-    return table.unionByName(new.join(F.broadcast(top)).withColumn(id_col, (F.col("_top") + nth).cast("long")).drop("_top"), allowMissingColumns=True)
+    """New rows get dense ids after the largest one."""
+    top = table.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    fresh = numbered(new.drop(id_col), [order] if order else [c for c in new.columns if c != id_col], id_col, int(top) + 1)
+    return table.unionByName(fresh, allowMissingColumns=True)
 
 
 def linked(links: DataFrame, new: DataFrame) -> DataFrame:
@@ -103,3 +105,9 @@ def delete_article_for(t: dict[str, DataFrame], user_id: int, article_id: int) -
 
 def unexpired(tokens: DataFrame, now: Column) -> DataFrame:
     return tokens.where(F.col("expired_at") > now)
+
+
+def removed_rows(table: DataFrame, keys: DataFrame, on: dict[str, str]) -> DataFrame:
+    """One row: how many rows ``without`` takes away (n)."""
+    k = keys.select(*[F.col(b).alias(f"_k_{a}") for a, b in on.items()]).distinct()
+    return table.join(k, [table[a] == k[f"_k_{a}"] for a in on], "left_semi").agg(F.count("*").alias("n"))

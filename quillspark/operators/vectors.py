@@ -37,3 +37,11 @@ def merged(found: DataFrame) -> DataFrame:
 def context(found: DataFrame, text: str = "content") -> DataFrame:
     held = F.transform(F.array_sort(F.collect_list(F.struct("nth", "id", text))), lambda x: x[text])
     return found.groupBy("query_id").agg(F.array_join(held, "\n\n").alias("context"))
+
+
+def categorisation_context(articles: DataFrame, chunks: DataFrame, embed, k: int = 5) -> DataFrame:
+    """(query_id, context): of each article (id, title, body) its ``k`` chunks nearest to its title and first paragraph, joined in
+    order of rank. ``embed`` turns a text column into a vector column."""
+    source = F.concat(F.coalesce("title", F.lit("")), F.lit("\n"), F.substring_index(F.coalesce("body", F.lit("")), "\n\n", 1))
+    queries = articles.select(F.col("id").alias("query_id"), F.col("id").alias("article_id"), embed(source).alias("query_vector"))
+    return context(neighbours(queries, chunks, ["article_id"], k))

@@ -85,7 +85,7 @@ def recent_articles(a: Archive) -> DataFrame:
 
 @query("SELECT organization_id, count(*) AS n FROM users GROUP BY organization_id")
 def count_members(a: Archive) -> DataFrame:
-    return a.users.groupBy("organization_id").agg(F.count("*").alias("n"))
+    return archive.count_members(a.users)
 
 
 @query("SELECT article_id, CASE WHEN count(*) = 1 THEN min(organization_id) END AS organization_id FROM hold GROUP BY article_id")
@@ -100,7 +100,7 @@ def user_access(a: Archive) -> DataFrame:
 
 @query("SELECT o.name AS organization, u.nickname, u.role FROM users u JOIN organizations o ON u.organization_id = o.id")
 def user_responses(a: Archive) -> DataFrame:
-    return a.users.join(F.broadcast(a.organizations.withColumnRenamed("id", "organization_id")), "organization_id").select(F.col("name").alias("organization"), "nickname", "role")
+    return archive.user_responses(a.users, a.organizations)
 
 
 @query("SELECT organization_id, '올해, 전체 분야 기준 회사 기사는 ' || count(*) || '건입니다.' AS answer FROM hold h JOIN articles a ON a.id = h.article_id WHERE a.published_at >= TIMESTAMP '1998-01-01' AND a.published_at < TIMESTAMP '1999-01-01' GROUP BY organization_id")
@@ -215,12 +215,12 @@ def overlap_chunks(a: Archive) -> DataFrame:
 
 
 def _tables(a: Archive) -> dict[str, DataFrame]:
-    talks = a.user_articles.where("article_id < 2000").select((F.col("user_id") * 1_000_000 + F.col("article_id")).alias("id"), "user_id", "article_id")
+    talks = a.user_articles.select((F.col("user_id") * 1_000_000 + F.col("article_id")).alias("id"), "user_id", "article_id")
     said = talks.select(F.col("id").alias("conversation_id"), F.explode(F.array(F.lit("user"), F.lit("assistant"))).alias("role"))
     return {"users": a.users, "articles": a.articles.select("id", "visibility"), "user_articles": a.user_articles, "conversations": talks, "messages": said, "article_chunks": a.chunks.select("id", "article_id", "chunk_index")}
 
 
-_STATE = "talks AS (SELECT user_id * 1000000 + article_id AS id, user_id, article_id FROM user_articles WHERE article_id < 2000), said AS (SELECT id AS conversation_id, unnest(['user', 'assistant']) AS role FROM talks)"
+_STATE = "talks AS (SELECT user_id * 1000000 + article_id AS id, user_id, article_id FROM user_articles), said AS (SELECT id AS conversation_id, unnest(['user', 'assistant']) AS role FROM talks)"
 
 
 def _sizes(t: dict[str, DataFrame]) -> DataFrame:
@@ -367,8 +367,7 @@ def parse_tool_call(a: Archive) -> DataFrame:
 @query("SELECT CAST(sum(CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS met, CAST(sum(CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS short, CAST(sum(CASE WHEN turn % 4 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS none, CAST(sum(CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM conversations WHERE role <> 'system'")
 def evaluation_tally(a: Archive) -> DataFrame:
     raw = F.element_at(F.lit(["판정: 충족\n이유: 좋다", "미흡", "판정: 해당  없음", "모르겠다"]), (F.col("turn") % 4 + 1).cast("int"))
-    v = parsers.verdict(raw)["verdict"]
-    return _said(a).agg(*[F.count_if(v == x).alias(n) for n, x in zip(("met", "short", "none", "failed"), parsers.VERDICTS, strict=True)])
+    return archive.verdict_tally(_said(a), parsers.verdict(raw)["verdict"])
 
 
 @query("SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events GROUP BY 1, 2")
@@ -381,8 +380,8 @@ def event_windows(a: Archive) -> DataFrame:
 
 @query("SELECT doc_id, source, nth FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM documents) WHERE nth <= 20")
 def titles_limit(a: Archive) -> DataFrame:
-    order = Window.partitionBy("source").orderBy("doc_id")
-    return a.raw("documents").select("doc_id", "source", F.row_number().over(order).cast("long").alias("nth")).where("nth <= 20")
+    own = a.raw("documents").select(F.col("source").alias("organization_id"), F.col("doc_id").alias("id"), F.col("lang").alias("title"))
+    return company.titles_of(own).select(F.col("id").alias("doc_id"), F.col("organization_id").alias("source"), "nth")
 
 
 # ---------------------------------------------------------------- company questions

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions.text import normal_map, normal_start, normalize
+from quillspark.operators.order import cut, numbered
+
 #: Fixed value: the order in which types are cleaned; scarce types first.
 PRIORITY = ("unanswerable", "text_entailment", "span_inference", "span_extraction")
 
@@ -22,7 +25,7 @@ def quotas(size: int, ratios: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def salted(seed: str, *cols: str) -> Column:
+def salted(seed: str, *cols: str | Column) -> Column:
     return F.sha2(F.concat_ws("-", F.lit(seed), *cols).cast("binary"), 256)
 
 
@@ -53,7 +56,7 @@ def by_priority(df: DataFrame, kinds: tuple[str, ...] = PRIORITY, kind: str = "q
             for c in ("context", "doc_id"):
                 seen = kept.select(F.col(c).alias("_seen")).distinct()
                 own = own.join(seen, own[c].eqNullSafe(seen["_seen"]), "left_anti")
-        own = first_of(own, ["doc_id"], order)
+        own = cut(first_of(own, ["doc_id"], order))  # it is read again for every later type
         kept = own if kept is None else kept.unionByName(own)
     return kept
 
@@ -90,32 +93,84 @@ def balanced(df: DataFrame, n: int, seed: str, flag: Column, share: float = 0.5,
     return sample(df.where(flag), yes, seed, id_col).unionByName(sample(df.where(~flag), n - yes, seed, id_col))
 
 
+def group_key(kind: Column, answer: Column) -> Column:
+    """The group that order and checks go by: the type, for yes/no questions with the answer."""
+    return F.when(kind == "text_entailment", F.concat(kind, F.lit(":"), F.coalesce(answer, F.lit("")))).otherwise(kind)
+
+
+#: What the raw answers of a yes/no question are called, and the answer to a question that has none.
+YES_NO, UNANSWERABLE = {"Yes": "예", "No": "아니오"}, "본문에서 답을 찾을 수 없습니다."
+
+
+def records(raw: DataFrame) -> DataFrame:
+    """Records of raw questions (id, question_type, question, raw_context, answer, answer_start, evidence): normalised, with the answer's
+    place found again, and ``reason`` for those that are left out; null texts count as empty.
+    """
+    norm = lambda c: F.nullif(normalize(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    kind, spoken = F.col("question_type"), F.col("question_type").isin("span_extraction", "span_inference")
+    full = raw.withColumns({"context": normalize(F.col("raw_context")), "new_question": F.coalesce(norm("question"), F.lit("")), "new_answer": F.coalesce(norm("answer"), F.lit("")), "new_evidence": norm("evidence")})
+    full = full.withColumn("new_start", F.when(spoken, normal_start(normal_map(F.col("raw_context")), F.col("answer_start"))))
+    reason = reject_reason(kind, F.col("new_question"), F.col("answer"), F.col("answer_start"), F.col("raw_context"), F.col("context"), F.col("new_answer"), F.col("new_start"))
+    said = F.when(kind == "unanswerable", UNANSWERABLE).when(kind == "text_entailment", F.create_map(*[F.lit(x) for p in YES_NO.items() for x in p])[F.col("answer")]).otherwise(F.col("new_answer"))
+    kept = lambda c: F.when(F.col("reason").isNull(), c)
+    return full.withColumn("reason", reason).select(
+        F.col("id").cast("string").alias("id"), "question_type", F.col("new_question").alias("question"), "context", kept(said).alias("answer"), kept(F.when(spoken, F.col("new_start"))).cast("int").alias("answer_start"),
+        F.col("new_evidence").alias("evidence"), (kind == "unanswerable").alias("is_impossible"), "reason",
+    )
+
+
+def shuffled(df: DataFrame, seed: str, id_col: str = "id") -> DataFrame:
+    """``pos``: each row's place in a seeded order."""
+    return numbered(df.withColumn("_key", salted(seed, F.col(id_col).cast("string"))), ["_key", id_col], "pos").drop("_key")
+
+
+def in_order(df: DataFrame, seed: str, group: str, id_col: str = "id") -> DataFrame:
+    """``pos``: each row's place when all groups are spread evenly; rows of equal place stand in salted order."""
+    placed = interleaved(df, seed, group, id_col).withColumn("_key", salted(f"{seed}-tie", F.col(id_col).cast("string")))
+    return numbered(placed, ["place", "_key", id_col], "pos").drop("_key")
+
+
 def interleaved(df: DataFrame, seed: str, group: str, id_col: str = "id") -> DataFrame:
     """place = (nth - 0.5) / size within the group: sorting by it spreads every group evenly."""
     inner = Window.partitionBy(group).orderBy(salted(seed, id_col), id_col)
     return df.withColumn("place", (F.row_number().over(inner) - 0.5) / F.count("*").over(Window.partitionBy(group)))
 
 
-def replacements(removed: DataFrame, pool: DataFrame, seed: str, group: str = "grp", category: str = "category") -> DataFrame:
-    """(removed_id, id): for each removed record the next free one of its group, of its category if possible, in salted
-    order. Removed records are few; what each may take is ranked at once, conflicts are settled in turn."""
+def replacements(removed: DataFrame, pool: DataFrame, seed: str, group: str = "grp", category: str = "category", most: int = 1_000) -> DataFrame:
+    """(removed_id, id): for each removed record, in order of id, the next free one of its group, of its category if possible, in salted
+    order; an error if none is left. Removed records are a list that people keep, ``most`` of them; what each may take is
+    ranked at once, conflicts are settled in turn."""
     few = removed.select(F.col("id").alias("removed_id"), F.col(group).alias("_g"), F.col(category).alias("_c"))
     n = few.count()
+    if n > most:
+        raise ValueError(f"{n} records to replace, more than {most}")
     key = F.sha2(F.concat_ws("-", F.lit(seed), F.lit("golden-replace"), "removed_id", "id").cast("binary"), 256)
     order = Window.partitionBy("removed_id").orderBy((F.col(category) != F.col("_c")).cast("int"), key)
-    ranked = pool.join(F.broadcast(few) if n < 10_000 else few, pool[group] == F.col("_g")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
-    taken, out = set(), []
+    ranked = pool.join(F.broadcast(few), pool[group] == F.col("_g")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
+    taken: set = set()
+    out: dict = {}
     for r in ranked.select("removed_id", "id", "nth").orderBy("removed_id", "nth").toLocalIterator():
-        if r["id"] not in taken and all(r["removed_id"] != x for x, _ in out):
+        if r["removed_id"] not in out and r["id"] not in taken:
             taken.add(r["id"])
-            out.append((r["removed_id"], r["id"]))
-    return pool.sparkSession.createDataFrame(out, f"removed_id {dict(pool.dtypes)['id']}, id {dict(pool.dtypes)['id']}")
+            out[r["removed_id"]] = r["id"]
+    if len(out) < n:
+        raise ValueError(f"{n - len(out)} records have no replacement")
+    return pool.sparkSession.createDataFrame(list(out.items()), f"removed_id {dict(pool.dtypes)['id']}, id {dict(pool.dtypes)['id']}")
+
+
+def shared_records(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Records of ``a`` that stand in ``b`` as a whole."""
+    return a.withColumn("_w", whole_record(a)).join(b.select(whole_record(b).alias("_w")), "_w", "left_semi").drop("_w")
+
+
+def whole_record(df: DataFrame) -> Column:
+    """The digest of a record's JSON with sorted keys."""
+    return F.sha2(F.to_json(F.struct(*sorted(df.columns))).cast("binary"), 256)
 
 
 def less_records(df: DataFrame, held: DataFrame) -> DataFrame:
     """Anti join on whole records, by the digest of their JSON with sorted keys."""
-    whole = lambda d: F.sha2(F.to_json(F.struct(*sorted(d.columns))).cast("binary"), 256)
-    return df.withColumn("_w", whole(df)).join(held.select(whole(held).alias("_w")), "_w", "left_anti").drop("_w")
+    return df.withColumn("_w", whole_record(df)).join(held.select(whole_record(held).alias("_w")), "_w", "left_anti").drop("_w")
 
 
 def summary_sets(df: DataFrame, n: int, golden: int, seed: str, id_col: str = "id") -> DataFrame:

@@ -61,16 +61,17 @@ def segments(df: DataFrame, size: int, group: str, pos: str = "pos") -> DataFram
     per_seg = n.groupBy("segment").agg(F.sum("n").alias("rows"))
     per_grp = n.groupBy("grp").agg(F.sum("n").alias("of"))
     total = n.agg(F.sum("n").alias("total"))
-    grid = per_seg.join(F.broadcast(per_grp.join(F.broadcast(total))))  # a row per segment and group: what the rule is about
-    return grid.join(n, ["segment", "grp"], "left").select("segment", "grp", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("of") * F.col("rows") / F.col("total")).alias("share")).where(F.abs(F.col("n") - F.col("share")) > 1)
+    # an absent group can only stray if its share of a full segment is over 1: fewer than ``size`` groups
+    often = per_grp.crossJoin(F.broadcast(total)).where(F.col("of") * size > F.col("total")).select("grp")
+    grid = per_seg.select("segment").crossJoin(F.broadcast(often)).unionByName(n.select("segment", "grp")).distinct()
+    full = grid.join(n, ["segment", "grp"], "left").join(per_seg, "segment").join(per_grp, "grp").crossJoin(F.broadcast(total))
+    return full.select("segment", "grp", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("of") * F.col("rows") / F.col("total")).alias("share")).where(F.abs(F.col("n") - F.col("share")) > 1)
 
 
 def quartiles(df: DataFrame, value: str, group: str) -> DataFrame:
     """Quartiles by the exclusive method, from ranks: i(n+1)/4 between neighbours. Groups of under 2 rows give none."""
-    order = Window.partitionBy(group).orderBy(value)
     x = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
     x = x.withColumns({"nth": F.row_number().over(Window.partitionBy("grp").orderBy("v")), "n": F.count("*").over(Window.partitionBy("grp"))}).where("n >= 2")
-    del order
     out = []
     for i in (1, 2, 3):
         j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.lit(i) * (F.col("n") + 1) / 4)))
@@ -158,3 +159,34 @@ def source_rules(df: DataFrame, expected: dict[str, str], source: str = "source_
     want = F.coalesce(*[F.when(F.col("split") == s, F.lit(x)) for s, x in expected.items()]) if expected else F.lit(None).cast("string")
     message = F.concat(F.lit("source "), F.coalesce(F.col(source), F.lit("null")), F.lit(" instead of "), F.coalesce(want, F.lit("none")))
     return df.where(~F.coalesce(F.col(source) == want, F.lit(False))).select(*_error("source", F.col("id"), message, F.col("split")))
+
+
+def excluded(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records whose id (ids: id) was to be left out."""
+    return df.join(ids.select("id").distinct(), "id", "left_semi").select(*_error("overlap", F.col("id"), F.lit("excluded id is present"), F.col("split")))
+
+
+def ratios(df: DataFrame, expected: dict[str, int], shares: dict[str, dict[str, float]], yes_share: float, yes: str = "예", tolerance: float = 0.0) -> DataFrame:
+    """Errors of splits whose number of rows, share of a type, or share of yes among yes/no answers is not the expected one.
+
+    ``expected``: rows of each split; ``shares``: share of each type by split; shares may stray by ``tolerance``.
+    """
+    spark = df.sparkSession
+    got = df.groupBy("split").agg(F.count("*").alias("n"), F.count_if(F.col("question_type") == "text_entailment").alias("asked"), F.count_if((F.col("question_type") == "text_entailment") & (F.col("answer") == yes)).alias("yes"))
+    want = spark.createDataFrame(list(expected.items()), "split string, want long")
+    both = want.join(got, "split", "left").na.fill(0, ["n", "asked", "yes"])
+    size = both.where("n <> want").select(*_error("counts", F.lit(None), F.concat(F.lit("rows: "), F.col("n").cast("string"), F.lit(" of "), F.col("want").cast("string")), F.col("split")))
+    told = both.where((F.col("asked") > 0) & (F.abs(F.col("yes") - F.round(F.col("asked") * yes_share)) > tolerance * F.col("asked")))
+    told = told.select(*_error("counts", F.lit(None), F.concat(F.lit("yes: "), F.col("yes").cast("string"), F.lit(" of "), F.round(F.col("asked") * yes_share).cast("long").cast("string")), F.col("split")))
+    share = spark.createDataFrame([(s, t, float(x)) for s, held in shares.items() for t, x in held.items()], "split string, question_type string, share double")
+    types = df.groupBy("split", "question_type").agg(F.count("*").alias("k"))
+    off = share.join(types, ["split", "question_type"], "left").na.fill(0, ["k"]).join(both.select("split", "n"), "split").where(F.abs(F.col("k") - F.round(F.col("n") * F.col("share"))) > tolerance * F.col("n"))
+    off = off.select(*_error("counts", F.lit(None), F.concat(F.col("question_type"), F.lit(": "), F.col("k").cast("string"), F.lit(" of "), F.round(F.col("n") * F.col("share")).cast("long").cast("string")), F.col("split")))
+    return size.unionByName(told).unionByName(off)
+
+
+def distribution(df: DataFrame, value: str, pos: str = "pos", group: str = "split") -> DataFrame:
+    """(group, value, n, nth): how often each value stands in a group, most frequent first, equal ones as first seen."""
+    n = df.groupBy(group, value).agg(F.count("*").alias("n"), F.min(pos).alias("_first"))
+    order = Window.partitionBy(group).orderBy(F.desc("n"), "_first")
+    return n.select(group, value, "n", F.row_number().over(order).cast("long").alias("nth"))

@@ -26,8 +26,12 @@ def uploads(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     kind, ok = kind_of(F.col("path")), F.is_valid_utf8(F.col("content").cast("string"))
     error = F.when(kind.isNull(), "unsupported format").when(F.col("length") > LARGEST, "too large").when((kind == "text") & ~ok, "invalid file")
-    text = strip(F.replace(F.regexp_replace(F.col("content").cast("string"), "^﻿", ""), F.lit("\r\n"), F.lit("\n")))
-    return raw.select("path", kind.alias("kind"), error.alias("error"), F.when(error.isNull() & (kind == "text"), text).alias("text"))
+    return raw.select("path", kind.alias("kind"), error.alias("error"), F.when(error.isNull() & (kind == "text"), decoded(F.col("content"))).alias("text"))
+
+
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text: without a byte-order mark, with plain line ends, stripped."""
+    return strip(F.replace(F.regexp_replace(content.cast("string"), "^﻿", ""), F.lit("\r\n"), F.lit("\n")))
 
 
 QA = "data array<struct<doc_id:string,doc_title:string,doc_source:string,doc_published:string,doc_class:map<string,string>,paragraphs:array<struct<context:string,qas:array<struct<question_id:string,question:string,answers:struct<text:string,answer_start:int,clue_text:string>>>>>>>"
@@ -35,7 +39,10 @@ QA = "data array<struct<doc_id:string,doc_title:string,doc_source:string,doc_pub
 
 def qa_corpus(spark: SparkSession, path: str, split: str, kind: str) -> DataFrame:
     """One row per question of a nested corpus, with its place in the file."""
-    raw = spark.read.option("multiLine", True).schema(QA).json(path)
+    return questions(spark.read.option("multiLine", True).schema(QA).json(path), split, kind)
+
+
+def questions(raw: DataFrame, split: str, kind: str) -> DataFrame:
     docs = raw.select(F.posexplode("data").alias("doc_pos", "d"))
     paragraphs = docs.select("doc_pos", "d", F.posexplode("d.paragraphs").alias("par_pos", "p"))
     return paragraphs.select(
@@ -47,6 +54,10 @@ def summary_corpus(spark: SparkSession, path: str) -> DataFrame:
     """All JSON files below a folder, arrays or single objects; unreadable ones are left out; two of three summaries go."""
     schema = "`Meta(Refine)` struct<passage:string,passage_id:string>, Annotation struct<summary1:string,summary2:string,summary3:string>, _corrupt_record string"
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).json(path)
+    return summaries(raw)
+
+
+def summaries(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("`Meta(Refine)`").isNotNull()).select(F.col("`Meta(Refine)`"), F.col("Annotation").dropFields("summary1", "summary2").alias("Annotation"))
 
 
@@ -65,9 +76,35 @@ def web_context(df: DataFrame) -> DataFrame:
     return df.agg(F.array_join(held, "\n\n").alias("context"))
 
 
-def write_rows(df: DataFrame, path: str, pos: str = "pos") -> None:
-    """JSON rows with their position: files have no order of their own."""
+def write_rows(df: DataFrame, path: str, pos: str = "pos", kind: str | None = None) -> DataFrame | None:
+    """JSON rows with their position: files have no order of their own. With ``kind``, how many rows of each there are."""
     df.sortWithinPartitions(pos).write.mode("overwrite").json(path)
+    return None if kind is None else per_kind(df.sparkSession.read.schema(df.schema).json(path), kind)
+
+
+def per_kind(df: DataFrame, kind: str) -> DataFrame:
+    return df.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+def file_errors(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(rule, split, id, message): splits whose file is missing or empty, is no JSON, or holds no array. Nothing raises."""
+    from pyspark.errors import AnalysisException
+
+    out = spark.createDataFrame([], "rule string, split string, id string, message string")
+    for split, path in paths.items():
+        try:
+            raw = spark.read.option("wholetext", True).text(path)
+            held = raw.where("length(value) > 0").agg(F.max("value").alias("value"))
+        except AnalysisException:
+            held = spark.createDataFrame([(None,)], "value string")
+        out = out.unionByName(held.select(F.lit("file").alias("rule"), F.lit(split).alias("split"), F.lit(None).cast("string").alias("id"), file_problem(F.col("value")).alias("message")).where("message IS NOT NULL"))
+    return out
+
+
+def file_problem(content: Column) -> Column:
+    """What is wrong with the content of a file that should be a JSON array; null for nothing."""
+    kind = F.schema_of_variant(F.try_parse_json(content))
+    return F.when(F.coalesce(content, F.lit("")) == "", "missing or empty").when(kind.isNull(), "not JSON").when(~kind.startswith("ARRAY"), "not an array")
 
 
 def snapshot(df: DataFrame, path: str) -> DataFrame:

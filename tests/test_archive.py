@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, layout, models, parsers, periods, prompts, registry, text
 from quillspark.operators import archive, company, constraints, lookups, mutations, requests, vectors
-from quillspark.plans import catalogue, training, validation
+from quillspark.plans import catalogue, catalogue_data, training, validation  # noqa: F401
 from quillspark.sources import database, files
 from quillspark.streaming import events
 
@@ -441,3 +441,48 @@ def test_reading_order_of_random_pages(spark):
     df = spark.createDataFrame(rnd.sample(rows, len(rows)), "page int, box int, ord int, x0 double, y0 double, x1 double, y1 double")
     got = {r.page: r.boxes for r in layout.reading_order(df, ["page"]).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "box"))), lambda x: x["box"]).alias("boxes")).collect()}
     assert got == {p: expected_order(b) for p, b in pages.items()}
+
+
+def test_settings_and_file_errors(spark, tmp_path):
+    from quillspark.plans import settings
+
+    files_ = {"a": '{"seed": 7, "sizes": {"training": 10}, "excluded_ids": [1, "b"]}', "b": "[1, 2", "c": '{"x": 1}', "d": "[]", "e": ""}
+    for name, content in files_.items():
+        (tmp_path / f"{name}.json").write_text(content)
+    s = settings.settings(spark, f"{tmp_path}/a.json")
+    assert (s.seed, s.sizes, s.excluded_ids) == (7, {"training": 10}, ("1", "b")) and s.output_file("golden") == "processed/golden.json" and s.raw_file("x", "y") == "raw/x/y.json"
+    with pytest.raises(ValueError):
+        settings.parsed('{"other": 1}')
+    got = {r.split: r.message for r in files.file_errors(spark, {k: f"{tmp_path}/{k}.json" for k in "bcdef"}).collect()}
+    assert got == {"b": "not JSON", "c": "not an array", "e": "missing or empty", "f": "missing or empty"}
+
+
+def test_numbered_in_ranges(spark):
+    from quillspark.operators.order import numbered
+
+    df = spark.range(5000).selectExpr("(id * 7919) % 1000 AS k", "id").repartition(6)
+    got = [(r.k, r.id, r.nth) for r in numbered(df, ["k", "id"], "nth", 10, rows_per_task=300).collect()]
+    assert [(k, i) for k, i, _ in sorted(got, key=lambda r: r[2])] == sorted((k, i) for k, i, _ in got) and sorted(n for *_, n in got) == list(range(10, 5010))
+    assert numbered(df.limit(0), ["k"], "nth").count() == 0 and numbered(spark.sql("SELECT CAST(NULL AS INT) AS k"), ["k"], "nth").head().nth == 0
+    new = spark.createDataFrame([(f"t{i}",) for i in range(20)], "title string")
+    out = mutations.appended(spark.createDataFrame([(4, "a")], "id long, title string"), new)
+    assert sorted(r.id for r in out.collect()) == [4, *range(5, 25)]
+
+
+def test_replacements_are_settled_in_turn(spark):
+    row = "id string, grp string, category string"
+    removed = spark.createDataFrame([("r1", "g", "x"), ("r2", "g", "x"), ("r3", "h", "y")], row)
+    pool = spark.createDataFrame([("a", "g", "x"), ("b", "g", "z"), ("c", "h", "x")], row)
+    got = {r.removed_id: r.id for r in training.replacements(removed, pool, "42").collect()}
+    assert got == {"r1": "a", "r2": "b", "r3": "c"}
+    with pytest.raises(ValueError):
+        training.replacements(removed, pool.where("id <> 'b'"), "42")
+
+
+def test_slots_and_coercion(spark):
+    df = spark.createDataFrame([("t", 1)], "text string, n int")
+    assert df.select(company.spoken_text(df).alias("x")).head().x == "t"
+    with pytest.raises(TypeError):
+        company.spoken_text(df.select("n"))
+    assert one(spark, lambda c: text.normal_map(c), "  a😀 \n b ") == [2, 3, 4, 7]
+    assert one(spark, lambda c: text.normal_map(c), " \n") == [] and one(spark, lambda c: text.normal_map(c), "") == []
