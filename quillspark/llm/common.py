@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,25 +28,44 @@ ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; outside a cluster (none set) a temporary folder is set once."""
+    """The folder that driver and executors share. In one local process, where it is unset, a temporary folder is set once; on a
+    cluster that would be another folder on each machine, so there it is an error."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held
     jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jsc.isDefined():
         return jsc.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
     spark.sparkContext.setCheckpointDir(made)
     return made
 
 
+_WRITTEN: list[str] = []
+
+
 def saved(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators save inside go at the end; what was computed from them must be written by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        while len(_WRITTEN) > before:
+            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(docs: DataFrame, rows: int = 2_000) -> DataFrame:
     """Whole texts go to Python at most ``rows`` at a time, from here on in this session: Arrow batches are counted in rows, and
     10,000 texts can be more than a worker's memory. A smaller setting is left alone."""
@@ -174,3 +195,53 @@ def shingle_sets(words: np.ndarray, counts: np.ndarray, k: int = 5) -> list[np.n
             else:
                 out.append(empty)
     return out
+
+
+# ---------------------------------------------------------------- filters
+
+
+PIECE = 1 << 16
+
+
+@dataclass
+class Filter:
+    """Lets through all the 64-bit values it was made of and, as long as its bits suffice, few others."""
+
+    marks: np.ndarray
+    bits: int
+
+    def passes(self, values: np.ndarray) -> np.ndarray:
+        return np.logical_and(*((self.marks[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _places(values, self.bits)))
+
+
+def _places(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    x = values.view(np.uint64)
+    return (x & np.uint64(bits - 1)).astype(np.int64), (mix(x) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _marks(bits: int):
+    """A task's part of a filter, in pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            for place in _places(batch.column(0).to_numpy(), bits):
+                seen[place] = True
+        pieces = [(i, x) for i, x in enumerate(np.packbits(seen).reshape(-1, min(PIECE, bits // 8))) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x.tobytes() for _, x in pieces], pa.binary())], ["piece", "marks"])
+
+    return run
+
+
+def _either(table: pa.Table) -> pa.Table:
+    out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()])
+    return pa.table({"piece": table.column("piece")[:1], "marks": pa.array([out.tobytes()], pa.binary())})
+
+
+def bounded_filter(df: DataFrame, column: str, most: int = 1 << 28) -> Filter:
+    """Of a column of longs without nulls: 16 bits a value, ``most`` (32 MB) at most whatever the number of values."""
+    bits = min(most, max(1 << 10, 1 << (16 * df.count() - 1).bit_length()))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in df.select(column).mapInArrow(_marks(bits), "piece int, marks binary").groupBy("piece").applyInArrow(_either, "piece int, marks binary").toLocalIterator():
+        out[r["piece"] * len(r["marks"]) : (r["piece"] + 1) * len(r["marks"])] = np.frombuffer(r["marks"], np.uint8)
+    return Filter(out, bits)

@@ -8,8 +8,10 @@ then checked slot by slot: a copy has the item's values, a re-parameterised copy
 of its own and no two to the same; matches whose slots contradict each other are dropped.
 Items without a window of mostly words in either template are looked for whole: their words, numbers and units in order.
 
-The join is against a stated query set, the benchmark: its windows are held as sorted hashes, ``block`` of them at a time
-(a fixed number of bytes whatever the benchmark's size), and each block meets all documents.
+Windows of documents pass a filter of a bounded size, made of all windows of the benchmark, before they are joined by hash;
+the corpus is read once, however large the benchmark. Pairs of document and item come from the item's rarest windows alone:
+what most items share (an instruction that opens all of them, say) makes no pairs. Each pair's matched windows carry the
+values in their slots, so texts are not read again.
 """
 
 from __future__ import annotations
@@ -20,10 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import BYTE, ODD, mix, run_hashes, small_batches, string_blocks, tokens
+from .common import ODD, Filter, bounded_filter, mix, run_hashes, saved, small_batches, string_blocks, tokens
 
 #: Units that count as one after a number.
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton tons oz ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents pound pounds percent mph kmh w kw mw v a hz khz mhz ghz kb mb gb tb c f k degrees".split()
@@ -132,67 +137,95 @@ def windows(t: Template, k: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(h)[ok], np.flatnonzero(ok)
 
 
-@dataclass
-class Bank:
-    """Windows of some benchmark items, sorted by hash."""
-
-    k: int
-    hash: np.ndarray
-    item: np.ndarray  # place in ids
-    nth: np.ndarray  # first token within the item
-    ids: list
-    total: np.ndarray  # windows of each item
-    value: list  # slot values of each item's tokens
-    kind: list
-
-
-def bank(items: list[tuple[object, str | None]], k: int, which: int = 0) -> Bank:
-    """Of the templates with names as slots (``which`` 0), or of those with words only (1)."""
-    texts = pa.array([t or "" for _, t in items], pa.string())
-    out = ([], [], [])
-    total, values, kinds = [], [], []
-    for _, _, data, off in string_blocks(texts):
-        t = canonical(data, off)[which]
-        first = np.searchsorted(t.row, np.arange(len(off)))
-        h, at = windows(t, k, k // 2 + 1)
-        base = len(total)
-        out[0].append(h)
-        out[1].append(t.row[at] + base)
-        out[2].append(at - first[t.row[at]])
-        total += np.bincount(t.row[at], minlength=len(off) - 1).tolist()
-        values += [t.value[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-        kinds += [t.kind[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
-    h, item, nth = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-    order = np.argsort(h, kind="stable")
-    return Bank(k, h[order], item[order], nth[order], [i for i, _ in items], np.array(total, np.int64), values, kinds)
+TYPED, PLAIN, WHOLE = range(3)  # windows of the template with names, of the one without, and of values where neither has any
 
 
-@dataclass
-class Whole:
-    """The items without windows, by the hash of their first tokens' values (``width`` of them at most)."""
+def _value_windows(t: Template, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each run of ``n`` values within a row, and its first token."""
+    m = len(t.value) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h = np.full(m, n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(n):
+            h = h * np.uint64(ODD[0]) + t.value[i : m + i] * np.uint64(ODD[1])
+    at = np.flatnonzero(t.row[:m] == t.row[n - 1 :])
+    return mix(h)[at], at
 
-    width: int
-    heads: dict  # number of tokens in the head -> sorted hashes, and the item of each
-    values: dict  # item -> values of its tokens
 
+def _named(h: np.ndarray, which: int) -> np.ndarray:
+    """Windows of different kinds never meet."""
+    return mix(h ^ np.uint64(ODD[which])).view(np.int64)
 
-def _heads(value: np.ndarray, n: int) -> np.ndarray:
-    h = np.zeros(max(0, len(value) - n + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            h = h * np.uint64(ODD[0]) + value[i : len(h) + i] * np.uint64(ODD[1])
-    return mix(h)
+
+ITEMS = "item long, item_id {item}, which int, nth int, h long, n int, n_windows int, item_values binary, item_kinds binary"
+
+
+def _items(k: int):
+    """The windows of all items, one a row, with the values and kinds of their tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, to, data, off in string_blocks(batch.column(1)):
+                typed, plain = canonical(data, off)
+                found = []
+                for which, t in ((TYPED, typed), (PLAIN, plain)):
+                    h, at = windows(t, k, k // 2 + 1)
+                    found.append((which, t, h, at, np.full(len(h), k)))
+                covered = np.zeros(to - first, bool)
+                for _, t, _, at, _ in found:
+                    covered[t.row[at]] = True
+                size = np.bincount(plain.row, minlength=to - first)
+                for n in np.unique(np.minimum(size[~covered], k)).tolist():
+                    if n:
+                        h, at = _value_windows(plain, n)
+                        own = ~covered[plain.row[at]] & (np.minimum(size[plain.row[at]], k) == n)
+                        found.append((WHOLE, plain, h[own], at[own], np.full(int(own.sum()), n)))
+                for which, t, h, at, n in found:
+                    row = t.row[at]
+                    total = np.bincount(row, minlength=to - first)
+                    nth = at - np.searchsorted(t.row, row)
+                    span = list(zip(at.tolist(), (at + n).tolist(), strict=True))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(base + first + row), batch.column(0).slice(first, to - first).take(pa.array(row)), pa.array(np.full(len(h), which), pa.int32()), pa.array(nth, pa.int32()), pa.array(_named(h, which)), pa.array(n, pa.int32()), pa.array(total[row], pa.int32()),
+                         pa.array([t.value[a:b].tobytes() for a, b in span], pa.binary()), pa.array([t.kind[a:b].tobytes() for a, b in span], pa.binary())],
+                        ["item", "item_id", "which", "nth", "h", "n", "n_windows", "item_values", "item_kinds"],
+                    )
+            base += batch.num_rows
+
+    return run
 
 
-def whole(banks: tuple[Bank, Bank]) -> Whole:
-    typed, plain = banks
-    left = [i for i in np.flatnonzero((typed.total == 0) & (plain.total == 0)).tolist() if len(plain.value[i])]
-    by: dict[int, list] = defaultdict(list)
-    for i in left:
-        n = min(plain.k, len(plain.value[i]))
-        by[n].append((int(_heads(plain.value[i][:n], n)[0]), i))
-    heads = {n: (np.array([h for h, _ in sorted(x)], np.uint64), [i for _, i in sorted(x)]) for n, x in by.items()}
-    return Whole(plain.k, heads, {i: plain.value[i] for i in left})
+HITS = "row long, row_id {id}, which int, h long, at int, start int, end int, doc_values binary"
+
+
+def _hits(k: int, sizes: list[int], known: Filter):
+    """The windows of documents that items may have: their place in tokens and code points, and their values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, to, data, off in string_blocks(batch.column(1)):
+                typed, plain = canonical(data, off)
+                point = None
+                for which, t, n in ((TYPED, typed, k), (PLAIN, plain, k), *((WHOLE, plain, n) for n in sizes)):
+                    h, at = _value_windows(t, n) if which == WHOLE else windows(t, k, k // 2 + 1)
+                    h = _named(h, which)
+                    hit = known.passes(h) if len(h) else np.zeros(0, bool)
+                    if not hit.any():
+                        continue
+                    h, at = h[hit], at[hit]
+                    row = t.row[at]
+                    point = np.r_[0, np.cumsum((data & 0xC0) != 0x80)] if point is None else point
+                    start, end = point[t.start[at]] - point[off[row]], point[t.end[at + n - 1]] - point[off[row]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(base + first + row), batch.column(0).slice(first, to - first).take(pa.array(row)), pa.array(np.full(len(h), which), pa.int32()), pa.array(h), pa.array(at - np.searchsorted(t.row, row), pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array([t.value[a : a + n].tobytes() for a in at.tolist()], pa.binary())],
+                        ["row", "row_id", "which", "h", "at", "start", "end", "doc_values"],
+                    )
+            base += batch.num_rows
+
+    return run
 
 
 def agreement(pairs: list[tuple[int, int]]) -> tuple[int, int, int]:
@@ -208,88 +241,59 @@ def agreement(pairs: list[tuple[int, int]]) -> tuple[int, int, int]:
 
 
 OUT = "row_id {id}, item_id {item}, n_windows int, n_matched int, coverage double, kind string, n_slots int, n_slots_fit int, start int, end int"
-COLUMNS = ["row_id", "item_id", "n_windows", "n_matched", "coverage", "kind", "n_slots", "n_slots_fit", "start", "end"]
-
-
-def _found(banks: Bank, t: Template, data: np.ndarray, off: np.ndarray, coverage: float, run_words: int, consistency: float) -> Iterator[tuple]:
-    """(row of the block, item, and the columns from n_windows on) of a block's matches."""
-    k = banks.k
-    h, at = windows(t, k, k // 2 + 1)
-    lo = np.searchsorted(banks.hash, h, "left")
-    hit = np.flatnonzero(banks.hash[np.minimum(lo, len(banks.hash) - 1)] == h) if len(banks.hash) else np.zeros(0, np.int64)
-    if not len(hit):
-        return
-    first = np.searchsorted(t.row, np.arange(len(off)))
-    met: dict[tuple[int, int], dict[int, set[int]]] = defaultdict(lambda: defaultdict(set))
-    for i in hit.tolist():
-        a, row = int(at[i]), int(t.row[at[i]])
-        for j in range(int(lo[i]), int(np.searchsorted(banks.hash, h[i], "right"))):
-            met[row, int(banks.item[j])][a - int(first[row]) - int(banks.nth[j])].add(int(banks.nth[j]))
-    for (row, item), lines in sorted(met.items()):
-        matched, slots, equal, fit, n_slots, ends = set(), 0, 0, 0, 0, []
-        for line, nths in lines.items():
-            places = sorted({n + i for n in nths for i in range(k)})
-            doc = [int(first[row]) + line + p for p in places]
-            pairs = [(int(banks.value[item][p]), int(t.value[d])) for p, d in zip(places, doc, strict=True) if banks.kind[item][p] != WORD]
-            ok, same, slots = agreement(pairs)
-            if slots and ok < consistency * slots:
-                continue
-            matched |= nths
-            fit, equal, n_slots = fit + ok, equal + same, n_slots + slots
-            ends += [doc[0], doc[-1]]
-        share = len(matched) / max(1, int(banks.total[item]))
-        longest, held = 0, 0
-        for n in range(int(max(matched, default=-1)) + 1):
-            held = held + 1 if n in matched else 0
-            longest = max(longest, held)
-        if matched and (share >= coverage or longest + k - 1 >= run_words):
-            text = data[off[row] : off[row + 1]]
-            point = lambda b, text=text, o=off[row]: int(np.count_nonzero((text[: b - o] & 0xC0) != 0x80))
-            yield row, item, int(banks.total[item]), len(matched), share, "copy" if equal == n_slots else "reparameterised", n_slots, fit, point(t.start[min(ends)]), point(t.end[max(ends)])
-
-
-def _found_whole(items: Whole, t: Template, data: np.ndarray, off: np.ndarray) -> Iterator[tuple]:
-    """Like ``_found``, for items that are looked for whole; the first place of each in a row."""
-    met = set()
-    for n, (heads, of) in items.heads.items():
-        h = _heads(t.value, n)
-        lo = np.searchsorted(heads, h, "left")
-        for a in np.flatnonzero(heads[np.minimum(lo, len(heads) - 1)] == h).tolist():
-            row = int(t.row[a])
-            for item in of[int(lo[a]) : int(np.searchsorted(heads, h[a], "right"))]:
-                want = items.values[item]
-                to = a + len(want)
-                if (row, item) in met or to > len(t.row) or t.row[to - 1] != row or not np.array_equal(t.value[a:to], want):
-                    continue
-                met.add((row, item))
-                text, slots = data[off[row] : off[row + 1]], int(np.count_nonzero(t.kind[a:to] != WORD))
-                point = lambda b, text=text, o=off[row]: int(np.count_nonzero((text[: b - o] & 0xC0) != 0x80))
-                yield row, item, 1, 1, 1.0, "copy", slots, slots, point(t.start[a]), point(t.end[to - 1])
-
-
-def _match(banks: tuple[Bank, Bank], coverage: float, run_words: int, consistency: float, id_type: pa.DataType, item_type: pa.DataType):
-    rest_of = whole(banks)
-    kinds = [id_type, item_type, pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for base, _, data, off in string_blocks(batch.column(1)):
-                best: dict[tuple[int, int], tuple] = {}
-                both = canonical(data, off)
-                for row, item, *rest in _found_whole(rest_of, both[1], data, off):
-                    best[row, item] = tuple(rest)
-                for b, t in zip(banks, both, strict=True):
-                    for row, item, *rest in _found(b, t, data, off, coverage, run_words, consistency):
-                        if (row, item) not in best or best[row, item][2] < rest[2]:  # the higher coverage
-                            best[row, item] = tuple(rest)
-                found += [(batch.column(0)[base + row].as_py(), banks[0].ids[item], *rest) for (row, item), rest in sorted(best.items())]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], COLUMNS)
+
+def _settled(coverage: float, run_words: int, consistency: float):
+    """Of whole pairs of document and item, their matched windows: the pairs that hold, by diagonal and slot."""
+
+    def pair(rows: np.ndarray, c: dict, values: tuple[list, list, list]) -> tuple | None:
+        which, n, total = int(c["which"][rows[0]]), int(c["n"][rows[0]]), int(c["n_windows"][rows[0]])
+        lines: dict[int, list[int]] = defaultdict(list)
+        for i in rows.tolist():
+            lines[int(c["at"][i] - c["nth"][i])].append(i)
+        matched, equal, fit, n_slots, kept = set(), 0, 0, 0, []
+        for line in sorted(lines):
+            own, slots = lines[line], {}
+            for i in own:
+                a, b, kind = (np.frombuffer(v[i], t) for v, t in zip(values, (np.uint64, np.uint64, np.int8), strict=True))
+                slots |= {int(c["nth"][i]) + j: (int(a[j]), int(b[j])) for j in np.flatnonzero(kind != WORD).tolist()}
+            if which == WHOLE:
+                if len({int(c["nth"][i]) for i in own}) == total:
+                    return which, 1, 1, 1.0, "copy", len(slots), len(slots), int(c["start"][own].min()), int(c["end"][own].max())
+                continue
+            ok, same, m = agreement([slots[p] for p in sorted(slots)])
+            if m and ok < consistency * m:
+                continue
+            matched |= {int(c["nth"][i]) for i in own}
+            fit, equal, n_slots, kept = fit + ok, equal + same, n_slots + m, kept + own
+        if not matched:
+            return None
+        share, nths = len(matched) / total, np.array(sorted(matched))
+        longest = int(np.diff(np.flatnonzero(np.r_[True, np.diff(nths) != 1, True])).max())
+        if share < coverage and longest + n - 1 < run_words:
+            return None
+        return which, total, len(matched), share, "copy" if equal == n_slots else "reparameterised", n_slots, fit, int(c["start"][kept].min()), int(c["end"][kept].max())
+
+    def run(table: pa.Table) -> pa.Table:
+        c = {x: table.column(x).to_numpy() for x in ("row", "item", "which", "nth", "at", "n", "n_windows", "start", "end")}
+        values = tuple(table.column(x).to_pylist() for x in ("item_values", "doc_values", "item_kinds"))
+        order = np.lexsort((c["at"], c["nth"], c["which"], c["item"], c["row"]))
+        best: dict[tuple[int, int], tuple] = {}
+        new = np.any([np.diff(c[x][order]) != 0 for x in ("row", "item", "which")], axis=0)
+        for rows in np.split(order, np.flatnonzero(new) + 1):
+            name, got = (int(c["row"][rows[0]]), int(c["item"][rows[0]])), pair(rows, c, values)
+            if got and (name not in best or best[name][1][3] < got[3]):  # of both templates the one that covers more
+                best[name] = int(rows[0]), got
+        first = pa.array([i for i, _ in best.values()], pa.int64())
+        told = list(zip(*(got[1:] for _, got in best.values()), strict=True)) or [()] * 8
+        kinds = (pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        columns = [table.column("row_id").take(first), table.column("item_id").take(first), *(pa.array(list(x), t) for x, t in zip(told, kinds, strict=True))]
+        return pa.table(columns, ["row_id", "item_id", "n_windows", "n_matched", "coverage", "kind", "n_slots", "n_slots_fit", "start", "end"])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 8, coverage: float = 0.4, run_words: int = 20, consistency: float = 0.7, block: int = 20_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 8, coverage: float = 0.4, run_words: int = 20, consistency: float = 0.7, block: int = 100_000) -> DataFrame:
     """One row per document and benchmark item that it holds: id, item_id, n_windows (of the item), n_matched, coverage,
     kind (copy or reparameterised), n_slots, n_slots_fit, start and end of the match (code points).
 
@@ -297,27 +301,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     diagonals where at least ``consistency`` of the slots fit a one-to-one map. Of the template with names and the one
     without, the one that covers more is reported. Items of under ``k`` tokens, or without a
     window of mostly words in either, match where all their words, numbers and units stand in order (one window then).
-    ``block``: benchmark items that are matched at a time; all blocks meet all documents.
+    ``block``: matched windows that one task settles, about.
     Defined cases: null and empty texts on either side match nothing; null ids and repeated rows are reported like
     others; an empty table on either side gives no rows; other columns of the inputs are not read.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    own = lambda df, col, name: {name: df.schema[col].dataType}
+    kinds = lambda ddl, ids: StructType([StructField(f.name, ids.get(f.name, f.dataType)) for f in StructType.fromDDL(ddl.format(id="int", item="int")).fields])
+    items = saved(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(_items(k), kinds(ITEMS, own(benchmark, item_col, "item_id"))), "items")
+    sizes = [r[0] for r in items.where(F.col("which") == WHOLE).select("n").distinct().collect()]  # k of them at most
     texts = small_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    schema = OUT.format(id=id_kind.simpleString(), item=item_kind.simpleString())
-    items = benchmark.select(item_col, text_col)
-    out = None
-    held: list[tuple] = []
-
-    def meet() -> DataFrame:
-        part = texts.mapInArrow(_match((bank(held, k), bank(held, k, 1)), coverage, run_words, consistency, to_arrow_type(id_kind), to_arrow_type(item_kind)), schema)
-        return part if out is None else out.unionByName(part)
-
-    for r in items.toLocalIterator():
-        held.append((r[0], r[1]))
-        if len(held) == block:
-            out, held = meet(), []
-    if held or out is None:
-        out = meet()
+    hits = saved(texts.mapInArrow(_hits(k, sizes, bounded_filter(items, "h")), kinds(HITS, own(docs, id_col, "row_id"))), "hits")
+
+    # a pair that holds has ``need`` of the item's windows, so it has one of all but the need - 1 that most items share
+    need = F.when(F.col("which") == WHOLE, F.col("n_windows")).otherwise(F.greatest(F.lit(1), F.least(F.ceil(F.col("n_windows") * coverage - 1e-9), F.lit(max(1, run_words - k + 1)))))
+    common = items.groupBy("h").agg(F.count("*").alias("held"))
+    rare = Window.partitionBy("item", "which").orderBy("held", "h", "nth")
+    keys = items.select("item", "which", "nth", "h", "n_windows").join(common, "h").withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("n_windows") - need + 1)
+    pairs = hits.select("row", "h").join(keys.select("item", "which", "h"), "h").select("row", "item", "which").distinct()
+    wanted = pairs.join(items, ["item", "which"])
+    met = saved(hits.drop("which").join(wanted, ["row", "h"]), "matched-windows")
+    tasks = max(1, -(-met.count() // block))
+    out = met.withColumn("task", F.pmod(F.xxhash64("row", "item"), F.lit(tasks))).groupBy("task").applyInArrow(_settled(coverage, run_words, consistency), kinds(OUT, own(met, "row_id", "row_id") | own(met, "item_id", "item_id")))
     return out.withColumnsRenamed({"row_id": id_col})

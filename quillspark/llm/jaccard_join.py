@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, ODD, mix, saved, shingle_sets, small_batches, string_blocks, word_hashes
+from .common import BLOCK_BYTES, ODD, Filter, bounded_filter, mix, saved, shingle_sets, small_batches, string_blocks, word_hashes
 
-SKETCH_BITS, PIECE = 20, 1 << 16  # counters of the sketch; so many a row
+SKETCH_BITS, PIECE = 20, 1 << 16  # counters of the sketch; so many a row of it
 LOW = 39  # bits of a shingle that travel; the range's number adds the rest
 HOT = 128  # marks a level of the sketch whose shingles are too common to be gathered
 
@@ -244,46 +244,13 @@ def classes(edges: DataFrame) -> DataFrame | None:
             return inside
 
 
-def _places(node: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    x = node.view(np.uint64)
-    return (x & np.uint64(bits - 1)).astype(np.int64), (mix(x) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _marks(bits: int):
-    """A task's part of a filter of ``bits`` bits, in pieces."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(bits, bool)
-        for batch in batches:
-            for place in _places(batch.column(0).to_numpy(), bits):
-                seen[place] = True
-        pieces = [(i, x) for i, x in enumerate(np.packbits(seen).reshape(-1, min(PIECE, bits // 8))) if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pieces], pa.int32()), pa.array([x.tobytes() for _, x in pieces], pa.binary())], ["piece", "marks"])
-
-    return run
-
-
-def _either(table: pa.Table) -> pa.Table:
-    out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("marks").to_pylist()])
-    return pa.table({"piece": table.column("piece")[:1], "marks": pa.array([out.tobytes()], pa.binary())})
-
-
-def _filter(nodes: DataFrame, most: int = 1 << 28) -> tuple[np.ndarray, int]:
-    """A filter of at most ``most`` bits (32 MB) that lets all ``nodes`` pass and, as long as 16 bits a node fit, few others."""
-    bits = min(most, max(1 << 10, 1 << (16 * nodes.count() - 1).bit_length()))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in nodes.select("node").mapInArrow(_marks(bits), "piece int, marks binary").groupBy("piece").applyInArrow(_either, "piece int, marks binary").toLocalIterator():
-        out[r["piece"] * len(r["marks"]) : (r["piece"] + 1) * len(r["marks"])] = np.frombuffer(r["marks"], np.uint8)
-    return out, bits
-
-
-def _chosen(k: int, marks: np.ndarray, bits: int):
+def _chosen(k: int, marks: Filter):
     """(node, n, tokens): the sets that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _once(batches, k):
             names, sets = np.array(list(held), np.int64), list(held.values())
-            ok = np.logical_and(*((marks[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 for p in _places(names, bits)))
+            ok = marks.passes(names)
             sets = [sets[i] for i in np.flatnonzero(ok)]
             yield pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "tokens"])
 
@@ -406,7 +373,7 @@ def search_groups(texts: DataFrame, sets: DataFrame, label: DataFrame, k: int, n
     chunks = F.greatest(F.ceil(F.col("m") / sets_per_chunk), F.ceil(F.col("held") / tokens_per_chunk)).cast("int")
     sizes = saved(members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("held")).select("root", "held", chunks.alias("chunks")), "group-sizes")
     most, total = sizes.agg(F.max("chunks"), F.coalesce(F.sum(F.when(F.col("chunks") == 1, F.col("held"))), F.lit(0))).first()
-    chosen = texts.select("text").mapInArrow(_chosen(k, *_filter(label)), "node long, n long, tokens binary")
+    chosen = texts.select("text").mapInArrow(_chosen(k, bounded_filter(label, "node")), "node long, n long, tokens binary")
     chosen = chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     own = saved(chosen.join(members.drop("n").join(sizes.drop("held"), "root"), "node"), "group-sets")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // tokens_per_task))
