@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.llm import decontaminate, jaccard_join, langid, mixing, sharding
-from quillspark.llm.common import saved, shared_dir
+from quillspark.llm.common import saved, shared_dir, temporary
 
 
 def whole(docs: DataFrame) -> Column:
@@ -73,6 +73,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
         docs = spark.read.parquet(f"{base}/{i}-{name}")
     return docs
