@@ -87,6 +87,97 @@ def test_benchmark_items_without_windows(spark):
     assert {(r.doc_id, r.item_id) for r in few} == set(got)
 
 
+def brute_templates(text):
+    """(typed, plain): lists of (token, kind, value) by definition; kinds are word, number, unit, name."""
+    out, open_, end, number = [], True, 0, False
+    for m in re.finditer(r"(?:[0-9A-Za-z\u0080-\U0010ffff]|(?<=[0-9])[.,](?=[0-9]))+", text or ""):
+        open_ = end == 0 and not out or bool(re.search(r"[.!?:\n]", text[end : m.start()]))
+        w = m[0]
+        low = "".join(c.lower() if ord(c) < 0x800 and len(c.lower().encode()) == len(c.encode()) else c for c in w)
+        kind = "word"
+        if "A" <= w[0] <= "Z" or "À" <= w[0] <= "Þ":
+            kind = "word" if open_ else "name"
+        if number and not open_ and low in decontaminate.UNITS:
+            kind = "unit"
+        number = w[0] in "0123456789"
+        out.append((low, "number" if number else kind))
+        end = m.end()
+    plain = [("<" + k + ">" if k in ("number", "unit") else w, "word" if k == "name" else k, w) for w, k in out]
+    typed = []
+    for w, k in out:
+        if k == "name" and typed and typed[-1][1] == "name":
+            typed[-1] = (typed[-1][0], "name", typed[-1][2] + " " + w)
+        else:
+            typed.append(("<" + k + ">" if k != "word" else w, k, w))
+    return typed, plain
+
+
+def brute_contaminated(docs, items, k=8, coverage=0.4, run_words=20, consistency=0.7):
+    """{(doc, item): (windows, matched, kind)} by comparing every item with every document that shares a window."""
+    def windows(t):
+        return [tuple(x[0] for x in t[i : i + k]) if sum(x[1] == "word" for x in t[i : i + k]) > k // 2 else None for i in range(len(t) - k + 1)]
+
+    best = {}
+    texts = [(d, brute_templates(t)) for d, t in docs]
+    for item, t in items:
+        both = brute_templates(t)
+        wins = [windows(x) for x in both]
+        total = [sum(w is not None for w in x) for x in wins]
+        where = [defaultdict(list) for _ in wins]
+        for at, x in zip(where, wins, strict=True):
+            for n, w in enumerate(x):
+                if w is not None:
+                    at[w].append(n)
+        for d, doc in texts:
+            for which in (0, 1):
+                if not total[which]:
+                    continue
+                lines = defaultdict(set)
+                for a, w in enumerate(windows(doc[which])):
+                    for n in where[which].get(w, ()) if w is not None else ():
+                        lines[a - n].add(n)
+                matched, equal, slots = set(), 0, 0
+                for line, nths in lines.items():
+                    pairs = [(both[which][p][2], doc[which][p + line][2]) for p in sorted({n + j for n in nths for j in range(k)}) if both[which][p][1] != "word"]
+                    ok, same, m = decontaminate.agreement(pairs)
+                    if m and ok < consistency * m:
+                        continue
+                    matched |= nths
+                    equal, slots = equal + same, slots + m
+                run = longest = 0
+                for n in range(len(wins[which])):
+                    run = run + 1 if n in matched else 0
+                    longest = max(longest, run)
+                share = len(matched) / total[which]
+                if matched and (share >= coverage or longest + k - 1 >= run_words) and (share > best.get((d, item), (0, 0, "", -1))[3]):
+                    best[d, item] = (total[which], len(matched), "copy" if equal == slots else "reparameterised", share)
+            if not any(total) and both[1]:
+                want = [x[2] for x in both[1]]
+                have = [x[2] for x in doc[1]]
+                if any(have[a : a + len(want)] == want for a in range(len(have) - len(want) + 1)):
+                    best[d, item] = (1, 1, "copy", 1.0)
+    return {p: x[:3] for p, x in best.items()}
+
+
+def test_templates_whole_table(spark):
+    import numpy as np
+
+    rnd = random.Random(8)
+    sf = "/root/testdata/sf0.001"
+    bench = [(b.item_id, b.text) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    ask = "{n} buys {a} apples for {b} dollars at the old market and later sells {a} apples to {m} for {c} euro so how much is left of it"
+    fill = lambda: ask.format(n=rnd.choice(["Anna", "John Smith", "Élise"]), m=rnd.choice(["Peter", "Mary Jane", "Otto"]), a=rnd.randrange(2, 5), b=rnd.randrange(2, 90), c=rnd.choice(["3.5", "1,000", "7"]))
+    bench += [(10_000 + i, "Read the text with care and answer the question that follows it. " + fill()) for i in range(12)] + [(20_000, "12 + 7 = 19"), (20_001, "Who wrote Faust?")]
+    docs = [(r.doc_id, r.text) for r in docs_of(spark, sf).collect()]
+    docs += [(50_000 + i, f"Read the text with care and answer the question that follows it. So {fill()} well. Who wrote Faust? 12 + {7 + i % 2} = 19") for i in range(40)]
+    docs += [(60_000 + i, " ".join(rnd.sample((t or "x").split(" "), min(30, len((t or "x").split(" "))))) + " " + (b or "")[: rnd.randrange(20, 300)]) for i, ((_, t), (_, b)) in enumerate(zip(docs[:60], bench * 3, strict=False))]
+    made = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = decontaminate.contaminated(made(docs, "doc_id long, text string"), made(bench, "item_id long, text string")).collect()
+    want = brute_contaminated(docs, bench)
+    assert {(r.doc_id, r.item_id): (r.n_windows, r.n_matched, r.kind) for r in got} == want
+    assert {x[2] for x in want.values()} == {"copy", "reparameterised"} and len(want) > 100 and np.mean([r.coverage for r in got]) <= 1
+
+
 # ---------------------------------------------------------------- 9
 
 
