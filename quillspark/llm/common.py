@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -76,6 +76,33 @@ def small_batches(docs: DataFrame, rows: int = 2_000) -> DataFrame:
     return docs
 
 
+# ---------------------------------------------------------------- expressions
+
+
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` with ``x`` evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def match_spans(text: Column, pattern: str, block: int = 256) -> Column:
+    """The matches of a pattern as an array of (s, e, hit), in code points. Regular expressions give texts, not places, so places are
+    running sums of lengths; sums run inside blocks and over the blocks, so the work does not grow with the square of the matches."""
+    cut = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    wide = lambda x: x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))
+    pieces = lambda held: F.transform(F.sequence(F.lit(1), F.size(held), F.lit(block)), lambda i: F.slice(held, i, F.lit(block)))
+    width = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + wide(x))
+    starts = lambda parts: F.aggregate(F.transform(parts, width), F.array(F.lit(0)), lambda held, n: F.concat(held, F.array(F.element_at(held, -1) + n)))
+    span = "array<struct<s:int,e:int,hit:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        s, e = acc["at"] + x["gap"], acc["at"] + wide(x)
+        return F.struct(e.alias("at"), F.concat(acc["spans"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("hit")))).alias("spans"))
+
+    within = lambda part, at: F.aggregate(part, F.struct(at.alias("at"), F.array().cast(span).alias("spans")), step, lambda acc: acc["spans"])
+    every = bound(bound(cut, pieces), lambda parts: F.flatten(F.zip_with(parts, starts(parts), lambda part, at: F.coalesce(within(part, at), F.array().cast(span)))))
+    return F.filter(every, lambda x: x["hit"].isNotNull())
+
+
 # ---------------------------------------------------------------- kernels
 
 
@@ -238,9 +265,9 @@ def _either(table: pa.Table) -> pa.Table:
     return pa.table({"piece": table.column("piece")[:1], "marks": pa.array([out.tobytes()], pa.binary())})
 
 
-def bounded_filter(df: DataFrame, column: str, most: int = 1 << 28) -> Filter:
-    """Of a column of longs without nulls: 16 bits a value, ``most`` (32 MB) at most whatever the number of values."""
-    bits = min(most, max(1 << 10, 1 << (16 * df.count() - 1).bit_length()))
+def bounded_filter(df: DataFrame, column: str, per_value: int = 16, most: int = 1 << 28) -> Filter:
+    """Of a column of longs without nulls: ``per_value`` bits each, ``most`` (32 MB) at most whatever the number of values."""
+    bits = min(most, max(1 << 10, 1 << (per_value * df.count() - 1).bit_length()))
     out = np.zeros(bits // 8, np.uint8)
     for r in df.select(column).mapInArrow(_marks(bits), "piece int, marks binary").groupBy("piece").applyInArrow(_either, "piece int, marks binary").toLocalIterator():
         out[r["piece"] * len(r["marks"]) : (r["piece"] + 1) * len(r["marks"])] = np.frombuffer(r["marks"], np.uint8)

@@ -13,8 +13,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import saved
+from .common import match_spans, saved
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -41,18 +42,10 @@ SPAN = "array<struct<s:int,k:int,e:int>>"
 
 def _found(text: Column, kind: int, test: str, pattern: str, keep=None) -> Column:
     """Spans (start, kind, end) of the matches, in code points; ``keep`` tests the matched text."""
-    cut = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["hit"]), F.lit(0))
-        new = F.array(F.struct(s.alias("s"), F.lit(kind).alias("k"), e.alias("e")))
-        ok = x["hit"].isNotNull() if keep is None else x["hit"].isNotNull() & keep(x["hit"])
-        return F.struct(e.alias("at"), F.when(ok, F.coalesce(F.concat(acc["spans"], new), new)).otherwise(acc["spans"]).alias("spans"))
-
-    none = F.array().cast(SPAN)
-    return F.when(text.rlike(test), F.coalesce(F.aggregate(cut, start, step, lambda acc: acc["spans"]), none)).otherwise(none)
+    held = match_spans(text, pattern)
+    held = held if keep is None else F.filter(held, lambda x: keep(x["hit"]))
+    spans = F.transform(held, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
+    return F.when(text.rlike(test), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _long_value(hit: Column) -> Column:
@@ -60,13 +53,12 @@ def _long_value(hit: Column) -> Column:
 
 
 def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, two keys of the row, base spans and weak candidates (those that touch a base span go)."""
+    """One row per input row: id, two keys of the row, base spans and weak candidates."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     keeps = (_long_value, lambda hit: F.length(hit) >= 16, None)
     base = F.concat(*[_found(text, i, test, pattern, keep) for i, ((_, _, test, pattern), keep) in enumerate(zip(STRONG, keeps, strict=True))])
     weak = F.concat(*[_found(text, len(STRONG) + i, test, pattern) for i, (_, _, test, pattern) in enumerate(WEAK)])
-    out = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(text, F.lit(7), F.col(id_col)).alias("k2"), base.alias("base"), weak.alias("weak"))
-    return out.withColumn("weak", F.filter("weak", lambda w: ~F.exists("base", lambda b: (b["s"] < w["e"]) & (b["e"] > w["s"]))))
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(text, F.lit(7), F.col(id_col)).alias("k2"), base.alias("base"), weak.alias("weak"))
 
 
 def link(parts: DataFrame, scope: int) -> DataFrame:
@@ -74,9 +66,15 @@ def link(parts: DataFrame, scope: int) -> DataFrame:
     roles = [r for _, r, _, _ in (*STRONG, *WEAK)]
     role = F.element_at(F.lit(roles), F.col("x.k") + 1)
     own = parts.where(F.size("weak") > 0).select("k1", "k2", "base", "weak").dropDuplicates(["k1", "k2"])
-    every = own.select("k1", "k2", F.explode(F.concat("base", "weak")).alias("x")).select("k1", "k2", role.alias("role"), F.col("x.s").alias("s"), F.floor(F.col("x.s") / scope).cast("long").alias("cell"))
+    every = own.select("k1", "k2", F.explode(F.concat("base", "weak")).alias("x"))
+    # weak candidates that touch a base span go: along the text, the largest end before and the smallest start after tell
+    firm, here = F.col("x.k") < len(STRONG), Window.partitionBy("k1", "k2")
+    before = F.max(F.when(firm, F.col("x.e"))).over(here.orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(firm, F.col("x.s"))).over(here.orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, -1))
+    every = every.withColumns({"before": before, "after": after}).where(firm | (F.coalesce(F.col("before") <= F.col("x.s"), F.lit(True)) & F.coalesce(F.col("after") >= F.col("x.e"), F.lit(True))))
+    every = saved(every.select("k1", "k2", "x", role.alias("role"), F.col("x.s").alias("s"), F.floor(F.col("x.s") / scope).cast("long").alias("cell")), "secret-places")
     cells = every.where("role <> 'endpoint'").groupBy("k1", "k2", "cell", "role").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    seek = own.select("k1", "k2", F.explode("weak").alias("x")).select("k1", "k2", "x", role.alias("own"), F.floor(F.col("x.s") / scope).cast("long").alias("c"))
+    seek = every.where(~firm).select("k1", "k2", "x", F.col("role").alias("own"), F.col("cell").alias("c"))
     seek = seek.withColumn("cell", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)))
     fits = reduce(lambda a, b: a | b, [(F.col("own") == o) & F.col("role").isin(*rs) for o, rs in COMPLETES.items()])
     near = (F.col("cell") == F.col("c")) | ((F.col("cell") < F.col("c")) & (F.col("x.s") - F.col("hi") <= scope)) | ((F.col("cell") > F.col("c")) & (F.col("lo") - F.col("x.s") <= scope))
