@@ -4,6 +4,7 @@ A byte-pair tokenizer first cuts a text into pre-tokens and encodes each by itse
 pre-tokens. Each document keeps a segment tree over them: leaves hold the tokens (and characters) of ``leaf`` pre-tokens,
 inner nodes the sums of ``fan`` children. An edit finds its leaves through the tree, cuts and encodes again only from a few
 pre-tokens before the edit up to the place where the new cut meets the old one, and updates the sums above.
+Trees are kept as a table (``grow``); a later count (``recount``) reads them, and the texts of edited documents alone.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import match_spans, saved, small_batches
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies (public).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -154,56 +155,118 @@ def apply_edit(text: str, tree: Tree, start: int, end: int, new: str, counter: C
     return after, len(pieces)
 
 
-def _count(vocabulary: str, ids: int):
+TREE = ["n_chars", "n_pretokens", "n_tokens", "leaves", "chars", "tokens"]
+KEPT = "c0 {id}, text_key long, n_chars long, n_pretokens long, n_tokens long, leaves array<int>, chars array<int>, tokens array<int>"
+NAMES = ["n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
+EDITS = "array<struct<start:int,end:int,new:string>>"
+
+
+def kept(tree: Tree) -> tuple[list[int], list[int], list[int]]:
+    """A tree as it is stored: pre-tokens a leaf, characters and tokens of each pre-token. Sums above are not stored."""
+    return [len(a) for a, _ in tree.leaves], [n for a, _ in tree.leaves for n in a], [n for _, b in tree.leaves for n in b]
+
+
+def held(leaves: list[int], chars: list[int], tokens: list[int]) -> Tree:
+    """The tree that ``kept`` stored."""
+    tree, at = Tree([], []), 0
+    tree.leaves = []
+    for n in leaves:
+        tree.leaves.append((chars[at : at + n], tokens[at : at + n]))
+        at += n
+    tree.leaves = tree.leaves or [([], [])]
+    tree._build()
+    return tree
+
+
+def _grown(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(vocabulary)
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for text, edits in zip(batch.column(ids), batch.column(ids + 1), strict=True):
+            rows = []
+            for text in batch.column(2):
                 t = text.as_py() or ""
                 pieces = counter.pieces(t)
                 tree = Tree(list(map(len, pieces)), counter.counts(pieces))
-                before = (len(t), len(pieces), tree.tokens)
+                rows.append((len(t), len(pieces), tree.tokens, *kept(tree)))
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["c0", "text_key", *TREE])
+
+    return run
+
+
+def _edited(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(vocabulary)
+        for batch in batches:
+            rows = []
+            for text, edits, *tree_ in zip(*(batch.column(i) for i in range(2, 7)), strict=True):
+                t, tree = text.as_py() or "", held(*(x.as_py() for x in tree_))
                 again = n = 0
-                for e in sorted(edits.as_py() or (), key=lambda e: -e["start"]):  # from the back: offsets are the original text's
+                for e in sorted(edits.as_py(), key=lambda e: -e["start"]):  # from the back: offsets are the original text's
                     t, got = apply_edit(t, tree, e["start"], e["end"], e["new"], counter)
                     again, n = again + got, n + 1
-                for x, y in zip(out, (*before, n, again, len(t), tree.tokens), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(ids)), *(pa.array(x, pa.int64()) for x in out)], [*(f"c{i}" for i in range(ids)), *NAMES])
+                rows.append((n, again, len(t), tree.tokens, *kept(tree)))
+            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["c0", "text_key", *NAMES[3:], *TREE[3:]])
 
     return run
 
 
-NAMES = ["n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
-EDITS = "array<struct<start:int,end:int,new:string>>"
+def text_key(id_col: str, text_col: str) -> Column:
+    """Names a text under its id: a kept tree serves only the text it was grown from."""
+    return F.xxhash64(F.col(id_col), F.col(text_col), F.col(id_col).isNull(), F.col(text_col).isNull())
+
+
+def grow(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The trees of all rows, to be kept as a table: id, text_key, n_chars, n_pretokens, n_tokens, leaves, chars, tokens.
 
+    ``vocabulary`` is the path of a ranks file, the same on every machine. This encodes every text in full, once.
+    Defined cases: null and empty texts have a tree without pre-tokens; null ids and repeated rows have their trees one by
+    one; an empty table gives no rows; other columns of the input are not read.
+    """
+    cols = small_batches(docs).select(F.col(id_col).alias("c0"), text_key(id_col, text_col).alias("text_key"), F.col(text_col).alias("text"))
+    return cols.mapInArrow(_grown(vocabulary), KEPT.format(id=docs.schema[id_col].dataType.simpleString())).withColumnRenamed("c0", id_col)
+
+
+def recount(docs: DataFrame, trees: DataFrame, vocabulary: str, edits: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``trees``: its columns, then n_edits, n_reencoded (pre-tokens encoded for the edits), n_chars_after and
+    n_tokens_after; leaves, chars and tokens are the edited text's.
 
-def count_tokens(docs: DataFrame, vocabulary: str, edits: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``docs`` are the rows that ``trees`` were grown from, with ``edits``, an array column of (start, end, new): code points of the
+    original text, end exclusive, not overlapping. Only rows with edits are read and joined with their trees, and of their
+    texts only the edited regions are encoded; of equal rows the first edits count. The others keep their sums.
+    """
+    own = F.col(edits).cast(EDITS)
+    touched = small_batches(docs).where(F.size(own) > 0).select(text_key(id_col, text_col).alias("text_key"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), own.alias("edits")).dropDuplicates(["own_id", "text_key"])
+    stored = trees.dropDuplicates([id_col, "text_key"]).select(F.col(id_col).alias("tree_id"), F.col("text_key").alias("tree_key"), *TREE[3:])
+    met = touched.join(stored, touched["own_id"].eqNullSafe(stored["tree_id"]) & (F.col("text_key") == F.col("tree_key"))).select("own_id", "text_key", "text", "edits", *TREE[3:])
+    schema = f"c0 {dict(trees.dtypes)[id_col]}, text_key long, {', '.join(f'{x} long' for x in NAMES[3:])}, {', '.join(f'new_{x} array<int>' for x in TREE[3:])}"
+    changed = met.mapInArrow(lambda batches: (b.rename_columns(["c0", "text_key", *NAMES[3:], *(f"new_{x}" for x in TREE[3:])]) for b in _edited(vocabulary)(batches)), schema)
+    changed = changed.select(F.col("c0").alias("changed_id"), F.col("text_key").alias("changed_key"), *NAMES[3:], *(f"new_{x}" for x in TREE[3:]))
+    both = trees.join(changed, trees[id_col].eqNullSafe(changed["changed_id"]) & (F.col("text_key") == F.col("changed_key")), "left")
+    none = F.lit(0).cast("long")
+    after = {"n_edits": F.coalesce("n_edits", none), "n_reencoded": F.coalesce("n_reencoded", none), "n_chars_after": F.coalesce("n_chars_after", "n_chars"), "n_tokens_after": F.coalesce("n_tokens_after", "n_tokens")}
+    return both.select(id_col, "text_key", *TREE[:3], *(F.coalesce(f"new_{x}", x).alias(x) for x in TREE[3:]), *(c.alias(x) for x, c in after.items()))
+
+
+def count_tokens(docs: DataFrame, vocabulary: str, edits: str | None = None, id_col: str = "doc_id", text_col: str = "text", trees: DataFrame | None = None) -> DataFrame:
     """One row per input row: id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded (pre-tokens encoded for the edits),
     n_chars_after, n_tokens_after.
 
     ``edits`` names an array column of (start, end, new): code points of the original text, end exclusive, not overlapping.
+    ``trees``: those that ``grow`` made of the same rows; without them they are grown and kept in the shared folder first.
     ``vocabulary`` is the path of a ranks file, the same on every machine.
     Defined cases: null and empty texts have no tokens; a null list of edits is an empty one; null ids and repeated rows
     are counted one by one; an empty table gives no rows; other columns of the input are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    cols = [F.col(id_col).alias("c0"), F.col(text_col).alias("text"), (F.col(edits) if edits else F.lit(None)).cast(EDITS).alias("edits")]
-    out = small_batches(docs).select(*cols).mapInArrow(_count(vocabulary, 1), ", ".join([f"c0 {kind}", *(f"{x} long" for x in NAMES)]))
-    return out.withColumnRenamed("c0", id_col)
+    trees = saved(grow(docs, vocabulary, id_col, text_col), "token-trees") if trees is None else trees
+    rows = docs.select(F.col(id_col), F.col(text_col), (F.col(edits) if edits else F.lit(None)).cast(EDITS).alias("_edits"))
+    return recount(rows, trees, vocabulary, "_edits", id_col, text_col).select(id_col, *NAMES)
 
 
-def redactions(text_col: str = "text", pattern: str = r"[0-9]{3,}", new: str = "0"):
-    """Edits that replace each run of digits, as a maker of clean copies would: an array column for ``count_tokens``."""
+def redactions(text_col: str = "text", pattern: str = r"[0-9]{3,}", new: str = "0") -> Column:
+    """Edits that replace each run of digits, as a maker of clean copies would: an array column for ``count_tokens``. Null and empty
+    texts have none."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    cut = F.arrays_zip(F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(EDITS).alias("out"))
-
-    def step(acc, x):
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(s.alias("start"), e.alias("end"), F.lit(new).alias("new")))
-        return F.struct(e.alias("at"), F.when(x["hit"].isNotNull(), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(cut, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(EDITS))
+    spans = F.transform(match_spans(text, pattern), lambda x: F.struct(x["s"].alias("start"), x["e"].alias("end"), F.lit(new).alias("new")))
+    return F.when(text.rlike(pattern), spans.cast(EDITS)).otherwise(F.array().cast(EDITS))
