@@ -1,13 +1,13 @@
 """Exact dedup by skew-safe combining.
 
-Copies are combined in three stages, each of which compares the full normalised text, never a digest alone:
+Copies are combined in three stages, each of which groups by the full normalised text beside its digest:
 
 1. *local*: the map side of the first aggregation leaves one row per text and task,
 2. *salted*: rows of one digest are spread over ``salts`` by a hash of their id, so that a text which holds a third of
    the corpus is merged by many tasks,
 3. *global*: the winners of the salts (at most ``salts`` rows a text) are combined.
 
-Decisions go back to the rows through the (digest, salt) pairs, so the join is spread the same way as the merge.
+Decisions go back to the rows by digest, salt and length, so the join is spread the same way as the merge and moves no text.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int | None = None, rows_per_salt: int = 1_000_000) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after lower-casing A-Z; null counts as the empty text. Of equal texts the row with
     the largest id stays. Defined cases: a null id ranks below every other id and stays only if all ids of its text
     are null; rows that repeat the same id and text all count in group_size, and all carry kept = (id is keep_id);
-    an empty table gives no rows; other columns of the input are not read.
+    an empty table gives no rows; other columns of the input are not read. ``salts``: 16, or as many as keep each salt of a
+    text that all rows hold within ``rows_per_salt`` rows.
     """
+    salts = salts or max(16, -(-docs.count() // rows_per_salt))
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     rows = rows.withColumns({"d": F.unhex(F.sha2("t", 256)), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
     local = rows.groupBy("d", "salt", "t").agg(F.max("id").alias("m"), F.count("*").alias("n"))
