@@ -93,6 +93,39 @@ def min_cost_flow(supply: Sequence[float], members: Sequence[Sequence[int]], quo
             b = arcs[k ^ 1][0]
 
 
+def cheapest(supply: Sequence[float], members: Sequence[Sequence[int]], quota: Sequence[float], max_repeats: int) -> list[dict[int, float]]:
+    """``min_cost_flow``, solved apart for each group of sources that share patterns. A pattern and a source that nothing else meets
+    need no search: the source takes its quota, or all there is."""
+    root = list(range(len(quota)))
+
+    def find(j: int) -> int:
+        while root[j] != j:
+            root[j] = root[root[j]]
+            j = root[j]
+        return j
+
+    for m in members:
+        for j in m[1:]:
+            root[find(j)] = find(m[0])
+    parts: dict[int, list[int]] = {}
+    for i, m in enumerate(members):
+        if m:
+            parts.setdefault(find(m[0]), []).append(i)
+    out: list[dict[int, float]] = [{} for _ in members]
+    for own in parts.values():
+        if len(own) == 1 and len(members[own[0]]) == 1:
+            (i,), (j,) = own, members[own[0]]
+            taken = min(float(quota[j]), float(max_repeats * supply[i]))
+            out[i] = {j: taken} if taken > 1e-6 else {}
+            continue
+        sources = sorted({j for i in own for j in members[i]})
+        place = {j: k for k, j in enumerate(sources)}
+        flows = min_cost_flow([supply[i] for i in own], [[place[j] for j in members[i]] for i in own], [quota[j] for j in sources], max_repeats)
+        for i, f in zip(own, flows, strict=True):
+            out[i] = {sources[k]: x for k, x in f.items()}
+    return out
+
+
 def _by_code_point(names: Sequence[str | None]) -> list[str | None]:
     return sorted(names, key=lambda x: (x is None, x or ""))
 
@@ -127,7 +160,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
             own[j] += r["size"]
     single = all(len(m) <= 1 for m in member)
     quota = targets(own, weights(names), max_repeats)
-    flows = min_cost_flow([r["size"] for r in patterns], member, quota, max_repeats)
+    flows = cheapest([r["size"] for r in patterns], member, quota, max_repeats)
     plan = []
     for r, m, f in zip(patterns, member, flows, strict=True):
         taken = sum(f.values())
