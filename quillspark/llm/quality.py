@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, run_hashes, string_blocks, tokens
+from .common import WHITE, run_hashes, small_batches, string_blocks, tokens
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -99,7 +99,6 @@ def fit_ordinal(bucket: np.ndarray, value: np.ndarray, length: np.ndarray, shape
     m, v = np.zeros_like(p), np.zeros_like(p)
     weight = 1 / np.maximum(count[grade], 1)
     weight *= rows / weight.sum() if rows else 1
-    hit = grade[:, None] >= np.arange(1, grades)[None, :]
     for step in range(steps if len(np.unique(grade)) > 1 else 0):
         t = p[nw + ns] + np.r_[0, np.cumsum(np.exp(p[nw + ns + 1 :]))]
         score = np.bincount(row, x * p[col], minlength=rows) + shapes @ p[nw : nw + ns]
@@ -118,7 +117,6 @@ def fit_ordinal(bucket: np.ndarray, value: np.ndarray, length: np.ndarray, shape
         g = np.r_[np.bincount(col, x * g_score[row], minlength=nw) + decay * p[:nw], shapes.T @ g_score + decay * p[nw : nw + ns], tails[0], tails[1:] * np.exp(p[nw + ns + 1 :])]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.999 ** (step + 1))) + 1e-8)
-    del hit
     words = np.zeros(buckets, np.float32)
     words[names] = p[:nw]
     return Ordinal(words, p[nw : nw + ns].astype(np.float32), p[nw + ns] + np.r_[0, np.cumsum(np.exp(p[nw + ns + 1 :]))])
@@ -134,7 +132,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, id_col:
     n = rated.count()
     share = min(1.0, max_rows / max(n, 1))
     picked = rated.where(F.pmod(F.xxhash64(F.lit("quality"), "rated_id"), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("rated_id").agg(F.min("grade").alias("grade"))
-    texts = docs.select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "rated_id").select("grade", "text")
+    texts = small_batches(docs).select(F.col(id_col).alias("rated_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "rated_id").select("grade", "text")
     got = texts.mapInArrow(_examples(buckets), "grade int, buckets binary, counts binary, shapes binary").toPandas()
     bucket = np.frombuffer(b"".join(got["buckets"]), np.int32).astype(np.int64)
     value = 1 + np.log(np.maximum(1, np.frombuffer(b"".join(got["counts"]), np.int32)))
@@ -165,5 +163,5 @@ def grade_documents(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", tex
     repeated rows are graded one by one; an empty table gives no rows; other columns of the input are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).mapInArrow(_score(model), f"row_id {kind}, score double, expected_grade double, tail_prob double")
+    out = small_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text")).mapInArrow(_score(model), f"row_id {kind}, score double, expected_grade double, tail_prob double")
     return out.withColumnRenamed("row_id", id_col)
