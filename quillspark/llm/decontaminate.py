@@ -293,7 +293,7 @@ def _settled(coverage: float, run_words: int, consistency: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 8, coverage: float = 0.4, run_words: int = 20, consistency: float = 0.7, block: int = 100_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 8, coverage: float = 0.4, run_words: int = 20, consistency: float = 0.7, block: int = 100_000, filter_bits: int = 1 << 28) -> DataFrame:
     """One row per document and benchmark item that it holds: id, item_id, n_windows (of the item), n_matched, coverage,
     kind (copy or reparameterised), n_slots, n_slots_fit, start and end of the match (code points).
 
@@ -301,7 +301,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     diagonals where at least ``consistency`` of the slots fit a one-to-one map. Of the template with names and the one
     without, the one that covers more is reported. Items of under ``k`` tokens, or without a
     window of mostly words in either, match where all their words, numbers and units stand in order (one window then).
-    ``block``: matched windows that one task settles, about.
+    ``block``: matched windows that one task settles, about. ``filter_bits``: of the filter, which every worker holds; beyond about
+    a tenth as many windows of the benchmark it lets many others through, which the join then drops.
     Defined cases: null and empty texts on either side match nothing; null ids and repeated rows are reported like
     others; an empty table on either side gives no rows; other columns of the inputs are not read.
     """
@@ -310,7 +311,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = saved(benchmark.select(F.col(item_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(_items(k), kinds(ITEMS, own(benchmark, item_col, "item_id"))), "items")
     sizes = [r[0] for r in items.where(F.col("which") == WHOLE).select("n").distinct().collect()]  # k of them at most
     texts = small_batches(docs).select(F.col(id_col).alias("row_id"), F.col(text_col).alias("text"))
-    hits = saved(texts.mapInArrow(_hits(k, sizes, bounded_filter(items, "h")), kinds(HITS, own(docs, id_col, "row_id"))), "hits")
+    hits = saved(texts.mapInArrow(_hits(k, sizes, bounded_filter(items, "h", 256, filter_bits)), kinds(HITS, own(docs, id_col, "row_id"))), "hits")
 
     # a pair that holds has ``need`` of the item's windows, so it has one of all but the need - 1 that most items share
     need = F.when(F.col("which") == WHOLE, F.col("n_windows")).otherwise(F.greatest(F.lit(1), F.least(F.ceil(F.col("n_windows") * coverage - 1e-9), F.lit(max(1, run_words - k + 1)))))
