@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .periods import CATEGORIES, PERIOD_LABELS, category_of, compact, first_match, period_of
 from .text import let, lines, strip
 
-#: Words that mark lists, counts and the archive's own data; tools with their allowed and required arguments.
+#: Words that mark lists, counts and the archive's own data; tools with their allowed and required arguments; the
+#: patterns of dates, job titles, domains and list marks. The patterns inside the functions below that name Korean words, call tags
+#: or thought tags are fixed values as well: they are what the outputs look like.
 LIST_WORDS = ("목록", "리스트", "최근기사", "최근에올라온", "어떤기사")
 BY_CATEGORY_WORDS = ("분야별", "카테고리별")
 COUNT_WORDS = ("몇개", "몇건", "개수", "건수")

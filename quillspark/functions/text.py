@@ -65,10 +65,16 @@ def clean(x: Column) -> Column:
     """The whole chain; null is the empty text."""
     x = let(squeeze_lines(F.coalesce(x, F.lit(""))), lambda t: drop_first(t, REPORTER))
     x = let(let(x, cut_footer), join_digits)
-    x = F.regexp_replace(x, rf"(?U)(?<=\d)[ \t]+(?=(?:{UNITS})\b)", "")
+    # most texts hold nothing to repair: one plain test spares them ten passes
+    x = let(x, lambda t: F.when(t.rlike(rf"[ \t](?:{UNITS})"), F.regexp_replace(t, rf"(?U)(?<=\d)[ \t]+(?=(?:{UNITS})\b)", "")).otherwise(t))
+    x = let(x, lambda t: F.when(t.rlike("[가-힣·~]|Pr[ \t]"), repaired(t)).otherwise(t))
+    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+
+
+def repaired(x: Column) -> Column:
     for pattern, new in REPAIRS:
         x = F.regexp_replace(x, "(?U)" + pattern, new)
-    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+    return x
 
 
 def normalize(x: Column, symbols: str = SYMBOLS) -> Column:

@@ -786,3 +786,88 @@ def categorisation_contexts(a: Archive) -> DataFrame:
 def sql_functions(a: Archive) -> DataFrame:
     registry.register(a.spark)
     return a.raw("documents").select("doc_id", F.expr("content_hash(text)").alias("hash"), F.expr("compact(source)").alias("compact"))
+
+
+# ---------------------------------------------------------------- model outputs of many shapes, read by both engines
+
+
+def _outputs(shapes: tuple[str, ...]) -> tuple[str, Column]:
+    """An output for every message, as SQL and as a column: the shapes in turn, with the conversation's and the turn's numbers."""
+    sql = ", ".join("'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for s in shapes)
+    sql = f"SELECT conv_id, turn, replace(replace([{sql}][1 + (conv_id + turn) % {len(shapes)}], 'ID', CAST(conv_id AS VARCHAR)), 'NR', CAST(turn AS VARCHAR)) AS raw FROM conversations WHERE role <> 'system'"
+    told = F.replace(F.replace(pick(list(shapes), F.col("conv_id") + F.col("turn")), F.lit("ID"), F.col("conv_id").cast("string")), F.lit("NR"), F.col("turn").cast("string"))
+    return sql, told
+
+
+_THOUGHTS = ("앞 <think>생각\n</think>ID 뒤 ", " ID NR", "<think>a</think><think>b\nc</think> ID", "ID <think>끝없는 NR", "<think></think>", "ID</think> NR <think>x</think>")
+_NUMBERED = ("목록\n1. 첫째 ID\n  2) 둘째 NR\n- 셋째", "없음 ID", "10.열째 ID\n11)  NR \n 3 . 아니다", "1. ID\n\n2. NR\n2. NR", "1.\n2) ")
+_TITLES = ("머리말\n1. 제목: tID / 부제목: bNR\n제목만: x", "제목 : a ID/부제목 : b\n- 제목: c / 부제목: d NR / e", "없음", "제목: / 부제목: x\n제목: ID / 부제목: NR ")
+_AUTHORS = ("홍길동ID 기자 a@b.kr · 김철수 특파원, 김철수 기자", "김NR 선임기자/이ID", "기자", "a@b.kr", "박 ID 인턴기자 , 박 ID", "최NR기자·최NR 특파원")
+_GUIDES = ("1) 규칙ID: 설명 NR\n\n- 혼잣말", "한 줄 ID", "① 가: 나: NR\n(2) 다 ID\n• : 라", "- 마ID :바\n▪ 사", "\n \n")
+
+
+@query(f", o AS ({_outputs(_THOUGHTS)[0]}) SELECT conv_id, turn, trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), {BLANKS}) AS text FROM o", name="without_thoughts")
+def without_thoughts(a: Archive) -> DataFrame:
+    return _said(a).select("conv_id", "turn", parsers.without_thoughts(_outputs(_THOUGHTS)[1]).alias("text"))
+
+
+@query(f", o AS ({_outputs(_NUMBERED)[0]}), l AS (SELECT conv_id, turn, unnest(string_split(raw, chr(10))) AS l FROM o) SELECT conv_id, turn, trim(regexp_extract(l, '^\\s*\\d+[.)]\\s*(.+)$', 1), {BLANKS}) AS item FROM l WHERE regexp_matches(l, '^\\s*\\d+[.)]\\s*(.+)$')", name="parse_numbered")
+def parse_numbered(a: Archive) -> DataFrame:
+    return _said(a).select("conv_id", "turn", F.explode(parsers.numbered(_outputs(_NUMBERED)[1])).alias("item"))
+
+
+_TITLE = r"제목\s*:\s*(.+?)\s*/\s*부제목\s*:\s*(.+)"
+
+
+@query(f", o AS ({_outputs(_TITLES)[0]}), l AS (SELECT conv_id, turn, unnest(string_split(raw, chr(10))) AS l FROM o) SELECT conv_id, turn, trim(regexp_extract(l, '{_TITLE}', 1), {BLANKS}) AS title, trim(regexp_extract(l, '{_TITLE}', 2), {BLANKS}) AS subtitle FROM l WHERE regexp_matches(l, '{_TITLE}')", name="parse_titles")
+def parse_titles(a: Archive) -> DataFrame:
+    pair = F.explode(parsers.titles(_outputs(_TITLES)[1])).alias("p")
+    return _said(a).select("conv_id", "turn", pair).select("conv_id", "turn", "p.title", "p.subtitle")
+
+
+@query(f", o AS ({_outputs(_AUTHORS)[0]}), n AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(raw, '\\S+@\\S+', '', 'g'), '[·,/]'), lambda p: trim(regexp_replace(trim(p), '\\s*(선임기자|수석기자|객원기자|인턴기자|기자|특파원)$', ''))), lambda p: p <> '') AS ns FROM o) SELECT conv_id, turn, nullif(array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i), ', '), '') AS author FROM n", name="parse_author")
+def parse_author(a: Archive) -> DataFrame:
+    return _said(a).select("conv_id", "turn", parsers.author(_outputs(_AUTHORS)[1]).alias("author"))
+
+
+_MARK = r"^\s*(\d+\s*[.)]|\(\d+\)|[-•·*▪◦]|[①-⑳])\s*"
+
+
+@query(f""", o AS ({_outputs(_GUIDES)[0]}), r AS (SELECT conv_id, turn, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda l: trim(regexp_replace(l, '{_MARK}', ''), {BLANKS})), lambda l: l <> '') AS ls FROM o),
+i AS (SELECT conv_id, turn, unnest(CASE WHEN len(ls) <= 1 THEN [NULL] ELSE ls END) AS l, raw FROM r)
+SELECT conv_id, turn, CASE WHEN l IS NULL THEN '지침' WHEN contains(l, ':') AND trim(split_part(l, ':', 1)) <> '' THEN trim(split_part(l, ':', 1)) ELSE l END AS title, CASE WHEN l IS NULL THEN trim(raw, {BLANKS}) WHEN contains(l, ':') AND trim(split_part(l, ':', 1)) <> '' THEN trim(substr(l, strpos(l, ':') + 1)) ELSE '' END AS description FROM i""", name="guideline_items")
+def guideline_items(a: Archive) -> DataFrame:
+    item = F.explode(parsers.guideline_items(F.lit(" 지침 "), _outputs(_GUIDES)[1])).alias("i")
+    return _said(a).select("conv_id", "turn", item).select("conv_id", "turn", "i.title", "i.description")
+
+
+_RULES = ("|---|:--:|", "|---|  |", "---", "| - | :-: |", "|--x|---|", "", "|:|--|")
+
+
+@query(f""", b AS (SELECT p_partkey, list_filter(list_transform(string_split(CASE WHEN p_partkey % 5 = 4 THEN '' ELSE '| ' END || p_name || ' | b |' || chr(10) || chr(10) || {_words(tuple((r,) for r in _RULES), 0)}[1 + p_partkey % {len(_RULES)}] || chr(10) || '| 1 | 2 |', chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls FROM part) SELECT p_partkey, coalesce({_IS_TABLE.format('ls')}, false) AS is_table FROM b""", name="table_detect")
+def table_detect(a: Archive) -> DataFrame:
+    k = F.col("p_partkey")
+    block = F.concat(F.when(k % 5 == 4, "").otherwise("| "), F.col("p_name"), F.lit(" | b |\n\n"), pick(list(_RULES), k), F.lit("\n| 1 | 2 |"))
+    return a.raw("part").select("p_partkey", chunking.is_table(block).alias("is_table"))
+
+
+@query("""SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a' || doc_id || ' b' || chr(10) || 'c' WHEN 1 THEN 'a.' || chr(10) || 'b' || doc_id || chr(10) || 'c' WHEN 2 THEN 'a' || doc_id || '=b' || chr(10) || 'c' WHEN 3 THEN 'a 넘침' || doc_id || chr(10) || 'b' || chr(10) || 'c' ELSE 'a' || chr(10) || 'b' || doc_id || chr(10) || 'c' END AS body,
+CASE WHEN doc_id % 5 = 1 THEN '넘침' || doc_id END AS excluded FROM documents""", name="joined_pages")
+def joined_pages(a: Archive) -> DataFrame:
+    """Three pages a document: open and full paragraphs, a closed one before a carried line, one that ends with =, an open one
+    before a carried line, and one that is not full."""
+    k, s = F.col("doc_id"), F.col("doc_id").cast("string")
+    block = lambda t, full=None, carry=None: F.struct(t.alias("text"), (F.lit(False) if full is None else full).alias("full"), (F.lit(False) if carry is None else carry).alias("carry"))
+    first = block(F.when(k % 5 == 0, F.concat(F.lit("a"), s)).when(k % 5 == 1, "a.").when(k % 5 == 2, F.concat(F.lit("a"), s, F.lit("="))).otherwise("a"), k % 5 != 4)
+    carried = block(F.concat(F.lit("넘침"), s), carry=F.lit(True))
+    second = block(F.when(k % 5 == 1, F.concat(F.lit("b"), s)).when(k % 5 == 4, F.concat(F.lit("b"), s)).otherwise("b"))
+    pages = F.array(F.array(first), F.when(k % 5 == 1, F.array(carried, second)).when(k % 5 == 3, F.array(carried, second)).otherwise(F.array(second)), F.array(block(F.lit("c"))))
+    joined = layout.joined_pages(pages)
+    return a.raw("documents").select("doc_id", F.array_join(F.transform(joined["body"], lambda b: b["text"]), "\n").alias("body"), F.get(joined["excluded"], F.lit(0)).alias("excluded"))
+
+
+@query("SELECT user_id, count(*) AS n FROM (SELECT user_id * 1000000 + article_id AS id, user_id FROM user_articles) WHERE id % 3 <> 0 GROUP BY user_id")
+def conversations_left(a: Archive) -> DataFrame:
+    """Every third conversation is deleted."""
+    talks = _tables(a)["conversations"]
+    return mutations.without(talks, talks.where("id % 3 = 0"), {"id": "id"}).groupBy("user_id").agg(F.count("*").alias("n"))
