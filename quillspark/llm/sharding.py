@@ -1,18 +1,19 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
 1. a size-weighted sample of keys (each row with probability ``sample * size / total``) is drawn by a hash, so reruns agree;
-2. its quantiles are the splitters of ``shards * ranges_per_shard`` key ranges; the bytes and rows of every range are
+2. its quantiles are the splitters of ``shards * ranges_per_shard`` key ranges (32 a shard, more where rows are many); the bytes and rows of every range are
    counted exactly, and a range that came out over ``overfull`` times its share is subdivided by a hash of its keys;
 3. running sums inside each range, on top of the exact offsets of the ranges, place every row on one line of bytes, and
    the line is cut into equal shards.
 
 Law ``bytes``: a shard's bytes differ from the others' by at most about the largest row. The key is (digest of the text,
 digest of the id): equal texts are neighbours, and a text that fills more than a shard is still cut by its ids.
-To the driver go the sample (a fixed number of keys) and one row per range and shard.
+Ranges hold about ``rows_per_range`` rows at most. To the driver go the sample, ten keys a range, and one row per range and shard.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 from pyspark.sql import DataFrame
@@ -36,17 +37,17 @@ def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _range_of(key, splitters: list[str]):
-    """How many splitters are at or below the key: a search in two steps of about LEVEL comparisons each."""
+    """How many splitters are at or below the key: a search in two steps, each of about the root of their number (LEVEL at least)."""
     if not splitters:
         return F.lit(0)
-    step = max(LEVEL, -(-len(splitters) // LEVEL))
+    step = max(LEVEL, math.isqrt(len(splitters)) + 1)
     fine = [splitters[i : i + step] for i in range(0, len(splitters), step)]
     below = lambda held: F.size(F.filter(held, lambda b: b <= key))
     coarse = below(F.lit([x[0] for x in fine]))
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(F.element_at(F.array(*[F.lit(x) for x in fine]), coarse)))
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 32, sample: int = 8192, overfull: float = 2.0) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int | None = None, sample: int = 8192, overfull: float = 2.0, rows_per_range: int = 1_000_000) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, text_group.
 
     size is the UTF-8 bytes of the text (null: 0) plus 8. slot numbers a shard's rows from 0 without gaps.
@@ -55,7 +56,9 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     the input are not read.
     """
     rows = saved(_sized(docs, id_col, text_col), "shard-keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges_per_shard = ranges_per_shard or max(32, -(-n // (shards * rows_per_range)))
+    sample = max(sample, 10 * shards * ranges_per_shard)
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
     drawn = sorted(r[0] for r in rows.where(unit < F.lit(float(sample)) * F.col("size") / F.lit(float(max(total, 1)))).select("key").distinct().collect())
     wanted = shards * ranges_per_shard

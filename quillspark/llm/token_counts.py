@@ -12,8 +12,10 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,41 +157,48 @@ def apply_edit(text: str, tree: Tree, start: int, end: int, new: str, counter: C
     return after, len(pieces)
 
 
-TREE = ["n_chars", "n_pretokens", "n_tokens", "leaves", "chars", "tokens"]
-KEPT = "c0 {id}, text_key long, n_chars long, n_pretokens long, n_tokens long, leaves array<int>, chars array<int>, tokens array<int>"
+TREE = ["n_chars", "n_pretokens", "n_tokens", "segments"]
+KEPT = "c0 {id}, text_key long, tree long, n_chars long, n_pretokens long, n_tokens long, segments binary"
 NAMES = ["n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_chars_after", "n_tokens_after"]
 EDITS = "array<struct<start:int,end:int,new:string>>"
 
 
-def kept(tree: Tree) -> tuple[list[int], list[int], list[int]]:
-    """A tree as it is stored: pre-tokens a leaf, characters and tokens of each pre-token. Sums above are not stored."""
-    return [len(a) for a, _ in tree.leaves], [n for a, _ in tree.leaves for n in a], [n for _, b in tree.leaves for n in b]
+def kept(tree: Tree) -> bytes:
+    """A tree as it is stored: how many leaves, pre-tokens of each, characters and tokens of each pre-token, in one byte each where
+    all fit. Sums above are not stored."""
+    leaves = np.array([len(a) for a, _ in tree.leaves], np.uint32)
+    both = np.array([[n for a, _ in tree.leaves for n in a], [n for _, b in tree.leaves for n in b]], np.uint32)
+    narrow = both.size == 0 or int(both.max()) < 256
+    return b"".join((bytes([narrow]), np.uint32(len(leaves)).tobytes(), leaves.tobytes(), both.astype(np.uint8 if narrow else np.uint32).tobytes()))
 
 
-def held(leaves: list[int], chars: list[int], tokens: list[int]) -> Tree:
+def held(segments: bytes) -> Tree:
     """The tree that ``kept`` stored."""
+    n = int(np.frombuffer(segments, np.uint32, 1, 1)[0])
+    leaves = np.frombuffer(segments, np.uint32, n, 5).tolist()
+    chars, tokens = np.frombuffer(segments, np.uint8 if segments[0] else np.uint32, -1, 5 + 4 * n).reshape(2, -1).tolist()
     tree, at = Tree([], []), 0
     tree.leaves = []
     for n in leaves:
         tree.leaves.append((chars[at : at + n], tokens[at : at + n]))
         at += n
-    tree.leaves = tree.leaves or [([], [])]
     tree._build()
     return tree
 
 
 def _grown(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter, name = Counter(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for text in batch.column(2):
                 t = text.as_py() or ""
                 pieces = counter.pieces(t)
                 tree = Tree(list(map(len, pieces)), counter.counts(pieces))
-                rows.append((len(t), len(pieces), tree.tokens, *kept(tree)))
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int32())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["c0", "text_key", *TREE])
+                rows.append((name, len(t), len(pieces), tree.tokens, kept(tree)))
+                name += 1
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["c0", "text_key", "tree", *TREE])
 
     return run
 
@@ -199,15 +208,15 @@ def _edited(vocabulary: str):
         counter = Counter(vocabulary)
         for batch in batches:
             rows = []
-            for text, edits, *tree_ in zip(*(batch.column(i) for i in range(2, 7)), strict=True):
-                t, tree = text.as_py() or "", held(*(x.as_py() for x in tree_))
+            for text, edits, segments in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                t, tree = text.as_py() or "", held(segments.as_py())
                 again = n = 0
                 for e in sorted(edits.as_py(), key=lambda e: -e["start"]):  # from the back: offsets are the original text's
                     t, got = apply_edit(t, tree, e["start"], e["end"], e["new"], counter)
                     again, n = again + got, n + 1
-                rows.append((n, again, len(t), tree.tokens, *kept(tree)))
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int32())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["c0", "text_key", *NAMES[3:], *TREE[3:]])
+                rows.append((n, again, len(t), tree.tokens, kept(tree)))
+            kinds = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["tree", *NAMES[3:], "new_segments"])
 
     return run
 
@@ -218,7 +227,8 @@ def text_key(id_col: str, text_col: str) -> Column:
 
 
 def grow(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The trees of all rows, to be kept as a table: id, text_key, n_chars, n_pretokens, n_tokens, leaves, chars, tokens.
+    """The trees of all rows, to be kept as a table: id, text_key, tree (a number of its own), n_chars, n_pretokens, n_tokens,
+    segments.
 
     ``vocabulary`` is the path of a ranks file, the same on every machine. This encodes every text in full, once.
     Defined cases: null and empty texts have a tree without pre-tokens; null ids and repeated rows have their trees one by
@@ -229,24 +239,21 @@ def grow(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 
 def recount(docs: DataFrame, trees: DataFrame, vocabulary: str, edits: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``trees``: its columns, then n_edits, n_reencoded (pre-tokens encoded for the edits), n_chars_after and
-    n_tokens_after; leaves, chars and tokens are the edited text's.
+    """One row per row of ``trees``, a stored table: its columns, then n_edits, n_reencoded (pre-tokens encoded for the edits),
+    n_chars_after and n_tokens_after; segments are the edited text's.
 
     ``docs`` are the rows that ``trees`` were grown from, with ``edits``, an array column of (start, end, new): code points of the
     original text, end exclusive, not overlapping. Only rows with edits are read and joined with their trees, and of their
-    texts only the edited regions are encoded; of equal rows the first edits count. The others keep their sums.
+    texts only the edited regions are encoded; of rows with equal id and text one row's edits count. The others keep their sums.
     """
     own = F.col(edits).cast(EDITS)
-    touched = small_batches(docs).where(F.size(own) > 0).select(text_key(id_col, text_col).alias("text_key"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), own.alias("edits")).dropDuplicates(["own_id", "text_key"])
-    stored = trees.dropDuplicates([id_col, "text_key"]).select(F.col(id_col).alias("tree_id"), F.col("text_key").alias("tree_key"), *TREE[3:])
-    met = touched.join(stored, touched["own_id"].eqNullSafe(stored["tree_id"]) & (F.col("text_key") == F.col("tree_key"))).select("own_id", "text_key", "text", "edits", *TREE[3:])
-    schema = f"c0 {dict(trees.dtypes)[id_col]}, text_key long, {', '.join(f'{x} long' for x in NAMES[3:])}, {', '.join(f'new_{x} array<int>' for x in TREE[3:])}"
-    changed = met.mapInArrow(lambda batches: (b.rename_columns(["c0", "text_key", *NAMES[3:], *(f"new_{x}" for x in TREE[3:])]) for b in _edited(vocabulary)(batches)), schema)
-    changed = changed.select(F.col("c0").alias("changed_id"), F.col("text_key").alias("changed_key"), *NAMES[3:], *(f"new_{x}" for x in TREE[3:]))
-    both = trees.join(changed, trees[id_col].eqNullSafe(changed["changed_id"]) & (F.col("text_key") == F.col("changed_key")), "left")
-    none = F.lit(0).cast("long")
-    after = {"n_edits": F.coalesce("n_edits", none), "n_reencoded": F.coalesce("n_reencoded", none), "n_chars_after": F.coalesce("n_chars_after", "n_chars"), "n_tokens_after": F.coalesce("n_tokens_after", "n_tokens")}
-    return both.select(id_col, "text_key", *TREE[:3], *(F.coalesce(f"new_{x}", x).alias(x) for x in TREE[3:]), *(c.alias(x) for x, c in after.items()))
+    touched = small_batches(docs).where(F.size(own) > 0).select(text_key(id_col, text_col).alias("own_key"), F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), own.alias("edits")).dropDuplicates(["own_id", "own_key"])
+    stored = trees.select(F.col(id_col).alias("tree_id"), "text_key", "tree", "segments")
+    met = touched.join(stored, touched["own_id"].eqNullSafe(stored["tree_id"]) & (F.col("own_key") == F.col("text_key"))).select("tree", "text", "edits", "segments")
+    changed = saved(met.mapInArrow(_edited(vocabulary), f"tree long, {', '.join(f'{x} long' for x in NAMES[3:])}, new_segments binary"), "token-edits")
+    both, none = trees.join(changed, "tree", "left"), F.lit(0).cast("long")
+    after = {"segments": F.coalesce("new_segments", "segments"), "n_edits": F.coalesce("n_edits", none), "n_reencoded": F.coalesce("n_reencoded", none), "n_chars_after": F.coalesce("n_chars_after", "n_chars"), "n_tokens_after": F.coalesce("n_tokens_after", "n_tokens")}
+    return both.select(id_col, "text_key", "tree", *TREE[:3], *(c.alias(x) for x, c in after.items()))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, edits: str | None = None, id_col: str = "doc_id", text_col: str = "text", trees: DataFrame | None = None) -> DataFrame:

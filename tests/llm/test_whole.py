@@ -154,7 +154,10 @@ def test_kept_trees_spare_the_encoding(spark):
     for r in again:
         if r.doc_id in text:
             pieces = counter.pieces(text[r.doc_id])
-            assert sum(r.leaves) == len(pieces) == len(r.chars) and r.chars == list(map(len, pieces)) and r.tokens == counter.counts(pieces)
+            tree = token_counts.held(bytes(r.segments))
+            assert [n for a, _ in tree.leaves for n in a] == list(map(len, pieces)) and [n for _, b in tree.leaves for n in b] == counter.counts(pieces)
+            assert (tree.chars, tree.tokens) == (r.n_chars_after, r.n_tokens_after)
+    assert token_counts.kept(token_counts.held(token_counts.kept(token_counts.Tree([300, 1], [70_000, 2])))) == token_counts.kept(token_counts.Tree([300, 1], [70_000, 2]))
 
 
 def test_flow_by_groups_equals_one_search():
