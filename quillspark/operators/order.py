@@ -10,9 +10,10 @@ from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpointed where the session has a folder for it, so that what is read several times is computed once; else as it is."""
+    """For what is read several times: checkpointed where the session has a folder for it, else kept by the executors (and computed
+    again where one is lost)."""
     held = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    return df.checkpoint() if held or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    return df.checkpoint() if held or df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
 def numbered(df: DataFrame, order: list[str], name: str, start: int = 0, rows_per_task: int = 1_000_000, drawn_per_task: int = 30) -> DataFrame:

@@ -791,12 +791,16 @@ def sql_functions(a: Archive) -> DataFrame:
 # ---------------------------------------------------------------- model outputs of many shapes, read by both engines
 
 
-def _outputs(shapes: tuple[str, ...]) -> tuple[str, Column]:
-    """An output for every message, as SQL and as a column: the shapes in turn, with the conversation's and the turn's numbers."""
-    sql = ", ".join("'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for s in shapes)
-    sql = f"SELECT conv_id, turn, replace(replace([{sql}][1 + (conv_id + turn) % {len(shapes)}], 'ID', CAST(conv_id AS VARCHAR)), 'NR', CAST(turn AS VARCHAR)) AS raw FROM conversations WHERE role <> 'system'"
-    told = F.replace(F.replace(pick(list(shapes), F.col("conv_id") + F.col("turn")), F.lit("ID"), F.col("conv_id").cast("string")), F.lit("NR"), F.col("turn").cast("string"))
-    return sql, told
+def _asked(shapes: tuple[str, ...]) -> str:
+    """An output for every message: the shapes in turn, with the conversation's and the turn's numbers."""
+    held = ", ".join("'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for s in shapes)
+    return f"SELECT conv_id, turn, replace(replace([{held}][1 + (conv_id + turn) % {len(shapes)}], 'ID', CAST(conv_id AS VARCHAR)), 'NR', CAST(turn AS VARCHAR)) AS raw FROM conversations WHERE role <> 'system'"
+
+
+def _told(shapes: tuple[str, ...]) -> Column:
+    """What ``_asked`` says, as a column."""
+    one = F.replace(pick(list(shapes), F.col("conv_id") + F.col("turn")), F.lit("ID"), F.col("conv_id").cast("string"))
+    return F.replace(one, F.lit("NR"), F.col("turn").cast("string"))
 
 
 _THOUGHTS = ("앞 <think>생각\n</think>ID 뒤 ", " ID NR", "<think>a</think><think>b\nc</think> ID", "ID <think>끝없는 NR", "<think></think>", "ID</think> NR <think>x</think>")
@@ -806,38 +810,38 @@ _AUTHORS = ("홍길동ID 기자 a@b.kr · 김철수 특파원, 김철수 기자"
 _GUIDES = ("1) 규칙ID: 설명 NR\n\n- 혼잣말", "한 줄 ID", "① 가: 나: NR\n(2) 다 ID\n• : 라", "- 마ID :바\n▪ 사", "\n \n")
 
 
-@query(f", o AS ({_outputs(_THOUGHTS)[0]}) SELECT conv_id, turn, trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), {BLANKS}) AS text FROM o", name="without_thoughts")
+@query(f", o AS ({_asked(_THOUGHTS)}) SELECT conv_id, turn, trim(regexp_replace(raw, '(?s)<think>.*?</think>', '', 'g'), {BLANKS}) AS text FROM o", name="without_thoughts")
 def without_thoughts(a: Archive) -> DataFrame:
-    return _said(a).select("conv_id", "turn", parsers.without_thoughts(_outputs(_THOUGHTS)[1]).alias("text"))
+    return _said(a).select("conv_id", "turn", parsers.without_thoughts(_told(_THOUGHTS)).alias("text"))
 
 
-@query(f", o AS ({_outputs(_NUMBERED)[0]}), l AS (SELECT conv_id, turn, unnest(string_split(raw, chr(10))) AS l FROM o) SELECT conv_id, turn, trim(regexp_extract(l, '^\\s*\\d+[.)]\\s*(.+)$', 1), {BLANKS}) AS item FROM l WHERE regexp_matches(l, '^\\s*\\d+[.)]\\s*(.+)$')", name="parse_numbered")
+@query(f", o AS ({_asked(_NUMBERED)}), l AS (SELECT conv_id, turn, unnest(string_split(raw, chr(10))) AS l FROM o) SELECT conv_id, turn, trim(regexp_extract(l, '^\\s*\\d+[.)]\\s*(.+)$', 1), {BLANKS}) AS item FROM l WHERE regexp_matches(l, '^\\s*\\d+[.)]\\s*(.+)$')", name="parse_numbered")
 def parse_numbered(a: Archive) -> DataFrame:
-    return _said(a).select("conv_id", "turn", F.explode(parsers.numbered(_outputs(_NUMBERED)[1])).alias("item"))
+    return _said(a).select("conv_id", "turn", F.explode(parsers.numbered(_told(_NUMBERED))).alias("item"))
 
 
 _TITLE = r"제목\s*:\s*(.+?)\s*/\s*부제목\s*:\s*(.+)"
 
 
-@query(f", o AS ({_outputs(_TITLES)[0]}), l AS (SELECT conv_id, turn, unnest(string_split(raw, chr(10))) AS l FROM o) SELECT conv_id, turn, trim(regexp_extract(l, '{_TITLE}', 1), {BLANKS}) AS title, trim(regexp_extract(l, '{_TITLE}', 2), {BLANKS}) AS subtitle FROM l WHERE regexp_matches(l, '{_TITLE}')", name="parse_titles")
+@query(f", o AS ({_asked(_TITLES)}), l AS (SELECT conv_id, turn, unnest(string_split(raw, chr(10))) AS l FROM o) SELECT conv_id, turn, trim(regexp_extract(l, '{_TITLE}', 1), {BLANKS}) AS title, trim(regexp_extract(l, '{_TITLE}', 2), {BLANKS}) AS subtitle FROM l WHERE regexp_matches(l, '{_TITLE}')", name="parse_titles")
 def parse_titles(a: Archive) -> DataFrame:
-    pair = F.explode(parsers.titles(_outputs(_TITLES)[1])).alias("p")
+    pair = F.explode(parsers.titles(_told(_TITLES))).alias("p")
     return _said(a).select("conv_id", "turn", pair).select("conv_id", "turn", "p.title", "p.subtitle")
 
 
-@query(f", o AS ({_outputs(_AUTHORS)[0]}), n AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(raw, '\\S+@\\S+', '', 'g'), '[·,/]'), lambda p: trim(regexp_replace(trim(p), '\\s*(선임기자|수석기자|객원기자|인턴기자|기자|특파원)$', ''))), lambda p: p <> '') AS ns FROM o) SELECT conv_id, turn, nullif(array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i), ', '), '') AS author FROM n", name="parse_author")
+@query(f", o AS ({_asked(_AUTHORS)}), n AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(raw, '\\S+@\\S+', '', 'g'), '[·,/]'), lambda p: trim(regexp_replace(trim(p), '\\s*(선임기자|수석기자|객원기자|인턴기자|기자|특파원)$', ''))), lambda p: p <> '') AS ns FROM o) SELECT conv_id, turn, nullif(array_to_string(list_filter(ns, lambda x, i: list_position(ns, x) = i), ', '), '') AS author FROM n", name="parse_author")
 def parse_author(a: Archive) -> DataFrame:
-    return _said(a).select("conv_id", "turn", parsers.author(_outputs(_AUTHORS)[1]).alias("author"))
+    return _said(a).select("conv_id", "turn", parsers.author(_told(_AUTHORS)).alias("author"))
 
 
 _MARK = r"^\s*(\d+\s*[.)]|\(\d+\)|[-•·*▪◦]|[①-⑳])\s*"
 
 
-@query(f""", o AS ({_outputs(_GUIDES)[0]}), r AS (SELECT conv_id, turn, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda l: trim(regexp_replace(l, '{_MARK}', ''), {BLANKS})), lambda l: l <> '') AS ls FROM o),
+@query(f""", o AS ({_asked(_GUIDES)}), r AS (SELECT conv_id, turn, raw, list_filter(list_transform(string_split(raw, chr(10)), lambda l: trim(regexp_replace(l, '{_MARK}', ''), {BLANKS})), lambda l: l <> '') AS ls FROM o),
 i AS (SELECT conv_id, turn, unnest(CASE WHEN len(ls) <= 1 THEN [NULL] ELSE ls END) AS l, raw FROM r)
 SELECT conv_id, turn, CASE WHEN l IS NULL THEN '지침' WHEN contains(l, ':') AND trim(split_part(l, ':', 1)) <> '' THEN trim(split_part(l, ':', 1)) ELSE l END AS title, CASE WHEN l IS NULL THEN trim(raw, {BLANKS}) WHEN contains(l, ':') AND trim(split_part(l, ':', 1)) <> '' THEN trim(substr(l, strpos(l, ':') + 1)) ELSE '' END AS description FROM i""", name="guideline_items")
 def guideline_items(a: Archive) -> DataFrame:
-    item = F.explode(parsers.guideline_items(F.lit(" 지침 "), _outputs(_GUIDES)[1])).alias("i")
+    item = F.explode(parsers.guideline_items(F.lit(" 지침 "), _told(_GUIDES))).alias("i")
     return _said(a).select("conv_id", "turn", item).select("conv_id", "turn", "i.title", "i.description")
 
 

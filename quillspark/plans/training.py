@@ -48,8 +48,9 @@ def first_of(df: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def by_priority(df: DataFrame, kinds: tuple[str, ...] = PRIORITY, kind: str = "question_type", order: str = "pos") -> DataFrame:
     """Each type in turn keeps its first record per context, then per doc_id, less all contexts and ids kept before.
-    A missing id counts as one id (null-safe), as a set of seen values would."""
+    A missing id counts as one id (null-safe), as a set of seen values would. ``order`` is a column without repeats."""
     kept: DataFrame | None = None
+    full, df = df, cut(df.select(order, kind, "doc_id", F.sha2(F.col("context").cast("binary"), 256).alias("context")))  # bodies stay behind
     for k in kinds:
         own = first_of(df.where(F.col(kind) == k), ["context"], order)
         if kept is not None:
@@ -58,7 +59,7 @@ def by_priority(df: DataFrame, kinds: tuple[str, ...] = PRIORITY, kind: str = "q
                 own = own.join(seen, own[c].eqNullSafe(seen["_seen"]), "left_anti")
         own = cut(first_of(own, ["doc_id"], order))  # it is read again for every later type
         kept = own if kept is None else kept.unionByName(own)
-    return kept
+    return full.join(kept.select(order), order, "left_semi")
 
 
 def without_leaks(train: DataFrame, held: DataFrame, keys: tuple[str, ...] = ("context", "doc_id")) -> DataFrame:
