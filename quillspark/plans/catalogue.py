@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quillspark.functions import chunking, layout, parsers, periods, prompts, text
+from quillspark.functions import layout, parsers, periods, prompts, text
 from quillspark.operators import archive, company, constraints, lookups, mutations, requests, vectors
 
 from . import training, validation
@@ -184,11 +183,6 @@ def squeeze_lines(a: Archive) -> DataFrame:
     return a.raw("documents").select("doc_id", text.content_hash(text.squeeze_lines(F.col("text"))).alias("digest"))
 
 
-@query()
-def clean_texts(a: Archive) -> DataFrame:
-    return a.raw("documents").select("doc_id", text.content_hash(text.clean(F.col("text"))).alias("digest"))
-
-
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '\s*[\r\n]\s*', chr(10), 'g'), '[ \t\f]+', ' ', 'g'), ' ' || chr(10) || chr(9))) AS digest FROM documents")
 def normalize_texts(a: Archive) -> DataFrame:
     return a.raw("documents").select("doc_id", text.content_hash(text.normalize(F.col("text"))).alias("digest"))
@@ -199,18 +193,6 @@ def normalization_problems(a: Archive) -> DataFrame:
     return a.raw("documents").select("doc_id", F.size(text.problems(F.col("text"))).cast("long").alias("n_problems"))
 
 
-@query()
-def chunk_rows(a: Archive) -> DataFrame:
-    held = chunking.chunk(F.col("text"), 300, paragraph="\n")
-    return a.raw("documents").select("doc_id", F.posexplode(held).alias("chunk_index", "content"))
-
-
-@query()
-def overlap_chunks(a: Archive) -> DataFrame:
-    held = chunking.chunk(F.col("text"), 300, 1, paragraph="\n")
-    return a.raw("documents").select("doc_id", F.posexplode(held).alias("chunk_index", "content"))
-
-
 # ---------------------------------------------------------------- changes
 
 
@@ -351,19 +333,6 @@ def parse_keywords(a: Archive) -> DataFrame:
     return _said(a).select("conv_id", "turn", F.size(parsers.keywords(F.col("text"))).cast("long").alias("n"))
 
 
-@query("SELECT conv_id, turn, 'count_articles' AS name, 'all' AS period FROM conversations WHERE role <> 'system'")
-def keyword_fallback(a: Archive) -> DataFrame:
-    call = parsers.fallback_call(F.col("text"))
-    return _said(a).select("conv_id", "turn", call["name"].alias("name"), call["period"].alias("period"))
-
-
-@query("SELECT conv_id, turn, 'count_articles' AS name, CAST(conv_id AS VARCHAR) AS category FROM conversations WHERE role <> 'system'")
-def parse_tool_call(a: Archive) -> DataFrame:
-    raw = F.concat(F.lit('text <tool_call>{"name": "count_articles", "arguments": {"category": "'), F.col("conv_id").cast("string"), F.lit('"}}</tool_call>'))
-    call = parsers.tool_call(raw)
-    return _said(a).select("conv_id", "turn", call["name"].alias("name"), call["arguments"]["category"].alias("category"))
-
-
 @query("SELECT CAST(sum(CASE WHEN turn % 4 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS met, CAST(sum(CASE WHEN turn % 4 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS short, CAST(sum(CASE WHEN turn % 4 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS none, CAST(sum(CASE WHEN turn % 4 = 3 THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM conversations WHERE role <> 'system'")
 def evaluation_tally(a: Archive) -> DataFrame:
     raw = F.element_at(F.lit(["판정: 충족\n이유: 좋다", "미흡", "판정: 해당  없음", "모르겠다"]), (F.col("turn") % 4 + 1).cast("int"))
@@ -445,19 +414,6 @@ def company_answers(a: Archive) -> DataFrame:
 # ---------------------------------------------------------------- output parsers over every message
 
 
-@query("SELECT conv_id, turn, text[:200] AS title, 'b' || turn AS subtitle FROM (SELECT conv_id, turn, 't' || conv_id AS text FROM conversations WHERE role <> 'system')")
-def parse_titles(a: Archive) -> DataFrame:
-    raw = F.concat(F.lit("머리말\n1. 제목: t"), F.col("conv_id").cast("string"), F.lit(" / 부제목: b"), F.col("turn").cast("string"), F.lit("\n제목만: x"))
-    pair = F.explode(parsers.titles(raw)).alias("p")
-    return _said(a).select("conv_id", "turn", pair).select("conv_id", "turn", "p.title", "p.subtitle")
-
-
-@query("SELECT conv_id, turn, unnest(['첫째 ' || conv_id, '둘째 ' || turn]) AS item FROM conversations WHERE role <> 'system'")
-def parse_numbered(a: Archive) -> DataFrame:
-    raw = F.concat(F.lit("목록\n1. 첫째 "), F.col("conv_id").cast("string"), F.lit("\n  2) 둘째 "), F.col("turn").cast("string"), F.lit("\n- 셋째"))
-    return _said(a).select("conv_id", "turn", F.explode(parsers.numbered(raw)).alias("item"))
-
-
 @query("SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '중복 의심' WHEN 1 THEN '중복 아님' END AS verdict, CASE WHEN turn % 3 < 2 THEN 'r' || conv_id END AS reason FROM conversations WHERE role <> 'system'")
 def parse_duplicate_verdict(a: Archive) -> DataFrame:
     head = F.element_at(F.lit(["판정: 중복  의심", "판정 : 중복아님", "모르겠다"]), (F.col("turn") % 3 + 1).cast("int"))
@@ -473,12 +429,6 @@ def parse_category(a: Archive) -> DataFrame:
     return _said(a).select("conv_id", "turn", parsers.category(raw).alias("category"))
 
 
-@query("SELECT conv_id, turn, '홍길동' || conv_id || ', 김철수' AS author FROM conversations WHERE role <> 'system'")
-def parse_author(a: Archive) -> DataFrame:
-    raw = F.concat(F.lit("홍길동"), F.col("conv_id").cast("string"), F.lit(" 기자 a@b.kr · 김철수 특파원, 김철수 기자"))
-    return _said(a).select("conv_id", "turn", parsers.author(raw).alias("author"))
-
-
 @query("SELECT event_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS at FROM events")
 def parse_published_at(a: Archive) -> DataFrame:
     """Every event's time written as a Korean date and read back."""
@@ -487,19 +437,6 @@ def parse_published_at(a: Archive) -> DataFrame:
     return a.raw("events").select("event_id", parsers.published_at(raw).alias("at"))
 
 
-@query("SELECT conv_id, turn, unnest(['규칙' || conv_id, '혼잣말']) AS title, unnest(['설명 ' || turn, '']) AS description FROM conversations WHERE role <> 'system'")
-def guideline_items(a: Archive) -> DataFrame:
-    raw = F.concat(F.lit("1) 규칙"), F.col("conv_id").cast("string"), F.lit(": 설명 "), F.col("turn").cast("string"), F.lit("\n\n- 혼잣말"))
-    item = F.explode(parsers.guideline_items(F.lit("지침"), raw)).alias("i")
-    return _said(a).select("conv_id", "turn", item).select("conv_id", "turn", "i.title", "i.description")
-
-
-@query("SELECT conv_id, turn, trim(a || b, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM (SELECT conv_id, turn, '앞 ' AS a, conv_id || ' 뒤' AS b FROM conversations WHERE role <> 'system')")
-def without_thoughts(a: Archive) -> DataFrame:
-    raw = F.concat(F.lit("앞 <think>생각\n</think>"), F.col("conv_id").cast("string"), F.lit(" 뒤 "))
-    return _said(a).select("conv_id", "turn", parsers.without_thoughts(raw).alias("text"))
-
-
 # ---------------------------------------------------------------- files, titles, tables, contexts
 
 
@@ -509,13 +446,6 @@ def title_rule(a: Archive) -> DataFrame:
     return a.raw("documents").select("doc_id", text.title(F.nullif("source", F.lit("src0")), name).alias("title"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 = 0 AS is_table FROM part")
-def table_detect(a: Archive) -> DataFrame:
-    rule = F.element_at(F.lit(["|---|:--:|", "|---|  |", "---"]), (F.col("p_partkey") % 3 + 1).cast("int"))
-    block = F.concat(F.lit("| "), F.col("p_name"), F.lit(" | b |\n"), rule, F.lit("\n| 1 | 2 |"))
-    return a.raw("part").select("p_partkey", chunking.is_table(block).alias("is_table"))
-
-
 @query("SELECT l_orderkey AS order_key, '| part | qty |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || l_partkey || ' | ' || CAST(l_linenumber AS VARCHAR) || ' |', chr(10) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) AS md FROM lineitem GROUP BY l_orderkey")
 def markdown_tables(a: Archive) -> DataFrame:
     row = F.array(F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))
@@ -563,16 +493,6 @@ def member_update_rules(a: Archive) -> DataFrame:
     return a.users.select(F.col("id").alias("user_id"), rule["status"].alias("status"))
 
 
-@query("SELECT doc_id, lang || ' ' || source AS body, 1 AS excluded FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
-def joined_pages(a: Archive) -> DataFrame:
-    """Two pages a document: a full paragraph goes on overleaf; then a carried line after a closed sentence is excluded."""
-    block = lambda t, full, carry: F.struct(t.alias("text"), F.lit(full).alias("full"), F.lit(carry).alias("carry"))
-    pages = F.array(F.array(block(F.lit("끝."), False, True), block(F.col("lang"), True, False)), F.array(block(F.col("source"), False, False)))
-    joined = layout.joined_pages(pages)
-    docs = a.raw("documents").where("lang IS NOT NULL AND source IS NOT NULL")
-    return docs.select("doc_id", F.array_join(F.transform(joined["body"], lambda b: b["text"]), "\n").alias("body"), F.size(joined["excluded"]).alias("excluded"))
-
-
 @query("SELECT split, question_type, id FROM (SELECT split, question_type, doc_id AS id, row_number() OVER (PARTITION BY split, question_type ORDER BY sha256('42-review-' || split || '-' || question_type || '-' || doc_id), doc_id) AS nth FROM (SELECT coalesce(lang, 'none') AS split, coalesce(source, 'none') AS question_type, doc_id FROM documents)) WHERE nth <= 3")
 def review_sample(a: Archive) -> DataFrame:
     rows = a.raw("documents").select(F.coalesce("lang", F.lit("none")).alias("split"), F.coalesce("source", F.lit("none")).alias("question_type"), F.col("doc_id").alias("id"))

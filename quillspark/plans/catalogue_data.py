@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import chunking, layout, models, parsers, periods, prompts, registry, text
+from quillspark.functions import chunking, layout, models, parsers, prompts, registry, text
 from quillspark.operators import archive, company, lookups, mutations, vectors
 from quillspark.sources import files
 
 from . import training, validation
-from .catalogue import _NEAR, _RECORDS, _STATE, _records, _said, _tables, query
+from .catalogue import _RECORDS, _STATE, _records, _said, _tables, query
 from .views import NOW, Archive
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
