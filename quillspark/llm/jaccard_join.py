@@ -115,11 +115,16 @@ def _cut(key: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, key[1:] != key[:-1]]), len(key)] if len(key) else np.zeros(1, np.int64)
 
 
-def _short_lists(k: int, ranges: int, levels: np.ndarray, num: int, den: int):
-    """Rows (cell, low, high, nodes, heads, sizes): entries of short lists by range of shingle, and sets with their sizes by home."""
+def _short_lists(k: int, ranges: int, levels: np.ndarray, num: int, den: int, entries_at_once: int = 8_000_000):
+    """Rows (cell, low, high, nodes, heads, sizes): entries of short lists by range of shingle, and sets with their sizes by home.
+
+    An entry takes 13 bytes; a task gathers ``entries_at_once`` (about all of an input split of 128 MB) before it packs them.
+    """
     wide = np.uint64((1 << 64) // ranges + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        size = 0
         for held in _once(batches, k):
             names, sets = np.array(list(held), np.int64), list(held.values())
             n = np.array([len(s) for s in sets], np.int64)
@@ -132,20 +137,35 @@ def _short_lists(k: int, ranges: int, levels: np.ndarray, num: int, den: int):
             token, owner, hot = token[order], names[owner[order]], level[order] >= HOT
             with np.errstate(over="ignore"):
                 cell = np.where(hot, mix(token ^ mix(owner.view(np.uint64))) % np.uint64(ranges), token // wide).astype(np.int32)
-            order = np.argsort(cell, kind="stable")
-            token, owner, hot, cell = token[order], owner[order], hot[order], cell[order]
             low, high = (token & np.uint64(0xFFFFFFFF)).astype(np.uint32), ((token >> np.uint64(32)) & np.uint64(0x7F)).astype(np.uint8) | np.where(hot, HOT, 0).astype(np.uint8)
             home = (mix(names.view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            home, heads, sizes = home[order], names[order], n[order]
-            a, b = np.searchsorted(cell, np.arange(ranges + 1)), np.searchsorted(home, np.arange(ranges + 1))
-            full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
-            of = lambda x, at: pa.array([x[at[c] : at[c + 1]].tobytes() for c in full], pa.binary())  # noqa: B023, E731
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), of(low, a), of(high, a), of(owner, a), of(heads, b), of(sizes, b)], ["cell", "low", "high", "nodes", "heads", "sizes"])
+            parts.append((cell, low, high, owner, home, names, n))
+            size += len(cell)
+            if size >= entries_at_once:
+                yield from _by_cell(parts)
+                parts, size = [], 0
+        if parts:
+            yield from _by_cell(parts)
 
     return run
 
 
+def _by_cell(parts: list[tuple], batch_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Entries of many sets, packed a row a cell: the more sets at once, the less the rows themselves weigh."""
+    cell, low, high, owner, home, heads, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(cell, kind="stable")
+    cell, low, high, owner = cell[order], low[order], high[order], owner[order]
+    order = np.argsort(home, kind="stable")
+    home, heads, sizes = home[order], heads[order], sizes[order]
+    every = np.union1d(cell, home)
+    a, b, c, d = (np.searchsorted(x, every, side) for x in (cell, home) for side in ("left", "right"))
+    rows = max(1, min(10_000, len(every) * batch_bytes // (13 * len(cell) + 16 * len(home))))
+    for at in range(0, len(every), rows):
+        some = range(at, min(at + rows, len(every)))
+        of = lambda x, lo, hi: pa.array([x[lo[i] : hi[i]].tobytes() for i in some], pa.binary())  # noqa: B023, E731
+        yield pa.RecordBatch.from_arrays([pa.array(every[at : at + rows].astype(np.int32)), of(low, a, b), of(high, a, b), of(owner, a, b), of(heads, c, d), of(sizes, c, d)], ["cell", "low", "high", "nodes", "heads", "sizes"])
+
+
 def _glued(table: pa.Table, column: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(x for x in table.column(column).to_pylist() if x), kind)
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructField, StructType
 
-from .common import ODD, small_batches, spread, string_blocks, tokens
+from .common import small_batches, string_blocks, tokens
 
 UNKNOWN = "und"
 
