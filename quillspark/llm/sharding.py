@@ -8,7 +8,8 @@
 
 Law ``bytes``: a shard's bytes differ from the others' by at most about the largest row. The key is (digest of the text,
 digest of the id): equal texts are neighbours, and a text that fills more than a shard is still cut by its ids.
-Ranges hold about ``rows_per_range`` rows at most. To the driver go the sample, ten keys a range, and one row per range and shard.
+Ranges hold about ``rows_per_range`` rows at most; where
+more rows than that have one id and text, they are dealt out over pieces. To the driver go the sample, ten keys a range, and one row per range and shard.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     to each other; with fewer rows than shards some shards stay empty; an empty table gives no rows; other columns of
     the input are not read.
     """
-    rows = saved(_sized(docs, id_col, text_col), "shard-keys")
+    rows = saved(_sized(docs, id_col, text_col).withColumn("nth_read", F.monotonically_increasing_id()), "shard-keys")
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     ranges_per_shard = ranges_per_shard or max(32, -(-n // (shards * rows_per_range)))
     sample = max(sample, 10 * shards * ranges_per_shard)
@@ -73,12 +74,20 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
         placed = placed.withColumn("sub", F.pmod(F.xxhash64("key", F.lit(1)), pieces).cast("int"))
     else:
         placed = placed.withColumn("sub", F.lit(0))
-    parts = sorted((r["range"], r["sub"], r["b"], r["n"]) for r in placed.groupBy("range", "sub").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
-    before = list(zip(accumulate((p[2] for p in parts), initial=0), accumulate((p[3] for p in parts), initial=0), strict=True))
-    offsets = docs.sparkSession.createDataFrame([(p[0], p[1], *o) for p, o in zip(parts, before, strict=False)], "range int, sub int, bytes_before long, rows_before long")
+    # rows that agree in all that the key is made of are alike, so it does not matter which of them stands where
+    crowded = [r["range"] for r in counted if r["n"] > 2 * rows_per_range]
+    hot = placed.where(F.col("range").isin(crowded)).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_range).collect() if crowded else []
+    if hot:
+        split = F.create_map(*[F.lit(x) for r in hot for x in (r["key"], -(-r["n"] // rows_per_range))])[F.col("key")]
+        placed = placed.withColumn("piece", F.coalesce(1 + F.pmod(F.xxhash64("nth_read"), split), F.lit(0)).cast("int"))
+    else:
+        placed = placed.withColumn("piece", F.lit(0))
+    parts = sorted((r["range"], r["sub"], r["piece"], r["b"], r["n"]) for r in placed.groupBy("range", "sub", "piece").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect())
+    before = list(zip(accumulate((p[3] for p in parts), initial=0), accumulate((p[4] for p in parts), initial=0), strict=True))
+    offsets = docs.sparkSession.createDataFrame([(*p[:3], *o) for p, o in zip(parts, before, strict=False)], "range int, sub int, piece int, bytes_before long, rows_before long")
 
-    inside = Window.partitionBy("range", "sub").orderBy("key", "id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lined = placed.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)}).join(F.broadcast(offsets), ["range", "sub"])
+    inside = Window.partitionBy("range", "sub", "piece").orderBy("key", "id", "size", "crc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lined = placed.withColumns({"upto": F.sum("size").over(inside), "nth": F.count("*").over(inside)}).join(F.broadcast(offsets), ["range", "sub", "piece"])
     lined = lined.select("id", "size", "crc", F.left("key", F.lit(16)).alias("text_group"), (F.col("rows_before") + F.col("nth") - 1).alias("row"), ((F.col("bytes_before") + F.col("upto") - F.col("size")) * shards / F.lit(max(total, 1))).cast("int").alias("shard"))
     lined = saved(lined, "shard-rows")
     firsts = {r["shard"]: r["f"] for r in lined.groupBy("shard").agg(F.min("row").alias("f")).collect()}

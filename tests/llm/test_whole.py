@@ -491,3 +491,15 @@ def test_stages_with_clashing_columns(spark):
         assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in plain.collect()) and rows, name
         assert all(r[c] == f"own {c}" for r in rows for c in names), name
     assert corpus_pipeline.sharded(spark, more, "").count() == 60
+
+
+def test_shards_of_one_row_repeated(spark):
+    from test_llm import check_shards
+
+    from quillspark.llm import sharding
+
+    texts = [(5, "x" * 40)] * 4000 + [(i, f"text {i} " * (i % 9)) for i in range(600)] + [(None, None)] * 300
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    check_shards(sharding.shard(df, rows_per_range=200).collect(), texts)
+    again = lambda: sorted((str(r.doc_id), r.shard) for r in sharding.shard(df.repartition(3), rows_per_range=200).collect())
+    assert again() == again()
