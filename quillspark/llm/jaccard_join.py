@@ -419,6 +419,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the whole sequence as one if it has fewer words. Two rows link when den * |intersection| >= num * |union|. n_links is
     the number of different sets that link with the row's, n_linked_rows that of other rows (those of the same set too);
     both are exact. ``count_links=False`` leaves the two out, for callers that read classes only.
+    ``shingles_per_range``: entries of short lists that one owner gathers, about; ``nodes_per_slice``: texts beyond which a shingle
+    is too common to be gathered; ``sets_per_chunk``: sets of a group that one task compares with as many others.
     Defined cases: null, empty and blank texts have the empty set and link with nothing; null ids are ranked last and
     never name a class that has another id; repeated rows have equal sets and link; an empty table gives no rows; other
     columns of the input are not read.

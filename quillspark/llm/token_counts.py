@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .common import match_spans, saved, small_batches
 
 #: Fixed value: the pre-token pattern of the byte-level vocabularies (public).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MEMO = 400_000
+MEMO = 200_000
 
 
 class Counter:
@@ -58,6 +59,12 @@ class Counter:
         return got
 
 
+@lru_cache(maxsize=2)
+def counter_of(vocabulary: str) -> Counter:
+    """One counter for all tasks of a worker: its vocabulary and memory are tens of megabytes."""
+    return Counter(vocabulary)
+
+
 class Tree:
     """Segment tree over a text's pre-tokens: leaves are lists of (characters, tokens); inner levels hold sums."""
 
@@ -188,7 +195,7 @@ def held(segments: bytes) -> Tree:
 
 def _grown(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, name = Counter(vocabulary), TaskContext.get().partitionId() << 40
+        counter, name = counter_of(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows = []
             for text in batch.column(2):
@@ -205,7 +212,7 @@ def _grown(vocabulary: str):
 
 def _edited(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary)
+        counter = counter_of(vocabulary)
         for batch in batches:
             rows = []
             for text, edits, segments in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
