@@ -1,5 +1,6 @@
 """Whole results where an operator once gave a part of them."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -503,3 +504,25 @@ def test_shards_of_one_row_repeated(spark):
     check_shards(sharding.shard(df, rows_per_range=200).collect(), texts)
     again = lambda: sorted((str(r.doc_id), r.shard) for r in sharding.shard(df.repartition(3), rows_per_range=200).collect())
     assert again() == again()
+
+
+def test_temporary_tables_go(spark):
+    from quillspark.llm import common
+
+    outer = saved(spark.range(3))
+    with common.temporary(spark):
+        inner = saved(spark.range(5))
+        path = common._WRITTEN[-1].removeprefix("file://")
+        assert inner.count() == 5 and os.path.exists(path)
+    assert not os.path.exists(path) and outer.count() == 3
+
+
+def test_match_spans_in_blocks(spark):
+    from quillspark.llm.common import match_spans
+
+    rnd = random.Random(1)
+    texts = ["", "x", "12", "é12日本 345 6", None, *("".join(rnd.choice(["1", "23", "a", "é", "日", " "]) for _ in range(rnd.randrange(0, 90))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for block in (1, 3, 256):
+        got = {r.i: r.x for r in df.select("i", match_spans(F.col("t"), "[0-9]{2,}", block).alias("x")).collect()}
+        assert all([tuple(s) for s in got[i] or ()] == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]{2,}", t or "")] for i, t in enumerate(texts))
