@@ -25,6 +25,7 @@ from .common import match_spans, saved, small_batches
 #: Fixed value: the pre-token pattern of the byte-level vocabularies (public).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MEMO = 200_000
+LEAF = 64
 
 
 class Counter:
@@ -68,7 +69,7 @@ def counter_of(vocabulary: str) -> Counter:
 class Tree:
     """Segment tree over a text's pre-tokens: leaves are lists of (characters, tokens); inner levels hold sums."""
 
-    def __init__(self, lengths: list[int], counts: list[int], leaf: int = 64, fan: int = 16):
+    def __init__(self, lengths: list[int], counts: list[int], leaf: int = LEAF, fan: int = 16):
         self.leaf, self.fan = leaf, fan
         self.leaves = [(lengths[i : i + leaf], counts[i : i + leaf]) for i in range(0, len(lengths), leaf)] or [([], [])]
         self.levels: list[list[tuple[int, int]]] = []
@@ -170,13 +171,16 @@ NAMES = ["n_chars", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_char
 EDITS = "array<struct<start:int,end:int,new:string>>"
 
 
-def kept(tree: Tree) -> bytes:
-    """A tree as it is stored: how many leaves, pre-tokens of each, characters and tokens of each pre-token, in one byte each where
-    all fit. Sums above are not stored."""
-    leaves = np.array([len(a) for a, _ in tree.leaves], np.uint32)
-    both = np.array([[n for a, _ in tree.leaves for n in a], [n for _, b in tree.leaves for n in b]], np.uint32)
+def stored(leaves: list[int], chars: list[int], tokens: list[int]) -> bytes:
+    """How many leaves, pre-tokens of each, characters and tokens of each pre-token, in one byte each where all fit."""
+    both = np.array([chars, tokens], np.uint32)
     narrow = both.size == 0 or int(both.max()) < 256
-    return b"".join((bytes([narrow]), np.uint32(len(leaves)).tobytes(), leaves.tobytes(), both.astype(np.uint8 if narrow else np.uint32).tobytes()))
+    return b"".join((bytes([narrow]), np.uint32(len(leaves)).tobytes(), np.array(leaves, np.uint32).tobytes(), both.astype(np.uint8 if narrow else np.uint32).tobytes()))
+
+
+def kept(tree: Tree) -> bytes:
+    """A tree as it is stored; sums above the leaves are not."""
+    return stored([len(a) for a, _ in tree.leaves], [n for a, _ in tree.leaves for n in a], [n for _, b in tree.leaves for n in b])
 
 
 def held(segments: bytes) -> Tree:
@@ -201,8 +205,9 @@ def _grown(vocabulary: str):
             for text in batch.column(2):
                 t = text.as_py() or ""
                 pieces = counter.pieces(t)
-                tree = Tree(list(map(len, pieces)), counter.counts(pieces))
-                rows.append((name, len(t), len(pieces), tree.tokens, kept(tree)))
+                n, counts = len(pieces), counter.counts(pieces)
+                leaves = [min(LEAF, n - i) for i in range(0, n, LEAF)] or [0]
+                rows.append((name, len(t), n, sum(counts), stored(leaves, list(map(len, pieces)), counts)))
                 name += 1
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["c0", "text_key", "tree", *TREE])
