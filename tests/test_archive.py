@@ -407,40 +407,44 @@ def test_layout_regions(spark):
     assert got == [(1, 1, 0, [0, 1], 2, 1.0, 1.0, 9.0, 9.0), (1, 1, 1, [2], None, 20.0, 0.0, 30.0, 9.0)]
 
 
-def expected_order(boxes, gap=15.0):
-    """Places by definition: insert each strip behind the last box above it."""
-    over = lambda a, b: min(a["x1"], b["x1"]) > max(a["x0"], b["x0"])
-    strips = []
-    for b in sorted((b for b in boxes if b["ord"] is None), key=lambda b: (b["y0"], b["box"])):
-        for s in strips[::-1]:
-            if over(s, b) and b["y0"] < s["y1"] + gap:
-                s |= {"x0": min(s["x0"], b["x0"]), "x1": max(s["x1"], b["x1"]), "y1": max(s["y1"], b["y1"]), "in": [*s["in"], b]}
-                break
-        else:
-            strips.append({**b, "in": [b]})
-    order = sorted((b for b in boxes if b["ord"] is not None), key=lambda b: b["ord"])
-    for s in strips:
-        at = max((i + 1 for i, b in enumerate(order) if over(s, b) and b["y0"] <= s["y0"]), default=0)
-        order = order[:at] + s["in"] + order[at:]
-    return [b["box"] for b in order]
-
-
-def test_reading_order_of_random_pages(spark):
+def test_reading_order_by_hand(spark):
+    wide, left, right = (0.0, 100.0), (0.0, 10.0), (50.0, 60.0)
+    pages = {  # (box, number, sides, top, bottom) and the order that follows
+        1: ([(1, 1, wide, 0, 10), (2, None, left, 20, 30), (3, None, left, 100, 110)], [1, 2, 3]),  # two strips, one below the other
+        2: ([(1, 1, wide, 0, 10), (2, None, left, 20, 30), (3, None, right, 20, 30)], [1, 3, 2]),  # side by side: the latest first
+        3: ([(1, 1, left, 50, 60), (2, None, left, 0, 10), (3, None, right, 0, 10)], [3, 2, 1]),  # nothing above
+        4: ([(1, 1, wide, 0, 10), (2, None, left, 20, 30), (3, None, left, 40, 50), (4, 2, wide, 35, 38)], [1, 2, 3, 4]),  # one strip of two
+        5: ([(1, 2, wide, 0, 10), (2, 1, wide, 20, 30), (3, None, left, 5, 8), (4, None, right, 90, 95)], [2, 1, 4, 3]),  # numbers against the page: the anchor is the last in order, not on the page
+        6: ([(1, 1, left, 0, 10), (2, 2, right, 0, 10), (3, None, left, 20, 30), (4, None, right, 40, 50), (5, None, wide, 60, 70)], [1, 3, 2, 4, 5]),
+    }
+    rows = [(p, b, n, x0, x1, float(y0), float(y1)) for p, (held, _) in pages.items() for b, n, (x0, x1), y0, y1 in held]
+    df = spark.createDataFrame(rows[::-1], "page int, box int, ord int, x0 double, x1 double, y0 double, y1 double")
+    got = layout.reading_order(df, ["page"]).orderBy("page", "nth").collect()
+    assert {p: [r.box for r in got if r.page == p] for p in pages} == {p: order for p, (_, order) in pages.items()}
+
+
+def test_reading_order_keeps_numbers(spark):
     import random
 
     rnd = random.Random(4)
-    rows, pages = [], {}
-    for page in range(150):
-        n = rnd.randrange(1, 9)
-        ords = rnd.sample(range(20), n)
-        for box in range(n):
+    rows = []
+    for page in range(200):
+        for box, n in enumerate(rnd.sample(range(20), rnd.randrange(1, 9))):
             x, y = float(rnd.randrange(0, 60, 5)), float(rnd.randrange(0, 100, 5))
-            b = {"page": page, "box": box, "ord": ords[box] if rnd.random() < 0.5 else None, "x0": x, "y0": y, "x1": x + rnd.randrange(5, 50), "y1": y + rnd.randrange(5, 25)}
-            rows.append(tuple(b.values()))
-            pages.setdefault(page, []).append(b)
-    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "page int, box int, ord int, x0 double, y0 double, x1 double, y1 double")
-    got = {r.page: r.boxes for r in layout.reading_order(df, ["page"]).groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "box"))), lambda x: x["box"]).alias("boxes")).collect()}
-    assert got == {p: expected_order(b) for p, b in pages.items()}
+            rows.append((page, box, n if rnd.random() < 0.5 else None, x, x + rnd.randrange(5, 50), y, y + rnd.randrange(5, 25)))
+    df = spark.createDataFrame(rnd.sample(rows, len(rows)), "page int, box int, ord int, x0 double, x1 double, y0 double, y1 double")
+    got = layout.reading_order(df, ["page"]).orderBy("page", "nth").collect()
+    number = {(p, b): n for p, b, n, *_ in rows}
+    assert sorted((r.page, r.box) for r in got) == sorted(number) and all(r.nth == i - min(j for j, q in enumerate(got) if q.page == r.page) for i, r in enumerate(got))
+    for page in range(200):
+        told = [number[r.page, r.box] for r in got if r.page == page]
+        assert [n for n in told if n is not None] == sorted(n for n in told if n is not None)
+    # a box without number that starts above all numbered ones comes first
+    first = {p: min((y0, b) for q, b, n, x0, x1, y0, y1 in rows if q == p) for p in range(200)}
+    for page, (_, b) in first.items():
+        order = [r.box for r in got if r.page == page]
+        if number[page, b] is None and all(number[page, x] is not None for x in order if x != b) and all(y0 > first[page][0] for q, x, n, x0, x1, y0, y1 in rows if q == page and x != b):
+            assert order[0] == b
 
 
 def test_settings_and_file_errors(spark, tmp_path):
