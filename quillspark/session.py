@@ -17,3 +17,14 @@ def session(name: str = "quillspark", **more: str) -> SparkSession:
     for k, v in (SETTINGS | more).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it: as a zip file that their Python workers import from."""
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent
+    made = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)  # Spark's driver hands it out
+    spark.sparkContext.addPyFile(made)
