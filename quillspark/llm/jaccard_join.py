@@ -280,7 +280,7 @@ def _chosen(k: int, marks: Filter):
 def divide_skip(a: tuple, b: tuple, num: int, den: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
     """The linked pairs (place in ``a``, place in ``b``) of two sides (sizes, all tokens, numbers of tokens), each by size.
 
-    Per set of ``a``: its inverted lists over ``b``; the L longest are set aside (L = T / (log2 of the longest + 1)), the others are
+    Per set of ``a``: its inverted lists over ``b``; the L longest are set aside (L = T / (log2 of the longest + 1), T - 1 at most), the others are
     merged; sets of a fitting size with T - L occurrences or more are looked up in the long lists by binary search, and those
     whose occurrences reach the overlap link. ``own``: both sides are one, and a pair is given once.
     """
@@ -302,7 +302,7 @@ def divide_skip(a: tuple, b: tuple, num: int, den: int, own: bool) -> tuple[np.n
         if lo >= hi or len(lists) < t:
             continue
         size = begin[lists + 1] - begin[lists]
-        skip = int(t / (np.log2(size.max()) + 1)) if len(lists) > 1 else 0
+        skip = min(t - 1, int(t / (np.log2(size.max()) + 1)))  # a candidate stands in a short list at least
         rank = np.argsort(size, kind="stable")
         short, long = rank[: len(rank) - skip], lists[rank[len(rank) - skip :]]
         size = size[short]
