@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, jaccard_join, langid, line_dedup, mixing, quality, secrets, sharding, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, langid, lexical, line_dedup, merkle, mixing, quality, secrets, sharding, simhash, token_counts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -70,5 +70,18 @@ def op10_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_repeats")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_template_decontamination, op3_token_counts, op4_secret_links, op5_jaccard_classes, op6_exact_dedup, op7_language, op8_sampled_shards, op9_line_dedup, op10_flow_mix)}
-ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_flow_mix": mixing.ORACLE}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.document_leaf(), offered=merkle.tampered_leaf()).drop("lang")
+
+
+def op12_impact_search(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=k)
+
+
+def op13_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_classes(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ordinal_quality, op2_template_decontamination, op3_token_counts, op4_secret_links, op5_jaccard_classes, op6_exact_dedup, op7_language, op8_sampled_shards, op9_line_dedup, op10_flow_mix, op11_merkle_manifest, op12_impact_search, op13_simhash_ball)}
+ORACLE = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_flow_mix": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_impact_search": lexical.ORACLE}
