@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import normal_map, normal_start, normalize
-from quillspark.operators.order import cut, numbered
+from quillspark.operators.order import numbered
+from quillspark.operators.storage import saved
 
 #: Fixed value: the order in which types are cleaned; scarce types first.
 PRIORITY = ("unanswerable", "text_entailment", "span_inference", "span_extraction")
@@ -50,14 +51,14 @@ def by_priority(df: DataFrame, kinds: tuple[str, ...] = PRIORITY, kind: str = "q
     """Each type in turn keeps its first record per context, then per doc_id, less all contexts and ids kept before.
     A missing id counts as one id (null-safe), as a set of seen values would. ``order`` is a column without repeats."""
     kept: DataFrame | None = None
-    full, df = df, cut(df.select(order, kind, "doc_id", F.sha2(F.col("context").cast("binary"), 256).alias("context")))  # bodies stay behind
+    full, df = df, saved(df.select(order, kind, "doc_id", F.sha2(F.col("context").cast("binary"), 256).alias("context")))  # bodies stay behind
     for k in kinds:
         own = first_of(df.where(F.col(kind) == k), ["context"], order)
         if kept is not None:
             for c in ("context", "doc_id"):
                 seen = kept.select(F.col(c).alias("_seen")).distinct()
                 own = own.join(seen, own[c].eqNullSafe(seen["_seen"]), "left_anti")
-        own = cut(first_of(own, ["doc_id"], order))  # it is read again for every later type
+        own = saved(first_of(own, ["doc_id"], order))  # it is read again for every later type
         kept = own if kept is None else kept.unionByName(own)
     return full.join(kept.select(order), order, "left_semi")
 
@@ -133,8 +134,8 @@ def in_order(df: DataFrame, seed: str, group: str, id_col: str = "id") -> DataFr
 
 def interleaved(df: DataFrame, seed: str, group: str, id_col: str = "id") -> DataFrame:
     """place = (nth - 0.5) / size within the group: sorting by it spreads every group evenly."""
-    inner = Window.partitionBy(group).orderBy(salted(seed, id_col), id_col)
-    return df.withColumn("place", (F.row_number().over(inner) - 0.5) / F.count("*").over(Window.partitionBy(group)))
+    nth = numbered(df.withColumn("_key", salted(seed, F.col(id_col).cast("string"))), ["_key", id_col], "_nth", 1, [group], "_size")
+    return nth.withColumn("place", (F.col("_nth") - 0.5) / F.col("_size")).drop("_key", "_nth", "_size")
 
 
 def replacements(removed: DataFrame, pool: DataFrame, seed: str, group: str = "grp", category: str = "category", most: int = 1_000) -> DataFrame:

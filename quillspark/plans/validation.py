@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions.text import problems
+from quillspark.operators.order import at_ranks, counted, first_per_key, same
 
 #: Rules in the order of the report.
 RULES = ("file", "fields", "type", "counts", "duplicates", "overlap", "source", "normalization", "segments")
@@ -68,29 +69,33 @@ def segments(df: DataFrame, size: int, group: str, pos: str = "pos") -> DataFram
     return full.select("segment", "grp", F.coalesce("n", F.lit(0)).cast("long").alias("n"), (F.col("of") * F.col("rows") / F.col("total")).alias("share")).where(F.abs(F.col("n") - F.col("share")) > 1)
 
 
-def quartiles(df: DataFrame, value: str, group: str) -> DataFrame:
-    """Quartiles by the exclusive method, from ranks: i(n+1)/4 between neighbours. Groups of under 2 rows give none."""
-    x = df.select(F.col(group).alias("grp"), F.col(value).cast("double").alias("v"))
-    x = x.withColumns({"nth": F.row_number().over(Window.partitionBy("grp").orderBy("v")), "n": F.count("*").over(Window.partitionBy("grp"))}).where("n >= 2")
-    out = []
-    for i in (1, 2, 3):
-        j = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.lit(i) * (F.col("n") + 1) / 4)))
-        d = F.lit(i) * (F.col("n") + 1) - 4 * j
-        out.append((F.sum(F.when(F.col("nth") == j, F.col("v") * (4 - d)).when(F.col("nth") == j + 1, F.col("v") * d).otherwise(0.0)) / 4).alias(f"q{i}"))
-    return x.groupBy("grp").agg(*out, F.min("v").alias("least"), F.max("v").alias("most"), F.avg("v").alias("mean"), F.count("*").alias("n"))
+def quartiles(df: DataFrame, value: str, group: str, values: DataFrame | None = None) -> DataFrame:
+    """Quartiles by the exclusive method: i(n+1)/4 between neighbours in rank, found by counts in buckets, so no group is sorted.
+    Groups of under 2 rows give none; null values are left out. ``values``: ``order.counted`` of the same, where it is at hand."""
+    values = counted(df, value, group) if values is None else values
+    sizes = values.groupBy("grp").agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")).where("n >= 2")
+    i = F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("i")
+    spots = sizes.select("grp", "n", i).withColumn("j", F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("i") * (F.col("n") + 1) / 4))).cast("long"))
+    spots = spots.withColumn("d", F.col("i") * (F.col("n") + 1) - 4 * F.col("j"))
+    parts = spots.select("grp", "i", F.explode(F.array(F.struct(F.col("j").alias("rank"), (4 - F.col("d")).alias("w")), F.struct((F.col("j") + 1).alias("rank"), F.col("d").alias("w")))).alias("x")).select("grp", "i", "x.*")
+    found = at_ranks(values, parts.select("grp", "rank")).select(F.col("grp").alias("g"), F.col("rank").alias("r"), "v")
+    cut = parts.join(found, same([parts["grp"], parts["rank"]], [found["g"], found["r"]])).groupBy(parts["grp"].alias("q"))
+    cut = cut.agg(*(F.sum(F.when(F.col("i") == x, F.col("v") * F.col("w")) / 4).alias(f"q{x}") for x in (1, 2, 3)))
+    return sizes.join(cut, F.col("grp").eqNullSafe(F.col("q"))).select("grp", "q1", "q2", "q3", "least", "most", "mean", "n")
 
 
 def outliers(df: DataFrame, value: str, group: str) -> DataFrame:
-    q = quartiles(df, value, group).where("n >= 4")
+    """(grp, n_outliers): rows beyond 1.5 times the range between quartiles, of groups of 4 or more rows; a null group gives none."""
+    values = counted(df, value, group)
+    q = quartiles(df, value, group, values).where("n >= 4").withColumnRenamed("grp", "of")
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    v = F.col(value).cast("double")
-    return df.join(q, df[group] == q["grp"]).where((v < low) | (v > high)).groupBy("grp").agg(F.count("*").alias("n_outliers"))
+    return values.join(q, F.col("grp") == F.col("of")).where((F.col("v") < low) | (F.col("v") > high)).groupBy("grp").agg(F.sum("c").alias("n_outliers"))
 
 
 def report(errors: DataFrame, examples: int = 5) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("rule").orderBy("split", "id", "message"))
-    held = F.array_sort(F.collect_list(F.when(F.col("_nth") <= examples, F.struct("_nth", "message"))))
-    got = errors.withColumn("_nth", nth).groupBy("rule").agg(F.count("*").alias("n"), F.transform(held, lambda x: x["message"]).alias("examples"))
+    """(place, rule, n, examples): each rule's number of errors and the messages of the first ones by split, id and message. Every task keeps
+    ``examples`` rows a rule, so a rule that half of all rows break is no task's burden."""
+    got = first_per_key(errors, "rule", ["split", "id", "message"], examples).select(F.col("rule"), "n", F.transform("firsts", lambda x: x["message"]).alias("examples"))
     all_ = errors.sparkSession.createDataFrame(list(enumerate(RULES)), "place int, rule string")
     return all_.join(got, "rule", "left").select("place", "rule", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "examples")
 
