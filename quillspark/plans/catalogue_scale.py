@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import registry
 from quillspark.operators import neighbours
 
 from .catalogue import _NEAR, query
+from .catalogue_data import _CHUNKS
 from .views import Archive
 
 
@@ -32,3 +34,14 @@ def knn_index_recall(a: Archive) -> DataFrame:
     found = neighbours.approximate(_asked(a), index, ["article_id"], 20, neighbours.calibrated(_asked(a), index, ["article_id"], 20))
     both = true.select("query_id", "id").join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
     return both.agg(F.count("*").alias("n"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+
+
+# ---------------------------------------------------------------- SQL alone
+
+
+@query(_CHUNKS + " SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, content FROM rows")
+def chunk_rows_in_sql(a: Archive) -> DataFrame:
+    """The chunks of every document, by a table function and LATERAL."""
+    registry.register(a.spark)
+    a.raw("documents").createOrReplaceTempView("chunk_documents")
+    return a.spark.sql(r"SELECT doc_id, c.chunk_index, c.content FROM chunk_documents, LATERAL chunk_rows(text, 300, '\n') c")
