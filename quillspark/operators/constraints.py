@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .snapshots import Refused, Store
+from .storage import saved, temporary
+
 #: The rules of each table.
 TRIMMED = {
     "organizations": ("name", "code", "admin_code"), "users": ("nickname", "email", "password_hash"), "articles": ("content_hash", "title", "body", "media", "author", "category"),
@@ -24,29 +28,117 @@ REFERENCES = (
 )
 
 
+def checks(name: str, df: DataFrame) -> dict[str, Column]:
+    """What breaks a check of a table: rule -> condition; absent columns are skipped."""
+    rules = {f"{c} trimmed": (F.col(c) != F.trim(c)) | (F.col(c) == "") for c in TRIMMED.get(name, ()) if c in df.columns}
+    rules |= {f"{c} allowed": ~F.col(c).isin(*allowed) for (t, c), allowed in ONE_OF.items() if t == name and c in df.columns}
+    return rules | {f"{c} not negative": F.col(c) < 0 for t, c in NOT_NEGATIVE if t == name and c in df.columns}
+
+
+def unique_keys(name: str, df: DataFrame) -> list[tuple[str, ...]]:
+    return [key for key in UNIQUE.get(name, ()) if set(key) <= set(df.columns)]
+
+
+def references(name: str, df: DataFrame, tables: Collection[str]) -> list[tuple[str, str]]:
+    """(column, table that it refers to)."""
+    return [(c, other) for t, c, other in REFERENCES if t == name and c in df.columns and other in tables]
+
+
 def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """One scan per table for its checks, one aggregate per key, one anti join per reference; absent columns are skipped."""
     found = []
     for name, df in tables.items():
-        rules = {}
-        for c in TRIMMED.get(name, ()):
-            if c in df.columns:
-                rules[f"{c} trimmed"] = (F.col(c) != F.trim(c)) | (F.col(c) == "")
-        for (t, c), allowed in ONE_OF.items():
-            if t == name and c in df.columns:
-                rules[f"{c} allowed"] = ~F.col(c).isin(*allowed)
-        for t, c in NOT_NEGATIVE:
-            if t == name and c in df.columns:
-                rules[f"{c} not negative"] = F.col(c) < 0
+        rules = checks(name, df)
         if rules:
             counts = df.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
             found.append(counts.select(F.explode(F.create_map(*[x for k in rules for x in (F.lit(k), F.col(f"`{k}`"))])).alias("rule", "n")).select(F.lit(name).alias("table_name"), "rule", "n"))
-        for key in UNIQUE.get(name, ()):
-            if set(key) <= set(df.columns):
-                again = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
-                found.append(again.agg(F.lit(name).alias("table_name"), F.lit(f"{', '.join(key)} unique").alias("rule"), F.count("*").alias("n")))
-        for t, c, other in REFERENCES:
-            if t == name and c in df.columns and other in tables:
-                lost = df.where(F.col(c).isNotNull()).join(tables[other].select(F.col("id").alias(c)), c, "left_anti")
-                found.append(lost.agg(F.lit(name).alias("table_name"), F.lit(f"{c} refers to {other}").alias("rule"), F.count("*").alias("n")))
+        for key in unique_keys(name, df):
+            again = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
+            found.append(again.agg(F.lit(name).alias("table_name"), F.lit(f"{', '.join(key)} unique").alias("rule"), F.count("*").alias("n")))
+        for c, other in references(name, df, tables):
+            lost = df.where(F.col(c).isNotNull()).join(tables[other].select(F.col("id").alias(c)), c, "left_anti")
+            found.append(lost.agg(F.lit(name).alias("table_name"), F.lit(f"{c} refers to {other}").alias("rule"), F.count("*").alias("n")))
     return reduce(DataFrame.unionByName, found).where("n > 0")
+
+
+# ---------------------------------------------------------------- on changes alone
+
+KEYS = "side string, key string, n long"
+
+
+def key_counts(tables: dict[str, DataFrame], names: Collection[str] | None = None) -> DataFrame:
+    """One scan of each table: (side, key, n): rows that break each check, and how often each key, each reference and each id stands in its table. What an audit
+    needs to know of rows that it does not read again; a reference and the id that it refers to have one key."""
+    names = tables.keys() if names is None else names
+    spark = next(iter(tables.values())).sparkSession
+    out = []
+    for name, df in tables.items():
+        told = lambda side, key, holds: F.when(holds, F.struct(F.lit(side).alias("side"), key.cast("string").alias("key")))
+        sides = [told(f"check|{name}|{rule}", F.lit(""), wrong) for rule, wrong in checks(name, df).items()]
+        for key in unique_keys(name, df):
+            sides.append(told(f"unique|{name}|{', '.join(key)}", F.to_json(F.struct(*key)), reduce(Column.__and__, [F.col(c).isNotNull() for c in key])))
+        sides += [told(f"reference|{name}|{c}|{other}", F.col(c), F.col(c).isNotNull()) for c, other in references(name, df, names)]
+        if any(other == name for _, _, other in REFERENCES) and "id" in df.columns:
+            sides.append(told(f"id|{name}", F.col("id"), F.col("id").isNotNull()))
+        if sides:
+            out.append(df.select(F.explode(F.array_compact(F.array(*sides))).alias("x")).select("x.*"))
+    if not out:
+        return spark.createDataFrame([], KEYS)
+    return reduce(DataFrame.unionByName, out).groupBy("side", "key").agg(F.count("*").alias("n"))
+
+
+def broken(counts: DataFrame, n: str = "n") -> DataFrame:
+    """(table_name, rule, broken): how often each rule is broken, as far as ``counts`` (side, key, n) tell: whole keys, with all their sides."""
+    part = F.split("side", r"\|")
+    rows = counts.select(part.alias("p"), "key", F.col(n).alias("n")).where("n > 0")
+    check = rows.where("p[0] = 'check'").groupBy(F.col("p")[1].alias("table_name"), F.col("p")[2].alias("rule")).agg(F.sum("n").alias("broken"))
+    again = rows.where("p[0] = 'unique' AND n > 1").groupBy(F.col("p")[1].alias("table_name"), F.concat(F.col("p")[2], F.lit(" unique")).alias("rule")).agg(F.count("*").alias("broken"))
+    ids = rows.where("p[0] = 'id'").select(F.col("p")[1].alias("other"), F.col("key").alias("id"))
+    held = rows.where("p[0] = 'reference'").select(F.col("p")[1].alias("table_name"), F.concat(F.col("p")[2], F.lit(" refers to "), F.col("p")[3]).alias("rule"), F.col("p")[3].alias("to"), "key", "n")
+    lost = held.join(ids, (F.col("to") == F.col("other")) & (F.col("key") == F.col("id")), "left_anti").groupBy("table_name", "rule").agg(F.sum("n").alias("broken"))
+    return check.unionByName(again).unionByName(lost)
+
+
+NOTE = "audit"
+
+
+def begin_audit(store: Store, tables: dict[str, DataFrame]) -> DataFrame:
+    """Audit whole tables and keep what the audits of later changes need."""
+    counts = saved(key_counts(tables), "key-counts")
+    with store.change() as change:
+        change.create("keys", counts, "key")
+        change.note(NOTE, {"tables": sorted(tables), "broken": [[r["table_name"], r["rule"], r["broken"]] for r in broken(counts).collect()]})  # a row a rule
+    return audited(store)
+
+
+def audit_change(store: Store, inserted: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, rule, n) after a change, from its rows (an update deletes one row and inserts another) and the kept counts of their keys.
+
+    Only buckets that hold a key of the change are read and rewritten. The kept counts and numbers switch together, or not at all.
+    A change that deletes rows which were never there is refused.
+    """
+    base = store.latest()
+    names = base.notes[NOTE]["tables"]
+    moved = [key_counts(rows, names).withColumn("n", F.col("n") * sign) for rows, sign in ((inserted, 1), (deleted, -1)) if rows]
+    if not moved:
+        return audited(store)
+    moved = reduce(DataFrame.unionByName, moved).groupBy("side", "key").agg(F.sum("n").alias("moved")).where("moved <> 0")
+    with temporary(store.spark), store.change(base) as change:
+        moved = saved(moved, "moved-keys")
+        touched = moved.select("key").distinct()
+        buckets = [r[0] for r in touched.select(change.bucket("key")).distinct().collect()]  # a bounded number
+        held = store.read("keys", base, buckets).join(touched, "key", "left_semi")
+        both = saved(held.join(moved, ["side", "key"], "full_outer").na.fill(0, ["n", "moved"]).withColumn("after", F.col("n") + F.col("moved")), "moved-counts")
+        if both.where("after < 0").head(1):
+            raise Refused("rows are deleted that the tables do not hold")
+        change.replace("keys", both.where("after > 0").select("side", "key", F.col("after").alias("n")), "key", touched)
+        total = {(t, r): n for t, r, n in base.notes[NOTE]["broken"]}
+        for column, sign in (("n", -1), ("after", 1)):
+            for r in broken(both.select("side", "key", column), column).collect():  # a row a rule
+                total[r["table_name"], r["rule"]] = total.get((r["table_name"], r["rule"]), 0) + sign * r["broken"]
+        change.note(NOTE, {"tables": names, "broken": [[t, r, n] for (t, r), n in sorted(total.items()) if n]})
+    return audited(store)
+
+
+def audited(store: Store) -> DataFrame:
+    return store.spark.createDataFrame([tuple(x) for x in store.latest().notes[NOTE]["broken"]], "table_name string, rule string, n long")

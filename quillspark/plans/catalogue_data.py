@@ -547,9 +547,9 @@ def training_examples(a: Archive) -> DataFrame:
 
 @query("SELECT stage, reason, count(*) AS n FROM (SELECT 'cleaned' AS stage, CASE doc_id % 3 WHEN 0 THEN '빈 질문' WHEN 1 THEN '빈 답' END AS reason FROM documents UNION ALL SELECT 'sampled', CASE WHEN doc_id % 2 = 0 THEN 'leak' END FROM documents WHERE doc_id % 3 = 2) GROUP BY stage, reason")
 def stage_statistics(a: Archive) -> DataFrame:
-    d, k = a.raw("documents"), F.col("doc_id")
-    cleaned = d.select(F.when(k % 3 == 0, "빈 질문").when(k % 3 == 1, "빈 답").alias("reason"))
-    return training.stage_counts({"cleaned": cleaned, "sampled": d.where(k % 3 == 2).select(F.when(k % 2 == 0, "leak").alias("reason"))})
+    k = F.col("doc_id")
+    cleaned = F.when(k % 3 == 0, "빈 질문").when(k % 3 == 1, "빈 답")
+    return training.run_stages(a.raw("documents"), [("cleaned", cleaned, ("빈 질문", "빈 답")), ("sampled", F.when(k % 2 == 0, "leak"), ("leak",))])
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 = 0")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import registry
-from quillspark.operators import neighbours
+from quillspark.operators import constraints, neighbours
+from quillspark.operators.snapshots import Store, replace_chunks
+from quillspark.operators.storage import fresh_path
+from quillspark.streaming import uploads
 
-from .catalogue import _NEAR, query
+from .catalogue import _NEAR, ORACLE, SCOPE, query
 from .catalogue_data import _CHUNKS
 from .views import Archive
 
@@ -45,3 +50,41 @@ def chunk_rows_in_sql(a: Archive) -> DataFrame:
     registry.register(a.spark)
     a.raw("documents").createOrReplaceTempView("chunk_documents")
     return a.spark.sql(r"SELECT doc_id, c.chunk_index, c.content FROM chunk_documents, LATERAL chunk_rows(text, 300, '\n') c")
+
+
+# ---------------------------------------------------------------- changes
+
+
+@query(ORACLE["constraint_audit"].split(SCOPE, 1)[1])
+def audit_of_changes(a: Archive) -> DataFrame:
+    """An audit of all but a tenth of the links and messages and some that do not belong, then of the change that puts this right."""
+    links, messages, articles = a.links.distinct(), a.messages, a.articles
+    wrong = links.where("article_id % 10 = 3").select("user_id", (-F.col("article_id")).alias("article_id"))
+    early = {"organizations": a.organizations, "users": a.users, "articles": articles.where("id % 10 <> 4"), "user_articles": links.where("article_id % 10 <> 3").unionByName(wrong), "article_chunks": a.chunks.drop("embedding"), "messages": messages.where("conversation_id % 10 <> 5")}
+    store = Store(a.spark, fresh_path(a.spark, "audited"))
+    constraints.begin_audit(store, early)
+    added = {"user_articles": links.where("article_id % 10 = 3"), "messages": messages.where("conversation_id % 10 = 5"), "articles": articles.where("id % 10 = 4")}
+    return constraints.audit_change(store, added, {"user_articles": wrong})
+
+
+@query("SELECT id, article_id, chunk_index, CAST(embedding AS FLOAT[]) AS embedding FROM article_chunks WHERE article_id <> 3 UNION ALL SELECT 1000000 + id, 3, chunk_index, CAST(embedding AS FLOAT[]) FROM article_chunks WHERE article_id = 4")
+def staged_replacement(a: Archive) -> DataFrame:
+    """The chunks of one article replaced by another's, through a store whose versions switch as a whole."""
+    store = Store(a.spark, fresh_path(a.spark, "chunks"))
+    chunks = a.chunks.select("id", "article_id", "chunk_index", "embedding")
+    with store.change() as change:
+        change.create("article_chunks", chunks, "article_id")
+    new = chunks.where("article_id = 4").withColumns({"id": F.col("id") + 1_000_000, "article_id": F.lit(3).cast("long")})
+    return store.read("article_chunks", replace_chunks(store, new))
+
+
+@query("""SELECT arg_min(doc_id, [doc_id % 2, doc_id]) AS upload_id, organization_id, content_hash FROM (SELECT doc_id, CAST(doc_id % 5 AS BIGINT) AS organization_id, sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL AND trim(text, ' ') <> '') GROUP BY 2, 3""")
+def streamed_uploads(a: Archive) -> DataFrame:
+    """Every document uploaded to one of five organisations, as a stream of two batches, even ids first: what is stored."""
+    base = fresh_path(a.spark, "uploads")
+    docs = a.raw("documents").select((F.col("doc_id") % 5).alias("organization_id"), F.col("source").alias("title"), F.col("text").alias("body"), F.timestamp_seconds("doc_id").alias("uploaded_at"), F.col("doc_id").alias("upload_id"))
+    store = Store(a.spark, f"{base}/store")
+    for part in ("upload_id % 2 = 0", "upload_id % 2 = 1"):
+        docs.where(part).write.mode("append").json(f"{base}/in")
+        uploads.started(a.spark, f"{base}/in", store, f"{base}/checkpoint", files_per_batch=10_000, late=timedelta(days=400_000)).awaitTermination()
+    return store.read("articles").groupBy("organization_id", "content_hash").agg(F.min("upload_id").alias("upload_id"))

@@ -5,9 +5,9 @@ Random choices are ranks of salted digests, so they are the same on every run an
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -189,5 +189,39 @@ def examples(df: DataFrame, system: str) -> DataFrame:
     return df.select(F.array(turn("system", F.lit(system)), turn("user", ask)).alias("prompt"), F.array(turn("assistant", F.col("answer"))).alias("completion"))
 
 
-def stage_counts(stages: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [d.groupBy("reason").agg(F.count("*").alias("n")).select(F.lit(k).alias("stage"), "reason", "n") for k, d in stages.items()])
+def observed_stages(df: DataFrame, stages: Sequence[tuple[str, Column, Sequence[str]]]) -> tuple[DataFrame, list[tuple[str, Sequence[str], Observation]]]:
+    """What is left of ``df`` after all stages, and observations of how many rows each left out for which reason, and kept.
+
+    A stage is (name, reason, reasons): a column that is null for a row that stays, and the values it may have. The counts are
+    taken from the rows as they pass, so they cost no scan of their own; they are there once an action has run.
+    """
+    seen = []
+    for name, reason, reasons in stages:
+        df = df.withColumn("_reason", reason)
+        watch = Observation()
+        told = [F.count_if(F.col("_reason") == r).alias(f"r{i}") for i, r in enumerate(reasons)]
+        df = df.observe(watch, F.count("*").alias("seen"), F.count_if(F.col("_reason").isNull()).alias("kept"), *told).where("_reason IS NULL").drop("_reason")
+        seen.append((name, reasons, watch))
+    return df, seen
+
+
+def stage_counts(spark: SparkSession, seen: list[tuple[str, Sequence[str], Observation]]) -> DataFrame:
+    """(stage, reason, n) of observations whose plan has run; a null reason for rows that stayed. A reason that was not named is an error."""
+    rows = []
+    for name, reasons, watch in seen:
+        held = watch.get
+        if held["seen"] != held["kept"] + sum(held[f"r{i}"] for i in range(len(reasons))):
+            raise ValueError(f"{name} has a reason that was not named")
+        rows += [(name, None, held["kept"]), *((name, r, held[f"r{i}"]) for i, r in enumerate(reasons))]
+    return spark.createDataFrame([r for r in rows if r[2]], "stage string, reason string, n long")
+
+
+def run_stages(df: DataFrame, stages: Sequence[tuple[str, Column, Sequence[str]]], write: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    """The counts of all stages from one pass, which ``write`` uses for the rows that are left (default: they go nowhere).
+
+    Counts of a pass without a shuffle hold whatever is lost: a task's numbers count when it is done, once. Behind a shuffle whose
+    outputs are lost rows pass again and are counted again, so stages stand before the first shuffle, or after a saved table.
+    """
+    out, seen = observed_stages(df, stages)
+    (write or (lambda x: x.write.format("noop").mode("overwrite").save()))(out)
+    return stage_counts(df.sparkSession, seen)

@@ -183,3 +183,70 @@ def test_forgotten_hashes_are_still_repeats(spark, tmp_path):
     assert fates(store)[0] == [(1,), (2,), (4,)]
     assert uploads.apply_batch(store, batch([]).limit(0), 3, **how)  # an empty batch moves the number on
     assert store.latest().notes["uploads"]["batch"] == 3
+
+
+# ---------------------------------------------------------------- audit of changes
+
+
+def tables_of(spark, state):
+    return {
+        "organizations": spark.createDataFrame(state["organizations"] or [], "id long, name string, code string"),
+        "users": spark.createDataFrame(state["users"] or [], "id long, organization_id long, role string, email string"),
+        "articles": spark.createDataFrame(state["articles"] or [], "id long, organization_id long, content_hash string, visibility string"),
+        "user_articles": spark.createDataFrame(state["user_articles"] or [], "user_id long, article_id long"),
+    }
+
+
+def test_audit_of_changes_is_the_whole_audit(spark, tmp_path):
+    import random
+
+    from quillspark.operators import constraints
+
+    rnd = random.Random(4)
+    draw = {
+        "organizations": lambda: (rnd.randrange(4), rnd.choice(["a", " b", "", None]), rnd.choice(["x", "y", None])),
+        "users": lambda: (rnd.randrange(30), rnd.choice([0, 1, 7, None]), rnd.choice(["member", "admin", "boss", None]), rnd.choice(["e|1", "e2", None])),
+        "articles": lambda: (rnd.randrange(30), rnd.randrange(5), rnd.choice(["h", "i ", None]), rnd.choice(["public", "open"])),
+        "user_articles": lambda: (rnd.randrange(40), rnd.choice([None, *range(40)])),
+    }
+    state = {t: [f() for _ in range(40)] for t, f in draw.items()}
+    store = Store(spark, f"file://{tmp_path}/audit", buckets=16)
+    said = lambda df: sorted((r.table_name, r.rule, r.n) for r in df.collect())
+    assert said(constraints.begin_audit(store, tables_of(spark, state))) == said(constraints.audit(tables_of(spark, state)))
+    for step in range(4):
+        gone = {t: rnd.sample(held, min(len(held), rnd.randrange(0, 12)) if step else len(held)) for t, held in state.items() if t != "organizations" or step == 2}
+        new = {t: [draw[t]() for _ in range(rnd.randrange(0, 12))] for t in state if step != 1}
+        for t in state:
+            for r in gone.get(t, []):
+                state[t].remove(r)
+            state[t] = state[t] + new.get(t, [])
+        every = {t: [] for t in state}
+        pick = lambda part: {t: df for t, df in tables_of(spark, every | part).items() if t in part}
+        assert said(constraints.audit_change(store, pick(new), pick(gone))) == said(constraints.audit(tables_of(spark, state))), step
+    before = store.latest()
+    assert said(constraints.audit_change(store, {}, {})) == said(constraints.audited(store))
+    one = spark.createDataFrame([(1000, 1000)], "user_id long, article_id long")
+    with pytest.raises(Refused, match="do not hold"):
+        constraints.audit_change(store, {}, {"user_articles": one})
+    assert store.latest().number == before.number
+    constraints.audit_change(store, {"user_articles": one}, {})
+    same = {x["path"] for x in before.tables["keys"]} & {x["path"] for x in store.latest().tables["keys"]}
+    assert len(before.tables["keys"]) - 2 <= len(same) < len(before.tables["keys"]) + 1  # of 16 buckets those of two keys were read and rewritten
+
+
+def test_stage_counts_in_one_pass(spark):
+    from quillspark.plans import training
+
+    df = spark.range(100).toDF("id")
+    k = F.col("id")
+    stages = [("a", F.when(k % 2 == 0, "even"), ("even", "odd")), ("b", F.when(k % 5 == 0, "five"), ("five",))]
+    kept = []
+    got = training.run_stages(df, stages, lambda out: kept.extend(r.id for r in out.collect()))
+    assert rows(got.where("reason IS NOT NULL")) == [("a", "even", 50), ("b", "five", 10)]
+    assert rows(got.where("reason IS NULL"), "stage", "n") == [("a", 50), ("b", 40)]
+    assert sorted(kept) == [i for i in range(100) if i % 2 and i % 5]
+    out, seen = training.observed_stages(df, stages)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range") == 1 and len(seen) == 2
+    with pytest.raises(ValueError, match="not named"):
+        training.run_stages(df, [("a", F.when(k == 3, "three"), ("four",))])
+    assert rows(training.run_stages(df.limit(0), stages)) == []
