@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 MESSAGE = "array<struct<role:string,content:string>>"
 
 
-def rendered(template: str, **values: Column) -> Column:
+def rendered(template: str, /, **values: Column) -> Column:
     """``template`` with each ``{name}`` replaced by its column; null is the empty text. Braces inside values stay as they are."""
     parts = re.split(r"\{(\w+)\}", template)
     missing = set(parts[1::2]) - values.keys()

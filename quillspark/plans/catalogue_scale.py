@@ -7,14 +7,15 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import registry
-from quillspark.operators import constraints, neighbours
+from quillspark.functions import feature_prompts, registry
+from quillspark.operators import constraints, evaluation, neighbours
 from quillspark.operators.snapshots import Store, replace_chunks
 from quillspark.operators.storage import fresh_path
 from quillspark.streaming import uploads
 
+from . import training
 from .catalogue import _NEAR, ORACLE, SCOPE, query
-from .catalogue_data import _CHUNKS
+from .catalogue_data import _CHUNKS, _MARK, BLANKS
 from .views import Archive
 
 
@@ -88,3 +89,78 @@ def streamed_uploads(a: Archive) -> DataFrame:
         docs.where(part).write.mode("append").json(f"{base}/in")
         uploads.started(a.spark, f"{base}/in", store, f"{base}/checkpoint", files_per_batch=10_000, late=timedelta(days=400_000)).awaitTermination()
     return store.read("articles").groupBy("organization_id", "content_hash").agg(F.min("upload_id").alias("upload_id"))
+
+
+# ---------------------------------------------------------------- features of the model, from prompt to message
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_prompt(name: str) -> str:
+    """The transcript of a feature in SQL: what is the same for all rows, then the template with its places replaced."""
+    feature, fixed = feature_prompts.FEATURES[name], ""
+    if feature.system is not None:
+        fixed += f"system: {feature.system}\n\n"
+    for given, answer in feature.shots:
+        asked = feature.template
+        for k, v in given.items():
+            asked = asked.replace("{" + k + "}", v)
+        fixed += f"user: {asked}\n\nassistant: {answer}\n\n"
+    user = _sql_text(feature.template)
+    for place in _PLACES:
+        user = f"replace({user}, '{{{place}}}', {_PLACES[place]})" if f"{{{place}}}" in feature.template else user
+    return f"{_sql_text(fixed)} || 'user: ' || {user}"
+
+
+_PLACES = {"title": "coalesce(lang, '')", "description": "coalesce(source, '')", "template": "coalesce(source, '')", "similar": "coalesce(source, '')", "question": "coalesce(source, '')", "article": "coalesce(text, '')", "passage": "coalesce(text, '')", "context": "coalesce(text, '')"}
+
+
+@query("SELECT doc_id, f.feature, sha256(f.told) AS digest, f.n AS n_messages FROM documents, LATERAL (SELECT unnest([" + ", ".join(f"{{'feature': '{n}', 'told': {_sql_prompt(n)}, 'n': {1 + (f.system is not None) + 2 * len(f.shots)}}}" for n, f in feature_prompts.FEATURES.items()) + "]) AS f)")
+def feature_messages(a: Archive) -> DataFrame:
+    """The messages of all eleven features for every document."""
+    column = {"title": "lang", "description": "source", "template": "source", "similar": "source", "question": "source", "article": "text", "passage": "text", "context": "text"}
+    told = []
+    for name, feature in feature_prompts.FEATURES.items():
+        held = feature_prompts.messages(name, **{p: F.col(c) for p, c in column.items() if f"{{{p}}}" in feature.template})
+        told.append(F.struct(F.lit(name).alias("feature"), F.sha2(feature_prompts.transcript(held).cast("binary"), 256).alias("digest"), F.size(held).alias("n_messages")))
+    return a.raw("documents").select("doc_id", F.explode(F.array(*told)).alias("f")).select("doc_id", "f.*")
+
+
+_ANSWER = "CASE (len(body) + item + len(title)) % 5 WHEN 0 THEN '판정: 충족' || chr(10) || '이유:  ' || left(title, 20) WHEN 1 THEN '<think>a' || chr(10) || 'b</think> 미흡' WHEN 2 THEN '판정:  해당  없음' || chr(10) || '이유: ' || left(description, 9) || ' .' WHEN 3 THEN ' 글쎄 ' || item END"
+
+
+@query(rf""", g AS (SELECT item_id % 5 AS organization_id, item_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l, '{_MARK}', ''), {BLANKS})), lambda l: l <> '') AS ls, trim(coalesce(text, ''), {BLANKS}) AS content FROM benchmark),
+i AS (SELECT organization_id, item_id, unnest(CASE WHEN len(ls) <= 1 THEN [NULL] ELSE ls END) AS l, generate_subscripts(CASE WHEN len(ls) <= 1 THEN [NULL] ELSE ls END, 1) - 1 AS item, content FROM g),
+t AS (SELECT organization_id, item_id, item, CASE WHEN l IS NULL THEN 'g' || item_id WHEN contains(l, ':') AND trim(split_part(l, ':', 1), {BLANKS}) <> '' THEN trim(split_part(l, ':', 1), {BLANKS}) ELSE l END AS title,
+    CASE WHEN l IS NULL THEN content WHEN contains(l, ':') AND trim(split_part(l, ':', 1), {BLANKS}) <> '' THEN trim(substr(l, strpos(l, ':') + 1), {BLANKS}) ELSE '' END AS description FROM i),
+r AS (SELECT doc_id, item_id, item, title, trim(regexp_replace(coalesce({_ANSWER}, ''), '(?s)<think>.*?</think>', ''), {BLANKS}) AS raw FROM (SELECT doc_id, doc_id % 5 AS organization_id, coalesce(text, '') AS body FROM documents) d JOIN t USING (organization_id)),
+v AS (SELECT *, CASE WHEN regexp_matches(raw, '판정\s*:\s*(충족|미흡|해당\s*없음)') THEN regexp_extract(raw, '판정\s*:\s*(충족|미흡|해당\s*없음)', 1) ELSE regexp_extract(raw, '^\s*(충족|미흡|해당\s*없음)', 1) END AS said FROM r),
+w AS (SELECT doc_id, item_id, item, title, CASE WHEN said = '' THEN '판정 실패' ELSE regexp_replace(said, '\s+', ' ', 'g') END AS verdict, CASE WHEN said = '' THEN raw ELSE trim(regexp_extract(raw, '이유\s*:\s*(.+)', 1), {BLANKS}) END AS reason FROM v),
+n AS (SELECT doc_id, count(*) FILTER (WHERE verdict = '충족') AS met, count(*) FILTER (WHERE verdict = '미흡') AS short, count(*) FILTER (WHERE verdict = '해당 없음') AS none, count(*) FILTER (WHERE verdict = '판정 실패') AS failed,
+    string_agg(chr(10) || '[' || verdict || '] ' || title || CASE WHEN reason <> '' THEN chr(10) || '- 이유: ' || reason ELSE '' END, chr(10) ORDER BY item_id, item) AS told FROM w GROUP BY doc_id)
+SELECT doc_id AS article_id, met, short, none, failed, sha256(trim('충족 ' || met || '개, 미흡 ' || short || '개, 해당 없음 ' || none || '개' || CASE WHEN failed > 0 THEN ', 판정 실패 ' || failed || '개' ELSE '' END || chr(10) || told, {BLANKS})) AS digest FROM n""")
+def article_evaluations(a: Archive) -> DataFrame:
+    """Every document against every item of its organisation's guidelines (the benchmark's texts), from items over answers to tally and message."""
+    articles = a.raw("documents").select(F.col("doc_id").alias("article_id"), (F.col("doc_id") % 5).alias("organization_id"), F.coalesce("text", F.lit("")).alias("body"))
+    guidelines = a.raw("benchmark").select((F.col("item_id") % 5).alias("organization_id"), F.col("item_id").alias("id"), F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("title"), F.col("text").alias("content"))
+
+    def model(questions: DataFrame) -> DataFrame:
+        """A stand-in that answers in five manners."""
+        manner = (F.length("body") + F.col("item") + F.length("title")) % 5
+        good = F.concat(F.lit("판정: 충족\n이유:  "), F.left("title", F.lit(20)))
+        none = F.concat(F.lit("판정:  해당  없음\n이유: "), F.left("description", F.lit(9)), F.lit(" ."))
+        return questions.withColumn("raw", F.when(manner == 0, good).when(manner == 1, "<think>a\nb</think> 미흡").when(manner == 2, none).when(manner == 3, F.concat(F.lit(" 글쎄 "), F.col("item").cast("string"))))
+
+    told = evaluation.evaluated(evaluation.graded(evaluation.asked(articles, guidelines), model))
+    return told.select("article_id", "met", "short", "none", "failed", F.sha2(F.col("message").cast("binary"), 256).alias("digest"))
+
+
+@query("SELECT doc_id, sha256('다음 원문의 핵심 내용을 한국어로 간결하게 요약하세요. 원문에 없는 사실은 추가하지 마세요.' || chr(10) || chr(10) || '### 원문 텍스트:' || chr(10) || coalesce(text, '')) AS summary_prompt, sha256('주어진 뉴스 본문을 읽고 질문에 답하세요. 정답만 간결하게 답하세요. /no_think' || chr(10) || chr(10) || '뉴스 본문:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '질문:' || chr(10) || coalesce(source, '')) AS answer_prompt, coalesce(lang, '') AS completion FROM documents")
+def training_messages(a: Archive) -> DataFrame:
+    """Training examples of both adapters for every document, worded as at inference."""
+    d = a.raw("documents")
+    both = d.select("doc_id", *(c.alias(f"{n}_{p}") for n, pair in (("s", training.summary_example(F.col("text"), F.col("lang"))), ("a", training.answer_example(F.col("text"), F.col("source"), F.col("lang")))) for p, c in zip(("p", "c"), pair, strict=True)))
+    digest = lambda c: F.sha2(F.col(c)[0]["content"].cast("binary"), 256)
+    return both.where("size(s_p) = 1 AND size(a_p) = 1 AND s_c[0].content = a_c[0].content").select("doc_id", digest("s_p").alias("summary_prompt"), digest("a_p").alias("answer_prompt"), F.col("a_c")[0]["content"].alias("completion"))

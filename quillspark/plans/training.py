@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions import feature_prompts
+from quillspark.functions.prompts import message
 from quillspark.functions.text import normal_map, normal_start, normalize
 from quillspark.operators.order import numbered
 from quillspark.operators.storage import saved
@@ -189,6 +191,16 @@ def examples(df: DataFrame, system: str) -> DataFrame:
     return df.select(F.array(turn("system", F.lit(system)), turn("user", ask)).alias("prompt"), F.array(turn("assistant", F.col("answer"))).alias("completion"))
 
 
+def summary_example(passage: Column, summary: Column) -> tuple[Column, Column]:
+    """(prompt, completion) of the summary adapter; the prompt is the one that the feature uses."""
+    return feature_prompts.messages("summary", passage=passage), F.array(message("assistant", F.coalesce(summary, F.lit(""))))
+
+
+def answer_example(context: Column, question: Column, answer: Column) -> tuple[Column, Column]:
+    """(prompt, completion) of the question adapter; the prompt is the one that the feature uses."""
+    return feature_prompts.messages("qa", context=context, question=question), F.array(message("assistant", F.coalesce(answer, F.lit(""))))
+
+
 def observed_stages(df: DataFrame, stages: Sequence[tuple[str, Column, Sequence[str]]]) -> tuple[DataFrame, list[tuple[str, Sequence[str], Observation]]]:
     """What is left of ``df`` after all stages, and observations of how many rows each left out for which reason, and kept.
 
