@@ -1,5 +1,5 @@
 """Tables that cut lineage: written to the folder that driver and executors share, and read again. They survive lost executors,
-which ``persist`` does not, and are deleted where a ``temporary`` block ends."""
+which ``persist`` does not, and are deleted where a ``temporary`` block ends, or with the session."""
 
 from __future__ import annotations
 
@@ -35,8 +35,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(where)
     if (held := _written.get()) is not None:
         held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
