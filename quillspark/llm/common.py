@@ -6,17 +6,16 @@ texts hold about ``BLOCK_BYTES``; a longer text is a block of its own, so no tex
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.storage import saved, shared_dir, temporary  # noqa: F401  operators take them from here
+
 BLOCK_BYTES = 1_000_000
 
 #: Unit constants of a 64-bit finaliser (public domain "fmix64") and odd multipliers for combining words.
@@ -24,46 +23,7 @@ MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
-# ---------------------------------------------------------------- storage
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. In one local process, where it is unset, a temporary folder is set once; on a
-    cluster that would be another folder on each machine, so there it is an error."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    if held:
-        return held
-    jsc = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jsc.isDefined():
-        return jsc.get()
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='quillspark-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-_WRITTEN: list[str] = []
-
-
-def saved(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that operators save inside go at the end; what was computed from them must be written by then."""
-    before = len(_WRITTEN)
-    try:
-        yield
-    finally:
-        while len(_WRITTEN) > before:
-            path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+# ---------------------------------------------------------------- rows
 
 
 def small_batches(docs: DataFrame, rows: int = 2_000) -> DataFrame:
@@ -76,6 +36,18 @@ def small_batches(docs: DataFrame, rows: int = 2_000) -> DataFrame:
     return docs
 
 
+def salted_join(left: DataFrame, right: DataFrame, on: list[str], spread: list[str], rows_per_salt: int = 1_000_000, most: int = 1_000_000) -> DataFrame:
+    """``left`` (a saved table) joined with ``right`` on ``on``; a key that more than ``rows_per_salt`` rows of ``left`` hold is dealt out by ``spread``, and
+    its rows of ``right`` are given to each salt. Such keys are ``most`` at most: beyond, ever larger ones count."""
+    from_ = max(rows_per_salt, -(-left.count() // most))
+    hot = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > from_).select(*on, F.ceil(F.col("_n") / from_).cast("int").alias("_salts"))
+    hot = F.broadcast(saved(hot, "hot-keys"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*spread), "_salts").cast("int"), F.lit(0))
+    dealt = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    given = right.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return dealt.join(given, [*on, "_salt"]).drop("_salt")
+
+
 # ---------------------------------------------------------------- expressions
 
 
