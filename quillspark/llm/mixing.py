@@ -94,8 +94,7 @@ def min_cost_flow(supply: Sequence[float], members: Sequence[Sequence[int]], quo
 
 
 def cheapest(supply: Sequence[float], members: Sequence[Sequence[int]], quota: Sequence[float], max_repeats: int) -> list[dict[int, float]]:
-    """``min_cost_flow``, solved apart for each group of sources that share patterns. A pattern and a source that nothing else meets
-    need no search: the source takes its quota, or all there is."""
+    """``min_cost_flow``, solved apart for each group of sources that share patterns."""
     root = list(range(len(quota)))
 
     def find(j: int) -> int:
@@ -113,11 +112,6 @@ def cheapest(supply: Sequence[float], members: Sequence[Sequence[int]], quota: S
             parts.setdefault(find(m[0]), []).append(i)
     out: list[dict[int, float]] = [{} for _ in members]
     for own in parts.values():
-        if len(own) == 1 and len(members[own[0]]) == 1:
-            (i,), (j,) = own, members[own[0]]
-            taken = min(float(quota[j]), float(max_repeats * supply[i]))
-            out[i] = {j: taken} if taken > 1e-6 else {}
-            continue
         sources = sorted({j for i in own for j in members[i]})
         place = {j: k for k, j in enumerate(sources)}
         flows = min_cost_flow([supply[i] for i in own], [[place[j] for j in members[i]] for i in own], [quota[j] for j in sources], max_repeats)
