@@ -86,13 +86,13 @@ def _split(min_words: int, kind: str):
     return run
 
 
-def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, kind: str = "line", run_words: int = 0, occurrences: bool = False, text_keys: bool = False, rows_per_salt: int = 1_000_000) -> DataFrame:
+def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, kind: str = "line", run_words: int = 0, runs: bool = False, occurrences: bool = False, text_keys: bool = False, rows_per_salt: int = 1_000_000) -> DataFrame:
     """One row per removed unit: id, unit, start, end (code points of the original text, end exclusive), n_words,
     keep_id and keep_unit (the occurrence that stays), n_occurrences.
 
     ``kind`` is line, paragraph or sentence. Units of under ``min_words`` words are never removed, and do not part a run.
-    ``run_words``: only units in runs of at least so many words are given, with run_words as a column; units that repeat
-    in one row alone make no run.
+    ``runs``: with a column run_words, the words of the run of repeated units that a unit stands in.
+    ``run_words``: only units in runs of at least so many words are given; units that repeat in one row alone make no run.
     ``occurrences``: the occurrences that stay are given too, with removed as a column.
     ``text_keys``: with a column text_key, by which ``without_units`` tells apart texts that share an id.
     Units are numbered from 0 among a text's non-empty ones.
@@ -116,10 +116,11 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = kept.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     out = units.join(kept, ["d1", "d2", "salt"])
     more = []
-    if run_words:
+    if runs or run_words:
         in_text = Window.partitionBy("row")
         out = out.withColumn("run", F.col("nth") - F.row_number().over(in_text.orderBy("nth")))
-        out = out.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run")).cast("int")).where(F.col("run_words") >= run_words)
+        out = out.withColumn("run_words", F.sum("n_words").over(Window.partitionBy("row", "run")).cast("int"))
+        out = out.where(F.col("run_words") >= run_words) if run_words else out
         more.append("run_words")
     stays = F.col("row_id").eqNullSafe(F.col("keep_id")) & (F.col("unit") == F.col("keep_unit"))
     if occurrences:
@@ -155,21 +156,18 @@ def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
     return joined.select(*(cut.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
-#: The query: sentences of any length, in repeated runs of 30 words or more; the occurrences that stay are told too.
+#: The query: every repeated line but the earliest, with the words of its run of repeated lines.
 ORACLE = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-m AS (SELECT doc_id, i, string_split(regexp_replace(line, '([.!?])([\x20\x09-\x0D]+)', '\1\2' || chr(57344), 'g'), chr(57344)) AS held, line,
-    sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS line_at FROM l),
-p AS (SELECT doc_id, i, line_at, unnest(held) AS piece, generate_subscripts(held, 1) AS j FROM m),
-u AS (SELECT doc_id, line_at + sum(len(piece)) OVER (PARTITION BY doc_id, i ORDER BY j) - len(piece) AS s, len(regexp_replace(piece, '([.!?])[\x20\x09-\x0D]+$', '\1')) AS n,
-    row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS unit,
-    array_to_string(regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS t,
-    len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS w FROM p WHERE piece <> ''),
-r AS (SELECT *, min(doc_id) OVER (PARTITION BY t) <> max(doc_id) OVER (PARTITION BY t) AS apart, first_value(doc_id) OVER o AS kd, first_value(unit) OVER o AS ku, count(*) OVER (PARTITION BY t) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS nth
+m AS (SELECT *, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS s FROM l),
+u AS (SELECT doc_id, s, len(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit,
+    array_to_string(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS t,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM m WHERE line <> ''),
+r AS (SELECT *, first_value(doc_id) OVER o AS kd, first_value(unit) OVER o AS ku, count(*) OVER (PARTITION BY t) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS nth
     FROM u WHERE w >= 1 WINDOW o AS (PARTITION BY t ORDER BY doc_id, unit)),
-g AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM r WHERE apart),
+g AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM r WHERE c > 1),
 q AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, run) AS rw FROM g)
 SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end", CAST(w AS INTEGER) AS n_words,
-    kd AS keep_doc_id, CAST(ku AS INTEGER) AS keep_unit, CAST(c AS BIGINT) AS n_occurrences, CAST(rw AS INTEGER) AS run_words, doc_id <> kd OR unit <> ku AS removed
-FROM q WHERE rw >= 30
+    kd AS keep_doc_id, CAST(ku AS INTEGER) AS keep_unit, CAST(c AS BIGINT) AS n_occurrences, CAST(rw AS INTEGER) AS run_words
+FROM q WHERE doc_id <> kd OR unit <> ku
 """

@@ -58,10 +58,9 @@ def op8_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str, run_words: int = 30) -> DataFrame:
-    """Sentences, whatever their length, in runs of ``run_words`` or more words that other places hold too; the occurrence
-    that stays of each is told beside those that go (``removed``)."""
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=1, kind="sentence", run_words=run_words, occurrences=True)
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that repeats, whatever its length and wherever it stands, but the earliest occurrence of each."""
+    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=1, kind="line", runs=True)
 
 
 def op10_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
