@@ -4,10 +4,12 @@ Copies are combined in three stages, each of which groups by the full normalised
 
 1. *local*: the map side of the first aggregation leaves one row per text and task,
 2. *salted*: rows of one digest are spread over ``salts`` by a hash of their id, so that a text which holds a third of
-   the corpus is merged by many tasks,
+   the corpus is merged by many tasks (rows of one text and one id are one row a task by then),
 3. *global*: the winners of the salts (at most ``salts`` rows a text) are combined.
 
-Decisions go back to the rows by digest, salt and length, so the join is spread the same way as the merge and moves no text.
+Decisions go back to the rows by two digests that have nothing in common, and the length; that these name one text each is checked
+where texts still stand beside them, and the query fails otherwise. On the way back a text of many rows is dealt out by the rows
+themselves, whatever their ids are.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,15 +38,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     salts = salts or max(16, -(-docs.count() // rows_per_salt))
     rows = docs.select(F.col(id_col).alias("id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
-    rows = rows.withColumns({"d": F.unhex(F.sha2("t", 256)), "salt": F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")})
-    local = rows.groupBy("d", "salt", "t").agg(F.max("id").alias("m"), F.count("*").alias("n"))
-    merged = local.groupBy("d", "t").agg(
-        F.max("m").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("held")
-    )
-    # two texts of one digest (never seen) would stay apart by their text; rows find theirs by digest and exact length
-    winners = merged.select("d", F.length("t").alias("chars"), "keep_id", "group_size", F.explode("held").alias("salt"))
-    back = rows.select("id", "d", "salt", F.length("t").alias("chars"))
-    out = back.join(winners, ["d", "salt", "chars"])
+    name = {"d": F.unhex(F.sha2("t", 256)), "e": F.xxhash64("t"), "chars": F.length("t")}
+    local = rows.withColumns(name).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).groupBy(*name, "salt", "t").agg(F.max("id").alias("m"), F.count("*").alias("n"))
+    merged = local.groupBy(*name, "t").agg(F.max("m").alias("keep_id"), F.sum("n").alias("group_size")).drop("t")
+    one = F.when(F.count("*") == 1, F.sum("group_size")).otherwise(F.raise_error(F.lit("two texts have one name")).cast("long"))
+    winners = saved(merged.groupBy(*name).agg(F.max("keep_id").alias("keep_id"), one.alias("group_size")), "texts")
+    back = F.ceil(F.col("group_size") / rows_per_salt).cast("int")
+    # a text of so many rows is dealt out: there are total / rows_per_salt of them at most
+    hot = F.broadcast(winners.where(F.col("group_size") > rows_per_salt).select(*name, back.alias("salts")))
+    told = rows.select("id", *(c.alias(x) for x, c in name.items())).withColumn("nth", F.monotonically_increasing_id())
+    told = told.join(hot, list(name), "left").withColumn("salt", F.coalesce(F.pmod("nth", "salts").cast("int"), F.lit(0)))
+    out = told.drop("salts").join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), back - 1))), [*name, "salt"])
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("d")).alias("text_sha256"))
 
 
