@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 from pyspark.sql.window import Window
 
-from .common import ODD, Filter, bounded_filter, mix, run_hashes, saved, small_batches, string_blocks, tokens
+from .common import ODD, Filter, bounded_filter, mix, run_hashes, salted_join, saved, small_batches, string_blocks, tokens
 
 #: Units that count as one after a number.
 UNITS = "mm cm m km inch inches ft feet yard yards mile miles mg g kg lb lbs ton tons oz ml l liter liters litre litres gallon gallons ms s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur dollar dollars euro euros cent cents pound pounds percent mph kmh w kw mw v a hz khz mhz ghz kb mb gb tb c f k degrees".split()
@@ -293,7 +293,7 @@ def _settled(coverage: float, run_words: int, consistency: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 8, coverage: float = 0.4, run_words: int = 20, consistency: float = 0.7, block: int = 100_000, filter_bits: int = 1 << 28) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", k: int = 8, coverage: float = 0.4, run_words: int = 20, consistency: float = 0.7, block: int = 100_000, filter_bits: int = 1 << 28, rows_per_salt: int = 1_000_000) -> DataFrame:
     """One row per document and benchmark item that it holds: id, item_id, n_windows (of the item), n_matched, coverage,
     kind (copy or reparameterised), n_slots, n_slots_fit, start and end of the match (code points).
 
@@ -302,7 +302,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     without, the one that covers more is reported. Items of under ``k`` tokens, or without a
     window of mostly words in either, match where all their words, numbers and units stand in order (one window then).
     ``block``: matched windows that one task settles, about. ``filter_bits``: of the filter, which every worker holds; beyond about
-    a tenth as many windows of the benchmark it lets many others through, which the join then drops.
+    a tenth as many windows of the benchmark it lets many others through, which the join then drops. ``rows_per_salt``: documents with one
+    window or item that one task joins.
     Defined cases: null and empty texts on either side match nothing; null ids and repeated rows are reported like
     others; an empty table on either side gives no rows; other columns of the inputs are not read.
     """
@@ -316,10 +317,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # a pair that holds has ``need`` of the item's windows, so it has one of all but the need - 1 that most items share
     need = F.when(F.col("which") == WHOLE, F.col("n_windows")).otherwise(F.greatest(F.lit(1), F.least(F.ceil(F.col("n_windows") * coverage - 1e-9), F.lit(max(1, run_words - k + 1)))))
     common = items.groupBy("h").agg(F.count("*").alias("held"))
-    rare = Window.partitionBy("item", "which").orderBy("held", "h", "nth")
-    keys = items.select("item", "which", "nth", "h", "n_windows").join(common, "h").withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("n_windows") - need + 1)
-    pairs = hits.select("row", "h").join(keys.select("item", "which", "h"), "h").select("row", "item", "which").distinct()
-    wanted = pairs.join(items, ["item", "which"])
+    seen = hits.groupBy("h").agg(F.count("*").alias("seen"))
+    rare = Window.partitionBy("item", "which").orderBy(F.coalesce("seen", F.lit(0)) * F.col("held"), "h", "nth")  # by the pairs that a window makes
+    keys = items.select("item", "which", "nth", "h", "n_windows").join(common, "h").join(seen, "h", "left").withColumn("place", F.row_number().over(rare)).where(F.col("place") <= F.col("n_windows") - need + 1)
+    # a window, or an item, that many documents hold is dealt out by document
+    pairs = salted_join(hits.select("row", "h"), keys.select("item", "which", "h"), ["h"], ["row"], rows_per_salt).select("row", "item", "which").distinct()
+    wanted = salted_join(saved(pairs, "pairs"), items, ["item", "which"], ["row"], rows_per_salt)
     met = saved(hits.drop("which").join(wanted, ["row", "h"]), "matched-windows")
     tasks = max(1, -(-met.count() // block))
     out = met.withColumn("task", F.pmod(F.xxhash64("row", "item"), F.lit(tasks))).groupBy("task").applyInArrow(_settled(coverage, run_words, consistency), kinds(OUT, own(met, "row_id", "row_id") | own(met, "item_id", "item_id")))
