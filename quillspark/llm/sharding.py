@@ -1,15 +1,17 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
 1. a size-weighted sample of keys (each row with probability ``sample * size / total``) is drawn by a hash, so reruns agree;
-2. its quantiles are the splitters of ``shards * ranges_per_shard`` key ranges (32 a shard, more where rows are many); the bytes and rows of every range are
-   counted exactly, and a range that came out over ``overfull`` times its share is subdivided by a hash of its keys;
+2. its quantiles are the splitters of ``shards * ranges_per_shard`` key ranges, 32 a shard whatever the number of rows; the bytes and rows of every range are
+   counted exactly, and a range that came out over ``overfull`` times its share, or over ``rows_per_range`` rows, is subdivided by a hash
+   of its keys;
 3. running sums inside each range, on top of the exact offsets of the ranges, place every row on one line of bytes, and
    the line is cut into equal shards.
 
 Law ``bytes``: a shard's bytes differ from the others' by at most about the largest row. The key is (digest of the text,
 digest of the id): equal texts are neighbours, and a text that fills more than a shard is still cut by its ids.
-Ranges hold about ``rows_per_range`` rows at most; where
-more rows than that have one id and text, they are dealt out over pieces. To the driver go the sample, ten keys a range, and one row per range and shard.
+Parts of ranges hold about ``rows_per_range`` rows at most; where
+more rows than that have one id and text, they are dealt out over pieces. To the driver go the sample, of about ``sample`` keys, a row a
+range, and a row a part: one for a million rows.
 """
 
 from __future__ import annotations
@@ -48,7 +50,7 @@ def _range_of(key, splitters: list[str]):
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + below(F.element_at(F.array(*[F.lit(x) for x in fine]), coarse)))
 
 
-def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int | None = None, sample: int = 8192, overfull: float = 2.0, rows_per_range: int = 1_000_000) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", ranges_per_shard: int = 32, sample: int = 8192, overfull: float = 2.0, rows_per_range: int = 1_000_000) -> DataFrame:
     """One row per input row: id, size, text_crc32, law, shard, slot, grown_shard, text_group.
 
     size is the UTF-8 bytes of the text (null: 0) plus 8. slot numbers a shard's rows from 0 without gaps.
@@ -57,8 +59,7 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     the input are not read.
     """
     rows = saved(_sized(docs, id_col, text_col).withColumn("nth_read", F.monotonically_increasing_id()), "shard-keys")
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    ranges_per_shard = ranges_per_shard or max(32, -(-n // (shards * rows_per_range)))
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     sample = max(sample, 10 * shards * ranges_per_shard)
     unit = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
     drawn = sorted(r[0] for r in rows.where(unit < F.lit(float(sample)) * F.col("size") / F.lit(float(max(total, 1)))).select("key").distinct().collect())
@@ -68,7 +69,8 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     placed = rows.withColumn("range", _range_of(F.col("key"), splitters))
     share = total / max(1, len(splitters) + 1)
     counted = placed.groupBy("range").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()
-    cuts = {r["range"]: min(r["n"], -(-int(r["b"]) // max(1, int(share)))) for r in counted if r["b"] > overfull * share and r["n"] > 1}
+    cuts = {r["range"]: max(min(r["n"], -(-int(r["b"]) // max(1, int(share)))) if r["b"] > overfull * share else 1, -(-r["n"] // rows_per_range)) for r in counted if r["n"] > 1}
+    cuts = {k: v for k, v in cuts.items() if v > 1}
     if cuts:
         pieces = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in cuts.items() for x in kv]), F.col("range")), F.lit(1))
         placed = placed.withColumn("sub", F.pmod(F.xxhash64("key", F.lit(1)), pieces).cast("int"))
