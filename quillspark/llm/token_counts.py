@@ -215,6 +215,21 @@ def _grown(vocabulary: str):
     return run
 
 
+def settled(edits: list[dict | None], size: int) -> list[tuple[int, int, str]]:
+    """The edits of a text of ``size`` code points that are applied, by place: offsets beyond the text are its ends, an end before its start
+    is the start, a null replacement is empty; edits without a start or end, and those that begin before an earlier one ends, are left
+    out (of two with one start the first listed is the earlier). Insertions at one place stand in the order given."""
+    out, taken = [], 0
+    known = [e for e in edits if e and e["start"] is not None and e["end"] is not None]
+    for e in sorted(known, key=lambda e: min(max(e["start"], 0), size)):
+        start = min(max(e["start"], 0), size)
+        end = min(max(e["end"], start), size)
+        if start >= taken:
+            out.append((start, end, e["new"] or ""))
+            taken = end
+    return out
+
+
 def _edited(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(vocabulary)
@@ -223,8 +238,8 @@ def _edited(vocabulary: str):
             for text, edits, segments in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 t, tree = text.as_py() or "", held(segments.as_py())
                 again = n = 0
-                for e in sorted(edits.as_py(), key=lambda e: -e["start"]):  # from the back: offsets are the original text's
-                    t, got = apply_edit(t, tree, e["start"], e["end"], e["new"], counter)
+                for start, end, new in reversed(settled(edits.as_py(), len(t))):  # from the back: offsets are the original text's
+                    t, got = apply_edit(t, tree, start, end, new, counter)
                     again, n = again + got, n + 1
                 rows.append((n, again, len(t), tree.tokens, kept(tree)))
             kinds = [pa.int64()] * 4 + [pa.binary()]
@@ -255,7 +270,7 @@ def recount(docs: DataFrame, trees: DataFrame, vocabulary: str, edits: str, id_c
     n_chars_after and n_tokens_after; segments are the edited text's.
 
     ``docs`` are the rows that ``trees`` were grown from, with ``edits``, an array column of (start, end, new): code points of the
-    original text, end exclusive, not overlapping. Only rows with edits are read and joined with their trees, and of their
+    original text, end exclusive; ``settled`` says what becomes of overlapping ones and of offsets beyond the text. Only rows with edits are read and joined with their trees, and of their
     texts only the edited regions are encoded; of rows with equal id and text one row's edits count. The others keep their sums.
     """
     own = F.col(edits).cast(EDITS)
@@ -272,7 +287,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, edits: str | None = None, id_
     """One row per input row: id, n_chars, n_pretokens, n_tokens, n_edits, n_reencoded (pre-tokens encoded for the edits),
     n_chars_after, n_tokens_after.
 
-    ``edits`` names an array column of (start, end, new): code points of the original text, end exclusive, not overlapping.
+    ``edits`` names an array column of (start, end, new): code points of the original text, end exclusive; ``settled`` says
+    what becomes of overlapping ones and of offsets beyond the text.
     ``trees``: those that ``grow`` made of the same rows; without them they are grown and kept in the shared folder first.
     ``vocabulary`` is the path of a ranks file, the same on every machine.
     Defined cases: null and empty texts have no tokens; a null list of edits is an empty one; null ids and repeated rows
