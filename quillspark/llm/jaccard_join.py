@@ -11,7 +11,9 @@ at least ``T - L`` of those, and probes the long lists for them by binary search
   fall into one bucket: sets meet on such pairs of shingles, each list of sets is tied to its smallest one, and the connected
   *groups* hold every link. Lists are never unfolded into pairs of sets.
 * *inside each group*, where every set is sent once: the group's inverted lists are merged and probed per set, occurrences
-  are counted up to T, and links, classes and numbers of links come out of one search. A group beyond a chunk's size is cut
+  are counted up to T, and links, classes and numbers of links come out of one search. A group beyond a chunk's size is first
+  narrowed: its sets meet again by size - one of ``n`` shingles and one of ``m`` must share ``t / (1 + t) * (n + m)``, so one of the first
+  ``n - that + 1`` - which parts sets that share long passages without being similar. What is still larger is cut
   into chunks by a hash, and each two chunks are searched, so no group is a single task's.
 
 Equal sets are one node from the start. Shingles that more than ``nodes_per_slice`` texts hold count as shared without being
@@ -386,7 +388,49 @@ def _linked_between(num: int, den: int):
     return run
 
 
-def search_groups(texts: DataFrame, sets: DataFrame, label: DataFrame, k: int, num: int, den: int, sets_per_chunk: int, tokens_per_chunk: int = 500_000, tokens_per_task: int = 3_000_000) -> DataFrame:
+BAND = 1.06  # sizes of sets that are looked at together differ by this factor at most
+
+
+def band(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(BAND)).astype(np.int64)
+
+
+def _met_by_size(levels: np.ndarray, num: int, den: int):
+    """(meet, node, side): where a set of a group (root, node, n, tokens) may meet others of each fitting band of sizes; side is 0 for the
+    band of smaller sets, 1 for that of larger ones, 2 where both are one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            root, node, size = (batch.column(c).to_numpy().astype(np.int64) for c in (0, 1, 2))
+            meet, at, side = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+            for r, name, n, held in zip(root.tolist(), node.tolist(), size.tolist(), batch.column(3), strict=True):
+                token = np.frombuffer(held.as_py(), np.uint64)
+                token = token[np.argsort(levels[(token >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
+                partners = np.arange(required(np.int64(n), num, den), n * den // num + 1)
+                of = band(partners)
+                first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                own = int(band(np.array([n]))[0])
+                for b, least in zip(of[first].tolist(), partners[first].tolist(), strict=True):
+                    some = token[: n + 1 - -(-num * (n + least) // (num + den))]
+                    with np.errstate(over="ignore"):
+                        pair = np.uint64(min(own, b) << 32 | max(own, b)) * np.uint64(ODD[1]) ^ np.int64(r).view(np.uint64) * np.uint64(ODD[2])
+                    meet.append(mix(some ^ mix(np.array([pair]))).view(np.int64))
+                    at.append(np.full(len(some), name))
+                    side.append(np.full(len(some), 2 if own == b else own > b, np.int8))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (meet, at, side)], ["meet", "node", "side"])
+
+    return run
+
+
+def narrowed(groups: DataFrame, levels: np.ndarray, num: int, den: int) -> DataFrame | None:
+    """(node, root): the parts of ``groups`` that links can lie in; sets that no other can link with are left out."""
+    meetings = saved(groups.select("root", "node", "n", "tokens").mapInArrow(_met_by_size(levels, num, den), "meet long, node long, side byte"), "size-meetings")
+    sides = (F.min("side") != F.max("side")) | (F.min("side") == 2)
+    heads = meetings.groupBy("meet").agg(F.min("node").alias("head"), F.max("node").alias("last"), sides.alias("both")).where("both AND head <> last").select("meet", "head")
+    return classes(meetings.join(heads, "meet").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+
+
+def search_groups(texts: DataFrame, sets: DataFrame, label: DataFrame, levels: np.ndarray, k: int, num: int, den: int, sets_per_chunk: int, tokens_per_chunk: int = 500_000, tokens_per_task: int = 3_000_000) -> DataFrame:
     """(node, links, others, root): of each node of ``label`` (node, root of its group) its links, their rows and its class."""
     spark = texts.sparkSession
     members = saved(label.join(sets, "node").select("node", "root", "rows", "n"), "groups")
@@ -396,6 +440,14 @@ def search_groups(texts: DataFrame, sets: DataFrame, label: DataFrame, k: int, n
     chosen = texts.select("text").mapInArrow(_chosen(k, bounded_filter(label, "node")), "node long, n long, tokens binary")
     chosen = chosen.groupBy("node").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
     own = saved(chosen.join(members.drop("n").join(sizes.drop("held"), "root"), "node"), "group-sets")
+    if most > 1:
+        large = own.where("chunks > 1")
+        own, parts = own.where("chunks = 1"), narrowed(large, levels, num, den)
+        if parts is not None:
+            again = large.drop("root", "chunks").join(parts, "node")
+            sizes = again.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("held")).select("root", chunks.alias("chunks"))
+            own = saved(own.unionByName(again.join(sizes, "root")), "narrowed-sets")
+        most, total = own.agg(F.coalesce(F.max("chunks"), F.lit(1)), F.coalesce(F.sum(F.when(F.col("chunks") == 1, F.col("n"))), F.lit(0))).first()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // tokens_per_task))
     small = own.where("chunks = 1").withColumn("task", F.pmod(F.xxhash64("root"), F.lit(tasks)))
     out = small.groupBy("task").applyInArrow(_linked(num, den), LINKS)
@@ -447,7 +499,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if label is None:
         table = sets.select("node", F.col("least").alias("component_id"), F.lit(0).cast("long").alias("n_links"), (F.col("rows") - 1).alias("n_linked_rows"))
     else:
-        found = saved(search_groups(texts, sets, label, k, num, den, sets_per_chunk), "links-of-sets")
+        found = saved(search_groups(texts, sets, label, levels, k, num, den, sets_per_chunk), "links-of-sets")
         named = found.join(sets, "node").groupBy("root").agg(F.min("least").alias("named"))
         table = sets.join(found.join(named, "root"), "node", "left").select("node", F.coalesce("named", "least").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"), (F.coalesce("others", F.lit(0)) + F.col("rows") - 1).alias("n_linked_rows"))
     out = members.where("n > 0").join(table, "node").select("id", "n", "component_id", *counts)
