@@ -58,6 +58,11 @@ def long_paragraph(text: Column, size: int, splitter: Callable[[Column], Column]
     return _pack(parts, size, " ")
 
 
+def argument_problem(size: Column, overlap: Column) -> Column:
+    """What is wrong with a size and an overlap; null for nothing."""
+    return F.when(F.coalesce(size, F.lit(0)) <= 0, "size must be positive").when(F.coalesce((overlap < 0) | (overlap >= size), F.lit(True)), "overlap must be between 0 and size - 1")
+
+
 def chunk(text: Column, size: int = 300, overlap: int = 0, paragraph: str = "\n\n", splitter: Callable[[Column], Column] = sentences) -> Column:
     """The chunks of a text as an array; null and empty texts have none."""
     if size <= 0 or overlap < 0 or overlap >= size:

@@ -492,9 +492,11 @@ def overlapping_intervals(a: Archive) -> DataFrame:
 # ---------------------------------------------------------------- training sets
 
 
-@query("SELECT * FROM (VALUES ('span_extraction', 400), ('span_inference', 250), ('text_entailment', 200), ('unanswerable', 150)) AS t(question_type, n)")
+@query("SELECT t.question_type, CAST(round(n * share) AS INTEGER) AS n FROM (SELECT count(*) // 20 * 20 AS n FROM documents WHERE text IS NOT NULL), (VALUES ('span_extraction', 0.4), ('span_inference', 0.25), ('text_entailment', 0.2), ('unanswerable', 0.15)) AS t(question_type, share)")
 def type_quotas(a: Archive) -> DataFrame:
-    held = training.quotas(1000, {"span_extraction": 0.4, "span_inference": 0.25, "text_entailment": 0.2, "unanswerable": 0.15})
+    """How many records of each type a set as large as the documents with text (a multiple of 20) has."""
+    n = a.raw("documents").where("text IS NOT NULL").count() // 20 * 20
+    held = training.quotas(n, {"span_extraction": 0.4, "span_inference": 0.25, "text_entailment": 0.2, "unanswerable": 0.15})
     return a.spark.createDataFrame(list(held.items()), "question_type string, n int")
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions import feature_prompts, registry
+from quillspark.functions import chunking, feature_prompts, learned, registry, text
 from quillspark.operators import constraints, evaluation, neighbours
 from quillspark.operators.snapshots import Store, replace_chunks
-from quillspark.operators.storage import fresh_path
+from quillspark.operators.storage import fresh_path, saved
+from quillspark.sources import files
 from quillspark.streaming import uploads
 
 from . import training
@@ -164,3 +166,76 @@ def training_messages(a: Archive) -> DataFrame:
     both = d.select("doc_id", *(c.alias(f"{n}_{p}") for n, pair in (("s", training.summary_example(F.col("text"), F.col("lang"))), ("a", training.answer_example(F.col("text"), F.col("source"), F.col("lang")))) for p, c in zip(("p", "c"), pair, strict=True)))
     digest = lambda c: F.sha2(F.col(c)[0]["content"].cast("binary"), 256)
     return both.where("size(s_p) = 1 AND size(a_p) = 1 AND s_c[0].content = a_c[0].content").select("doc_id", digest("s_p").alias("summary_prompt"), digest("a_p").alias("answer_prompt"), F.col("a_c")[0]["content"].alias("completion"))
+
+
+# ---------------------------------------------------------------- models that the corpus teaches
+
+
+@query(r"""SELECT word, n_dot, n_bare, round(2 * (n_dot * ln(CAST(0.99 AS DOUBLE)) + n_bare * ln(CAST(0.01 AS DOUBLE)) - n_dot * ln(p) - n_bare * ln(greatest(1 - p, 1e-12))) * exp(-letters) * (len(word) - letters + 1) * pow(letters, -least(n_bare, 300)), 4) + 0.0 AS score
+FROM (SELECT *, CAST(len(replace(word, '.', '')) AS DOUBLE) AS letters, sum(n_dot) OVER () / CAST(sum(n_dot + n_bare) OVER () AS DOUBLE) AS p FROM (SELECT word, count(*) FILTER (WHERE dot) AS n_dot, count(*) FILTER (WHERE NOT dot) AS n_bare FROM
+(SELECT regexp_replace(w, '\.$', '') AS word, ends_with(w, '.') AS dot FROM (SELECT unnest(regexp_extract_all(lower(text), '[^ \t\n\x0B\f\r]+')) AS w FROM documents)) WHERE regexp_matches(word, '^\p{L}[\p{L}.]*$') GROUP BY word)) WHERE n_dot > 0""")
+def abbreviation_scores(a: Archive) -> DataFrame:
+    """How well every word of the corpus and a period fit together."""
+    return learned.abbreviation_scores(a.raw("documents")).withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+@query(r"""SELECT a, b, count(*) FILTER (WHERE NOT spaced) AS n_joined, count(*) FILTER (WHERE spaced) AS n_spaced FROM (SELECT c AS a, CASE WHEN next = ' ' THEN after ELSE next END AS b, next = ' ' AS spaced FROM (SELECT c, lead(c) OVER w AS next, lead(c, 2) OVER w AS after
+FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '') WINDOW w AS (PARTITION BY doc_id ORDER BY i))) WHERE NOT regexp_matches(a, '[ \t\n\x0B\f\r]') AND b IS NOT NULL AND NOT regexp_matches(b, '[ \t\n\x0B\f\r]') GROUP BY a, b""")
+def spacing_pairs(a: Archive) -> DataFrame:
+    """What the spacing model counts: pairs of characters that are joined, or parted by a blank."""
+    return learned.fit_spacing(a.raw("documents"))
+
+
+@query("SELECT doc_id, n AS n_copies, n AS n_found FROM (SELECT d.doc_id, (SELECT count(*) FROM documents o WHERE lower(o.text) = lower(d.text) AND o.doc_id <> d.doc_id) AS n FROM documents d WHERE d.doc_id % 100 = 0 AND regexp_matches(lower(coalesce(d.text, '')), '[\\p{L}\\p{N}_]'))")
+def copies_by_vector(a: Archive) -> DataFrame:
+    """Of every hundredth document: its copies, and how many of them the trained vectors bring within a hair's breadth."""
+    docs = a.raw("documents").select("doc_id", F.sha2(F.lower("text").cast("binary"), 256).alias("digest"), "text")
+    model = learned.fit_embedder(docs)
+    vectors_ = saved(learned.embedded(docs.select("doc_id", "digest", "text"), F.col("text"), model).select(F.col("doc_id").alias("id"), "digest", "embedding"), "vectors")
+    index = neighbours.build(vectors_.select("id", "embedding"), [])
+    asked = vectors_.where("id % 100 = 0 AND exists(embedding, x -> x <> 0)")
+    counts = vectors_.groupBy("digest").count()
+    most = asked.join(counts, "digest").agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]
+    # equal vectors lie in one cell, so the nearest is enough
+    near = neighbours.approximate(asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector")), index, [], int(most) + 20, 1).where("distance < 1e-6 AND query_id <> id")
+    equal = near.join(vectors_.select("id", "digest"), "id").join(asked.select(F.col("id").alias("query_id"), F.col("digest").alias("own")), "query_id").where("digest = own").groupBy("query_id").agg(F.count("*").alias("n_found"))
+    held = asked.join(counts, "digest").select(F.col("id").alias("doc_id"), (F.col("count") - 1).alias("n_copies"))
+    return held.join(equal, held["doc_id"] == equal["query_id"], "left").select("doc_id", "n_copies", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
+
+
+# ---------------------------------------------------------------- files, arguments, codes
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN 'unsupported format' WHEN strlen(coalesce(text, '')) * 1000 > 20971520 THEN 'too large' WHEN doc_id % 7 < 2 AND doc_id % 5 = 0 THEN 'invalid file' END AS error FROM documents")
+def upload_gate(a: Archive) -> DataFrame:
+    """Every document as an upload a thousand times its size: what the gate says of its name, size and bytes."""
+    k = F.col("doc_id")
+    name = F.concat(F.lit("f."), F.element_at(F.lit(["txt", "MD", "png", "JPG", "jpeg", "Pdf", "docx"]), (k % 7 + 1).cast("int")))
+    content = F.when(k % 5 == 0, F.unhex(F.lit("C328"))).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
+    return a.raw("documents").select("doc_id", files.upload_error(name, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") * 1000, content).alias("error"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 - 2 <= 0 THEN 'size must be positive' WHEN doc_id % 5 - 1 < 0 OR doc_id % 5 - 1 >= doc_id % 7 - 2 THEN 'overlap must be between 0 and size - 1' END AS problem FROM documents")
+def chunk_arguments(a: Archive) -> DataFrame:
+    k = F.col("doc_id")
+    return a.raw("documents").select("doc_id", chunking.argument_problem(k % 7 - 2, k % 5 - 1).alias("problem"))
+
+
+@query("SELECT doc_id, true AS formed FROM documents")
+def admin_codes(a: Archive) -> DataFrame:
+    """Random codes of administrators: their form, for every document."""
+    return a.raw("documents").select("doc_id", text.admin_code().alias("code")).select("doc_id", F.col("code").rlike("^[0-9a-f]{12}$").alias("formed"))
+
+
+@query("SELECT lang, doc_id, nth, last FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS nth, count(*) OVER (PARTITION BY lang) AS last FROM documents)")
+def array_files(a: Archive) -> DataFrame:
+    """Every language's documents written as an array of JSON in order, read back: the place of each, and how many there are."""
+    base = fresh_path(a.spark, "arrays")
+    docs = a.raw("documents").select("doc_id", "lang")
+    names = [r[0] for r in docs.select("lang").distinct().collect()]  # a split has a file of its own
+    out = []
+    for i, lang in enumerate(names):
+        files.write_array(docs.where(F.col("lang").eqNullSafe(F.lit(lang))), f"{base}/{i}", ["doc_id"])
+        whole = a.spark.read.text(f"{base}/{i}", wholetext=True).select(F.from_json("value", "array<struct<doc_id:long,lang:string>>").alias("x"))
+        out.append(whole.select(F.posexplode("x").alias("at", "r"), F.size("x").cast("long").alias("last")).select("r.lang", "r.doc_id", (F.col("at") + 1).cast("long").alias("nth"), "last"))
+    return reduce(DataFrame.unionByName, out)

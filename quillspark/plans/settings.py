@@ -45,5 +45,5 @@ def parsed(content: str, yaml: bool = False) -> Settings:
 
 def settings(spark: SparkSession, path: str) -> Settings:
     """Read through Spark, so that the file may lie wherever the data do."""
-    content = spark.read.option("wholetext", True).text(path).head()[0]
+    content = spark.read.text(path, wholetext=True).head()[0]
     return parsed(content, path.endswith((".yaml", ".yml")))

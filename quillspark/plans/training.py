@@ -16,6 +16,7 @@ from quillspark.functions.prompts import message
 from quillspark.functions.text import normal_map, normal_start, normalize
 from quillspark.operators.order import numbered
 from quillspark.operators.storage import saved
+from quillspark.sources.files import write_array
 
 #: Fixed value: the order in which types are cleaned; scarce types first.
 PRIORITY = ("unanswerable", "text_entailment", "span_inference", "span_extraction")
@@ -85,6 +86,13 @@ def sample(df: DataFrame, n: int, seed: str, id_col: str = "id") -> DataFrame:
     return df.orderBy(salted(seed, id_col), id_col).limit(n)
 
 
+def extract_required(df: DataFrame, n: int, seed: str, path: str, id_col: str = "id") -> DataFrame:
+    """``n`` rows by salted digest, saved as an array file in order of id; an error if there are fewer."""
+    out = saved(sample(df, n, seed, id_col), "required")
+    write_array(out, path, [id_col])
+    return out
+
+
 def round_robin(df: DataFrame, n: int, seed: str, stratum: str, id_col: str = "id") -> DataFrame:
     """One of each stratum in turn until ``n``; strata and their rows in salted order."""
     inner = Window.partitionBy(stratum).orderBy(salted(seed, id_col), id_col)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import strip
+from quillspark.operators.order import numbered
+from quillspark.operators.storage import saved
 
 #: What each file ending is read as; the largest upload.
 TEXT, IMAGE, PDF = ("txt", "md"), ("png", "jpg", "jpeg"), ("pdf",)
@@ -24,11 +28,16 @@ def kind_of(path: Column) -> Column:
 def uploads(spark: SparkSession, path: str) -> DataFrame:
     """path, kind, error and, for text files, the decoded text; the size is tested on metadata alone."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    kind, ok = kind_of(F.col("path")), F.is_valid_utf8(F.col("content").cast("string"))
-    error = F.when(kind.isNull(), "unsupported format").when(F.col("length") > LARGEST, "too large").when((kind == "text") & ~ok, "invalid file")
+    kind, error = kind_of(F.col("path")), upload_error(F.col("path"), F.col("length"), F.col("content"))
     return raw.select("path", kind.alias("kind"), error.alias("error"), F.when(error.isNull() & (kind == "text"), decoded(F.col("content"))).alias("text"))
 
 
+def upload_error(path: Column, length: Column, content: Column) -> Column:
+    """Why an upload is refused: its ending, its size in bytes, or text that is no UTF-8; null if it is taken."""
+    kind = kind_of(path)
+    return F.when(kind.isNull(), "unsupported format").when(length > LARGEST, "too large").when((kind == "text") & ~F.is_valid_utf8(content.cast("string")), "invalid file")
+
+
 def decoded(content: Column) -> Column:
     """UTF-8 bytes as text: without a byte-order mark, with plain line ends, stripped."""
     return strip(F.replace(F.regexp_replace(content.cast("string"), "^﻿", ""), F.lit("\r\n"), F.lit("\n")))
@@ -82,6 +91,29 @@ def write_rows(df: DataFrame, path: str, pos: str = "pos", kind: str | None = No
     return None if kind is None else per_kind(df.sparkSession.read.schema(df.schema).json(path), kind)
 
 
+def write_array(df: DataFrame, path: str, order: list[str], rows_per_file: int = 1_000_000) -> None:
+    """A JSON array in files: read one after the other by name they are one array, in order; up to ``rows_per_file`` rows are one file, an
+    array by itself. Null fields are written. An empty table gives an empty array; nothing is gathered in the driver."""
+    n = df.count()
+    if not n:
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    placed = numbered(df, order, "_nth")
+    line = F.concat(F.when(F.col("_nth") == 0, "[").otherwise(""), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), F.when(F.col("_nth") == n - 1, "]").otherwise(","))
+    lines = placed.select("_nth", line.alias("value")).repartitionByRange(-(-n // rows_per_file), "_nth").sortWithinPartitions("_nth")
+    lines.select("value").write.mode("overwrite").text(path)
+
+
+def save_results(sets: dict[str, DataFrame], folder: str, order: list[str], kind: str) -> DataFrame:
+    """Every set as an array file ``<name>.json`` below ``folder``; (name, kind, n) of what they hold."""
+    counts = []
+    for name, df in sets.items():
+        df = saved(df, name)
+        write_array(df, f"{folder}/{name}.json", order)
+        counts.append(per_kind(df, kind).select(F.lit(name).alias("name"), kind, "n"))
+    return reduce(DataFrame.unionByName, counts)
+
+
 def per_kind(df: DataFrame, kind: str) -> DataFrame:
     return df.groupBy(kind).agg(F.count("*").alias("n"))
 
@@ -93,7 +125,7 @@ def file_errors(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     out = spark.createDataFrame([], "rule string, split string, id string, message string")
     for split, path in paths.items():
         try:
-            raw = spark.read.option("wholetext", True).text(path)
+            raw = spark.read.text(path, wholetext=True)
             held = raw.where("length(value) > 0").agg(F.max("value").alias("value"))
         except AnalysisException:
             held = spark.createDataFrame([(None,)], "value string")
