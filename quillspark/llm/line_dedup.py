@@ -156,8 +156,8 @@ def without_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", t
     return joined.select(*(cut.alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns))
 
 
-#: The query: every repeated line but the earliest, with the words of its run of repeated lines.
-ORACLE = r"""
+#: Every repeated line but the earliest, with the words of its run of repeated lines.
+LINES = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
 m AS (SELECT *, sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS s FROM l),
 u AS (SELECT doc_id, s, len(line) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS unit,
@@ -171,3 +171,22 @@ SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(s AS INTEGER) AS start, CAST(
     kd AS keep_doc_id, CAST(ku AS INTEGER) AS keep_unit, CAST(c AS BIGINT) AS n_occurrences, CAST(rw AS INTEGER) AS run_words
 FROM q WHERE doc_id <> kd OR unit <> ku
 """
+#: Sentences of any length in runs of 30 words or more that several texts hold; the earliest of each is told, and stays.
+SENTENCES = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, i, string_split(regexp_replace(line, '([.!?])([\x20\x09-\x0D]+)', '\1\2' || chr(57344), 'g'), chr(57344)) AS held, line,
+    sum(len(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - len(line) - 1 AS line_at FROM l),
+p AS (SELECT doc_id, i, line_at, unnest(held) AS piece, generate_subscripts(held, 1) AS j FROM m),
+u AS (SELECT doc_id, line_at + sum(len(piece)) OVER (PARTITION BY doc_id, i ORDER BY j) - len(piece) AS s, len(regexp_replace(piece, '([.!?])[\x20\x09-\x0D]+$', '\1')) AS n,
+    row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS unit,
+    array_to_string(regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS t,
+    len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS w FROM p WHERE piece <> ''),
+r AS (SELECT *, min(doc_id) OVER (PARTITION BY t) <> max(doc_id) OVER (PARTITION BY t) AS apart, first_value(doc_id) OVER o AS kd, first_value(unit) OVER o AS ku, count(*) OVER (PARTITION BY t) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS nth
+    FROM u WHERE w >= 1 WINDOW o AS (PARTITION BY t ORDER BY doc_id, unit)),
+g AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM r WHERE apart),
+q AS (SELECT *, sum(w) OVER (PARTITION BY doc_id, run) AS rw FROM g)
+SELECT doc_id, CAST(unit AS INTEGER) AS unit, CAST(s AS INTEGER) AS start, CAST(s + n AS INTEGER) AS "end", CAST(w AS INTEGER) AS n_words,
+    kd AS keep_doc_id, CAST(ku AS INTEGER) AS keep_unit, CAST(c AS BIGINT) AS n_occurrences, CAST(rw AS INTEGER) AS run_words, doc_id <> kd OR unit <> ku AS removed
+FROM q WHERE rw >= 30
+"""
+ORACLE = f"SELECT 'line' AS kind, *, true AS removed FROM ({LINES}) UNION ALL SELECT 'sentence', * FROM ({SENTENCES})"

@@ -58,9 +58,14 @@ def op8_sampled_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line that repeats, whatever its length and wherever it stands, but the earliest occurrence of each."""
-    return line_dedup.repeated_units(table(spark, sf_dir, "documents"), min_words=1, kind="line", runs=True)
+def op9_line_dedup(spark: SparkSession, sf_dir: str, passage_words: int = 30) -> DataFrame:
+    """Every line that repeats, whatever its length and wherever it stands, but the earliest occurrence of each; and beside them what
+    lines cannot show, passages set in other lines: sentences in runs of ``passage_words`` or more that several texts hold; of these
+    the earliest of each is told too (``removed`` is false). A sentence may lie in a line that goes."""
+    docs = table(spark, sf_dir, "documents")
+    lines = line_dedup.repeated_units(docs, min_words=1, kind="line", runs=True)
+    sentences = line_dedup.repeated_units(docs, min_words=1, kind="sentence", run_words=passage_words, occurrences=True)
+    return lines.withColumns({"kind": F.lit("line"), "removed": F.lit(True)}).unionByName(sentences.withColumn("kind", F.lit("sentence")))
 
 
 def op10_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
