@@ -98,9 +98,13 @@ def write_array(df: DataFrame, path: str, order: list[str], rows_per_file: int =
     if not n:
         df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
         return
-    placed = numbered(df, order, "_nth")
+    if n <= rows_per_file:  # one file: its rows stand in one partition
+        placed = df.repartition(1).sortWithinPartitions(*(F.col(f"`{c}`").asc_nulls_first() for c in order)).withColumn("_nth", F.monotonically_increasing_id())
+    else:
+        placed = numbered(df, order, "_nth")
     line = F.concat(F.when(F.col("_nth") == 0, "[").otherwise(""), F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"}), F.when(F.col("_nth") == n - 1, "]").otherwise(","))
-    lines = placed.select("_nth", line.alias("value")).repartitionByRange(-(-n // rows_per_file), "_nth").sortWithinPartitions("_nth")
+    lines = placed.select("_nth", line.alias("value"))
+    lines = lines if n <= rows_per_file else lines.repartitionByRange(-(-n // rows_per_file), "_nth").sortWithinPartitions("_nth")
     lines.select("value").write.mode("overwrite").text(path)
 
 
