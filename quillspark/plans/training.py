@@ -148,26 +148,42 @@ def interleaved(df: DataFrame, seed: str, group: str, id_col: str = "id") -> Dat
     return nth.withColumn("place", (F.col("_nth") - 0.5) / F.col("_size")).drop("_key", "_nth", "_size")
 
 
-def replacements(removed: DataFrame, pool: DataFrame, seed: str, group: str = "grp", category: str = "category", most: int = 1_000) -> DataFrame:
+def replacements(removed: DataFrame, pool: DataFrame, seed: str, group: str = "grp", category: str = "category", depth: int = 16) -> DataFrame:
     """(removed_id, id): for each removed record, in order of id, the next free one of its group, of its category if possible, in salted
-    order; an error if none is left. Removed records are a list that people keep, ``most`` of them; what each may take is
-    ranked at once, conflicts are settled in turn."""
-    few = removed.select(F.col("id").alias("removed_id"), F.col(group).alias("_g"), F.col(category).alias("_c"))
-    n = few.count()
-    if n > most:
-        raise ValueError(f"{n} records to replace, more than {most}")
+    order; an error if none is left.
+
+    All removed records propose to the first of their list at once; a record that several want goes to the smallest id among them, and the
+    others go on to their next - until no one is turned away. As every record prefers smaller ids, this ends where taking turns
+    would end, whatever the number of records. Lists are ranked ``depth`` places deep, and four times deeper where one runs out.
+    """
+    kinds = dict(pool.dtypes)
+    wanted = saved(removed.select(F.col("id").alias("removed_id"), F.col(group).alias("_g"), F.col(category).alias("_c")), "removed")
     key = F.sha2(F.concat_ws("-", F.lit(seed), F.lit("golden-replace"), "removed_id", "id").cast("binary"), 256)
     order = Window.partitionBy("removed_id").orderBy((F.col(category) != F.col("_c")).cast("int"), key)
-    ranked = pool.join(F.broadcast(few), pool[group] == F.col("_g")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
-    taken: set = set()
-    out: dict = {}
-    for r in ranked.select("removed_id", "id", "nth").orderBy("removed_id", "nth").toLocalIterator():
-        if r["removed_id"] not in out and r["id"] not in taken:
-            taken.add(r["id"])
-            out[r["removed_id"]] = r["id"]
-    if len(out) < n:
-        raise ValueError(f"{n - len(out)} records have no replacement")
-    return pool.sparkSession.createDataFrame(list(out.items()), f"removed_id {dict(pool.dtypes)['id']}, id {dict(pool.dtypes)['id']}")
+    offered = pool.select("id", F.col(group).alias("_of"), category)
+    places = wanted.select("removed_id", F.lit(1).alias("at"))
+    sizes = offered.groupBy("_of").agg(F.count("*").alias("size"))
+    most = wanted.join(sizes, F.col("_g") == F.col("_of"), "left").agg(F.max("size"), F.count_if(F.col("size").isNull())).first()
+    ranked = None
+    while True:
+        if ranked is None:
+            if most[1]:
+                raise ValueError(f"{most[1]} records have no replacement")
+            ranked = offered.join(wanted, F.col("_of") == F.col("_g")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= depth).select("removed_id", "id", "nth")
+            ranked = saved(ranked, "ranked")
+        asked = saved(places.join(ranked, (places["removed_id"] == ranked["removed_id"]) & (F.col("at") == F.col("nth")), "left").select(places["removed_id"], "at", "id"), "proposals")
+        short = asked.where("id IS NULL").count()
+        if short:  # a list has run out
+            if depth >= most[0]:
+                raise ValueError(f"{short} records have no replacement")
+            depth, ranked = 4 * depth, None
+            continue
+        taken = asked.groupBy("id").agg(F.min("removed_id").alias("by"))
+        judged = asked.join(taken, "id").select("removed_id", "at", "id", (F.col("removed_id") == F.col("by")).alias("kept"))
+        judged = saved(judged, "judged")
+        if not judged.where("NOT kept").head(1):
+            return judged.select(F.col("removed_id").cast(kinds["id"]).alias("removed_id"), "id")
+        places = judged.select("removed_id", F.when(F.col("kept"), F.col("at")).otherwise(F.col("at") + 1).alias("at"))
 
 
 def shared_records(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -156,3 +156,24 @@ def test_files_of_several_lines_are_read_whole(spark, tmp_path):
     (tmp_path / "b.json").write_text('[\n {"a": 1},\n')
     got = files.file_errors(spark, {"training": f"file://{tmp_path}/a.json", "golden": f"file://{tmp_path}/b.json"})
     assert [(r.split, r.message) for r in got.collect()] == [("golden", "not JSON")]
+
+
+def test_replacements_end_where_turns_would(spark):
+    import hashlib
+
+    rnd = random.Random(11)
+    removed = [(i, rnd.choice("ab"), rnd.choice(["x", "y"])) for i in range(60)]
+    pool = [(1000 + i, rnd.choice("ab"), rnd.choice(["x", "x", "y"])) for i in range(150)]
+    taken, want = set(), {}
+    for r, g, c in removed:  # taking turns
+        order = sorted((p for p in pool if p[1] == g), key=lambda p: (p[2] != c, hashlib.sha256(f"42-golden-replace-{r}-{p[0]}".encode()).hexdigest()))
+        want[r] = next(p[0] for p in order if p[0] not in taken)
+        taken.add(want[r])
+    frames = [spark.createDataFrame(x, "id long, grp string, category string") for x in (removed, pool)]
+    for depth in (2, 16):
+        assert {r.removed_id: r.id for r in training.replacements(*frames, "42", depth=depth).collect()} == want
+    with pytest.raises(ValueError, match="no replacement"):
+        training.replacements(frames[0], frames[1].where("grp = 'a'"), "42")
+    with pytest.raises(ValueError, match="no replacement"):
+        training.replacements(frames[0], frames[1].limit(20), "42", depth=2)
+    assert training.replacements(frames[0].limit(0), frames[1], "42").count() == 0
