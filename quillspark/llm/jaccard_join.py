@@ -10,7 +10,7 @@ at least ``T - L`` of those, and probes the long lists for them by binary search
   than ``l`` of them ends there. Two linked sets share ``l`` of them, so if those are dealt into fewer than ``l`` buckets, two
   fall into one bucket: sets meet on such pairs of shingles, each list of sets is tied to its smallest one, and the connected
   *groups* hold every link. Lists are never unfolded into pairs of sets.
-* *inside each group*, where every set is sent once: the group's inverted lists are merged and probed per set, occurrences
+* *inside each group*, where every set is sent once: the group's inverted lists are merged run by run and probed per set, occurrences
   are counted up to T, and links, classes and numbers of links come out of one search. A group beyond a chunk's size is first
   narrowed: its sets meet again by size - one of ``n`` shingles and one of ``m`` must share ``t / (1 + t) * (n + m)``, so one of the first
   ``n - that + 1`` - which parts sets that share long passages without being similar. What is still larger is cut
@@ -309,13 +309,16 @@ def divide_skip(a: tuple, b: tuple, num: int, den: int, own: bool) -> tuple[np.n
         short, long = rank[: len(rank) - skip], lists[rank[len(rank) - skip :]]
         size = size[short]
         spots = np.repeat(begin[lists[short]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        met = np.bincount(owner[order[spots]], minlength=len(nb))
-        found = lo + np.flatnonzero(met[lo:hi] >= t - skip)
+        runs = np.sort(owner[order[spots]], kind="stable")  # lists are sorted, so a stable sort merges their runs
+        cut = _cut(runs)
+        found, times = runs[cut[:-1]], np.diff(cut)
+        some = (times >= t - skip) & (found >= lo) & (found < hi)
+        found, times = found[some], times[some]
         if not len(found):
             continue
         sought = long[:, None] * len(nb) + found
         hit = entry[np.minimum(np.searchsorted(entry, sought), len(entry) - 1)] == sought
-        ok = (den + num) * (met[found] + hit.sum(0)) >= num * (n + nb[found])
+        ok = (den + num) * (times + hit.sum(0)) >= num * (n + nb[found])
         left.append(np.full(int(ok.sum()), i))
         right.append(found[ok])
     return np.concatenate(left), np.concatenate(right)
