@@ -128,3 +128,24 @@ def test_saved_tables_go_with_their_block(spark):
         path = kept.inputFiles()[0]
     assert not os.path.exists(path.removeprefix("file://"))
     assert storage.saved(spark.range(2)).count() == 2
+
+
+@pytest.mark.parametrize("name", ["knn_pruned", "knn_index_recall", "chunk_rows_in_sql", "audit_of_changes", "staged_replacement", "streamed_uploads", "feature_messages", "article_evaluations", "training_messages", "abbreviation_scores", "spacing_pairs", "copies_by_vector", "upload_gate", "chunk_arguments", "admin_codes", "array_files"])
+def test_queries_against_their_sql(spark, name):
+    import glob
+    import os
+
+    import duckdb
+
+    from quillspark.plans import catalogue, catalogue_scale  # noqa: F401  the second adds to the first
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    told = con.execute(catalogue.ORACLE[name])
+    names = [d[0] for d in told.description]
+    tidy = lambda v: round(v, 6) if isinstance(v, float) else [tidy(x) for x in v] if isinstance(v, (list, tuple)) else v
+    got = catalogue.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(repr([tidy(r[c]) for c in names]) for r in got.collect()) == sorted(repr([tidy(x) for x in r]) for r in told.fetchall())
