@@ -1,7 +1,7 @@
 """Company questions, all at once: each question's call is read, checked or replaced by rules, run, and told as a sentence.
 
-Equal requests of one organisation run once. Counts come from articles aggregated by day and attributes before they meet
-the requests, so a large organisation's bodies and rows are not repeated a request.
+Equal requests of one organisation run once. Counts come from articles aggregated by period and attributes before they meet
+the requests, and lists from the newest articles of each period and category, so a large organisation's rows are not repeated a request.
 """
 
 from __future__ import annotations
@@ -39,10 +39,10 @@ def routed(questions: DataFrame) -> DataFrame:
     )
 
 
-def _in_period(at: Column, period: Column, now: datetime) -> Column:
-    spans = {p: bounds(p, now) for p in PERIOD_LABELS}
-    edge = lambda i: first_match([(period == p, s[i].isoformat(sep=" ")) for p, s in spans.items() if s], None).cast("timestamp_ntz")
-    return F.coalesce((at >= edge(0)) & (at < edge(1)), period == "all")
+def _periods(at: Column, now: datetime) -> Column:
+    """The periods that a time lies in; a missing one lies in ``all``."""
+    inside = lambda span: F.lit(True) if span is None else (at >= F.lit(span[0].isoformat(sep=" ")).cast("timestamp_ntz")) & (at < F.lit(span[1].isoformat(sep=" ")).cast("timestamp_ntz"))
+    return F.array_compact(F.array(*[F.when(inside(bounds(p, now)), p) for p in PERIOD_LABELS]))
 
 
 def _numbered(head: str, found: Column, tail: str, empty: str) -> Column:
@@ -61,17 +61,23 @@ def run(requests: DataFrame, articles: DataFrame, links: DataFrame, users: DataF
     orgs = requests.select("organization_id").distinct()
     held = holders(links, users.join(orgs, "organization_id", "left_semi"))
     scope = articles.select("id", "title", at.alias("at"), F.col("category").alias("own_category"), F.col("author").alias("own_author"), F.col("media").alias("own_media")).join(held.withColumnRenamed("article_id", "id"), "id")
-    daily = scope.groupBy("organization_id", F.date_trunc("day", "at").cast("timestamp_ntz").alias("at"), "own_category", "own_author", "own_media").agg(F.count("*").alias("n"))
+    # an article counts in each period that it lies in, so a request meets the rows of its own period alone
+    dated = scope.withColumn("own_period", F.explode(_periods(F.col("at"), now)))
+    sums = dated.groupBy("organization_id", "own_period", "own_category", "own_author", "own_media").agg(F.count("*").alias("n"))
 
-    fits = _in_period(F.col("at"), F.col("period"), now) & (F.col("category").isNull() | (F.col("own_category") == F.col("category")))
+    fits = F.col("category").isNull() | (F.col("own_category") == F.col("category"))
     named = (F.col("author").isNull() | F.contains("own_author", "author")) & (F.col("media").isNull() | F.contains("own_media", "media"))
-    counted = requests.where(F.col("name").startswith("count_articles")).join(daily, "organization_id").where(fits & named)
+    counted = requests.where(F.col("name").startswith("count_articles")).join(sums.withColumnRenamed("own_period", "period"), ["organization_id", "period"]).where(fits & named)
     by = counted.groupBy("ask", "own_category").agg(F.sum("n").alias("n"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.coalesce("own_category", F.lit(UNCATEGORIZED)).alias("c")))), lambda x: F.concat(F.lit("- "), x["c"], F.lit(": "), (-x["n"]).cast("string"), F.lit("건")))
     counts = by.groupBy("ask").agg(F.sum("n").alias("n"), F.array_join(lines, "\n").alias("lines"))
 
-    order = Window.partitionBy("ask").orderBy(F.desc_nulls_last("at"), F.desc("id"))
-    newest = requests.where(F.col("name") == "list_recent_articles").join(scope, "organization_id").where(fits).select("ask", "id", "title", "at", F.row_number().over(order).alias("nth")).where(F.col("nth") <= RECENT)
+    # the newest of each period and category (null: of all) first, so a request meets no more than it tells
+    slot = Window.partitionBy("organization_id", "own_period", "slot").orderBy(F.desc_nulls_last("at"), F.desc("id"))
+    slots = dated.withColumn("slot", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.col("own_category")))))
+    latest = slots.withColumn("nth", F.row_number().over(slot)).where(F.col("nth") <= RECENT).select(F.col("organization_id").alias("org"), "own_period", "slot", "id", "title", "at", "nth")
+    asked = requests.where(F.col("name") == "list_recent_articles")
+    newest = asked.join(latest, (F.col("organization_id") == F.col("org")) & (F.col("period") == F.col("own_period")) & F.col("category").eqNullSafe(F.col("slot"))).select("ask", "id", "title", "at", "nth")
     line = F.concat("title", F.lit(" ("), F.coalesce(F.date_format("at", "yyyy-MM-dd"), F.lit("날짜 없음")), F.lit(")"))
     recent = newest.groupBy("ask").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", line.alias("l")))), lambda x: x["l"]).alias("recent"))
 
