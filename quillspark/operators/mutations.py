@@ -60,14 +60,21 @@ def without(table: DataFrame, keys: DataFrame, on: dict[str, str]) -> DataFrame:
     return table.join(k, cond, "left_anti")
 
 
+def orphaned(messages: DataFrame, gone: DataFrame, kept: DataFrame) -> DataFrame:
+    """``messages`` less those of the conversations ``gone``. An id may stand for several conversations (ids made from other keys
+    can meet): its messages stay while one of them is ``kept``."""
+    ids = gone.select("id").distinct()
+    return without(messages, ids.join(kept.select("id"), "id", "left_anti"), {"conversation_id": "id"})
+
+
 def delete_articles(t: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
     """ids (id): the articles with their chunks, files, links, conversations and messages."""
     talks = t["conversations"].join(ids.select(F.col("id").alias("article_id")), "article_id", "left_semi")
     out = dict(t)
-    out["messages"] = without(t["messages"], talks, {"conversation_id": "id"})
     for name in ("conversations", "user_articles", "article_chunks", "files"):
         if name in t:
             out[name] = without(t[name], ids, {"article_id": "id"})
+    out["messages"] = orphaned(t["messages"], talks, out["conversations"])
     out["articles"] = without(t["articles"], ids, {"id": "id"})
     return out
 
@@ -87,10 +94,10 @@ def delete_member(t: dict[str, DataFrame], user_id: int) -> dict[str, DataFrame]
     private = t["articles"].where("visibility = 'private'").join(held.select(F.col("article_id").alias("id")), "id", "left_semi").select("id")
     out = delete_articles(t, private)
     own = t["conversations"].where(F.col("user_id") == user_id)
-    out["messages"] = without(out["messages"], own, {"conversation_id": "id"})
     for name in ("conversations", "user_articles", "refresh_tokens"):
         if name in t:
             out[name] = out[name].where(F.col("user_id") != user_id)
+    out["messages"] = orphaned(out["messages"], own, out["conversations"])
     out["users"] = t["users"].where(F.col("id") != user_id)
     return out
 
