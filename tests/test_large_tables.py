@@ -1,9 +1,12 @@
 """What holds only beyond the size of the test tables, on small tables made for it."""
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quillspark.operators import vectors
 from quillspark.plans import catalogue, catalogue_data, catalogue_scale  # noqa: F401
 from quillspark.plans.views import Archive
 
@@ -45,3 +48,21 @@ def test_messages_where_ids_of_conversations_meet(spark, far, name):
 
 def test_conversations_for_where_ids_meet(spark, far):
     agree(spark, far, "conversations_for")
+
+
+def test_neighbours_in_blocks(spark):
+    """Copies, odd vectors and queries that share an id, in blocks of a few rows, as a plain join gives them."""
+    rnd = np.random.default_rng(3)
+    held = [(i, i % 3, f"c{i}", [float(x) for x in rnd.normal(size=4)]) for i in range(60)]
+    held += [(100 + i, 0, "copy", [1.0, 2.0, 3.0, 4.0]) for i in range(40)]
+    odd = [None, [], [0.0] * 4, [1.0, None, 1.0, 1.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 0.0, 0.0], [1e-170] * 4, [1e200] * 4, [1.0, 2.0]]
+    held += [(200 + i, 0, "odd", v) for i, v in enumerate(odd)] + [(300, None, "none", [1.0] * 4)]
+    chunks = spark.createDataFrame(held, "id long, article_id int, content string, embedding array<double>")
+    asked = chunks.where("id % 7 = 0 OR id >= 100").select((F.col("id") % 290).alias("query_id"), F.col("embedding").alias("query_vector"), "article_id", F.lit("q").alias("said"))
+    asked = asked.unionByName(asked.where("query_id < 20").withColumn("article_id", F.lit(2)))
+    pairs = asked.join(chunks, ["article_id"]).withColumn("distance", vectors.cosine_distance(F.col("embedding"), F.col("query_vector"))).where("distance IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long")
+    want = pairs.drop("embedding", "query_vector").withColumn("nth", nth).where("nth <= 5")
+    got = vectors.neighbours(asked, chunks, ["article_id"], 5, per_block=7, rows_per_task=20)
+    assert got.columns == want.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
