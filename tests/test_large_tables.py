@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillspark.functions import text
 from quillspark.operators import vectors
 from quillspark.plans import catalogue, catalogue_data, catalogue_scale  # noqa: F401
 from quillspark.plans.views import Archive
@@ -66,3 +67,13 @@ def test_neighbours_in_blocks(spark):
     got = vectors.neighbours(asked, chunks, ["article_id"], 5, per_block=7, rows_per_task=20)
     assert got.columns == want.columns
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_places_of_long_texts_are_not_told_character_by_character(spark):
+    """Symbols inside and about runs of white space, null, and a plan without functions of arrays over characters."""
+    texts = [(0, None), (1, ""), (2, "△ 　a▲ \n◆\tb😀 ▲ "), (3, " \n"), (4, "ab\x1cc​ d"), (5, "x " * 5000)]
+    df = spark.createDataFrame(texts, "id int, x string").select("id", text.normal_map(F.col("x")).alias("p"))
+    got = {r.id: r.p for r in df.collect()}
+    assert got == {0: None, 1: [], 2: [3, 5, 9, 10], 3: [], 4: [0, 1, 2, 3, 4, 5, 6], 5: list(range(9999))}
+    asked = df.where(F.size("p") > 0)._jdf.queryExecution().executedPlan().toString()
+    assert asked.count("ArrowEvalPython") == 1 and "lambda" not in asked
