@@ -184,11 +184,17 @@ def author(text: Column) -> Column:
 
 def published_at(text: Column) -> Column:
     """The first date with its time, local; null if there is none or it does not exist."""
-    g = lambda i: F.nullif(F.regexp_extract(text, "(?U)" + DATE, i), F.lit(""))
-    h = F.coalesce(g(5).cast("int"), F.lit(0))
-    h = F.when((g(4) == "오후") & (h < 12), h + 12).when((g(4) == "오전") & (h == 12), 0).otherwise(h)
-    stamp = F.format_string("%04d-%02d-%02d %02d:%02d:00", g(1).cast("int"), g(2).cast("int"), g(3).cast("int"), h, F.coalesce(g(6).cast("int"), F.lit(0)))
-    return F.when(g(1).isNotNull(), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz"))
+    pattern = "(?U)" + DATE
+    parts = F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, r"$1|$2|$3|$4|$5|$6"), r"\|")  # one search in the text
+
+    def told(p: Column) -> Column:
+        g = lambda i: F.nullif(F.get(p, F.lit(i - 1)), F.lit(""))
+        h = F.coalesce(g(5).cast("int"), F.lit(0))
+        h = F.when((g(4) == "오후") & (h < 12), h + 12).when((g(4) == "오전") & (h == 12), 0).otherwise(h)
+        stamp = F.try_make_timestamp_ntz(g(1).cast("int"), g(2).cast("int"), g(3).cast("int"), h, F.coalesce(g(6).cast("int"), F.lit(0)), F.lit(0).cast("decimal(8,6)"))
+        return F.when(g(1).cast("int") > 0, stamp)
+
+    return let(parts, told)
 
 
 def metadata(text: Column, article: Column) -> Column:

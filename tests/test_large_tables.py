@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.functions import text
+from quillspark.functions import parsers, text
 from quillspark.operators import vectors
 from quillspark.plans import catalogue, catalogue_data, catalogue_scale  # noqa: F401
 from quillspark.plans.views import Archive
@@ -77,3 +77,11 @@ def test_places_of_long_texts_are_not_told_character_by_character(spark):
     assert got == {0: None, 1: [], 2: [3, 5, 9, 10], 3: [], 4: [0, 1, 2, 3, 4, 5, 6], 5: list(range(9999))}
     asked = df.where(F.size("p") > 0)._jdf.queryExecution().executedPlan().toString()
     assert asked.count("ArrowEvalPython") == 1 and "lambda" not in asked
+
+
+def test_dates_take_one_search(spark):
+    texts = ["입력 1998년 6월 7일 오후 3:05", "1998-12-31 (목) 오전 12시", "a 1998.2.30 1998.3.1", "0000.1.1", "x", "1998/1/2 3:4", "1998.6.7. 24:00", "1998.06.07 오후 12:59 b 1999.1.1", None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, x string").select("id", parsers.published_at(F.col("x")).alias("at"))
+    got = [r.at and str(r.at) for r in df.orderBy("id").collect()]
+    assert got == ["1998-06-07 15:05:00", "1998-12-31 00:00:00", None, None, None, "1998-01-02 03:00:00", None, "1998-06-07 12:59:00", None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
