@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .snapshots import Refused, Store
 from .storage import saved, temporary
@@ -53,7 +54,8 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
             counts = df.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
             found.append(counts.select(F.explode(F.create_map(*[x for k in rules for x in (F.lit(k), F.col(f"`{k}`"))])).alias("rule", "n")).select(F.lit(name).alias("table_name"), "rule", "n"))
         for key in unique_keys(name, df):
-            again = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("c")).where("c > 1")
+            # sorted, not held in a table of keys: nearly every key is another one
+            again = df.select(*key).dropna().withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(key[0]))).where("nth = 2")
             found.append(again.agg(F.lit(name).alias("table_name"), F.lit(f"{', '.join(key)} unique").alias("rule"), F.count("*").alias("n")))
         for c, other in references(name, df, tables):
             lost = df.where(F.col(c).isNotNull()).join(tables[other].select(F.col("id").alias(c)), c, "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import parsers, text
-from quillspark.operators import vectors
+from quillspark.operators import constraints, vectors
 from quillspark.plans import catalogue, catalogue_data, catalogue_scale  # noqa: F401
 from quillspark.plans.views import Archive
 
@@ -85,3 +85,10 @@ def test_dates_take_one_search(spark):
     got = [r.at and str(r.at) for r in df.orderBy("id").collect()]
     assert got == ["1998-06-07 15:05:00", "1998-12-31 00:00:00", None, None, None, "1998-01-02 03:00:00", None, "1998-06-07 12:59:00", None]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") == 1
+
+
+def test_unique_keys_are_sorted(spark):
+    links = spark.createDataFrame([(1, 1), (1, 1), (1, 1), (2, 1), (2, 1), (None, 1), (None, 1), (3, 3)], "user_id long, article_id long")
+    got = constraints.audit({"user_articles": links})
+    assert [tuple(r) for r in got.collect()] == [("user_articles", "user_id, article_id unique", 2)]
+    assert "Aggregate [user_id" not in got._jdf.queryExecution().optimizedPlan().toString()  # no table of all keys
