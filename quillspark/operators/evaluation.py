@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import feature_prompts, parsers
-from quillspark.functions.text import strip
+from quillspark.functions.text import let, strip
 
 from .company import evaluation_text
 
@@ -29,7 +29,7 @@ def asked(articles: DataFrame, guidelines: DataFrame) -> DataFrame:
 
 def graded(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(article_id, guideline_id, item, title, verdict, reason): what the model (``answer`` adds a column raw) says, parsed. Null answers fail."""
-    said = parsers.verdict(strip(parsers.without_thoughts(F.coalesce("raw", F.lit("")))))
+    said = let(strip(parsers.without_thoughts(F.coalesce("raw", F.lit("")))), parsers.verdict)  # the answer is built and tidied once
     return answer(questions).select("article_id", "guideline_id", "item", "title", said.alias("said")).select("article_id", "guideline_id", "item", "title", "said.verdict", "said.reason")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import parsers, text
-from quillspark.operators import constraints, vectors
+from quillspark.operators import constraints, evaluation, vectors
 from quillspark.plans import catalogue, catalogue_data, catalogue_scale  # noqa: F401
 from quillspark.plans.views import Archive
 
@@ -92,3 +92,10 @@ def test_unique_keys_are_sorted(spark):
     got = constraints.audit({"user_articles": links})
     assert [tuple(r) for r in got.collect()] == [("user_articles", "user_id, article_id unique", 2)]
     assert "Aggregate [user_id" not in got._jdf.queryExecution().optimizedPlan().toString()  # no table of all keys
+
+
+def test_answers_are_tidied_once(spark):
+    asked = spark.createDataFrame([(1, 1, 0, "t", "판정: 충족\n이유: a"), (2, 1, 0, "t", None)], "article_id long, guideline_id long, item int, title string, raw string")
+    got = evaluation.graded(asked, lambda q: q)
+    assert [(r.verdict, r.reason) for r in got.orderBy("article_id").collect()] == [("충족", "a"), ("판정 실패", "")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("<think>") == 1
