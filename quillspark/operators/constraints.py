@@ -65,80 +65,115 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- on changes alone
 
-KEYS = "side string, key string, n long"
+#: The references to each table: (table, column), in the order of their counts r0, r1, ...
+REFERRING = {other: [(t, c) for t, c, o in REFERENCES if o == other] for _, _, other in REFERENCES}
+COUNTS = ["n", *[f"r{i}" for i in range(max(map(len, REFERRING.values())))]]
+KEYS = "space string, key string, " + ", ".join(f"{c} long" for c in COUNTS)
+WHOLE = ("tinyint", "smallint", "int", "bigint")
 
 
-def key_counts(tables: dict[str, DataFrame], names: Collection[str] | None = None) -> DataFrame:
-    """One scan of each table: (side, key, n): rows that break each check, and how often each key, each reference and each id stands in its table. What an audit
-    needs to know of rows that it does not read again; a reference and the id that it refers to have one key."""
+def _key(df: DataFrame, columns: Collection[str]) -> Column:
+    """The values as one string; what is no whole number has its length before it, so no two keys are told alike."""
+    kinds = dict(df.dtypes)
+    own = lambda c: F.col(c).cast("string")
+    parts = [own(c) if kinds[c] in WHOLE else F.concat(F.length(own(c)).cast("string"), F.lit(":"), own(c)) for c in columns]
+    return F.concat(*[x for part in parts for x in (F.lit("|"), part)][1:])
+
+
+def summed(counts: DataFrame, dealt: Collection[str] = ()) -> DataFrame:
+    """A row a key, without those of which nothing is left."""
+    held = counts.groupBy(*dealt, "space", "key").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return held.where(" OR ".join(f"{c} <> 0" for c in COUNTS))
+
+
+def key_counts(tables: dict[str, DataFrame], names: Collection[str] | None = None, deleted: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(space, key, n, r0, ...): how many rows break each check, how often each unique key and each id stands in its table (n), and how often each
+    reference names that id (r0, ...). What an audit needs to know of rows that it does not read again; rows of ``deleted`` count
+    against those of ``tables``. A table is scanned for its checks and for all its keys, which are counted as they are and only then
+    told as strings; an id has a row from each table that names it."""
     names = tables.keys() if names is None else names
-    spark = next(iter(tables.values())).sparkSession
-    out = []
-    for name, df in tables.items():
-        told = lambda side, key, holds: F.when(holds, F.struct(F.lit(side).alias("side"), key.cast("string").alias("key")))
-        sides = [told(f"check|{name}|{rule}", F.lit(""), wrong) for rule, wrong in checks(name, df).items()]
-        for key in unique_keys(name, df):
-            sides.append(told(f"unique|{name}|{', '.join(key)}", F.to_json(F.struct(*key)), reduce(Column.__and__, [F.col(c).isNotNull() for c in key])))
-        sides += [told(f"reference|{name}|{c}|{other}", F.col(c), F.col(c).isNotNull()) for c, other in references(name, df, names)]
-        if any(other == name for _, _, other in REFERENCES) and "id" in df.columns:
-            sides.append(told(f"id|{name}", F.col("id"), F.col("id").isNotNull()))
-        if sides:
-            out.append(df.select(F.explode(F.array_compact(F.array(*sides))).alias("x")).select("x.*"))
-    if not out:
-        return spark.createDataFrame([], KEYS)
-    return reduce(DataFrame.unionByName, out).groupBy("side", "key").agg(F.count("*").alias("n"))
-
-
-def broken(counts: DataFrame, n: str = "n") -> DataFrame:
-    """(table_name, rule, broken): how often each rule is broken, as far as ``counts`` (side, key, n) tell: whole keys, with all their sides."""
-    part = F.split("side", r"\|")
-    rows = counts.select(part.alias("p"), "key", F.col(n).alias("n")).where("n > 0")
-    check = rows.where("p[0] = 'check'").groupBy(F.col("p")[1].alias("table_name"), F.col("p")[2].alias("rule")).agg(F.sum("n").alias("broken"))
-    again = rows.where("p[0] = 'unique' AND n > 1").groupBy(F.col("p")[1].alias("table_name"), F.concat(F.col("p")[2], F.lit(" unique")).alias("rule")).agg(F.count("*").alias("broken"))
-    ids = rows.where("p[0] = 'id'").select(F.col("p")[1].alias("other"), F.col("key").alias("id"))
-    held = rows.where("p[0] = 'reference'").select(F.col("p")[1].alias("table_name"), F.concat(F.col("p")[2], F.lit(" refers to "), F.col("p")[3]).alias("rule"), F.col("p")[3].alias("to"), "key", "n")
-    lost = held.join(ids, (F.col("to") == F.col("other")) & (F.col("key") == F.col("id")), "left_anti").groupBy("table_name", "rule").agg(F.sum("n").alias("broken"))
-    return check.unionByName(again).unionByName(lost)
+    rows = [(name, df, by) for held, by in ((tables, 1), (deleted or {}, -1)) for name, df in held.items()]
+    spark, out = rows[0][1].sparkSession, []
+    for name, df, by in rows:
+        rules = checks(name, df)
+        if rules:
+            counts = df.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
+            wrong = counts.select(F.explode(F.create_map(*[x for k in rules for x in (F.lit(f"check|{name}|{k}"), F.col(f"`{k}`"))])).alias("space", "c"))
+            out.append(_told(wrong.select("space", F.lit("").alias("key"), F.lit("n").alias("of"), F.col("c") * by)))
+        uses = {key: [(f"unique|{name}|{', '.join(key)}", "n")] for key in unique_keys(name, df)}
+        for c, other in references(name, df, names):
+            uses.setdefault((c,), []).append((f"id|{other}", f"r{REFERRING[other].index((name, c))}"))
+        if name in REFERRING and "id" in df.columns:
+            uses.setdefault(("id",), []).append((f"id|{name}", "n"))
+        if uses:
+            columns = sorted({c for key in uses for c in key})
+            counts = df.groupingSets([[F.col(c) for c in key] for key in uses], *columns).agg(F.grouping_id(*columns).alias("_set"), (F.count("*") * by).alias("c"))
+            told = F.lit(None)
+            for key, of in uses.items():
+                absent = int("".join("01"[c not in key] for c in columns), 2)  # a bit a column, as grouping_id has them
+                own = reduce(Column.__and__, [F.col(c).isNotNull() for c in key], F.col("_set") == absent)
+                said = F.col(key[0]).cast("string") if of[0][0].startswith("id|") else _key(df, key)
+                told = F.when(own, F.array(*[F.struct(F.lit(space).alias("space"), said.alias("key"), F.lit(count).alias("of")) for space, count in of])).otherwise(told)
+            out.append(_told(counts.select(F.explode(told).alias("x"), "c").select("x.*", "c")))
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], KEYS)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """(space, key, of, c) with a column a count."""
+    space, key, of, c = (F.col(f"`{x}`") for x in rows.columns)
+    return rows.select(space, key, *[F.when(of == x, c).otherwise(0).alias(x) for x in COUNTS])
+
+
+def broken(counts: DataFrame) -> dict[tuple[str, str], int]:
+    """(table, rule) -> how often it is broken, as far as ``counts`` tell: one scan without a join, as an id and its references are one row."""
+    lost = [F.sum(F.when(F.col("n") == 0, F.col(c))).alias(c) for c in COUNTS[1:]]
+    out = {}
+    for r in counts.groupBy("space").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("again"), F.min(F.least(*COUNTS)).alias("least"), *lost).collect():  # a row a rule or table
+        if r["least"] < 0:
+            raise Refused("rows are deleted that the tables do not hold")
+        kind, name, *rule = r["space"].split("|", 2)
+        if kind == "check":
+            out[name, rule[0]] = r["n"]
+        elif kind == "unique":
+            out[name, f"{rule[0]} unique"] = r["again"]
+        else:
+            out |= {(t, f"{c} refers to {name}"): r[f"r{i}"] or 0 for i, (t, c) in enumerate(REFERRING[name])}
+    return out
 
 
 NOTE = "audit"
 
 
+def _noted(tables: Collection[str], total: dict[tuple[str, str], int]) -> dict:
+    return {"tables": sorted(tables), "broken": [[t, rule, n] for (t, rule), n in sorted(total.items()) if n]}
+
+
 def begin_audit(store: Store, tables: dict[str, DataFrame]) -> DataFrame:
     """Audit whole tables and keep what the audits of later changes need."""
-    counts = saved(key_counts(tables), "key-counts")
-    with store.change() as change:
-        change.create("keys", counts, "key")
-        change.note(NOTE, {"tables": sorted(tables), "broken": [[r["table_name"], r["rule"], r["broken"]] for r in broken(counts).collect()]})  # a row a rule
+    with temporary(store.spark), store.change() as change:
+        change.merge("keys", saved(key_counts(tables), "key-counts"), "key", summed)
+        change.note(NOTE, _noted(tables, broken(store.read("keys", change.new))))
     return audited(store)
 
 
 def audit_change(store: Store, inserted: dict[str, DataFrame], deleted: dict[str, DataFrame]) -> DataFrame:
     """(table_name, rule, n) after a change, from its rows (an update deletes one row and inserts another) and the kept counts of their keys.
 
-    Only buckets that hold a key of the change are read and rewritten. The kept counts and numbers switch together, or not at all.
-    A change that deletes rows which were never there is refused.
+    Only buckets that hold a key of the change are read and rewritten, once; what is broken in them before and after is counted where
+    they lie. The kept counts and numbers switch together, or not at all. A change that deletes rows which were never there is refused.
     """
     base = store.latest()
     names = base.notes[NOTE]["tables"]
-    moved = [key_counts(rows, names).withColumn("n", F.col("n") * sign) for rows, sign in ((inserted, 1), (deleted, -1)) if rows]
-    if not moved:
+    if not inserted and not deleted:
         return audited(store)
-    moved = reduce(DataFrame.unionByName, moved).groupBy("side", "key").agg(F.sum("n").alias("moved")).where("moved <> 0")
     with temporary(store.spark), store.change(base) as change:
-        moved = saved(moved, "moved-keys")
-        touched = moved.select("key").distinct()
-        buckets = [r[0] for r in touched.select(change.bucket("key")).distinct().collect()]  # a bounded number
-        held = store.read("keys", base, buckets).join(touched, "key", "left_semi")
-        both = saved(held.join(moved, ["side", "key"], "full_outer").na.fill(0, ["n", "moved"]).withColumn("after", F.col("n") + F.col("moved")), "moved-counts")
-        if both.where("after < 0").head(1):
-            raise Refused("rows are deleted that the tables do not hold")
-        change.replace("keys", both.where("after > 0").select("side", "key", F.col("after").alias("n")), "key", touched)
-        total = {(t, r): n for t, r, n in base.notes[NOTE]["broken"]}
-        for column, sign in (("n", -1), ("after", 1)):
-            for r in broken(both.select("side", "key", column), column).collect():  # a row a rule
-                total[r["table_name"], r["rule"]] = total.get((r["table_name"], r["rule"]), 0) + sign * r["broken"]
-        change.note(NOTE, {"tables": names, "broken": [[t, r, n] for (t, r), n in sorted(total.items()) if n]})
+        moved = saved(key_counts(inserted, names, deleted), "moved-keys")
+        buckets = change.merge("keys", moved, "key", summed)
+        total = {(t, rule): n for t, rule, n in base.notes[NOTE]["broken"]}
+        for version, sign in ((base, -1), (change.new, 1)):
+            for rule, n in broken(store.read("keys", version, buckets)).items():
+                total[rule] = total.get(rule, 0) + sign * n
+        change.note(NOTE, _noted(names, total))
     return audited(store)
 
 

@@ -189,6 +189,26 @@ class Change:
         self.changed = True
         return touched
 
+    def merge(self, table: str, rows: DataFrame, key: str, combine: Callable[[DataFrame, list[str]], DataFrame], rows_per_task: int = 500_000) -> list[int]:
+        """``combine`` makes new rows of ``rows`` (a saved table: it is read more than once) and of what their buckets hold, and may group them by
+        ``key``, others and the columns that it is told; the buckets, which are read and written once. Both are dealt by key into as
+        many tasks as they have rows for, so a task's rows are few whatever the size of a bucket."""
+        self._schema(table, rows)
+        touched = sorted(r[0] for r in rows.select(self.bucket(key)).distinct().collect())  # buckets: a bounded number
+        if not touched:
+            return []
+        if any(x["bucket"] in touched for x in self.new.tables[table]):
+            rows = self.store.read(table, self.new, touched).unionByName(rows)
+        tasks = -(-rows.count() // rows_per_task)
+        parts = -(-8 * tasks // self.store.buckets)  # of a bucket: several a task, so that tasks are alike
+        dealt = rows.withColumn("_part", F.pmod(F.xxhash64(F.col(key)), F.lit(self.store.buckets * parts)).cast("int")).repartition(tasks, "_part")
+        after = combine(dealt, ["_part"])
+        path = self._write(after.withColumn("_bucket", F.col("_part") % self.store.buckets).drop("_part"), table, True)
+        fresh = [{"path": f"{path}/_bucket={b}", "bucket": b} for b in self._folders(path)]
+        self.new.tables[table] = [x for x in self.new.tables[table] if x["bucket"] not in touched] + fresh
+        self.changed = True
+        return touched
+
     def append(self, table: str, df: DataFrame, **notes) -> None:
         """Rows of a table without key, as a folder of their own with notes."""
         self._schema(table, df)

@@ -99,3 +99,30 @@ def test_answers_are_tidied_once(spark):
     got = evaluation.graded(asked, lambda q: q)
     assert [(r.verdict, r.reason) for r in got.orderBy("article_id").collect()] == [("충족", "a"), ("판정 실패", "")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("<think>") == 1
+
+
+def test_keys_of_an_audit_are_counted_as_they_are(spark, tmp_path):
+    """Keys are strings only once counted, no plan of theirs has a lambda or JSON; an id and its references are one kept row, written in small tasks."""
+    from quillspark.operators.snapshots import Refused, Store
+
+    users = spark.createDataFrame([(i, i % 3, f"{'a' * (i % 2)}|{i // 4}") for i in range(200)], "id long, organization_id long, email string")
+    odd = spark.createDataFrame([(1, "1:a"), (1, "1:a"), (11, ":a"), (None, "x"), (2, None), (2, None)], "organization_id long, content_hash string").withColumn("id", F.lit(7).cast("long"))
+    tables = {"organizations": spark.range(2), "users": users, "articles": odd}
+    counts = constraints.key_counts(tables)
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" in plan and "lambda" not in plan and "to_json" not in plan
+    store = Store(spark, f"file://{tmp_path}/audit", buckets=2)
+    with store.change() as change:
+        assert change.merge("keys", counts, "key", constraints.summed, rows_per_task=20) == [0, 1]
+    files = [x.split("/")[-2] for x in store.read("keys").inputFiles()]
+    assert min(files.count(b) for b in set(files)) > 3  # a bucket is several tasks'
+    kept = {(r.space, r.key): (r.n, r.r0, r.r1) for r in store.read("keys").collect()}
+    assert kept["id|organizations", "1"] == (1, 67, 2) and kept["id|organizations", "2"] == (0, 66, 2)
+    want = {(r.table_name, r.rule): r.n for r in constraints.audit(tables).collect()}
+    assert {k: n for k, n in constraints.broken(store.read("keys")).items() if n} == want
+    fresh = Store(spark, f"file://{tmp_path}/other", buckets=2)
+    constraints.begin_audit(fresh, tables)
+    again = constraints.audit_change(fresh, {"users": users}, {"users": users})  # each row for itself
+    assert {(r.table_name, r.rule): r.n for r in again.collect()} == want
+    with pytest.raises(Refused, match="do not hold"):
+        constraints.audit_change(fresh, {"users": users.limit(1)}, {"articles": odd.unionByName(odd)})
