@@ -7,6 +7,7 @@ the requests, and lists from the newest articles of each period and category, so
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from quillspark.functions import parsers
 from quillspark.functions.periods import PERIOD_LABELS, UNCATEGORIZED, bounds, first_match
 from quillspark.functions.text import strip
 
+from . import order
 from .archive import article_date, holders, only_organization
 
 KEYS = ["organization_id", "name", "period", "category", "author", "media"]
@@ -40,9 +42,15 @@ def routed(questions: DataFrame) -> DataFrame:
 
 
 def _periods(at: Column, now: datetime) -> Column:
-    """The periods that a time lies in; a missing one lies in ``all``."""
+    """The periods that a time lies in, a bit each; a missing one lies in ``all``."""
     inside = lambda span: F.lit(True) if span is None else (at >= F.lit(span[0].isoformat(sep=" ")).cast("timestamp_ntz")) & (at < F.lit(span[1].isoformat(sep=" ")).cast("timestamp_ntz"))
-    return F.array_compact(F.array(*[F.when(inside(bounds(p, now)), p) for p in PERIOD_LABELS]))
+    return reduce(Column.__add__, [F.when(inside(bounds(p, now)), 1 << i).otherwise(0) for i, p in enumerate(PERIOD_LABELS)])
+
+
+def _by_period(rows: DataFrame) -> DataFrame:
+    """A row for each period of ``periods``, as ``own_period``."""
+    named = F.array(*[F.when(F.col("periods").bitwiseAND(1 << i) != 0, p) for i, p in enumerate(PERIOD_LABELS)])
+    return rows.withColumn("own_period", F.explode(named)).where("own_period IS NOT NULL").drop("periods")
 
 
 def _numbered(head: str, found: Column, tail: str, empty: str) -> Column:
@@ -61,9 +69,10 @@ def run(requests: DataFrame, articles: DataFrame, links: DataFrame, users: DataF
     orgs = requests.select("organization_id").distinct()
     held = holders(links, users.join(orgs, "organization_id", "left_semi"))
     scope = articles.select("id", "title", at.alias("at"), F.col("category").alias("own_category"), F.col("author").alias("own_author"), F.col("media").alias("own_media")).join(held.withColumnRenamed("article_id", "id"), "id")
-    # an article counts in each period that it lies in, so a request meets the rows of its own period alone
-    dated = scope.withColumn("own_period", F.explode(_periods(F.col("at"), now)))
-    sums = dated.groupBy("organization_id", "own_period", "own_category", "own_author", "own_media").agg(F.count("*").alias("n"))
+    # an article counts in each period that it lies in, so a request meets the rows of its own period alone; few sets of periods occur, so
+    # articles are counted and ranked by set, and only what is left is told by period
+    dated = scope.withColumn("periods", _periods(F.col("at"), now))
+    sums = _by_period(dated.groupBy("organization_id", "periods", "own_category", "own_author", "own_media").agg(F.count("*").alias("n")))
 
     fits = F.col("category").isNull() | (F.col("own_category") == F.col("category"))
     named = (F.col("author").isNull() | F.contains("own_author", "author")) & (F.col("media").isNull() | F.contains("own_media", "media"))
@@ -74,7 +83,8 @@ def run(requests: DataFrame, articles: DataFrame, links: DataFrame, users: DataF
 
     # the newest of each period and category (null: of all) first, so a request meets no more than it tells
     slot = Window.partitionBy("organization_id", "own_period", "slot").orderBy(F.desc_nulls_last("at"), F.desc("id"))
-    slots = dated.withColumn("slot", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.col("own_category")))))
+    least = order.last_rows(dated.select("organization_id", "periods", "own_category", "at", "id", "title"), ["organization_id", "periods", "own_category"], ["at", "id"], RECENT, "nth")
+    slots = _by_period(least).withColumn("slot", F.explode(F.array_distinct(F.array(F.lit(None).cast("string"), F.col("own_category")))))
     latest = slots.withColumn("nth", F.row_number().over(slot)).where(F.col("nth") <= RECENT).select(F.col("organization_id").alias("org"), "own_period", "slot", "id", "title", "at", "nth")
     asked = requests.where(F.col("name") == "list_recent_articles")
     newest = asked.join(latest, (F.col("organization_id") == F.col("org")) & (F.col("period") == F.col("own_period")) & F.col("category").eqNullSafe(F.col("slot"))).select("ask", "id", "title", "at", "nth")

@@ -87,31 +87,39 @@ def at_ranks(values: DataFrame, wanted: DataFrame, buckets: int = 1024) -> DataF
 # ---------------------------------------------------------------- the first rows of each key
 
 
-def _first_rows(columns: list[str], k: int, held_rows: int):
-    """Of a task: each key's number of rows and its ``k`` first ones, by the other columns (null first)."""
-    by = [(c, "ascending") for c in columns]
+GATHERED = 30_000  # rows that are sorted together with those that a task holds
+
+
+def _first_rows(columns: list[str], k: int, held_rows: int, keys: int = 1, last: bool = False):
+    """Of a task: each key's number of rows and its ``k`` first ones, by the other columns (null first); the key is the first ``keys`` columns.
+    ``last``: its last ones instead, the last one first."""
+    by = [(c, "descending" if last else "ascending") for c in columns]
+    null = "at_end" if last else "at_start"
 
     def kept(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=by, null_placement="at_start"))
-        key = pc.fill_null(pc.dictionary_encode(table.column(0)).combine_chunks().indices, -1).to_numpy()
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        size = np.diff(np.r_[new, len(key)])
-        nth = np.arange(len(key)) - np.repeat(new, size)
-        n = np.add.reduceat(table.column("n").to_numpy(), new) if len(key) else np.zeros(0, np.int64)
-        total = np.zeros(len(key), np.int64)
+        table = table.take(pc.sort_indices(table, sort_keys=by, null_placement=null))
+        key = np.array([pc.fill_null(pc.dictionary_encode(table.column(i)).combine_chunks().indices, -1).to_numpy() for i in range(keys)])
+        rows = table.num_rows
+        new = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)]) if rows else np.zeros(0, int)
+        size = np.diff(np.r_[new, rows])
+        nth = np.arange(rows) - np.repeat(new, size)
+        n = np.add.reduceat(table.column("n").to_numpy(), new) if rows else np.zeros(0, np.int64)
+        total = np.zeros(rows, np.int64)
         total[new] = n  # a key's first row carries its number of rows
         return table.set_column(table.num_columns - 1, "n", pa.array(total)).filter(pa.array(nth < k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, waiting = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch]).append_column("n", pa.array(np.ones(batch.num_rows, np.int64)))
-            held = kept(pa.concat_tables([held, table]) if held is not None else table)
-            if held.num_rows > held_rows:  # many keys: what is held is told, and gathered with the rest
-                yield from held.to_batches()
-                held = None
-        if held is not None:
-            yield from held.to_batches()
+            held.append(pa.Table.from_batches([batch]).append_column("n", pa.array(np.ones(batch.num_rows, np.int64))))
+            waiting += batch.num_rows
+            if waiting >= min(GATHERED, held_rows):
+                held, waiting = [kept(pa.concat_tables(held))], 0
+                if held[0].num_rows > held_rows:  # many keys: what is held is told, and gathered with the rest
+                    yield from held[0].to_batches()
+                    held = []
+        if held:
+            yield from kept(pa.concat_tables(held)).to_batches()
 
     return run
 
@@ -131,3 +139,15 @@ def first_per_key(df: DataFrame, key: str, order: list[str], k: int, held_rows:
 
     some = part.groupBy(key, "_part").agg(F.sum("n").alias("n"), least(F.collect_list(F.struct(*order))).alias("firsts"))
     return some.groupBy(key).agg(F.sum("n").alias("n"), least(F.flatten(F.collect_list("firsts"))).alias("firsts"))
+
+
+def last_rows(df: DataFrame, key: list[str], order: list[str], k: int, name: str, held_rows: int = 100_000) -> DataFrame:
+    """The ``k`` last rows of each key by ``order`` (null before all), with their place in ``name``, 1 for the last one.
+
+    Every task keeps ``k`` rows a key, so no task sorts its rows, however many a key has.
+    """
+    told = df.select(*key, *order, *[c for c in df.columns if c not in (*key, *order)])
+    kinds = ", ".join(f"`{n}` {t}" for n, t in told.dtypes)
+    part = told.mapInArrow(_first_rows([*key, *order], k, held_rows, len(key), True), f"{kinds}, n long").drop("n")
+    place = Window.partitionBy(*key).orderBy(*[F.desc_nulls_last(c) for c in order])
+    return part.withColumn(name, F.row_number().over(place)).where(F.col(name) <= k)

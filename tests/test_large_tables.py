@@ -1,5 +1,8 @@
 """What holds only beyond the size of the test tables, on small tables made for it."""
 
+import json
+from datetime import datetime, timedelta
+
 import duckdb
 import numpy as np
 import pytest
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillspark.functions import parsers, text
-from quillspark.operators import constraints, evaluation, vectors
+from quillspark.functions.periods import PERIOD_LABELS, bounds
+from quillspark.operators import company, constraints, evaluation, order, vectors
 from quillspark.plans import catalogue, catalogue_data, catalogue_scale  # noqa: F401
 from quillspark.plans.views import Archive
 
@@ -126,3 +130,53 @@ def test_keys_of_an_audit_are_counted_as_they_are(spark, tmp_path):
     assert {(r.table_name, r.rule): r.n for r in again.collect()} == want
     with pytest.raises(Refused, match="do not hold"):
         constraints.audit_change(fresh, {"users": users.limit(1)}, {"articles": odd.unionByName(odd)})
+
+
+@pytest.mark.parametrize("held", [100_000, 1])
+def test_last_rows_of_keys(spark, held):
+    """Keys of two columns, null in keys and order, in tasks that hold all and in tasks that hold next to nothing."""
+    rnd = np.random.default_rng(5)
+    pick = lambda *xs: xs[rnd.integers(len(xs))]
+    rows = [(pick("r", "s", None), pick(1, 2, None), pick(None, 1, 2, 3), i, f"t{i}") for i in map(int, rnd.permutation(2000))]
+    df = spark.createDataFrame(rows, "a string, b int, at int, id long, title string").repartition(7)
+    got = sorted(map(str, order.last_rows(df.select("title", "a", "b", "at", "id"), ["a", "b"], ["at", "id"], 4, "nth", held).select("a", "b", "at", "id", "title", "nth").collect()))
+    want = []
+    for key in {r[:2] for r in rows}:
+        mine = sorted((r for r in rows if r[:2] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[3]), reverse=True)
+        want += [(*r, i + 1) for i, r in enumerate(mine[:4])]
+    schema = "a string, b int, at int, id long, title string, nth int"
+    assert got == sorted(map(str, spark.createDataFrame(want, schema).collect()))
+    assert order.last_rows(df.limit(0), ["a"], ["id"], 4, "nth").count() == 0
+
+
+def test_company_answers_of_many_articles(spark):
+    """Every period, with and without category, over articles with and without time, category and writer, some at one time; no task sorts them."""
+    now = datetime(1998, 6, 17, 1)
+    rnd = np.random.default_rng(6)
+    pick = lambda *xs: xs[rnd.integers(len(xs))]
+    days = [0, 0, 0, 1, 2, 3, 6, 7, 9, 16, 17, 20, 29, 30, 40, 100, 168, 169, 400, -1]
+    rows = [(i, f"t{i}", pick(None, *[now - timedelta(days=d) for d in days]), pick(None, "경제", "정치"), pick(None, "가 7", "나 8"), pick(None, "m")) for i in range(600)]
+    articles = spark.createDataFrame(rows, "id long, title string, published_at timestamp_ntz, category string, author string, media string").repartition(5)
+    links = spark.createDataFrame([(1 + i % 2, i) for i in range(600)] + [(3, i) for i in range(0, 600, 4)], "user_id long, article_id long")
+    users = spark.createDataFrame([(1, 10), (2, 20), (3, 10)], "id long, organization_id long")
+    asked = [(i, name, period, category) for i in (2, 3) for name in ("list_recent_articles", "count_articles", "count_articles_by_category") for period in PERIOD_LABELS for category in (None, "경제", "문화")]
+    told = [(i, json.dumps({"name": n, "arguments": {"period": p} | ({"category": c} if c and not n.endswith("category") else {})}, ensure_ascii=False)) for i, n, p, c in asked]
+    named = spark.createDataFrame([], "id long, organization_id long, title string")
+    questions = spark.createDataFrame([(k, i, "분야별 회사 기사" if "by_category" in raw else "회사 기사", raw) for k, (i, raw) in enumerate(told)], "ask_id long, article_id long, question string, raw string")
+    out = company.answered(questions, articles, links, users, named, named, now)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.ask_id: r.answer for r in out.collect()}
+    for k, (i, name, period, category) in enumerate(asked):
+        span = bounds(period, now)
+        own = [r for r in rows if r[0] % 2 == i % 2 and (span is None or (r[2] is not None and span[0] <= r[2] < span[1]))]
+        label = PERIOD_LABELS[period]
+        if name == "count_articles_by_category":
+            by = sorted((-sum(r[3] == c for r in own), c or "미분류") for c in {r[3] for r in own})
+            want = f"{label} 기준 회사 기사 분야별 개수입니다. (총 {len(own)}건)\n" + "\n".join(f"- {c}: {-n}건" for n, c in by) if own else f"{label} 기준 회사 기사가 없습니다."
+        else:
+            own = [r for r in own if category in (None, r[3])]
+            about = f"{label}, {category or '전체 분야'} 기준"
+            newest = sorted(own, key=lambda r: (r[2] is not None, r[2] or now, r[0]), reverse=True)[:5]
+            lines = [f"{n}. {r[1]} ({r[2].strftime('%Y-%m-%d') if r[2] else '날짜 없음'})" for n, r in enumerate(newest, 1)]
+            want = f"{about} 회사 기사는 {len(own)}건입니다." if name == "count_articles" else f"{about} 최근 회사 기사 {len(newest)}건입니다.\n" + "\n".join(lines) if own else f"{about} 회사 기사가 없습니다."
+        assert got[k] == want, asked[k]
